@@ -1,0 +1,25 @@
+"""Cutting lineage through the shared folder, and small helpers for sessions."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="caravel-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder; what follows survives lost executors without computing it again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
