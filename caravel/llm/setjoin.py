@@ -40,7 +40,7 @@ BLOCK = 64
 #: Largest number of sets joined by one trie.
 CLUSTER = 512
 #: Most shingles in the list that shapes the order.
-HEAVY = 500_000
+HEAVY = 100_000
 #: Bits of the filter that spares the shuffle of texts without candidates.
 BLOOM_BITS = 1 << 23
 PIVOTS = 8
@@ -124,10 +124,10 @@ def heavy_shingles(docs: DataFrame, text: str, k: int, separators: np.ndarray =
                 held, size = [], 0
         yield from flush()
 
-    rows = docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(limit).toPandas()
-    tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
+    rows = docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(limit).toArrow()
+    tokens = rows["token"].to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], rows["n"].to_numpy(np.int64)[order]
+    return tokens[order], rows["n"].to_numpy()[order]
 
 
 def in_order(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], length: int) -> np.ndarray:
