@@ -79,6 +79,13 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return a - 2**63, b - 2**63
 
 
+def digest_many(tokens: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``digest`` of the sets that begin at ``first`` and have ``n`` tokens."""
+    a = mix(np.bitwise_xor.reduceat(mix(tokens + U(1)), first) ^ n.astype(np.uint64))
+    b = mix(np.add.reduceat(mix(tokens ^ U(0x5851F42D4C957F2D)), first))
+    return (a ^ U(1 << 63)).view(np.int64), (b ^ U(1 << 63)).view(np.int64)
+
+
 def sketch(s: np.ndarray) -> bytes:
     """Parity of the tokens in each of about n/2 cells, a power of two."""
     bits = 1 << max(6, int(len(s) // 2 - 1).bit_length() if len(s) > 2 else 6)
@@ -124,7 +131,12 @@ def heavy_shingles(docs: DataFrame, text: str, k: int, separators: np.ndarray =
                 held, size = [], 0
         yield from flush()
 
-    rows = docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(limit).toArrow()
+    return top_shingles(docs.select(text).mapInArrow(count, "token long, n long"), limit)
+
+
+def top_shingles(counts: DataFrame, limit: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, their sums) of the ``limit`` tokens of the largest sums."""
+    rows = counts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(limit).toArrow()
     tokens = rows["token"].to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], rows["n"].to_numpy()[order]
@@ -198,6 +210,11 @@ _FAR = 0xFFFF
 
 def candidate_edges(cls: DataFrame, num: int, den: int, heavy) -> DataFrame:
     """(a, b) edges over class ids such that linked classes are connected."""
+    return edges_of(cls.select("id", "n", "prefix"), cls, num, den, heavy)
+
+
+def edges_of(prefixes: DataFrame, cls: DataFrame, num: int, den: int, heavy) -> DataFrame:
+    """``candidate_edges`` of the (id, n, prefix) rows, which may repeat; ``cls`` has id, n and sketch."""
     spark = cls.sparkSession
     buckets = 4 * partitions(spark)
     dense = heavy[0][heavy[1] > BLOCK]
@@ -248,7 +265,10 @@ def candidate_edges(cls: DataFrame, num: int, den: int, heavy) -> DataFrame:
             yield from pair(rows)
 
     def pair(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = rows[np.argsort(rows["token"], kind="stable")]
+        rows = rows[np.lexsort((rows["id"], rows["token"]))]
+        if len(rows) > 1:
+            again = (rows["token"][1:] == rows["token"][:-1]) & (rows["id"][1:] == rows["id"][:-1])
+            rows = rows[np.append(True, ~again)]
         cut = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
         size = np.diff(np.append(cut, len(rows)))
         large = size > BLOCK
@@ -283,7 +303,7 @@ def candidate_edges(cls: DataFrame, num: int, den: int, heavy) -> DataFrame:
     def edges(a, b, sure: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
 
-    dealt = cls.select("id", "n", "prefix").mapInArrow(deal, "bucket int, blob binary").repartition(buckets, "bucket", F.when(F.col("bucket") < 0, F.xxhash64("blob")))
+    dealt = prefixes.mapInArrow(deal, "bucket int, blob binary").repartition(buckets, "bucket", F.when(F.col("bucket") < 0, F.xxhash64("blob")))
     met = settle(dealt.mapInArrow(meet, "a long, b long, sure boolean"))
     marks = cls.select("id", "n", "sketch")
     pairs = met.filter("not sure").select("a", "b").distinct()

@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the distinct hashes of its words, of neighbouring
-words, and of words with one word between them.  Words are runs of characters
+words, and of words with one word between them; longer words also count by
+their first ``STEMS`` bytes, so that inflected forms share a feature.  Words are runs of characters
 other than white space and ASCII punctuation marks, with A-Z lower-cased.
 """
 
@@ -20,6 +21,7 @@ BITS = 20
 #: Most labelled documents that training reads; the sample is those of least hash of doc_id.
 SAMPLE = 12_000
 THRESHOLD = 0.7
+STEMS = (5, 6, 7)
 
 #: Separators: all ASCII characters that are neither letters nor digits.
 PUNCTUATION = np.zeros(256, bool)
@@ -43,6 +45,10 @@ def feature_arrays(column: pa.Array, weights: np.ndarray | None = None) -> Itera
                 same = owner[gap:] == owner[:-gap]
                 parts.append(mix(h[:-gap] * U(salt) + h[gap:])[same])
                 owners.append(owner[gap:][same])
+        for size in STEMS:
+            long = np.flatnonzero(end - start > size)
+            parts.append(mix(word_hashes(text, start[long], start[long] + size) + U(size)))
+            owners.append(owner[long])
         number = (np.concatenate(parts) & cells).astype(np.int64)
         who = np.concatenate(owners)
         if weights is not None:
@@ -55,7 +61,7 @@ def feature_arrays(column: pa.Array, weights: np.ndarray | None = None) -> Itera
             yield number[a:b]
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, epochs: int = 4, seed: int = 7) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 6, seed: int = 7) -> tuple[np.ndarray, float]:
     """(weights, bias) after proximal steps with a rate of its own for each coordinate."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_z = bias_n = bias = 0.0
@@ -82,7 +88,7 @@ def held_out(doc: str):
     return F.coalesce(F.crc32(F.col(doc).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: str, label: str, sample: int = SAMPLE, epochs: int = 4) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: str, label: str, sample: int = SAMPLE, epochs: int = 6) -> tuple[np.ndarray, float]:
     """Fit on at most ``sample`` labelled documents that aren't held out; without both classes the bias says all.
 
     A document whose labels differ counts as toxic.  What goes to the one
