@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caravel.llm.store import settle
+from caravel.llm.store import lean, settle
 from caravel.llm.tokens import RANKS, TOKENIZER, cut, encode, place
 
 END = 0
@@ -27,6 +27,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, doc: str, text: str, size: int, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and the end id, cut into pieces."""
+    lean(docs.sparkSession)
     tokenizer, ranks = tokenizer or place(TOKENIZER), ranks or place(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +250,7 @@ def best_fit_pack(docs: DataFrame, doc: str, text: str, size: int, block: int =
     start at 0 in each segment.  Null texts count as empty; each document ends
     with the end id, so it has one token at least.
     """
+    lean(docs.sparkSession)
     tokenizer, ranks = tokenizer or place(TOKENIZER), ranks or place(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

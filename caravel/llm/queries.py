@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravel.llm import chat, decontaminate, linededup, packing, setjoin, toxicity
+from caravel.llm import chat, decontaminate, linededup, packing, setjoin, topk, toxicity, unitdedup, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,26 @@ def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("sequence_id", F.size("doc_ids").alias("n_segments"), F.size("input_ids").alias("n_tokens"), "doc_ids", "pieces", "starts", "cu_seqlens", crc("input_ids").alias("input_crc32"), crc("position_ids").alias("position_crc32"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.piece_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "n_words", "n_tokens", "n_unknown")
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20, 20)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", SEQUENCE)
     return packing.pattern_pack(rows, SEQUENCE)
@@ -80,6 +100,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = unitdedup.repeated_units(table(spark, sf_dir, "documents"), "doc_id", "text", "sentence", 8)
+    return found.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("words").alias("n_words"), F.col("kept_doc").alias("kept_doc_id"), F.col("kept_start").alias("kept_start_char"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -111,12 +136,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_packed_ids": op4_packed_ids,
+    "op5_token_counts": op5_token_counts,
+    "op6_exact_topk": op6_exact_topk,
     "op7_pattern_packing": op7_pattern_packing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_unit_dedup": op9_unit_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
+    "op6_exact_topk": OP6_SQL,
     "op8_benchmark_decontamination": OP8_SQL,
 }

@@ -15,9 +15,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Rows of an Arrow batch: rows may hold whole documents, and a task holds several copies of a batch.
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows, unless they are lower; call it before Arrow functions over texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder; what follows survives lost executors without computing it again."""
-    ensure_checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(lean(df.sparkSession))
     return df.checkpoint()
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravel.llm.shingles import U, buffers, chunks, mix, word_hashes, word_spans
+from caravel.llm.store import lean
 
 BITS = 20
 #: Most labelled documents that training reads; the sample is those of least hash of doc_id.
@@ -94,6 +95,7 @@ def train(docs: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: st
     A document whose labels differ counts as toxic.  What goes to the one
     training task is bounded by ``sample``.
     """
+    lean(docs.sparkSession)
     known = labels.filter(F.col(label_doc).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label_doc).cast("long").alias("_doc")).agg(F.max(label).cast("int").alias("_label"))
     known = known.filter(~held_out("_doc")).orderBy(F.xxhash64("_doc"), "_doc").limit(sample)
 
@@ -124,7 +126,7 @@ def score(docs: DataFrame, text: str, model: tuple[np.ndarray, float], into: str
     """``docs`` and the score of each whole text, 0 to 1; a null text counts as empty."""
     weights, bias = model
     at = np.flatnonzero(weights)
-    shared = docs.sparkSession.sparkContext.broadcast((at, weights[at], bias))
+    shared = lean(docs.sparkSession).sparkContext.broadcast((at, weights[at], bias))
     keep = [c for c in docs.columns if c != into]
     where = keep.index(text)
 

@@ -1,0 +1,121 @@
+"""Substring dedup by hashing units: lines, paragraphs, and sentences of lines.
+
+Units are normalised (A-Z lower-cased, white space between words ignored) and
+their digests grouped globally.  The earliest occurrence by (doc, start) stays,
+the others go; each keeps its place in the original text.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from caravel.llm.setjoin import BLOOM_BITS
+from caravel.llm.shingles import SPACE, U, buffers, chunks, mix, word_hashes, word_spans
+from caravel.llm.store import lean, settle
+
+KINDS = ("paragraph", "line", "sentence")
+_BASE = (U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F))
+
+
+def unit_ends(text: np.ndarray, own: np.ndarray, kind: str) -> np.ndarray:
+    """Places behind which a unit ends: texts' ends, newlines, empty lines, or marks that close a sentence."""
+    feed = text == 10
+    if kind == "paragraph":
+        at = np.flatnonzero(feed[1:] & feed[:-1]) + 2
+    elif kind == "line":
+        at = np.flatnonzero(feed) + 1
+    else:
+        mark = (text == 46) | (text == 33) | (text == 63)
+        behind = np.append(SPACE[text[1:]], True)
+        at = np.flatnonzero(feed | (mark & behind)) + 1
+    return np.unique(np.concatenate([at, own]))
+
+
+def unit_rows(column: pa.Array, kind: str, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, start, end, words, digest, digest2) arrays of the units of ``least`` words or more, some at a time.
+
+    start and end count characters of the text, from the unit's first word to
+    the end of its last.
+    """
+    off, data = buffers(column)
+    for i, j in chunks(off):
+        own = off[i : j + 1] - off[i]
+        text = data[off[i] : off[j]]
+        start, end = word_spans(text, own, SPACE)
+        if not len(start):
+            continue
+        h = word_hashes(text, start, end)
+        ends = unit_ends(text, own, kind)
+        unit = np.searchsorted(ends, start, "right")
+        first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+        n = np.diff(np.append(first, len(unit)))
+        place = np.arange(len(h)) - np.repeat(first, n)
+        digests = []
+        for base in _BASE:
+            power = np.cumprod(np.full(int(n.max()), base))
+            digests.append(mix(np.add.reduceat(h * power[place], first) ^ n.astype(np.uint64)).view(np.int64))
+        chars = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])
+        keep = n >= least
+        first, n = first[keep], n[keep]
+        row = np.searchsorted(own, start[first], "right") - 1
+        base = chars[own[row]]
+        yield row + i, chars[start[first]] - base, chars[end[first + n - 1]] - base, n, digests[0][keep], digests[1][keep]
+
+
+def repeated_units(docs: DataFrame, doc: str, text: str, kind: str = "line", least: int = 5) -> DataFrame:
+    """(doc, start, end, words, kept_doc, kept_start): every unit that repeats an earlier one.
+
+    Units of fewer than ``least`` words stay; null and empty texts have none;
+    texts of a null doc take no part.  Of repeated rows (same doc, same place)
+    all occurrences but none of an earlier place count as the first.  A first
+    pass finds digests that occur more than once and keeps them as a bit array
+    of fixed size; the second pass takes the units that it lets through and
+    groups them exactly.
+    """
+    lean(docs.sparkSession)
+    own = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), text)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for *_, d, _ in unit_rows(batch.column(1), kind, least):
+                yield pa.RecordBatch.from_arrays([pa.array(d)], names=["digest"])
+
+    twice = own.mapInArrow(digests, "digest long").groupBy("digest").count().filter("count > 1")
+    cells = twice.select((F.pmod("digest", F.lit(BLOOM_BITS)) + 1).alias("at"))
+    found = cells.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    table = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for k, bits in found:
+        piece = np.frombuffer(bytes(bits), np.uint8)
+        table[(k - 1) * 4096 : (k - 1) * 4096 + len(piece)] |= piece
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for row, start, end, n, d, d2 in unit_rows(batch.column(1), kind, least):
+                cell = np.mod(d, BLOOM_BITS)
+                hit = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row[hit])), *(pa.array(x[hit].astype(np.int64)) for x in (start, end, n, d, d2))], names=["doc", "start", "end", "words", "digest", "digest2"]
+                )
+
+    units = settle(own.mapInArrow(through, "doc long, start long, end long, words long, digest long, digest2 long"))
+    first = units.groupBy("digest", "digest2").agg(F.min(F.struct("doc", "start")).alias("x"), F.count("*").alias("n")).filter("n > 1")
+    first = settle(first.select("digest", "digest2", F.col("x.doc").alias("kept_doc"), F.col("x.start").alias("kept_start")))
+    later = units.join(first, ["digest", "digest2"]).filter("doc <> kept_doc or start <> kept_start")
+    return later.select("doc", "start", "end", "words", "kept_doc", "kept_start")
+
+
+def without_units(docs: DataFrame, doc: str, text: str, removed: DataFrame) -> DataFrame:
+    """``docs`` with the removed (doc, start, end) spans cut out of ``text``; what else is in it stays as it is."""
+    spans = removed.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    joined = docs.join(spans.withColumnRenamed("doc", "_doc"), F.col(doc) == F.col("_doc"), "left")
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["end"]))
+    ends = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.char_length(text).cast("long")))
+    kept = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.substr(F.col(text), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")))
+    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))).drop("_doc", "_spans")
