@@ -1,0 +1,72 @@
+"""Reproducible samples: quotas, tiers, disjoint splits, apportionment.
+
+Random order is the order of sha256(seed|salt|id), so a sample depends on ids
+and seed alone, not on partitions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Question types in the order that breaks ties. Fixed values.
+TYPES = ("open_ended", "closed_ended", "single_choice", "multiple_choice")
+
+
+def lot(seed: int, salt: str, key: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), key.cast("string")), 256)
+
+
+def allocate(total: int, ratios: dict[str, float]) -> dict[str, int]:
+    """Whole quotas that sum to ``total``: floors, then one more for the largest fractions, ties in the order given."""
+    if not ratios or min(ratios.values()) < 0 or sum(ratios.values()) <= 0:
+        raise ValueError("ratios must be finite, not negative, and positive in sum")
+    whole = sum(ratios.values())
+    exact = {k: total * v / whole for k, v in ratios.items()}
+    out = {k: int(v) for k, v in exact.items()}
+    order = sorted(ratios, key=lambda k: -(exact[k] - out[k]))
+    for k in order[: total - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
+def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """(key, quota) over a table of weights, a row for each key; ties by key."""
+    everything = weights.agg(F.sum(weight).alias("_sum"))
+    exact = weights.crossJoin(F.broadcast(everything)).withColumn("_exact", F.lit(total) * F.col(weight) / F.col("_sum"))
+    exact = exact.withColumn("_floor", F.floor("_exact"))
+    order = Window.orderBy(F.desc(F.round(F.col("_exact") - F.col("_floor"), 9)), key)
+    left = Window.partitionBy()
+    return exact.withColumn("_rank", F.row_number().over(order)).withColumn("_left", F.lit(total) - F.sum("_floor").over(left)).select(key, (F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("int")).cast("long").alias("quota"))
+
+
+def priority_sample(df: DataFrame, key: str, tier: Column, count: int, seed: int, salt: str) -> DataFrame:
+    """``count`` rows, lower tiers first, at random within a tier; a top-k, so no full sort meets in one task."""
+    return df.withColumn("_tier", tier).withColumn("_lot", lot(seed, salt, F.col(key))).orderBy("_tier", "_lot", key).limit(count).withColumnRenamed("_tier", "tier").drop("_lot")
+
+
+def quota_sample(df: DataFrame, key: str, group: str, tier: Column, quotas: dict[str, int], seed: int, salt: str) -> DataFrame:
+    """For each group its quota of rows, lower tiers first, at random within a tier; groups never borrow.
+
+    The rank filter is kept per partition before the shuffle (window group limit).
+    """
+    most = max(quotas.values(), default=0)
+    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])[F.col(group)] if quotas else F.lit(0)
+    order = Window.partitionBy(group).orderBy("tier", "_lot", key)
+    ranked = df.withColumn("tier", tier).withColumn("_lot", lot(seed, salt, F.col(key))).withColumn("_rank", F.row_number().over(order))
+    return ranked.filter((F.col("_rank") <= most) & (F.col("_rank") <= F.coalesce(quota, F.lit(0)))).drop("_lot", "_rank")
+
+
+def without_shared(pool: DataFrame, key: str, shared: str, chosen: DataFrame) -> DataFrame:
+    """``pool`` without the chosen keys and without keys that share any value of ``shared`` with a chosen one.
+
+    Both tables have a row for each (key, shared) pair.
+    """
+    values = chosen.select(shared).distinct()
+    touched = pool.join(values, shared, "left_semi").select(key).distinct()
+    return pool.join(touched, key, "left_anti").join(chosen.select(key).distinct(), key, "left_anti")
+
+
+def limit_each(df: DataFrame, group: str, order: list[Column], limit: int) -> DataFrame:
+    """The first ``limit`` rows of each group."""
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_rank") <= limit).drop("_rank")
