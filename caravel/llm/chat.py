@@ -74,6 +74,12 @@ def paths_of(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(found, r"\{([^{}<>]*(?:\{[^{}]*\}[^{}<>]*)*)>", r"{$1}"), r"\[[A-Z0-9(),]*\]", "[]")
 
 
+def _message_turns(value: Column, x: Layout) -> Column:
+    rows = F.variant_get(value, f"$.{x.turns}", f"array<struct<`{x.role}`:string,`{x.text}`:string>>")
+    rename = F.create_map(*[F.lit(v) for kv in x.roles.items() for v in kv])
+    return F.transform(rows, lambda m: F.struct(F.coalesce(rename[F.lower(m[x.role])], m[x.role]).alias("role"), F.coalesce(m[x.text], F.lit("")).alias("text")))
+
+
 def canonical_turns(value: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """Turns (role, text) of a variant by the layout of its fingerprint; null if none is known.
 
@@ -83,9 +89,7 @@ def canonical_turns(value: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Col
     out = F.lit(None).cast(TURNS)
     for x in layouts:
         if x.turns:
-            rows = F.variant_get(value, f"$.{x.turns}", f"array<struct<`{x.role}`:string,`{x.text}`:string>>")
-            rename = F.create_map(*[F.lit(v) for kv in x.roles.items() for v in kv])
-            turns = F.transform(rows, lambda m, x=x, rename=rename: F.struct(F.coalesce(rename[F.lower(m[x.role])], m[x.role]).alias("role"), F.coalesce(m[x.text], F.lit("")).alias("text")))
+            turns = _message_turns(value, x)
         else:
             parts = []
             for role, names in x.fields:
