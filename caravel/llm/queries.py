@@ -61,6 +61,19 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+_SPACED = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP3_SQL = rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, coalesce({_SPACED}, []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM doc UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x)
+SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
 SEQUENCE = 2048
 
 
@@ -110,6 +123,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+OP10_SQL = rf"""
+WITH line AS (SELECT doc_id, i - 1 AS line, t[i] AS text FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))),
+w AS (SELECT doc_id, line, {_SPACED} AS w FROM line),
+s AS (SELECT DISTINCT doc_id, line, array_to_string(w[i : i + 4], ' ') AS sh FROM (SELECT doc_id, line, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+n AS (SELECT doc_id, line, count(*) AS n FROM s GROUP BY 1, 2),
+p AS (SELECT a.doc_id AS d, a.line AS x, b.doc_id AS e, b.line AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND (a.doc_id, a.line) < (b.doc_id, b.line) GROUP BY 1, 2, 3, 4),
+gone AS (SELECT DISTINCT e AS doc_id, y AS line FROM p JOIN n a ON a.doc_id = d AND a.line = x JOIN n b ON b.doc_id = e AND b.line = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed, coalesce(string_agg(CAST(g.line AS VARCHAR), ',' ORDER BY l.line), '') AS removed,
+  coalesce(string_agg(l.text, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') AS text FROM line l LEFT JOIN gone g USING (doc_id, line) GROUP BY l.doc_id)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept.text, '')) AS text_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
 _WORDS = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 OP8_SQL = rf"""
@@ -146,6 +172,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
+    "op3_ngram_jaccard_join": OP3_SQL,
     "op6_exact_topk": OP6_SQL,
     "op8_benchmark_decontamination": OP8_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
