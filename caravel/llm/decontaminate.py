@@ -64,8 +64,10 @@ def decontaminate(docs: DataFrame, doc: str, text: str, benchmark: DataFrame, it
     by_doc = found.groupBy("_doc").agg(F.collect_set(F.struct("at", "len", "window", "items")).alias("_c"))
     fresh = docs.drop("n_words", "n_hit", "items", "contaminated")
     joined = fresh.join(by_doc.withColumnRenamed("_doc", "_key"), F.col(doc).eqNullSafe(F.col("_key")), "left")
-    same = lambda c: F.array_join(F.slice("_w", c["at"] + 1, c["len"]), " ") == c["window"]
-    hits = joined.withColumn("_w", words(F.col(text))).withColumn("_c", F.when(F.col("_c").isNotNull(), F.array_sort(F.filter("_c", same))))
+    # the words are bound to a variable: wherever Spark moves this expression, a text is split once
+    same = lambda w: F.filter("_c", lambda c: F.array_join(F.slice(w, c["at"] + 1, c["len"]), " ") == c["window"])
+    checked = F.element_at(F.transform(F.array(words(F.col(text))), same), 1)
+    hits = joined.withColumn("_c", F.when(F.col("_c").isNotNull(), F.array_sort(checked)))
     end = lambda c: c["at"] + c["len"]
     # places come in order: each adds what lies behind the end reached so far
     total = F.aggregate(
@@ -76,9 +78,9 @@ def decontaminate(docs: DataFrame, doc: str, text: str, benchmark: DataFrame, it
     )
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("_c", lambda c: c["items"]))))
     return (
-        hits.withColumn("n_words", F.size("_w").cast("long"))
+        hits.withColumn("n_words", F.size(words(F.col(text))).cast("long"))
         .withColumn("n_hit", F.coalesce(total, F.lit(0)).cast("long"))
         .withColumn("items", F.coalesce(items, F.array().cast("array<string>")))
         .withColumn("contaminated", F.col("n_hit") > 0)
-        .drop("_w", "_c", "_key")
+        .drop("_c", "_key")
     )
