@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components: edges are reduced to a forest, which is then flattened."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caravel.llm.store import settle
+from caravel.llm.store import partitions, settle
 
 
 class Forest:
@@ -35,18 +35,23 @@ class Forest:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a partition as a forest of stars; ``met``: whether some node had several edges."""
     forest = Forest()
+    first: dict[int, int] = {}
+    met = False
 
     def rows() -> pa.RecordBatch:
-        nodes = list(forest.up)
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], names=["a", "b"])
+        nodes = [x for x in forest.up if forest.find(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64()), pa.array([met] * len(nodes), pa.bool_())], names=["a", "b", "met"])
 
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            met = met or first.setdefault(a, b) != b
             forest.union(a, b)
-        if len(forest.up) > 2_000_000:
+        if len(forest.up) > 1_000_000:
+            met = True
             yield rows()
-            forest = Forest()
+            forest, first = Forest(), {}
     if forest.up:
         yield rows()
 
@@ -55,26 +60,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of an undirected edge; component is the least node.
 
     ``edges`` has two long columns; loops and repeated edges don't matter, an
-    edge with a null end is left out.  Each partition first reduces its edges
-    to a forest, then stars are joined until nothing changes.  The minima are
-    written before they are joined to the edges, so both sides of that join
-    are plain shuffles and Spark can split the partition of a large hub.
+    edge with a null end is left out.  Each partition reduces its edges to
+    stars, then edges meet by their larger node, where those of one node are
+    joined into one, until each node has a single edge to a smaller one.  As
+    stars were reduced first, a node brings one edge from each partition at
+    most, however large its group is.  What is left is a forest, whose depth
+    is halved until all point at their roots; both sides of that join are
+    plain shuffles, so Spark can split the partition of a large root.
     """
     a, b = edges.columns
-    e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
-    e = settle(e.mapInArrow(_contract, "a long, b long").distinct())
-    seen = None
+    kind = "a long, b long, met boolean"
+    x, y = F.col(a).cast("long"), F.col(b).cast("long")
+    e = edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).filter(x.isNotNull() & y.isNotNull() & (x != y))
+    e = e.mapInArrow(_contract, kind)
+    many = -(-partitions(edges.sparkSession) // 4)  # edges are few beside texts
     while True:
-        n, total = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if not n or (n, total) == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        seen = (n, total)
-        # large star: every larger neighbour of u is tied to the least of u and its neighbours
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        e = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        # small star: u and its smaller neighbours are tied to the least of them
-        e = settle(e)
-        least = settle(e.groupBy("a").agg(F.min("b").alias("m")))
-        e = e.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).filter("a <> b").distinct()
-        e = settle(e)
+        e = settle(e.select("a", "b").repartition(many, "a").mapInArrow(_contract, kind))
+        if e.filter("met").isEmpty():
+            break
+    e = e.select("a", "b")
+    while True:
+        e = settle(e.join(e.toDF("b", "c"), "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("met")))
+        if e.filter("met").isEmpty():
+            break
+        e = e.select("a", "b")
+    e = e.select("a", "b")
+    return e.toDF("node", "component").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -6,7 +6,7 @@ sets link when ``den * |A & B| >= num * |A | B|``.  Steps:
 1. ``heavy_shingles``: the shingles that repeat most, a list of bounded size.
    It only shapes the common order (rare first, then by hash), so its bound
    costs no result.
-2. ``describe``: per text or line its set's 128-bit digest, size, prefix in
+2. ``describe``: per text or line its set's 127-bit digest, size, prefix in
    the common order and a parity sketch; equal sets become one *class*.
 3. ``candidate_edges``: prefix tokens meet in buckets, as packed arrays.  Pairs
    of classes pass length and positional bounds and the sketches' bound on the
@@ -17,7 +17,7 @@ sets link when ``den * |A & B| >= num * |A | B|``.  Steps:
    Clusters above ``CLUSTER`` are split: chunks that share pivots first, then
    only what is still undecided against every chunk.
 
-Hashes of shingles have 64 bits, digests of sets 128; within these the join is
+Hashes of shingles have 64 bits, digests of sets 127; within these the join is
 exact and no partner or candidate is capped.
 """
 
@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 
 from caravel.llm.components import connected_components
 from caravel.llm.shingles import SPACE, U, buffers, mix, shingle_sets
-from caravel.llm.store import partitions, settle
+from caravel.llm.store import lean, partitions, settle
 from caravel.llm.trie import linked_components, linked_to_earlier
 
 #: Largest block of a prefix token in which pairs are formed.
 BLOCK = 64
 #: Largest number of sets joined by one trie.
 CLUSTER = 512
+#: Shingles that a task holds while it counts.
+FLUSH = 1_500_000
 #: Most shingles in the list that shapes the order.
 HEAVY = 100_000
 #: Bits of the filter that spares the shuffle of texts without candidates.
@@ -74,16 +76,15 @@ def units(column: pa.Array, by_line: bool) -> tuple[pa.Array, np.ndarray, np.nda
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
-    a = int(mix(np.bitwise_xor.reduce(mix(s + U(1)), keepdims=True) ^ U(len(s)))[0])
-    b = int(mix(np.add.reduce(mix(s ^ U(0x5851F42D4C957F2D)), keepdims=True))[0])
-    return a - 2**63, b - 2**63
+    a, b = digest_many(s, np.zeros(1, np.int64), np.array([len(s)]))
+    return int(a[0]), int(b[0])
 
 
 def digest_many(tokens: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``digest`` of the sets that begin at ``first`` and have ``n`` tokens."""
+    """``digest`` of the sets that begin at ``first`` and have ``n`` tokens: 63 bits, never negative, and 64."""
     a = mix(np.bitwise_xor.reduceat(mix(tokens + U(1)), first) ^ n.astype(np.uint64))
     b = mix(np.add.reduceat(mix(tokens ^ U(0x5851F42D4C957F2D)), first))
-    return (a ^ U(1 << 63)).view(np.int64), (b ^ U(1 << 63)).view(np.int64)
+    return (a >> U(1)).view(np.int64), b.view(np.int64)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -126,11 +127,12 @@ def heavy_shingles(docs: DataFrame, text: str, k: int, separators: np.ndarray =
             for _, s in shingle_sets(column, k, separators, not by_line):
                 held.append(s)
                 size += len(s)
-            if size > 4_000_000:
+            if size > FLUSH:
                 yield from flush()
                 held, size = [], 0
         yield from flush()
 
+    lean(docs.sparkSession)
     return top_shingles(docs.select(text).mapInArrow(count, "token long, n long"), limit)
 
 
@@ -216,7 +218,7 @@ def candidate_edges(cls: DataFrame, num: int, den: int, heavy) -> DataFrame:
 def edges_of(prefixes: DataFrame, cls: DataFrame, num: int, den: int, heavy) -> DataFrame:
     """``candidate_edges`` of the (id, n, prefix) rows, which may repeat; ``cls`` has id, n and sketch."""
     spark = cls.sparkSession
-    buckets = 4 * partitions(spark)
+    buckets = partitions(spark)
     dense = heavy[0][heavy[1] > BLOCK]
     shared = spark.sparkContext.broadcast(dense)
 
@@ -235,7 +237,9 @@ def edges_of(prefixes: DataFrame, cls: DataFrame, num: int, den: int, heavy) ->
             if len(shared.value):
                 heavy_one = shared.value[np.minimum(np.searchsorted(shared.value, token), len(shared.value) - 1)] == token
             if heavy_one.any():
-                pairs = np.unique(np.stack([ids[owner[heavy_one]], token[heavy_one].view(np.int64)], axis=1), axis=0)
+                # the node of a token is smaller than those of sets, so it is a root
+                node = -1 - (token[heavy_one] >> U(1)).view(np.int64)
+                pairs = np.unique(np.stack([ids[owner[heavy_one]], node], axis=1), axis=0)
                 yield out(np.full(1, -1), [pairs.astype("<i8").tobytes()])
             light = ~heavy_one
             token, owner, pos = token[light], owner[light], pos[light]
@@ -311,11 +315,17 @@ def edges_of(prefixes: DataFrame, cls: DataFrame, num: int, den: int, heavy) ->
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, sa, nb, sb = batch.columns if batch.schema.names == ["a", "b", "na", "sa", "nb", "sb"] else [batch.column(x) for x in ("a", "b", "na", "sa", "nb", "sb")]
+            a, b, na, sa, nb, sb = batch.columns
             both = na.to_numpy().astype(np.int64) + nb.to_numpy()
             allowed = both - 2 * (-(-num * both // (den + num)))
-            keep = [sketch_distance(x, y) <= d for x, y, d in zip(sa.to_pylist(), sb.to_pylist(), allowed.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = np.zeros(len(both), bool)
+            x, y = sa.to_pylist(), sb.to_pylist()
+            small = np.array([len(u) == len(v) == 8 for u, v in zip(x, y, strict=True)], bool)
+            words = [np.frombuffer(b"".join(v[i] for i in np.flatnonzero(small)), "<u8") for v in (x, y)]
+            keep[small] = np.bitwise_count(words[0] ^ words[1]) <= allowed[small]
+            for i in np.flatnonzero(~small).tolist():
+                keep[i] = sketch_distance(x[i], y[i]) <= allowed[i]
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
 
     kept = pairs.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(near, "a long, b long")
     return kept.unionByName(met.filter("sure").select("a", "b"))
@@ -415,7 +425,7 @@ def _join_groups(rows: DataFrame, num: int, den: int, earlier: bool) -> DataFram
         yield out()
 
     keys = ["cluster", "part", "part2"]
-    dealt = rows.select(*keys, "doc", "line", "id", "id2", "wanted", "tokens").repartition(max(2 * partitions(rows.sparkSession), 8), *keys).sortWithinPartitions(*keys)
+    dealt = rows.select(*keys, "doc", "line", "id", "id2", "wanted", "tokens").repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "x long, y long, z long").drop("z")
 
 
