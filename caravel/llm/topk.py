@@ -5,8 +5,8 @@ each dimension, a posting segment for each value.  A query takes segments by
 falling contribution, a level at a time, and adds them to its candidates'
 scores.  What a candidate can still gain is bounded by the dimensions it has
 not met yet times the level.  A query stops only when this proves that all
-others are below its k-th lower bound; what may still belong is scored again
-exactly.
+others are below its k-th lower bound, or where reading on would cost more
+than scoring all that may still belong; these are then scored exactly.
 """
 
 from __future__ import annotations
@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 from caravel.llm.store import settle
 
 QUERIES, CANDIDATES = 256, 4096
-LEVELS = (0.75, 0.6, 0.5, 0.42, 0.36, 0.3, 0.25, 0.2, 0.16, 0.12, 0.08, 0.04, 0.0)
+#: More than a vector has dimensions.
+SPREAD = 4096
+#: Impacts, as shares of a query's largest, down to which postings are read.  Below the last, segments hold so
+#: many postings that scoring all possible members exactly costs less than reading on.
+LEVELS = (0.5, 0.35, 0.25)
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -35,7 +39,7 @@ class ImpactIndex:
     """Postings of one block, by dimension and value."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        self.ids, self.rows = ids, rows
+        self.ids, self.rows, self.fine = ids, rows, rows.astype(float)
         n, dims = rows.shape
         order = np.argsort(rows, axis=0, kind="stable")
         self.postings = order.T.astype(np.int32).ravel()
@@ -58,7 +62,8 @@ class ImpactIndex:
         most = int(gain.max(initial=0))
         done = np.zeros(len(gain), bool)
         members = np.flatnonzero(~out)
-        if len(members) > 4 * k:
+        few = max(4 * k, n // 8)  # exact scores of so many cost less than another level
+        if len(members) > few:
             for share in LEVELS:
                 level = most * share
                 now = np.flatnonzero(~done & (gain >= level))
@@ -68,15 +73,22 @@ class ImpactIndex:
                     last = np.cumsum(size)
                     at = np.arange(int(last[-1])) + np.repeat(self.start[now] - (last - size), size)
                     who = self.postings[at]
-                    score += np.bincount(who, np.repeat(gain[now], size), minlength=n).astype(np.int64)
-                    open_ -= np.bincount(who, minlength=n)
+                    # a gain and the dimension it stands for, added in one pass; exact below 2**53
+                    both = np.bincount(who, np.repeat(gain[now] * SPREAD + 1.0, size), minlength=n).astype(np.int64)
+                    score += both // SPREAD
+                    open_ -= both % SPREAD
                 best = score[members]
                 bound = np.partition(best, len(best) - k)[len(best) - k]
                 rest = int(gain[~done].max(initial=0))
                 members = members[best + open_[members] * rest >= bound]
-                if len(members) <= 4 * k or not rest:
+                if len(members) <= few or not rest:
                     break
-        exact = self.rows[members] @ query
+        # products of whole numbers, exact in doubles below 2**53
+        exact = (self.fine @ query.astype(float))[members] if 2 * len(members) > n else self.fine[members] @ query.astype(float)
+        exact = exact.astype(np.int64)
+        if len(members) > k:
+            keep = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
+            members, exact = members[keep], exact[keep]
         order = np.lexsort((self.ids[members], -exact))[:k]
         return self.ids[members][order], exact[order]
 
@@ -93,7 +105,7 @@ def top_k(vectors: DataFrame, vec: str, vector: str, every: int, k: int, scale:
 
     Candidates are all rows but those of the query's id, with as many
     components.  Rows that are not ``quantised`` or have a null id take no
-    part; repeated rows count once.  Components are below 2**24 in magnitude.
+    part; repeated rows count once.  Components are below 2**23 in magnitude.
     Query blocks meet candidate blocks by the candidate block's number; the
     partial lists, k for each query and block, are ranked in two steps.
     """
