@@ -169,10 +169,10 @@ def missing_ids_anti(spark, d):
     return _wanted(spark).join(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_anti").select("ord", "o_orderkey")
 
 
-@query("SELECT doc_id, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN 1 END, l.quality) AS quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("SELECT doc_id, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN 1 END, l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def left_join_backfill(spark, d):
     own = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 1).alias("quality"), F.lit(None).cast("int").alias("toxic"))
-    return runs.backfilled(own, table(spark, d, "labels"), "doc_id", ["quality", "toxic"])
+    return runs.backfilled(own, table(spark, d, "labels"), "doc_id", ["quality", "toxic"]).fillna(-1)
 
 
 @query("""
