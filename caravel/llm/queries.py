@@ -113,8 +113,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+#: Paragraphs and lines of any length; sentences for passages inside what they leave.
+UNITS = {"paragraph": 1, "line": 1, "sentence": 8}
+
+
 def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = unitdedup.repeated_units(table(spark, sf_dir, "documents"), "doc_id", "text", "sentence", 8)
+    found = unitdedup.repeated_units(table(spark, sf_dir, "documents"), "doc_id", "text", UNITS)
     return found.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("words").alias("n_words"), F.col("kept_doc").alias("kept_doc_id"), F.col("kept_start").alias("kept_start_char"))
 
 

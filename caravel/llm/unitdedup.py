@@ -2,7 +2,8 @@
 
 Units are normalised (A-Z lower-cased, white space between words ignored) and
 their digests grouped globally.  The earliest occurrence by (doc, start) stays,
-the others go; each keeps its place in the original text.
+the others go; each keeps its place in the original text.  Kinds can be taken
+together: then equal words are equal units, whatever their kinds.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravel.llm.setjoin import BLOOM_BITS
@@ -36,11 +37,11 @@ def unit_ends(text: np.ndarray, own: np.ndarray, kind: str) -> np.ndarray:
     return np.unique(np.concatenate([at, own]))
 
 
-def unit_rows(column: pa.Array, kind: str, least: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, start, end, words, digest, digest2) arrays of the units of ``least`` words or more, some at a time.
+def unit_rows(column: pa.Array, least: dict[str, int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, start, end, words, digest, digest2) arrays of the units of each kind's ``least`` words or more, some at a time.
 
     start and end count characters of the text, from the unit's first word to
-    the end of its last.
+    the end of its last.  What is a unit of several kinds is given once.
     """
     off, data = buffers(column)
     for i, j in chunks(off):
@@ -50,26 +51,32 @@ def unit_rows(column: pa.Array, kind: str, least: int) -> Iterator[tuple[np.ndar
         if not len(start):
             continue
         h = word_hashes(text, start, end)
-        ends = unit_ends(text, own, kind)
-        unit = np.searchsorted(ends, start, "right")
-        first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-        n = np.diff(np.append(first, len(unit)))
-        place = np.arange(len(h)) - np.repeat(first, n)
-        digests = []
-        for base in _BASE:
-            power = np.cumprod(np.full(int(n.max()), base))
-            digests.append(mix(np.add.reduceat(h * power[place], first) ^ n.astype(np.uint64)).view(np.int64))
         chars = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])
-        keep = n >= least
-        first, n = first[keep], n[keep]
-        row = np.searchsorted(own, start[first], "right") - 1
-        base = chars[own[row]]
-        yield row + i, chars[start[first]] - base, chars[end[first + n - 1]] - base, n, digests[0][keep], digests[1][keep]
-
-
-def repeated_units(docs: DataFrame, doc: str, text: str, kind: str = "line", least: int = 5) -> DataFrame:
+        given = np.zeros(0, np.int64)
+        for kind, fewest in least.items():
+            ends = unit_ends(text, own, kind)
+            unit = np.searchsorted(ends, start, "right")
+            first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            n = np.diff(np.append(first, len(unit)))
+            place = np.arange(len(h)) - np.repeat(first, n)
+            digests = []
+            for base in _BASE:
+                power = np.cumprod(np.full(int(n.max()), base))
+                digests.append(mix(np.add.reduceat(h * power[place], first) ^ n.astype(np.uint64)).view(np.int64))
+            span = first * (len(h) + 1) + n
+            keep = (n >= fewest) & ~np.isin(span, given)
+            given = np.concatenate([given, span[keep]])
+            first, n = first[keep], n[keep]
+            row = np.searchsorted(own, start[first], "right") - 1
+            base = chars[own[row]]
+            yield row + i, chars[start[first]] - base, chars[end[first + n - 1]] - base, n, digests[0][keep], digests[1][keep]
+
+
+def repeated_units(docs: DataFrame, doc: str, text: str, kind: str | dict[str, int] = "line", least: int = 5) -> DataFrame:
     """(doc, start, end, words, kept_doc, kept_start): every unit that repeats an earlier one.
 
+    ``kind`` is one kind, or the fewest words of each of several.  Of several,
+    a repeat inside a larger repeat of its text isn't given, as that holds it.
     Units of fewer than ``least`` words stay; null and empty texts have none;
     texts of a null doc take no part.  Of repeated rows (same doc, same place)
     all occurrences but none of an earlier place count as the first.  A first
@@ -77,12 +84,13 @@ def repeated_units(docs: DataFrame, doc: str, text: str, kind: str = "line", lea
     of fixed size; the second pass takes the units that it lets through and
     groups them exactly.
     """
+    kinds = kind if isinstance(kind, dict) else {kind: least}
     lean(docs.sparkSession)
     own = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), text)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *_, d, _ in unit_rows(batch.column(1), kind, least):
+            for *_, d, _ in unit_rows(batch.column(1), kinds):
                 yield pa.RecordBatch.from_arrays([pa.array(d)], names=["digest"])
 
     twice = own.mapInArrow(digests, "digest long").groupBy("digest").count().filter("count > 1")
@@ -97,7 +105,7 @@ def repeated_units(docs: DataFrame, doc: str, text: str, kind: str = "line", lea
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            for row, start, end, n, d, d2 in unit_rows(batch.column(1), kind, least):
+            for row, start, end, n, d, d2 in unit_rows(batch.column(1), kinds):
                 cell = np.mod(d, BLOOM_BITS)
                 hit = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
                 yield pa.RecordBatch.from_arrays(
@@ -108,7 +116,12 @@ def repeated_units(docs: DataFrame, doc: str, text: str, kind: str = "line", lea
     first = units.groupBy("digest", "digest2").agg(F.min(F.struct("doc", "start")).alias("x"), F.count("*").alias("n")).filter("n > 1")
     first = settle(first.select("digest", "digest2", F.col("x.doc").alias("kept_doc"), F.col("x.start").alias("kept_start")))
     later = units.join(first, ["digest", "digest2"]).filter("doc <> kept_doc or start <> kept_start")
-    return later.select("doc", "start", "end", "words", "kept_doc", "kept_start")
+    later = later.select("doc", "start", "end", "words", "kept_doc", "kept_start")
+    if len(kinds) == 1:
+        return later
+    # units nest: one lies in a larger repeat if a span before it, the longer first, reaches its end
+    before = Window.partitionBy("doc").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return later.distinct().withColumn("_reach", F.max("end").over(before)).filter("_reach is null or _reach < end").drop("_reach")
 
 
 def without_units(docs: DataFrame, doc: str, text: str, removed: DataFrame) -> DataFrame:

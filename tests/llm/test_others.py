@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caravel.llm import decontaminate, packing, tokens, topk, toxicity, unitdedup, wordpiece
+from caravel.llm import decontaminate, packing, queries, tokens, topk, toxicity, unitdedup, wordpiece
 
 EXTRA = "doc_id long, text string, score double, n_words int"
 
@@ -289,3 +289,39 @@ def test_units(spark, kind):
                 left = left[:a] + left[b:]
             assert cut[d] == left
     assert len(cut) == len(rows)
+
+
+def spans(text, mark, least):
+    """(start, end) of the parts between ``mark`` (a pattern), from first to last word, with ``least`` words or more."""
+    at, out = 0, set()
+    for x in [*re.finditer(mark, text), None]:
+        part = text[at : x.end() if x else len(text)]
+        if len(part.split()) >= least:
+            out.add((at + len(part) - len(part.lstrip()), at + len(part.rstrip())))
+        at = x.end() if x else at
+    return out
+
+
+def test_unit_query(spark, tmp_path):
+    """Paragraphs and lines of any length repeat, and long sentences; what a larger repeat holds isn't given again."""
+    rnd = random.Random(31)
+    phrase = lambda lo, hi: " ".join(rnd.choice(["the", "cat", "saß", "on", "Ein", "mat", "zu"]) for _ in range(rnd.randint(lo, hi)))
+    sentences = [phrase(1, 12) + rnd.choice([".", "!", ""]) for _ in range(40)]
+    lines = [" ".join(rnd.choice(sentences) for _ in range(rnd.randint(1, 4))) for _ in range(30)]
+    paragraphs = ["\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 3))) for _ in range(25)]
+    rows = [(i, "\n\n".join(rnd.choice(paragraphs) if rnd.random() < 0.5 else rnd.choice(lines) for _ in range(rnd.randint(0, 4)))) for i in range(30)]
+    short = "One two. Three four. Five six. Seven."
+    rows += [(100, None), (101, ""), (102, short), (103, f"new line here\n{short}"), (104, "许可证。"), (105, "许可证。\nmore"), (106, "five words in a line"), (107, "Five words in a  line\nx")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_unit_dedup(spark, str(tmp_path)).collect()
+    first, found = {}, []
+    for d, t in rows:
+        t = t or ""
+        for a, b in sorted(spans(t, r"\n\n", 1) | spans(t, r"\n", 1) | spans(t, r"[.!?](?=\s|$)|\n", 8)):
+            key = tuple(re.sub("[A-Z]", lambda m: m[0].lower(), t[a:b]).split())
+            if first.setdefault(key, (d, a)) != (d, a):
+                found.append((d, a, b, len(key), *first[key]))
+    want = [x for x in found if not any(y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] and y[1:3] != x[1:3] for y in found)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert {(103, 14, 14 + len(short), 7, 102, 0), (105, 0, 4, 1, 104, 0), (107, 0, 21, 5, 106, 0)} <= set(want)
+    assert len({x[3] >= 8 for x in want}) == 2
