@@ -34,11 +34,21 @@ class Forest:
         return True
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a partition as a forest of stars; ``met``: whether some node had several edges."""
+#: Nodes of the forest that a task holds.
+FLUSH = 1_000_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.RecordBatch]:
+    """Edges of a partition as a forest of stars; ``met``: whether some node had several edges.
+
+    Above ``flush`` nodes the forest is given and another begun, as if the
+    partition ended there; that is never between edges of one larger node that
+    are next to each other.
+    """
     forest = Forest()
     first: dict[int, int] = {}
     met = False
+    last = None
 
     def rows() -> pa.RecordBatch:
         nodes = [x for x in forest.up if forest.find(x) != x]
@@ -46,17 +56,17 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if len(forest.up) > flush and a != last:
+                yield rows()
+                forest, first = Forest(), {}
             met = met or first.setdefault(a, b) != b
             forest.union(a, b)
-        if len(forest.up) > 1_000_000:
-            met = True
-            yield rows()
-            forest, first = Forest(), {}
+            last = a
     if forest.up:
         yield rows()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, flush: int = FLUSH) -> DataFrame:
     """(node, component) of every node of an undirected edge; component is the least node.
 
     ``edges`` has two long columns; loops and repeated edges don't matter, an
@@ -64,7 +74,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     stars, then edges meet by their larger node, where those of one node are
     joined into one, until each node has a single edge to a smaller one.  As
     stars were reduced first, a node brings one edge from each partition at
-    most, however large its group is.  What is left is a forest, whose depth
+    most, however large its group is.  Edges that meet are sorted by that node,
+    so that all of one node are in one forest.  What is left is a forest, whose depth
     is halved until all point at their roots; both sides of that join are
     plain shuffles, so Spark can split the partition of a large root.
     """
@@ -72,10 +83,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     kind = "a long, b long, met boolean"
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     e = edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).filter(x.isNotNull() & y.isNotNull() & (x != y))
-    e = e.mapInArrow(_contract, kind)
+    contract = lambda batches: _contract(batches, flush)
+    e = e.mapInArrow(contract, kind)
     many = -(-partitions(edges.sparkSession) // 4)  # edges are few beside texts
     while True:
-        e = settle(e.select("a", "b").repartition(many, "a").mapInArrow(_contract, kind))
+        e = settle(e.select("a", "b").repartition(many, "a").sortWithinPartitions("a").mapInArrow(contract, kind))
         if e.filter("met").isEmpty():
             break
     e = e.select("a", "b")
