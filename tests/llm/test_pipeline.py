@@ -91,6 +91,16 @@ def test_stages(spark, small, tmp_path):
     assert sorted(map(key, again.collect())) == sorted(map(key, packed))
 
 
+def test_short_lines_said_first_stay(spark):
+    """A document that lost a line goes only if what is left was said by an earlier document."""
+    notice = "this notice has five words"
+    rows = [(0, f"{notice}\nalpha"), (1, f"{notice}\nmilk\neggs"), (2, f"{notice}\nMilk\n\teggs "), (3, f"许可证。\n{notice}"), (4, notice), (5, f"{notice}\n\n \t"), (6, "milk"), (7, None), (8, f"{notice}\neggs\na b c d"), (9, f"{notice}\neggs\na b c d e"), (None, f"{notice}\nnew")]
+    docs = spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    want = {0: f"{notice}\nalpha", 1: "milk\neggs", 3: "许可证。", 6: "milk", 7: None, 8: "eggs\na b c d", 9: "eggs\na b c d e", None: f"{notice}\nnew"}
+    assert got == want
+
+
 def test_empty(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for name, fields in (("documents", schema), ("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
