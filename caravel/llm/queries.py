@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caravel.llm import chat, decontaminate, linededup, packing, setjoin, topk, toxicity, unitdedup, wordpiece
+from caravel.llm.store import settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,13 +114,41 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-#: Paragraphs and lines of any length; sentences for passages inside what they leave.
-UNITS = {"paragraph": 1, "line": 1, "sentence": 8}
+#: Fewest words of a unit: shorter ones are turns of speech and notices, which line dedup judges.  Sentences are for
+#: passages inside paragraphs and lines that differ elsewhere.
+UNITS = {"paragraph": 12, "line": 12, "sentence": 12}
 
 
 def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = unitdedup.repeated_units(table(spark, sf_dir, "documents"), "doc_id", "text", UNITS)
-    return found.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("words").alias("n_words"), F.col("kept_doc").alias("kept_doc_id"), F.col("kept_start").alias("kept_start_char"))
+    """A row for each removed unit; left_sha256 is the digest of what its document keeps."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = settle(unitdedup.repeated_units(docs, "doc_id", "text", UNITS))
+    left = unitdedup.without_units(docs.withColumn("row", setjoin.row_key("doc_id", "text")), "doc_id", "text", found, changed_only=True)
+    left = left.select(F.col("doc_id").alias("doc"), "row", F.sha2("text", 256).alias("left_sha256")).distinct()
+    names = {"doc": "doc_id", "start": "start_char", "end": "end_char", "words": "n_words", "kept_doc": "kept_doc_id", "kept_start": "kept_start_char"}
+    return found.join(left, ["doc", "row"]).select(*[F.col(a).alias(b) for a, b in names.items()], "left_sha256")
+
+
+_CUT = r"""SELECT doc_id, piece, before + length(piece) - length(ltrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS a,
+    before + length(rtrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS b
+  FROM (SELECT doc_id, p[i] AS piece, coalesce(list_sum(list_transform(p[1 : i - 1], lambda x: length(x) + gap)), 0) AS before
+    FROM (SELECT doc_id, p, gap, unnest(range(1, len(p) + 1)) AS i FROM parts))"""
+
+OP9_SQL = rf"""
+WITH parts AS (
+  SELECT doc_id, string_split(text, chr(10)) AS p, 1 AS gap FROM documents
+  UNION ALL SELECT doc_id, string_split(text, chr(10) || chr(10)), 2 FROM documents
+  UNION ALL SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?])([\x09-\x0D\x20])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)), 0 FROM documents),
+piece AS ({_CUT}),
+unit AS (SELECT DISTINCT doc_id, a, b, w FROM (SELECT doc_id, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, {_SPACED.replace("text", "piece")} AS w FROM piece) WHERE len(w) >= 12),
+ranked AS (SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value(a) OVER o AS kept_start_char FROM unit WINDOW o AS (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, a)),
+later AS (SELECT * FROM ranked WHERE doc_id <> kept_doc_id OR a <> kept_start_char),
+gone AS (SELECT * FROM later x WHERE NOT EXISTS (SELECT 1 FROM later y WHERE y.doc_id = x.doc_id AND y.a <= x.a AND y.b >= x.b AND y.b - y.a > x.b - x.a)),
+kept AS (SELECT g.doc_id, string_agg(substr(d.text, CAST(g.e + 1 AS BIGINT), CAST(g.a - g.e AS BIGINT)), '' ORDER BY g.a) || substr(any_value(d.text), CAST(max(g.b) + 1 AS BIGINT)) AS text
+  FROM (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS e FROM gone) g JOIN documents d USING (doc_id) GROUP BY g.doc_id)
+SELECT g.doc_id, g.a AS start_char, g.b AS end_char, CAST(len(g.w) AS BIGINT) AS n_words, g.kept_doc_id, g.kept_start_char, sha256(k.text) AS left_sha256
+FROM gone g JOIN kept k USING (doc_id)
+"""
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +159,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = rf"""
 WITH line AS (SELECT doc_id, i - 1 AS line, t[i] AS text FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))),
 w AS (SELECT doc_id, line, {_SPACED} AS w FROM line),
+short AS (SELECT doc_id, line, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, line) AS nth FROM w WHERE len(w) BETWEEN 1 AND 4),
 s AS (SELECT DISTINCT doc_id, line, array_to_string(w[i : i + 4], ' ') AS sh FROM (SELECT doc_id, line, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 n AS (SELECT doc_id, line, count(*) AS n FROM s GROUP BY 1, 2),
 p AS (SELECT a.doc_id AS d, a.line AS x, b.doc_id AS e, b.line AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND (a.doc_id, a.line) < (b.doc_id, b.line) GROUP BY 1, 2, 3, 4),
-gone AS (SELECT DISTINCT e AS doc_id, y AS line FROM p JOIN n a ON a.doc_id = d AND a.line = x JOIN n b ON b.doc_id = e AND b.line = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+gone AS (SELECT e AS doc_id, y AS line FROM p JOIN n a ON a.doc_id = d AND a.line = x JOIN n b ON b.doc_id = e AND b.line = y WHERE 100 * k >= 80 * (a.n + b.n - k)
+  UNION SELECT doc_id, line FROM short WHERE nth > 1),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed, coalesce(string_agg(CAST(g.line AS VARCHAR), ',' ORDER BY l.line), '') AS removed,
   coalesce(string_agg(l.text, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') AS text FROM line l LEFT JOIN gone g USING (doc_id, line) GROUP BY l.doc_id)
 SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept.text, '')) AS text_sha256
@@ -179,5 +210,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": OP3_SQL,
     "op6_exact_topk": OP6_SQL,
     "op8_benchmark_decontamination": OP8_SQL,
+    "op9_unit_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }

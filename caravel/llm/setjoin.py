@@ -8,17 +8,20 @@ sets link when ``den * |A & B| >= num * |A | B|``.  Steps:
    costs no result.
 2. ``describe``: per text or line its set's 127-bit digest, size, prefix in
    the common order and a parity sketch; equal sets become one *class*.
-3. ``candidate_edges``: prefix tokens meet in buckets, as packed arrays.  Pairs
-   of classes pass length and positional bounds and the sketches' bound on the
-   symmetric difference.  Blocks above ``BLOCK`` aren't paired: their members
-   are tied to one node, which only makes clusters larger.
+3. ``edges_of``: prefix tokens meet in buckets, as packed arrays, a bucket at
+   a time.  Pairs of classes pass length and positional bounds and the
+   sketches' bound on the symmetric difference.  In blocks above ``BLOCK`` no
+   pairs are formed: all members are tested against the block's leader by
+   their sketches, and those that fail against the rest of its members, in
+   groups of bounded size (``leader_edges``).  No edge stands untested.
 4. Connected components of these edges are the clusters: no link crosses two.
    Each class's set is sent to its cluster once, where ``trie`` joins it.
    Clusters above ``CLUSTER`` are split: chunks that share pivots first, then
    only what is still undecided against every chunk.
 
-Hashes of shingles have 64 bits, digests of sets 127; within these the join is
-exact and no partner or candidate is capped.
+A text is known by ``doc`` and ``row``, a hash of its doc id and the text, so
+repeated ids are told apart.  Hashes of shingles have 64 bits, digests of sets
+127; within these the join is exact and no partner or candidate is capped.
 """
 
 from __future__ import annotations
@@ -27,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caravel.llm.components import connected_components
+from caravel.llm.components import Forest, connected_components
 from caravel.llm.shingles import SPACE, U, buffers, mix, shingle_sets
-from caravel.llm.store import lean, partitions, settle
+from caravel.llm.store import holds, key_filter, lean, partitions, settle
 from caravel.llm.trie import linked_components, linked_to_earlier
 
 #: Largest block of a prefix token in which pairs are formed.
@@ -43,8 +46,10 @@ CLUSTER = 512
 FLUSH = 1_500_000
 #: Most shingles in the list that shapes the order.
 HEAVY = 100_000
-#: Bits of the filter that spares the shuffle of texts without candidates.
-BLOOM_BITS = 1 << 23
+#: Prefix tokens of a bucket, on average: what a task holds at once.
+BUCKET = 400_000
+#: Members and undecided classes of a leader that one group compares by sketches.
+MEMBERS, UNDECIDED = 4096, 512
 PIVOTS = 8
 
 
@@ -124,7 +129,7 @@ def heavy_shingles(docs: DataFrame, text: str, k: int, separators: np.ndarray =
 
         for batch in batches:
             column, _, _ = units(batch.column(0), by_line)
-            for _, s in shingle_sets(column, k, separators, not by_line):
+            for _, s in shingle_sets(column, k, separators):
                 held.append(s)
                 size += len(s)
             if size > FLUSH:
@@ -159,7 +164,7 @@ def in_order(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], length: int) -
     return np.concatenate([light, dense[: length - len(light)]])
 
 
-DESCRIBED = "doc long, line int, n int, id long, id2 long, prefix binary, sketch binary"
+DESCRIBED = "doc long, row long, line int, n int, id long, id2 long, prefix binary, sketch binary"
 
 
 def describe(docs: DataFrame, doc: str, text: str, k: int, num: int, den: int, heavy, separators: np.ndarray = SPACE, by_line: bool = False) -> DataFrame:
@@ -172,10 +177,9 @@ def describe(docs: DataFrame, doc: str, text: str, k: int, num: int, den: int, h
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for batch in batches:
-            column, rows, number = units(batch.column(1), by_line)
-            ids = batch.column(0)
+            column, rows, number = units(batch.column(2), by_line)
             at, n, a, b, prefix, marks = [], [], [], [], [], []
-            for u, s in shingle_sets(column, k, separators, not by_line):
+            for u, s in shingle_sets(column, k, separators):
                 if not len(s):
                     if by_line:
                         continue
@@ -193,34 +197,87 @@ def describe(docs: DataFrame, doc: str, text: str, k: int, num: int, den: int, h
                 marks.append(m)
             at = np.array(at, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows[at])), pa.array(number[at], pa.int32()), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.binary()), pa.array(marks, pa.binary())],
-                names=["doc", "line", "n", "id", "id2", "prefix", "sketch"],
+                [*(batch.column(i).take(pa.array(rows[at])) for i in (0, 1)), pa.array(number[at], pa.int32()), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.binary()), pa.array(marks, pa.binary())],
+                names=["doc", "row", "line", "n", "id", "id2", "prefix", "sketch"],
             )
 
-    return docs.select(F.col(doc).cast("long"), text).mapInArrow(run, DESCRIBED)
+    return keyed(docs, doc, text).mapInArrow(run, DESCRIBED)
+
+
+def row_key(doc: str, text: str) -> Column:
+    """A hash that tells rows of one doc id with different texts apart."""
+    return F.xxhash64(F.col(doc).cast("long"), text)
+
+
+def keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, row, text) of ``docs``."""
+    return docs.select(F.col(doc).cast("long").alias("doc"), row_key(doc, text).alias("row"), F.col(text).alias("text"))
 
 
 def classes(described: DataFrame) -> DataFrame:
-    """One row for each distinct non-empty set, with its first (doc, line)."""
-    first = F.min(F.struct("doc", "line", "prefix", "sketch", "n")).alias("x")
-    return described.filter("n > 0 and doc is not null").groupBy("id", "id2").agg(first).select("id", "id2", F.col("x.doc").alias("doc"), F.col("x.line").alias("line"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"), F.col("x.sketch").alias("sketch"))
+    """One row for each distinct non-empty set, with its first (doc, row, line)."""
+    first = F.min(F.struct("doc", "row", "line", "prefix", "sketch", "n")).alias("x")
+    return described.filter("n > 0 and doc is not null").groupBy("id", "id2").agg(first).select("id", "id2", *[F.col(f"x.{c}").alias(c) for c in ("doc", "row", "line", "n", "prefix", "sketch")])
 
 
 _ROW = np.dtype([("token", "<u4"), ("id", "<i8"), ("n", "<u2"), ("pos", "<u2")])
 _FAR = 0xFFFF
 
 
-def candidate_edges(cls: DataFrame, num: int, den: int, heavy) -> DataFrame:
+def candidate_edges(cls: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) edges over class ids such that linked classes are connected."""
-    return edges_of(cls.select("id", "n", "prefix"), cls, num, den, heavy)
-
-
-def edges_of(prefixes: DataFrame, cls: DataFrame, num: int, den: int, heavy) -> DataFrame:
-    """``candidate_edges`` of the (id, n, prefix) rows, which may repeat; ``cls`` has id, n and sketch."""
+    return edges_of(cls.select("id", "n", "prefix"), cls, num, den)
+
+
+def _edges(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a), pa.int64()), pa.array(np.ascontiguousarray(b), pa.int64())], names=["a", "b"])
+
+
+def _pairs(rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of ids within small blocks that pass the bounds, (id, leader) of large blocks' members), each distinct."""
+    rows = rows[np.lexsort((rows["id"], rows["token"]))]
+    if len(rows) > 1:
+        again = (rows["token"][1:] == rows["token"][:-1]) & (rows["id"][1:] == rows["id"][:-1])
+        rows = rows[np.append(True, ~again)]
+    cut = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
+    size = np.diff(np.append(cut, len(rows)))
+    of = np.repeat(np.arange(len(cut)), size)
+    leader = rows["id"][cut][of]  # ids rise within a block
+    large = (size > BLOCK)[of]
+    led = np.unique(np.stack([rows["id"][large], leader[large]], axis=1), axis=0)
+    keep = ~large & (size > 1)[of]
+    rows, size, start = rows[keep], size[of][keep], cut[of][keep]
+    left = start + size - np.flatnonzero(keep) - 1  # partners behind
+    ids, n, pos = rows["id"], rows["n"].astype(np.int64), rows["pos"].astype(np.int64)
+    found = [np.zeros((0, 2), np.int64)]
+    for step in range(1, int(size.max(initial=1))):
+        i = np.flatnonzero(left >= step)
+        j = i + step
+        ni, nj = n[i], n[j]
+        small, big = np.minimum(ni, nj), np.maximum(ni, nj)
+        free = big >= _FAR
+        ok = free | (small * den >= big * num)
+        most = 1 + np.minimum(ni - pos[i] - 1, nj - pos[j] - 1)
+        # overlap of a linked pair: at least num * (ni + nj) / (den + num)
+        ok &= free | (most * (den + num) >= num * (ni + nj))
+        i, j = i[ok], j[ok]
+        if len(i):
+            found.append(np.stack([ids[i], ids[j]], axis=1))
+    return np.unique(np.concatenate(found), axis=0), led
+
+
+def edges_of(prefixes: DataFrame, cls: DataFrame, num: int, den: int) -> DataFrame:
+    """``candidate_edges`` of the (id, n, prefix) rows, which may repeat; ``cls`` has id, n and sketch.
+
+    Sets so small that only equal ones link with them bring no rows.  There are
+    as many buckets as keep one to ``BUCKET`` tokens on average, several to a
+    partition; a task holds one at a time.
+    """
     spark = cls.sparkSession
-    buckets = partitions(spark)
-    dense = heavy[0][heavy[1] > BLOCK]
-    shared = spark.sparkContext.broadcast(dense)
+    alone = F.lit(den) * F.col("n") < F.lit(num) * (F.col("n") + 1)
+    prefixes, marks = prefixes.filter(~alone), cls.filter(~alone).select("id", "n", "sketch")
+    tokens = marks.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
+    buckets = max(partitions(spark), -(-tokens // BUCKET))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,147 +290,139 @@ def edges_of(prefixes: DataFrame, cls: DataFrame, num: int, den: int, heavy) ->
             token = np.concatenate(raw)
             owner = np.repeat(np.arange(len(raw)), count)
             pos = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
-            heavy_one = np.zeros(len(token), bool)
-            if len(shared.value):
-                heavy_one = shared.value[np.minimum(np.searchsorted(shared.value, token), len(shared.value) - 1)] == token
-            if heavy_one.any():
-                # the node of a token is smaller than those of sets, so it is a root
-                node = -1 - (token[heavy_one] >> U(1)).view(np.int64)
-                pairs = np.unique(np.stack([ids[owner[heavy_one]], node], axis=1), axis=0)
-                yield out(np.full(1, -1), [pairs.astype("<i8").tobytes()])
-            light = ~heavy_one
-            token, owner, pos = token[light], owner[light], pos[light]
             rows = np.empty(len(token), _ROW)
             rows["token"] = (token >> U(32)).astype(np.uint32)
             rows["id"], rows["n"], rows["pos"] = ids[owner], np.minimum(size[owner], _FAR), np.minimum(pos, _FAR)
             place = (token % U(buckets)).astype(np.int64)
             order = np.argsort(place, kind="stable")
             rows, place = rows[order], place[order]
-            cut = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
-            yield out(place[cut], [x.tobytes() for x in np.split(rows, cut[1:])] if len(cut) else [])
-
-    def out(bucket, blobs) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            cut = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(place[cut], pa.int64()), pa.array([x.tobytes() for x in np.split(rows, cut[1:])], pa.binary())], names=["bucket", "blob"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket < 0:
-                    both = np.frombuffer(blob, "<i8").reshape(-1, 2)
-                    yield edges(both[:, 0], both[:, 1], True)
-                else:
-                    held.setdefault(bucket, []).append(blob)
-        for bucket in list(held):
-            rows = np.frombuffer(b"".join(held.pop(bucket)), _ROW)
-            yield from pair(rows)
-
-    def pair(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = rows[np.lexsort((rows["id"], rows["token"]))]
-        if len(rows) > 1:
-            again = (rows["token"][1:] == rows["token"][:-1]) & (rows["id"][1:] == rows["id"][:-1])
-            rows = rows[np.append(True, ~again)]
-        cut = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
-        size = np.diff(np.append(cut, len(rows)))
-        large = size > BLOCK
-        for a, m in zip(cut[large].tolist(), size[large].tolist(), strict=True):
-            own = rows["id"][a : a + m]
-            yield edges(own, np.full(m, own.min()), True)
-        good = ~large & (size > 1)
-        keep = np.repeat(good, size)
-        rows, size = rows[keep], np.repeat(size, size)[keep]
-        left = np.arange(len(rows)) - np.searchsorted(rows["token"], rows["token"], "left")
-        left = size - left - 1  # partners behind
-        token, ids, n, pos = rows["token"], rows["id"], rows["n"].astype(np.int64), rows["pos"].astype(np.int64)
-        found = []
-        for step in range(1, int(size.max(initial=1))):
-            i = np.flatnonzero(left >= step)
-            j = i + step
-            ni, nj = n[i], n[j]
-            small, big = np.minimum(ni, nj), np.maximum(ni, nj)
-            free = big >= _FAR
-            ok = free | (small * den >= big * num)
-            most = 1 + np.minimum(ni - pos[i] - 1, nj - pos[j] - 1)
-            # overlap of a linked pair: at least num * (ni + nj) / (den + num)
-            ok &= free | (most * (den + num) >= num * (ni + nj))
-            i, j = i[ok], j[ok]
-            if len(i):
-                found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
-        if found:
-            both = np.unique(np.concatenate(found), axis=0)
-            both = both[both[:, 0] != both[:, 1]]
-            yield edges(both[:, 0], both[:, 1], False)
-
-    def edges(a, b, sure: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
-
-    dealt = prefixes.mapInArrow(deal, "bucket int, blob binary").repartition(buckets, "bucket", F.when(F.col("bucket") < 0, F.xxhash64("blob")))
-    met = settle(dealt.mapInArrow(meet, "a long, b long, sure boolean"))
-    marks = cls.select("id", "n", "sketch")
-    pairs = met.filter("not sure").select("a", "b").distinct()
-    pairs = pairs.join(marks.toDF("a", "na", "sa"), "a").join(marks.toDF("b", "nb", "sb"), "b")
+        for _, blobs in _grouped(batches, 1):
+            pairs, led = _pairs(np.frombuffer(b"".join(x[0] for x in blobs), _ROW), num, den)
+            for both, is_led in ((pairs, False), (led, True)):
+                for i in range(0, len(both), 50_000):
+                    own = both[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([*_edges(own[:, 0], own[:, 1]).columns, pa.array(np.full(len(own), is_led))], names=["a", "b", "led"])
+
+    dealt = prefixes.mapInArrow(deal, "bucket long, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    met = settle(dealt.mapInArrow(meet, "a long, b long, led boolean"))
+    pairs = met.distinct().join(marks.toDF("a", "na", "sa"), "a").join(marks.toDF("b", "nb", "sb"), "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, sa, nb, sb = batch.columns
-            both = na.to_numpy().astype(np.int64) + nb.to_numpy()
-            allowed = both - 2 * (-(-num * both // (den + num)))
-            keep = np.zeros(len(both), bool)
+            a, b, led, na, sa, nb, sb = batch.columns
             x, y = sa.to_pylist(), sb.to_pylist()
+            own, other = na.to_numpy().astype(np.int64), nb.to_numpy().astype(np.int64)
+            keep = np.zeros(len(own), bool)
             small = np.array([len(u) == len(v) == 8 for u, v in zip(x, y, strict=True)], bool)
             words = [np.frombuffer(b"".join(v[i] for i in np.flatnonzero(small)), "<u8") for v in (x, y)]
+            allowed = most_apart(own, other, num, den)
             keep[small] = np.bitwise_count(words[0] ^ words[1]) <= allowed[small]
             for i in np.flatnonzero(~small).tolist():
                 keep[i] = sketch_distance(x[i], y[i]) <= allowed[i]
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([a, b, led, pa.array(keep)], names=["a", "b", "led", "near"])
+
+    tested = settle(pairs.select("a", "b", "led", "na", "sa", "nb", "sb").mapInArrow(near, "a long, b long, led boolean, near boolean").filter("led or near"))
+    return tested.filter("near").select("a", "b").unionByName(leader_edges(tested.filter("led").select("a", "b", "near"), marks, num, den))
+
+
+def most_apart(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The largest symmetric difference of linked sets of n and m tokens; negative where their sizes rule a link out."""
+    least = -(-num * (n + m) // (den + num))
+    fits = np.minimum(n, m) * den >= np.maximum(n, m) * num
+    return np.where(fits, n + m - 2 * least, -1)
+
+
+def leader_edges(led: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) edges that connect what a leader's members (a, b = leader, near) leave undecided.
 
-    kept = pairs.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(near, "a long, b long")
-    return kept.unionByName(met.filter("sure").select("a", "b"))
+    Members near their leader are connected to it already.  Each that isn't is
+    compared, by sketches, with every member of its leader; a group holds
+    ``UNDECIDED`` of them and ``MEMBERS`` members, and gives no more edges
+    than join its components.
+    """
+    spark = led.sparkSession
+    counts = led.groupBy("b").agg(F.count("*").alias("m"), F.count_if(~F.col("near")).alias("r")).filter("r > 0")
+    counts = settle(counts.select("b", F.ceil(F.col("m") / MEMBERS).cast("int").alias("parts"), F.ceil(F.col("r") / UNDECIDED).cast("int").alias("parts2")))
+    if counts.isEmpty():
+        return led.select("a", "b").limit(0)
+    known = led.join(counts, "b").join(marks.withColumnRenamed("id", "a"), "a")
+    salt = lambda parts: F.pmod(F.xxhash64("a"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    members = known.withColumn("part", salt("parts")).withColumn("part2", each("parts2")).withColumn("asks", F.lit(False))
+    asking = known.filter("not near").withColumn("part2", salt("parts2")).withColumn("part", each("parts")).withColumn("asks", F.lit(True))
+    keys = ["b", "part", "part2"]
+    rows = members.unionByName(asking).select(*keys, "a", "n", "sketch", "near", "asks").repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (leader, _, _), group in _grouped(batches, 3):
+            forest = Forest()
+            a, b = [], []
+            by_length: dict[int, list] = {}
+            for x, n, mark, near, asks in group:
+                if not asks:
+                    by_length.setdefault(len(mark), []).append((x, n, mark))
+                    if near:
+                        forest.union(x, leader)
+            packed = [(size, np.array([r[0] for r in v]), np.array([r[1] for r in v], np.int64), np.frombuffer(b"".join(r[2] for r in v), "<u8").reshape(len(v), -1)) for size, v in by_length.items()]
+            for x, n, mark, _, asks in group:
+                if not asks:
+                    continue
+                for size, ids, sizes, words in packed:
+                    allowed = most_apart(np.int64(n), sizes, num, den)
+                    if not (allowed >= 0).any():
+                        continue
+                    own = np.frombuffer(mark, "<u8")
+                    if size > len(mark):
+                        words = np.bitwise_xor.reduce(words.reshape(len(words), -1, len(own)), axis=1)
+                    elif size < len(mark):
+                        own = np.bitwise_xor.reduce(own.reshape(-1, size // 8), axis=0)
+                    hit = np.bitwise_count(words ^ own).sum(axis=1, dtype=np.int64) <= allowed
+                    for y in ids[hit].tolist():
+                        if forest.union(x, y):
+                            a.append(x)
+                            b.append(y)
+            yield _edges(np.array(a, np.int64), np.array(b, np.int64))
+
+    return settle(rows.mapInArrow(compare, "a long, b long"))
 
 
-def _cells(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    key = mix(mix(doc.astype(np.int64).view(np.uint64) + U(1)) ^ line.astype(np.int64).view(np.uint64))
-    return (key % U(BLOOM_BITS)).astype(np.int64)
+def _cells(row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(row.astype(np.int64).view(np.uint64) ^ mix(line.astype(np.int64).view(np.uint64))).view(np.int64)
 
 
-def bloom(places: DataFrame) -> np.ndarray:
-    """Bit array of fixed size over (doc, line); a prefilter of the exact join that follows."""
+def place_filter(places: DataFrame) -> np.ndarray:
+    """Key filter over (row, line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_cells(batch.column(0).to_numpy(), batch.column(1).to_numpy()) + 1)], names=["at"])
+            yield pa.RecordBatch.from_arrays([pa.array(_cells(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["at"])
 
-    cells = places.select("doc", "line").mapInArrow(run, "at long")
-    rows = cells.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = np.zeros(BLOOM_BITS, bool)
-    for k, bits in rows:  # bucket k starts at position 32768 * (k - 1) + 1
-        own = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little").astype(bool)
-        out[(k - 1) * 32768 : (k - 1) * 32768 + len(own)] |= own
-    return np.packbits(out, bitorder="little")
+    return key_filter(places.select("row", "line").mapInArrow(run, "at long"))
 
 
 def with_sets(docs: DataFrame, doc: str, text: str, k: int, members: DataFrame, separators: np.ndarray = SPACE, by_line: bool = False) -> DataFrame:
-    """``members`` (id, id2, doc, line, ...) with the shingles of their texts as packed ``tokens``."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(members))
+    """``members`` (id, id2, doc, row, line, ...) with the shingles of their texts as packed ``tokens``."""
+    bits = docs.sparkSession.sparkContext.broadcast(place_filter(members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, rows, number = units(batch.column(1), by_line)
-            ids = batch.column(0)
-            own = ids.fill_null(0).to_numpy()[rows]
-            at = _cells(own, number)
-            which = np.flatnonzero((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            column, rows, number = units(batch.column(2), by_line)
+            which = np.flatnonzero(holds(bits.value, _cells(batch.column(1).to_numpy()[rows], number)))
             if not len(which):
                 continue
             picked = column.take(pa.array(which))
-            out = [(which[u], *digest(s), s.tobytes()) for u, s in shingle_sets(picked, k, separators, not by_line) if len(s)]
+            out = [(which[u], *digest(s), s.tobytes()) for u, s in shingle_sets(picked, k, separators) if len(s)]
             if out:
                 at, a, b, tokens = zip(*out, strict=True)
                 at = np.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), ids.take(pa.array(rows[at])), pa.array(number[at], pa.int32()), pa.array(tokens, pa.binary())], names=["id", "id2", "doc", "line", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(batch.column(i).take(pa.array(rows[at])) for i in (0, 1)), pa.array(number[at], pa.int32()), pa.array(tokens, pa.binary())], names=["id", "id2", "doc", "row", "line", "tokens"])
 
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), text).mapInArrow(run, "id long, id2 long, doc long, line int, tokens binary")
-    return members.join(rows, ["id", "id2", "doc", "line"])
+    found = keyed(docs, doc, text).mapInArrow(run, "id long, id2 long, doc long, row long, line int, tokens binary")
+    return members.join(found.dropDuplicates(["id", "id2", "doc", "row", "line"]), ["id", "id2", "doc", "row", "line"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -391,7 +440,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
 
 
 def _join_groups(rows: DataFrame, num: int, den: int, earlier: bool) -> DataFrame:
-    """Trie join of each (cluster, part, part2); ``rows``: these, then doc, line, id, id2, wanted, tokens."""
+    """Trie join of each (cluster, part, part2); ``rows``: these, then doc, row, line, id, id2, wanted, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, c = [], [], []
@@ -401,23 +450,23 @@ def _join_groups(rows: DataFrame, num: int, den: int, earlier: bool) -> DataFram
 
         for _, group in _grouped(batches, 3):
             own: dict[tuple, tuple] = {}
-            for doc, line, x, x2, wanted, tokens in group:
+            for doc, row, line, x, x2, wanted, tokens in group:
                 old = own.get((x, x2))
-                own[x, x2] = (doc, line, wanted or bool(old and old[2]), tokens)
-            sets = [np.frombuffer(v[3], np.uint64) for v in own.values()]
+                own[x, x2] = (doc, row, line, wanted or bool(old and old[3]), tokens)
+            sets = [np.frombuffer(v[4], np.uint64) for v in own.values()]
             if earlier:
-                hits = linked_to_earlier(sets, [v[:2] for v in own.values()], [v[2] for v in own.values()], num, den)
+                hits = linked_to_earlier(sets, [v[:3] for v in own.values()], [v[3] for v in own.values()], num, den)
                 for (x, x2), hit in zip(own, hits, strict=True):
                     if hit:
                         a.append(x)
                         b.append(x2)
                         c.append(0)
             else:
-                docs = [v[0] for v in own.values()]
+                ids = [x for x, _ in own]
                 for i, root in enumerate(linked_components(sets, num, den)):
                     if root != i:
-                        a.append(docs[i])
-                        b.append(docs[root])
+                        a.append(ids[i])
+                        b.append(ids[root])
                         c.append(0)
             if len(a) > 50_000:
                 yield out()
@@ -425,16 +474,16 @@ def _join_groups(rows: DataFrame, num: int, den: int, earlier: bool) -> DataFram
         yield out()
 
     keys = ["cluster", "part", "part2"]
-    dealt = rows.select(*keys, "doc", "line", "id", "id2", "wanted", "tokens").repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    dealt = rows.select(*keys, "doc", "row", "line", "id", "id2", "wanted", "tokens").repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "x long, y long, z long").drop("z")
 
 
 def link_clusters(sets: DataFrame, num: int, den: int, earlier: bool) -> DataFrame:
     """Links within clusters, enough for the question asked.
 
-    ``sets``: id, id2, doc, line, cluster, size (of the cluster), tokens.
-    Returns, settled, (id, id2) of the sets that link with one of smaller (doc, line)
-    if ``earlier``, else (a, b) edges over docs that connect all linked docs.
+    ``sets``: id, id2, doc, row, line, cluster, size (of the cluster), tokens.
+    Returns, settled, (id, id2) of the sets that link with one of smaller (doc, row, line)
+    if ``earlier``, else (a, b) edges over class ids that connect all linked classes.
     """
     chunk = F.pmod(F.xxhash64("id", "id2"), F.col("chunks")).cast("int")
     sets = sets.withColumn("chunks", F.ceil(F.col("size") / CLUSTER))
@@ -445,18 +494,19 @@ def link_clusters(sets: DataFrame, num: int, den: int, earlier: bool) -> DataFra
     if large.isEmpty():
         return first.toDF(*names)
     large = large.withColumn("part", chunk)
-    lead = large.groupBy("cluster", F.pmod(F.xxhash64("id2"), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct("doc", "line", "id", "id2")).alias("p")).select(F.col("p.id").alias("id"), F.col("p.id2").alias("id2"))
+    lead = large.groupBy("cluster", F.pmod(F.xxhash64("id2"), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct("doc", "row", "line", "id", "id2")).alias("p")).select(F.col("p.id").alias("id"), F.col("p.id2").alias("id2"))
     pivots = large.join(settle(lead), ["id", "id2"]).withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
     rows = large.unionByName(pivots).select("*", F.lit(0).alias("part2"), F.lit(True).alias("wanted"))
     second = settle(_join_groups(rows, num, den, earlier))
     # what is still open in large clusters meets every chunk of its cluster
     if earlier:
         rest = large.join(second.distinct().toDF("id", "id2"), ["id", "id2"], "left_anti")
-        leaders = large.groupBy("cluster").agg(F.min(F.struct("doc", "line")).alias("p")).select("cluster", F.col("p.doc").alias("doc"), F.col("p.line").alias("line"))
-        rest = rest.join(settle(leaders), ["cluster", "doc", "line"], "left_anti")
+        place = ["doc", "row", "line"]
+        leaders = large.groupBy("cluster").agg(F.min(F.struct(*place)).alias("p")).select("cluster", "p.*")
+        rest = rest.join(settle(leaders), ["cluster", *place], "left_anti")
     else:
         found = connected_components(second.toDF("a", "b"))
-        tagged = settle(large.select("cluster", "doc", "id", "id2").join(found, F.col("doc") == F.col("node"), "left").select("cluster", "id", "id2", F.coalesce("component", "doc").alias("component")))
+        tagged = settle(large.select("cluster", "id", "id2").join(found, F.col("id") == F.col("node"), "left").select("cluster", "id", "id2", F.coalesce("component", "id").alias("component")))
         counts = tagged.groupBy("cluster", "component").count()
         main = settle(counts.groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("m")).select("cluster", F.col("m.component").alias("component")))
         rest = large.join(tagged.join(main, ["cluster", "component"], "left_anti").select("id", "id2"), ["id", "id2"])
@@ -474,27 +524,43 @@ def link_clusters(sets: DataFrame, num: int, den: int, earlier: bool) -> DataFra
 def clustered(cls: DataFrame, edges: DataFrame) -> DataFrame:
     """The classes that have a candidate, with their cluster and its size."""
     found = connected_components(edges)
-    members = settle(cls.select("id", "id2", "doc", "line").join(found.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"))
+    members = settle(cls.select("id", "id2", "doc", "row", "line").join(found.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"))
     sizes = settle(members.groupBy("cluster").agg(F.count("*").alias("size")))
     return members.join(sizes, "cluster").filter("size > 1")
 
 
-def jaccard_components(docs: DataFrame, doc: str, text: str, k: int, num: int, den: int, separators: np.ndarray = SPACE) -> DataFrame:
-    """(doc, n, component) of every row: its set's size and the least doc that its links reach.
+def linked_classes(docs: DataFrame, doc: str, text: str, k: int, num: int, den: int, separators: np.ndarray = SPACE, by_row: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes), settled: (doc, row, n, id, id2) of every row, and (id, id2, least) of every class of sets.
 
-    A null text counts as empty; an empty set links with nothing.  A null doc
-    keeps a null component and links with nothing.  Repeated rows are equal
-    sets and so linked.
+    ``least`` is the first (doc, row) that links reach.  Texts of one doc id
+    are connected, unless ``by_row``.
     """
     heavy = heavy_shingles(docs, text, k, separators)
     described = settle(describe(docs, doc, text, k, num, den, heavy, separators))
     cls = settle(classes(described))
-    members = settle(clustered(cls, candidate_edges(cls, num, den, heavy)))
+    members = settle(clustered(cls, candidate_edges(cls, num, den)))
     sets = settle(with_sets(docs, doc, text, k, members, separators))
-    edges = link_clusters(sets, num, den, earlier=False)
-    found = connected_components(edges.toDF("a", "b"))
-    of_class = settle(cls.select("id", "id2", "doc").join(found, F.col("doc") == F.col("node"), "left").select("id", "id2", F.coalesce("component", "doc").alias("component")))
-    # a doc id that comes with several texts belongs to one component
-    known = described.filter("n > 0 and doc is not null").select("id", "id2", "doc", "n").join(of_class, ["id", "id2"]).select("doc", "n", "component")
-    rest = described.filter("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component"))
+    edges = link_clusters(sets, num, den, earlier=False).toDF("a", "b")
+    rows = described.select("doc", "row", "n", "id", "id2")
+    if not by_row:
+        several = rows.filter("n > 0 and doc is not null").groupBy("doc").agg(F.min(F.struct("id", "id2")).alias("x"), F.max(F.struct("id", "id2")).alias("y")).filter("x <> y")
+        edges = edges.unionByName(rows.filter("n > 0").join(several, "doc").select(F.col("id").alias("a"), F.col("x.id").alias("b")))
+    found = settle(connected_components(edges).withColumnRenamed("node", "id"))
+    firsts = cls.select("id", "id2", F.struct("doc", "row").alias("first")).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    firsts = settle(firsts)
+    least = firsts.groupBy("component").agg(F.min("first").alias("least"))
+    return rows, settle(firsts.join(least, "component").select("id", "id2", "least"))
+
+
+def jaccard_components(docs: DataFrame, doc: str, text: str, k: int, num: int, den: int, separators: np.ndarray = SPACE) -> DataFrame:
+    """(doc, n, component) of every row: its set's size and the least doc that its links reach.
+
+    A null text counts as empty; an empty set links with nothing.  A null doc
+    keeps a null component and links with nothing.  Repeated rows are equal
+    sets and so linked; a doc id that comes with several texts is in one
+    component by all of them (its rows without words keep their own id).
+    """
+    rows, cls = linked_classes(docs, doc, text, k, num, den, separators)
+    known = rows.filter("n > 0 and doc is not null").join(cls, ["id", "id2"]).select("doc", "n", F.col("least.doc").alias("component"))
+    rest = rows.filter("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component"))
     return known.unionByName(rest)

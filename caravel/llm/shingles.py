@@ -104,6 +104,16 @@ def short_hash(words: np.ndarray) -> np.ndarray:
     return mix(np.array([total], np.uint64) * U(0xA24BAED4963EE407))
 
 
+def short_hashes(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``short_hash`` of several sequences: ``n`` words, at least one, from ``first`` on."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    ends = np.cumsum(n)
+    inner = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+    own = words[inner + np.repeat(first, n)] * _PLACE[inner]
+    return mix((np.add.reduceat(own, ends - n) + n.astype(np.uint64)) * U(0xA24BAED4963EE407))
+
+
 def chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes, one text at least."""
     i, n = 0, len(off) - 1
@@ -114,11 +124,11 @@ def chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def shingle_sets(column: pa.Array, k: int, separators: np.ndarray = SPACE, short: bool = True) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(column: pa.Array, k: int, separators: np.ndarray = SPACE) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every text of a string column.
 
-    With fewer than ``k`` words the whole sequence is the only shingle, if
-    ``short``; a text without words has an empty set.
+    With fewer than ``k`` words the whole sequence is the only shingle; a text
+    without words has an empty set.
     """
     off, data = buffers(column)
     for i, j in chunks(off):
@@ -135,7 +145,7 @@ def shingle_sets(column: pa.Array, k: int, separators: np.ndarray = SPACE, short
                 keep[0] = True
                 np.not_equal(s[1:], s[:-1], out=keep[1:])
                 yield row, s[keep]
-            elif b > a and short:
+            elif b > a:
                 yield row, short_hash(words[a:b])
             else:
                 yield row, np.zeros(0, np.uint64)

@@ -1,16 +1,24 @@
-"""Cutting lineage through the shared folder, and small helpers for sessions."""
+"""Cutting lineage through the shared folder, filters over keys, and small helpers for sessions."""
 
 from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a session of one machine (a local master) takes a
+    temporary folder; a cluster raises, as its machines share no such folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="caravel-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -35,3 +43,44 @@ def settle(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Least and most bits of a key filter; it has 16 bits a key between them, so 32 MB are the bound of its broadcast.
+FILTER_BITS = (1 << 16, 1 << 28)
+
+
+def key_filter(hashes: DataFrame) -> np.ndarray:
+    """Bit array over a column of 64-bit hashes, sized to their number; an exact join follows wherever it is used.
+
+    Beyond the bound more keys pass it than have to, which costs time and no result.
+    """
+    name = hashes.columns[0]
+    least, most = FILTER_BITS
+    bits = min(most, max(least, 1 << (16 * hashes.count()).bit_length()))
+    cells = hashes.select((F.pmod(name, F.lit(bits)) + 1).alias("at"))
+    found = cells.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator()
+    table = np.zeros(bits // 8, np.uint8)
+    for k, piece in found:  # bucket k starts at position 32768 * (k - 1) + 1
+        own = np.frombuffer(bytes(piece), np.uint8)
+        own = own[: len(table) - (k - 1) * 4096]
+        table[(k - 1) * 4096 : (k - 1) * 4096 + len(own)] |= own
+    return table
+
+
+def holds(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a ``key_filter`` lets through."""
+    cell = np.mod(hashes, len(table) * 8)
+    return ((table[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def touched(spark: SparkSession, table: np.ndarray):
+    """An Arrow function of a column of hashes: whether a ``key_filter`` lets each through.  Only the hashes go to Python."""
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def test(hashes):
+        import pandas as pd
+
+        return pd.Series(holds(shared.value, hashes.to_numpy()))
+
+    return test

@@ -2,11 +2,13 @@
 
 Vectors are whole numbers.  Candidates lie in blocks; a block's index has, for
 each dimension, a posting segment for each value.  A query takes segments by
-falling contribution, a level at a time, and adds them to its candidates'
-scores.  What a candidate can still gain is bounded by the dimensions it has
-not met yet times the level.  A query stops only when this proves that all
-others are below its k-th lower bound, or where reading on would cost more
-than scoring all that may still belong; these are then scored exactly.
+falling contribution (impact), a step at a time, and adds them to its
+candidates' scores.  What a candidate can still gain is bounded by the
+dimensions it has not met yet: those that postings have reached count with the
+largest impact left, the others with their own largest.  A candidate is left
+out only on proof that it is below the k-th lower bound.  Reading ends when
+scoring the members that remain costs less than the next step, and these are
+scored exactly.
 """
 
 from __future__ import annotations
@@ -18,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caravel.llm.store import settle
+from caravel.llm.store import partitions, settle
 
-QUERIES, CANDIDATES = 256, 4096
-#: More than a vector has dimensions.
-SPREAD = 4096
-#: Impacts, as shares of a query's largest, down to which postings are read.  Below the last, segments hold so
-#: many postings that scoring all possible members exactly costs less than reading on.
-LEVELS = (0.5, 0.35, 0.25)
+#: Vectors of a block, on average.
+CANDIDATES = 8192
+#: Postings of a step, for each vector of the block.
+STEP = 4
+EXACT, WHOLE = 2**53, 2**63
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -39,7 +40,7 @@ class ImpactIndex:
     """Postings of one block, by dimension and value."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        self.ids, self.rows, self.fine = ids, rows, rows.astype(float)
+        self.ids, self.rows = ids, rows
         n, dims = rows.shape
         order = np.argsort(rows, axis=0, kind="stable")
         self.postings = order.T.astype(np.int32).ravel()
@@ -50,54 +51,64 @@ class ImpactIndex:
         self.dim = self.start // n
         self.size = np.diff(np.append(self.start, n * dims))
         self.low, self.high = rows.min(axis=0), rows.max(axis=0)
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the best k candidates but ``own``; ties to the smaller id."""
+        self.far = np.maximum(np.abs(self.low.astype(float)), np.abs(self.high.astype(float)))
+        # a power of two above the number of dimensions: a sum of impacts and their number in one addition
+        self.spread = 1 << dims.bit_length()
+
+    def _met(self, who: np.ndarray, gain: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of gains and their numbers by candidate, exact."""
+        n = len(self.ids)
+        if narrow:
+            both = np.bincount(who, gain * self.spread + 1.0, minlength=n).astype(np.int64)
+            return both // self.spread, both % self.spread
+        total = np.zeros(n, np.int64)
+        np.add.at(total, who, gain)
+        return total, np.bincount(who, minlength=n)
+
+    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, scores) of the best k candidates but ``own``, ties to the smaller id; and how many were scored exactly."""
         n, dims = self.rows.shape
-        floor = np.minimum(query * self.low, query * self.high)
-        gain = query[self.dim] * self.value - floor[self.dim]  # never negative
-        open_ = np.full(n, dims)
-        score = np.full(n, int(floor.sum()))
-        out = self.ids == own
-        most = int(gain.max(initial=0))
-        done = np.zeros(len(gain), bool)
-        members = np.flatnonzero(~out)
-        few = max(4 * k, n // 8)  # exact scores of so many cost less than another level
-        if len(members) > few:
-            for share in LEVELS:
-                level = most * share
-                now = np.flatnonzero(~done & (gain >= level))
-                if len(now):
-                    done[now] = True
-                    size = self.size[now]
-                    last = np.cumsum(size)
-                    at = np.arange(int(last[-1])) + np.repeat(self.start[now] - (last - size), size)
-                    who = self.postings[at]
-                    # a gain and the dimension it stands for, added in one pass; exact below 2**53
-                    both = np.bincount(who, np.repeat(gain[now] * SPREAD + 1.0, size), minlength=n).astype(np.int64)
-                    score += both // SPREAD
-                    open_ -= both % SPREAD
+        reach = float(np.abs(query.astype(float)) @ self.far)
+        if 4 * reach >= WHOLE:
+            raise ValueError("components are too large: a product passes 63 bits")
+        score = np.full(n, int(np.minimum(query * self.low, query * self.high).sum()))
+        members = np.flatnonzero(self.ids != own)
+        if len(members) > k:
+            floor = np.minimum(query * self.low, query * self.high)
+            gain = query[self.dim] * self.value - floor[self.dim]  # never negative
+            narrow = 2 * reach * self.spread < EXACT
+            order = np.argsort(-gain, kind="stable")
+            gain, size, dim, start = gain[order], self.size[order], self.dim[order], self.start[order]
+            read = np.cumsum(size)
+            peak = np.maximum(query * self.low, query * self.high) - floor
+            reached = np.zeros(dims, bool)
+            seen = np.zeros(n, np.int64)
+            done = 0
+            while done < len(gain):
+                upto = max(done + 1, int(np.searchsorted(read, (read[done - 1] if done else 0) + STEP * n, "right")))
+                if len(members) * dims <= read[upto - 1] - (read[done - 1] if done else 0):
+                    break
+                own_size = size[done:upto]
+                last = np.cumsum(own_size)
+                at = np.arange(int(last[-1])) + np.repeat(start[done:upto] - (last - own_size), own_size)
+                add, met = self._met(self.postings[at], np.repeat(gain[done:upto], own_size), narrow)
+                score += add
+                seen += met
+                reached[dim[done:upto]] = True
+                done = upto
+                rest = int(gain[done]) if done < len(gain) else 0
                 best = score[members]
                 bound = np.partition(best, len(best) - k)[len(best) - k]
-                rest = int(gain[~done].max(initial=0))
-                members = members[best + open_[members] * rest >= bound]
-                if len(members) <= few or not rest:
-                    break
-        # products of whole numbers, exact in doubles below 2**53
-        exact = (self.fine @ query.astype(float))[members] if 2 * len(members) > n else self.fine[members] @ query.astype(float)
-        exact = exact.astype(np.int64)
+                most = best + (int(reached.sum()) - seen[members]) * rest + int(peak[~reached].sum())
+                members = members[most >= bound]
+        rows = self.rows[members]
+        exact = (rows.astype(float) @ query.astype(float)).astype(np.int64) if reach < EXACT else rows @ query
+        scored = len(members)
         if len(members) > k:
             keep = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
             members, exact = members[keep], exact[keep]
         order = np.lexsort((self.ids[members], -exact))[:k]
-        return self.ids[members][order], exact[order]
-
-
-def _packed(df: DataFrame, block: Column, name: str) -> DataFrame:
-    """(dims, block, ids, rows): whole blocks, as packed arrays in rising id order."""
-    rows = df.withColumn(name, block)
-    items = F.array_sort(F.collect_list(F.struct("id", "v")))
-    return rows.groupBy("dims", name).agg(items.alias("x")).select("dims", name, F.transform("x", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("x", lambda x: x["v"])).alias("rows"))
+        return self.ids[members][order], exact[order], scored
 
 
 def top_k(vectors: DataFrame, vec: str, vector: str, every: int, k: int, scale: int = 64) -> DataFrame:
@@ -105,43 +116,50 @@ def top_k(vectors: DataFrame, vec: str, vector: str, every: int, k: int, scale:
 
     Candidates are all rows but those of the query's id, with as many
     components.  Rows that are not ``quantised`` or have a null id take no
-    part; repeated rows count once.  Components are below 2**23 in magnitude.
-    Query blocks meet candidate blocks by the candidate block's number; the
-    partial lists, k for each query and block, are ranked in two steps.
+    part; repeated rows count once.  Products that pass 63 bits raise.  Each
+    vector goes to one block, once; queries go to every block of their number
+    of components.  The partial lists, k for each query and block, are ranked
+    in two steps.
     """
     own = vectors.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v")).filter("v is not null").distinct()
     own = settle(own.withColumn("dims", F.size("v")))
-    queries = own.filter(F.col("id") % every == 0)
-    n, q = own.count(), queries.count()
-    blocks, groups = max(1, -(-n // CANDIDATES)), max(1, -(-q // QUERIES))
-    deal = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    asked = _packed(queries, deal(groups), "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    stored = _packed(own, deal(blocks), "block")
-    pairs = asked.toDF("dims", "group", "q_ids", "q_rows", "block").join(stored, ["dims", "block"])
+    blocks = max(1, -(-own.count() // CANDIDATES))
+    stored = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
+    asked = own.filter(F.col("id") % every == 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
+    keys = ["dims", "block"]
+    rows = stored.unionByName(asked).select(*keys, "asks", "id", "v").repartition(max(partitions(vectors.sparkSession), blocks), *keys).sortWithinPartitions(*keys, "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index = None, None
+        key, index, ids, held = None, None, [], []
         for batch in batches:
-            for i in range(batch.num_rows):
-                dims, block = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if last != (dims, block):
-                    ids = batch.column(4)[i].values.to_numpy()
-                    index = ImpactIndex(ids, batch.column(5)[i].values.to_numpy().reshape(len(ids), dims)) if dims else None
-                    last = (dims, block)
-                q_ids = batch.column(2)[i].values.to_numpy()
-                q_rows = batch.column(3)[i].values.to_numpy().reshape(len(q_ids), dims)
+            places = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1)], axis=1)
+            asks = batch.column(2).to_numpy(zero_copy_only=False)
+            cut = np.append(np.flatnonzero(np.append(True, (places[1:] != places[:-1]).any(axis=1) | (asks[1:] != asks[:-1]))), len(asks))
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if (now := tuple(places[i].tolist())) != key:
+                    key, index, ids, held = now, None, [], []
+                dims = now[0]
+                number = batch.column(3).slice(i, j - i).to_numpy()
+                own_rows = batch.column(4).slice(i, j - i).flatten().to_numpy().reshape(j - i, dims)
+                if not asks[i]:
+                    ids.append(number)
+                    held.append(own_rows)
+                    continue
+                if not ids:
+                    continue
+                if index is None:
+                    index = ImpactIndex(np.concatenate(ids), np.concatenate(held)) if dims else np.concatenate(ids)
                 out: list[list[np.ndarray]] = [[], [], []]
-                for own_id, query in zip(q_ids.tolist(), q_rows, strict=True):
-                    if index is None:
-                        ids = batch.column(4)[i].values.to_numpy()
-                        found = np.sort(ids[ids != own_id])[:k]
-                        scores = np.zeros(len(found), np.int64)
+                for asking, query in zip(number.tolist(), own_rows, strict=True):
+                    if dims:
+                        found, scores, _ = index.top(query, asking, k)
                     else:
-                        found, scores = index.top(query, own_id, k)
-                    for column, x in zip(out, (np.full(len(found), own_id), found, scores), strict=True):
+                        found = np.sort(index[index != asking])[:k]
+                        scores = np.zeros(len(found), np.int64)
+                    for column, x in zip(out, (np.full(len(found), asking), found, scores), strict=True):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("dims", "block", "q_ids", "q_rows", "ids", "rows").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = rows.mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

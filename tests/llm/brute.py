@@ -9,11 +9,11 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", lowered)
 
 
-def shingles(text, k, short=True):
+def shingles(text, k):
     w = words(text)
     if len(w) >= k:
         return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
-    return frozenset([tuple(w)]) if w and short else frozenset()
+    return frozenset([tuple(w)]) if w else frozenset()
 
 
 def links(sets, num, den):
@@ -50,7 +50,7 @@ def components(rows, k, num, den):
 def removed(rows, k, num, den):
     """{doc: sorted numbers of the lines that an earlier one matches} of (doc, text) rows."""
     lines = sorted((d, i, x) for d, t in rows if t is not None for i, x in enumerate(t.split("\n")))
-    lines = [(d, i, s) for d, i, x in lines if (s := shingles(x, k, short=False))]
+    lines = [(d, i, s) for d, i, x in lines if (s := shingles(x, k))]
     gone = {j for _, j in links([s for _, _, s in lines], num, den)}
     out = defaultdict(list)
     for j in sorted(gone):

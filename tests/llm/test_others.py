@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -261,7 +262,8 @@ def test_units(spark, kind):
     ends = {"line": "\n", "paragraph": "\n\n", "sentence": ". "}[kind]
     rows = [(i, ends.join(rnd.choice(pool).upper() if rnd.random() < 0.2 else rnd.choice(pool) for _ in range(rnd.randint(0, 9)))) for i in range(40)]
     rows += [(100, None), (101, ""), (102, "\n\n. "), (None, rows[0][1])]
-    got = unitdedup.repeated_units(docs(spark, rows), "doc_id", "text", kind, 4).collect()
+    found = unitdedup.repeated_units(docs(spark, rows), "doc_id", "text", kind, 4)
+    got = found.select("doc", "start", "end", "words", "kept_doc", "kept_start").collect()
     seen, want = {}, []
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
     for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
@@ -302,8 +304,8 @@ def spans(text, mark, least):
     return out
 
 
-def test_unit_query(spark, tmp_path):
-    """Paragraphs and lines of any length repeat, and long sentences; what a larger repeat holds isn't given again."""
+def test_unit_query(spark, tmp_path, monkeypatch):
+    """Paragraphs, lines and sentences of enough words repeat; what a larger repeat holds isn't given again."""
     rnd = random.Random(31)
     phrase = lambda lo, hi: " ".join(rnd.choice(["the", "cat", "saß", "on", "Ein", "mat", "zu"]) for _ in range(rnd.randint(lo, hi)))
     sentences = [phrase(1, 12) + rnd.choice([".", "!", ""]) for _ in range(40)]
@@ -313,15 +315,45 @@ def test_unit_query(spark, tmp_path):
     short = "One two. Three four. Five six. Seven."
     rows += [(100, None), (101, ""), (102, short), (103, f"new line here\n{short}"), (104, "许可证。"), (105, "许可证。\nmore"), (106, "five words in a line"), (107, "Five words in a  line\nx")]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "UNITS", {"paragraph": 6, "line": 4, "sentence": 8})
     got = queries.op9_unit_dedup(spark, str(tmp_path)).collect()
     first, found = {}, []
     for d, t in rows:
         t = t or ""
-        for a, b in sorted(spans(t, r"\n\n", 1) | spans(t, r"\n", 1) | spans(t, r"[.!?](?=\s|$)|\n", 8)):
+        for a, b in sorted(spans(t, r"\n\n", 6) | spans(t, r"\n", 4) | spans(t, r"[.!?](?=\s|$)|\n", 8)):
             key = tuple(re.sub("[A-Z]", lambda m: m[0].lower(), t[a:b]).split())
             if first.setdefault(key, (d, a)) != (d, a):
                 found.append((d, a, b, len(key), *first[key]))
     want = [x for x in found if not any(y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] and y[1:3] != x[1:3] for y in found)]
-    assert sorted(tuple(r) for r in got) == sorted(want)
-    assert {(103, 14, 14 + len(short), 7, 102, 0), (105, 0, 4, 1, 104, 0), (107, 0, 21, 5, 106, 0)} <= set(want)
+    assert sorted(tuple(r)[:6] for r in got) == sorted(want)
+    assert {(103, 14, 14 + len(short), 7, 102, 0), (107, 0, 21, 5, 106, 0)} <= set(want)
     assert len({x[3] >= 8 for x in want}) == 2
+    for r in got:
+        left = dict(rows)[r.doc_id]
+        for x in sorted((x for x in want if x[0] == r.doc_id), reverse=True):
+            left = left[: x[1]] + left[x[2] :]
+        assert r.left_sha256 == hashlib.sha256(left.encode()).hexdigest()
+
+
+@pytest.mark.parametrize(("dims", "far"), [(4100, 3), (5000, 2**20), (3, 2**27)])
+def test_top_k_of_wide_and_large_vectors(dims, far):
+    """Sums that pass 53 bits are taken in whole numbers."""
+    rnd = np.random.default_rng(dims)
+    rows = rnd.integers(-far, far, (90, dims))
+    index = topk.ImpactIndex(np.arange(90), rows)
+    for q in range(0, 90, 30):
+        scores = rows.astype(object) @ rows[q].astype(object)
+        want = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:5]
+        ids, got, scored = index.top(rows[q], q, 5)
+        assert [(-s, i) for s, i in zip(got.tolist(), ids.tolist(), strict=True)] == want and 5 <= scored < 90
+    with pytest.raises(ValueError, match="63 bits"):
+        topk.ImpactIndex(np.arange(2), np.full((2, 9), 2**40)).top(np.full(9, 2**30), 0, 1)
+
+
+def test_top_k_excludes_by_proof():
+    """Of vectors on a sphere few are scored exactly."""
+    rnd = np.random.default_rng(2)
+    v = rnd.normal(size=(3000, 32))
+    rows = np.floor(64 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    index = topk.ImpactIndex(np.arange(3000), rows)
+    assert sum(index.top(rows[i], i, 20)[2] for i in range(20)) < 0.2 * 20 * 3000
