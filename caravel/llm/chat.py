@@ -1,7 +1,9 @@
 """Chat formatting: layouts told apart by their field paths, turns, template and loss mask.
 
-DataFrame functions only.  A layout's fingerprint is the hash of its nested
-field paths; it selects a declarative mapping to canonical turns.
+DataFrame functions only.  Of an object those nested field paths count that
+some layout names; their hash is its fingerprint, which selects a declarative
+mapping to canonical turns.  Other fields are ignored.  A fingerprint that no
+layout has gives null turns; ``unknown_layouts`` counts these rows by layout.
 """
 
 from __future__ import annotations
@@ -9,122 +11,174 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass, field
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 START, END, ESCAPE = "<|im_start|>", "<|im_end|>\n", "\\"
 TURNS = "array<struct<role:string,text:string>>"
+RENAME = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 @dataclass(frozen=True)
 class Layout:
-    """How to read turns from one layout.
+    """How to read turns from one layout; all paths are dotted, to any depth.
 
-    ``paths``: its nested field paths as ``shape`` writes them.  Either
-    ``turns`` names an array of messages with ``role`` and ``text`` fields, or
-    ``fields`` lists (role, field names) pairs: the fields that aren't empty
-    are joined by a blank line into one turn.
+    Either ``turns`` names an array of messages with ``role`` and ``text``
+    paths inside each, or ``fields`` lists (role, paths) pairs: the texts of a
+    pair that aren't empty are joined by a blank line into one turn.  Paths in
+    ``optional`` may be missing; a pair of which all are missing gives no turn.
     """
 
     name: str
-    paths: str
     turns: str = ""
     role: str = "role"
     text: str = "content"
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
-    roles: dict[str, str] = field(default_factory=lambda: {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"})
+    optional: tuple[str, ...] = ()
+    rename: dict[str, str] = field(default_factory=dict)
 
+    def paths(self) -> list[str]:
+        """The paths that it names; those behind ``[]`` are inside an array's elements."""
+        if self.turns:
+            return [f"{self.turns}[]", f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}"]
+        return [n for _, names in self.fields for n in names]
 
-def shape(*names: str, **nested: str) -> str:
-    """The field paths of an object in canonical form: ``shape('a', b='[x]')`` is ``{a,b[x]}``."""
-    return "{" + ",".join(sorted([*names, *(k + v for k, v in nested.items())])) + "}"
+    def shapes(self) -> list[tuple[str, ...]]:
+        """The sets of paths that it reads: an empty array has no elements, optional paths may be missing."""
+        own = self.paths()
+        if self.turns:
+            return [tuple(own[:1]), tuple(own)]
+        return [tuple(n for n in own if n not in gone) for size in range(len(self.optional) + 1) for gone in combinations(self.optional, size)]
+
+
+def _pair(name: str, asks: tuple[str, ...], says: str, *optional: str) -> Layout:
+    return Layout(name, fields=(("system", ("system",)), ("user", asks), ("assistant", (says,))), optional=("system", *optional))
 
 
 LAYOUTS = (
-    Layout("messages", shape(messages="[" + shape("content", "role") + "]"), turns="messages"),
-    Layout("sharegpt", shape(conversations="[" + shape("from", "value") + "]"), turns="conversations", role="from", text="value"),
-    Layout("dialog", shape(dialog="[" + shape("speaker", "utterance") + "]"), turns="dialog", role="speaker", text="utterance"),
-    Layout("alpaca", shape("instruction", "input", "output"), fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Layout("instruction", shape("instruction", "output"), fields=(("user", ("instruction",)), ("assistant", ("output",)))),
-    Layout("completion", shape("prompt", "completion"), fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Layout("response", shape("prompt", "response"), fields=(("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout("question", shape("question", "answer"), fields=(("user", ("question",)), ("assistant", ("answer",)))),
-    Layout("system_prompt", shape("system", "prompt", "response"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Layout("messages", turns="messages"),
+    Layout("sharegpt", turns="conversations", role="from", text="value", rename=RENAME),
+    Layout("dialog", turns="dialog", role="speaker", text="utterance", rename=RENAME),
+    Layout("nested", turns="data.thread.turns", role="author.role", text="body.text"),
+    _pair("instruction", ("instruction", "input"), "output", "input"),
+    _pair("completion", ("prompt",), "completion"),
+    _pair("response", ("prompt",), "response"),
+    _pair("question", ("question",), "answer"),
 )
 
 
-def fingerprint(paths: str) -> str:
-    return hashlib.sha256(paths.encode()).hexdigest()[:16]
+def fingerprint(paths) -> str:
+    return hashlib.sha256(",".join(sorted(paths)).encode()).hexdigest()[:16]
+
+
+def _at(value: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, "$." + path, kind)
+
+
+def _there(value: Column, path: str) -> Column:
+    """Whether a variant has a path: an array for ``[]``, else a value that is no object and no array, or JSON null."""
+    array, _, inner = path.partition("[]")
+    if inner:
+        return F.coalesce(F.exists(_at(value, array, "array<variant>"), lambda x: _there(x, inner[1:])), F.lit(False))
+    if array != path:
+        return _at(value, array, "array<variant>").isNotNull()
+    return F.coalesce(~F.schema_of_variant(_at(value, path)).rlike("^(OBJECT|ARRAY)"), F.lit(False))
 
 
-def paths_of(value: Column) -> Column:
-    """Field paths of a variant, written as ``shape`` does; scalars' types don't count."""
-    found = F.schema_of_variant(value)
-    found = F.regexp_replace(found, r"OBJECT<", "{")
-    found = F.regexp_replace(found, r"ARRAY<", "[")
-    found = F.regexp_replace(found, r": (?:BOOLEAN|BIGINT|DECIMAL\(\d+,\d+\)|DOUBLE|FLOAT|STRING|VOID|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|UUID|VARIANT)", "")
-    found = F.regexp_replace(found, r": ", "")
-    found = F.regexp_replace(found, r", ", ",")
-    # each kind of bracket closes by '>': arrays that hold objects end in '>>'
-    for _ in range(3):
-        found = F.regexp_replace(found, r"\{([^{}\[\]<>]*)>", r"{$1}")
-        found = F.regexp_replace(found, r"\[(\{[^{}]*\}|[A-Z0-9(),]*)>", r"[$1]")
-    return F.regexp_replace(F.regexp_replace(found, r"\{([^{}<>]*(?:\{[^{}]*\}[^{}<>]*)*)>", r"{$1}"), r"\[[A-Z0-9(),]*\]", "[]")
+def named_paths(value: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The sorted paths of a variant that layouts name, joined by commas."""
+    names = sorted({p for x in layouts for p in x.paths()})
+    return F.array_join(F.array_compact(F.array(*[F.when(_there(value, p), F.lit(p)) for p in names])), ",")
 
 
-def _message_turns(value: Column, x: Layout) -> Column:
-    rows = F.variant_get(value, f"$.{x.turns}", f"array<struct<`{x.role}`:string,`{x.text}`:string>>")
-    rename = F.create_map(*[F.lit(v) for kv in x.roles.items() for v in kv])
-    return F.transform(rows, lambda m: F.struct(F.coalesce(rename[F.lower(m[x.role])], m[x.role]).alias("role"), F.coalesce(m[x.text], F.lit("")).alias("text")))
+def layout_of(value: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The name of the layout that a variant's fingerprint selects; null if none has it."""
+    table: dict[str, str] = {}
+    for x in layouts:
+        for shape in x.shapes():
+            if table.setdefault(fingerprint(shape), x.name) != x.name:
+                raise ValueError(f"{x.name} and {table[fingerprint(shape)]} have the paths {shape}")
+    key = F.substring(F.sha2(named_paths(value, layouts), 256), 1, 16)
+    return F.try_element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), key)
+
+
+def _turns(value: Column, x: Layout) -> Column:
+    if x.turns:
+        name = lambda m: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in x.rename.items() for v in kv]), F.lower(m)), m) if x.rename else m
+        return F.transform(_at(value, x.turns, "array<variant>"), lambda m: F.struct(name(_at(m, x.role, "string")).alias("role"), F.coalesce(_at(m, x.text, "string"), F.lit("")).alias("text")))
+    turns = []
+    for role, names in x.fields:
+        texts = F.filter(F.array(*[_at(value, n, "string") for n in names]), lambda t: F.length(t) > 0)
+        turn = F.struct(F.lit(role).alias("role"), F.array_join(texts, "\n\n").alias("text"))
+        there = F.lit(False)
+        for n in names:
+            there = there | _there(value, n)
+        turns.append(F.when(there, turn) if set(names) <= set(x.optional) else turn)
+    return F.array_compact(F.array(*turns)).cast(TURNS)
 
 
 def canonical_turns(value: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """Turns (role, text) of a variant by the layout of its fingerprint; null if none is known.
 
-    Null texts are empty, null roles stay null, roles are renamed by the layout.
+    Null texts are empty, null roles stay null, roles are renamed by the
+    layout.  Objects may hold more fields, elements of arrays too; an element
+    without a role or text has a null role or an empty text.
     """
-    key = F.substring(F.sha2(paths_of(value), 256), 1, 16)
+    name = layout_of(value, layouts)
     out = F.lit(None).cast(TURNS)
     for x in layouts:
-        if x.turns:
-            turns = _message_turns(value, x)
-        else:
-            parts = []
-            for role, names in x.fields:
-                texts = F.filter(F.array(*[F.variant_get(value, f"$.{n}", "string") for n in names]), lambda t: F.length(t) > 0)
-                parts.append(F.struct(F.lit(role).alias("role"), F.array_join(texts, "\n\n").alias("text")))
-            turns = F.array(*parts)
-        out = F.when(key == fingerprint(x.paths), turns).otherwise(out)
+        out = F.when(name == x.name, _turns(value, x)).otherwise(out)
     return out
 
 
-def frame_paths(schema: T.StructType) -> str:
-    """Field paths of a DataFrame's schema, written as ``shape`` does."""
+def unknown_layouts(df: DataFrame, value: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """(layout, n): how many rows have each whole layout, as ``schema_of_variant`` writes it, that no mapping reads; null variants too."""
+    return df.filter(layout_of(F.col(value), layouts).isNull()).groupBy(F.schema_of_variant(value).alias("layout")).agg(F.count("*").alias("n"))
+
+
+def in_layout(turns: Column, x: Layout) -> Column:
+    """Turns as a variant of a layout of messages, such that ``canonical_turns`` gives them back.
 
-    def of(kind: T.DataType) -> str:
-        if isinstance(kind, T.StructType):
-            return "{" + ",".join(sorted(f.name + of(f.dataType) for f in kind)) + "}"
-        return "[" + of(kind.elementType) + "]" if isinstance(kind, T.ArrayType) else ""
+    Roles that the layout renames are written by its first name for them.
+    """
+    back = {v: k for k, v in reversed(x.rename.items())}
+    name = (lambda r: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in back.items() for v in kv]), r), r)) if back else (lambda r: r)
+
+    def nest(path: str, own: Column) -> Column:
+        first, _, rest = path.partition(".")
+        return (nest(rest, own) if rest else own).alias(first) if not rest else F.struct(nest(rest, own)).alias(first)
 
-    return of(schema)
+    return F.to_variant_object(F.struct(nest(x.turns, F.transform(turns, lambda t: F.struct(nest(x.role, name(t["role"])), nest(x.text, t["text"]))))))
 
 
-#: Tables with a row for each turn: fingerprint of the needed columns -> (conversation, turn, role, text).
-TURN_TABLES = {
-    fingerprint(shape("conv_id", "turn", "role", "text")): ("conv_id", "turn", "role", "text"),
-    fingerprint(shape("conversation_id", "position", "role", "content")): ("conversation_id", "position", "role", "content"),
-    fingerprint(shape("thread", "index", "speaker", "utterance")): ("thread", "index", "speaker", "utterance"),
-}
+#: Tables with a row for each turn: (conversation, turn, role, text), the first whose columns are there.
+TURN_TABLES = (
+    ("conv_id", "turn", "role", "text"),
+    ("conversation_id", "position", "role", "content"),
+    ("thread", "index", "speaker", "utterance"),
+)
 
 
 def turn_columns(df: DataFrame) -> tuple[str, str, str, str]:
-    """The mapping that the fingerprint of a turn table's fields selects; extra columns don't count."""
-    for key, columns in TURN_TABLES.items():
-        if set(columns) <= set(df.columns) and fingerprint(frame_paths(df.select(*columns).schema)) == key:
+    """The names that a turn table has; extra columns don't count."""
+    for columns in TURN_TABLES:
+        if set(columns) <= set(df.columns):
             return columns
-    raise ValueError(f"no mapping for fields {frame_paths(df.schema)}")
+    raise ValueError(f"no turn table: {', '.join(df.columns)}")
+
+
+def conversations(df: DataFrame) -> DataFrame:
+    """(conversation, turns) of a table with a row for each turn.
+
+    Turns come in the order of their number (nulls first), role and text;
+    repeated rows stay repeated; a null role or text is empty.
+    """
+    conv, turn, role, text = turn_columns(df)
+    rows = df.select(F.col(conv).alias("conversation"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("t"))
+    made = rows.groupBy("conversation").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    return made.select("conversation", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -141,34 +195,26 @@ def _head(role: Column) -> Column:
     return F.concat(F.lit(START), F.url_encode(F.coalesce(role, F.lit(""))), F.lit("\n"))
 
 
-def format_turns(df: DataFrame) -> DataFrame:
-    """(conversation, formatted, loss_mask) of a table with a row for each turn.
+def format_array(turns: Column) -> Column:
+    """(formatted, loss_mask) of an array of turns; null for null turns.
 
-    Turns come in the order of their number (nulls first), role and text;
-    repeated rows stay repeated; a null role or text is empty.  ``loss_mask``
-    has (start, length), in characters of ``formatted``, of the assistant's texts.
+    ``loss_mask`` has (start, length), in characters of ``formatted``, of the assistant's texts.
     """
-    conv, turn, role, text = turn_columns(df)
-    rows = df.select(F.col(conv).alias("conversation"), F.col(turn).alias("_turn"), F.coalesce(role, F.lit("")).alias("_role"), F.coalesce(text, F.lit("")).alias("_text"))
-    rows = rows.withColumn("_head", _head(F.col("_role"))).withColumn("_body", escape(F.col("_text")))
-    order = Window.partitionBy("conversation").orderBy(F.asc_nulls_first("_turn"), "_role", "_text")
-    size = F.char_length("_head") + F.char_length("_body") + len(END)
-    rows = rows.withColumn("_k", F.row_number().over(order)).withColumn("_before", F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    piece = F.struct(
-        F.col("_k").alias("k"),
-        F.concat("_head", "_body", F.lit(END)).alias("piece"),
-        (F.col("_role") == "assistant").alias("loss"),
-        (F.col("_before") + F.char_length("_head")).alias("start"),
-        F.char_length("_body").cast("long").alias("length"),
+    pieces = F.transform(turns, lambda t: F.struct(_head(t["role"]).alias("head"), escape(F.coalesce(t["text"], F.lit(""))).alias("body"), (F.coalesce(t["role"], F.lit("")) == "assistant").alias("loss")))
+    text = F.array_join(F.transform(pieces, lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
+    span = lambda s, p: F.struct((s["at"] + F.char_length(p["head"])).alias("start"), F.char_length(p["body"]).cast("long").alias("length"))
+    mask = F.aggregate(
+        pieces,
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("mask")),
+        lambda s, p: F.struct((s["at"] + F.char_length(p["head"]) + F.char_length(p["body"]) + len(END)).alias("at"), F.when(p["loss"], F.concat(s["mask"], F.array(span(s, p)))).otherwise(s["mask"]).alias("mask")),
+        lambda s: s["mask"],
     )
-    made = rows.groupBy("conversation").agg(F.array_sort(F.collect_list(piece)).alias("p"))
-    mask = F.transform(F.filter("p", lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
-    return made.select("conversation", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("formatted"), mask.alias("loss_mask"))
+    return F.when(turns.isNotNull(), F.struct(text.alias("formatted"), mask.alias("loss_mask")))
 
 
-def format_array(turns: Column) -> Column:
-    """The same template over an array of (role, text) turns."""
-    return F.array_join(F.transform(turns, lambda t: F.concat(_head(t["role"]), escape(F.coalesce(t["text"], F.lit(""))), F.lit(END))), "")
+def format_turns(df: DataFrame) -> DataFrame:
+    """(conversation, formatted, loss_mask) of a table with a row for each turn; see ``conversations`` and ``format_array``."""
+    return conversations(df).select("conversation", format_array(F.col("turns")).alias("f")).select("conversation", "f.*")
 
 
 def read_turns(formatted: Column) -> Column:

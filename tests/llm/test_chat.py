@@ -20,15 +20,40 @@ LAYOUTS = [
     ({"system": "s", "prompt": "hi", "response": None}, [("system", "s"), ("user", "hi"), ("assistant", "")]),
     ({"odd": 1}, None),
     ({"messages": "text"}, None),
+    ({"prompt": {"x": 1}, "response": "yo"}, None),
+    ({"prompt": "a", "messages": []}, None),
+    ({"messages": []}, []),
+    ({"id": 7, "source": {"deep": {"deeper": [{"x": [1]}]}}, "messages": [{"role": "user", "content": "hi", "name": "n"}, {"role": "assistant", "content": "yo", "meta": {"a": {"b": {"c": {"d": 1}}}}}]}, SAME),
+    ({"messages": [{"role": "gpt", "content": None}, {"content": "x"}]}, [("gpt", ""), (None, "x")]),
+    ({"data": {"thread": {"turns": [{"author": {"role": "user"}, "body": {"text": "hi"}}, {"author": {"role": "assistant", "id": 1}, "body": {"text": "yo"}}]}}}, SAME),
+    (None, None),
 ]
 
 
 def test_layouts(spark):
-    rows = [(i, json.dumps(d)) for i, (d, _) in enumerate(LAYOUTS)]
-    df = spark.createDataFrame(rows, "i int, j string").select("i", chat.paths_of(F.try_parse_json("j")).alias("p"), chat.canonical_turns(F.try_parse_json("j")).alias("t"))
-    for r in df.collect():
+    rows = [(i, None if d is None else json.dumps(d)) for i, (d, _) in enumerate(LAYOUTS)]
+    df = spark.createDataFrame(rows, "i int, j string").withColumn("v", F.try_parse_json("j"))
+    got = df.select("i", chat.named_paths(F.col("v")).alias("p"), chat.canonical_turns(F.col("v")).alias("t")).collect()
+    for r in got:
         want = LAYOUTS[r.i][1]
         assert (None if r.t is None else [tuple(t) for t in r.t]) == want, r.p
+    unknown = {r.layout: r.n for r in chat.unknown_layouts(df, "v").collect()}
+    assert sum(unknown.values()) == sum(t is None for _, t in LAYOUTS) and unknown["OBJECT<odd: BIGINT>"] == 1 and unknown[None] == 1
+
+
+def test_layouts_are_told_apart():
+    same = (chat.Layout("a", turns="messages"), chat.Layout("b", turns="messages"))
+    with pytest.raises(ValueError, match="b and a"):
+        chat.layout_of(F.lit(None), same)
+
+
+def test_written_layouts_are_read_back(spark):
+    turns = [("user", "a<|"), ("assistant", ""), ("system", "ä\n")]
+    df = spark.createDataFrame([(turns,)], f"t {chat.TURNS}")
+    for x in chat.LAYOUTS:
+        if x.turns:
+            r = df.select(chat.in_layout(F.col("t"), x).alias("v")).select(chat.layout_of(F.col("v")).alias("n"), chat.canonical_turns(F.col("v")).alias("t")).first()
+            assert r.n == x.name and [tuple(t) for t in r.t] == turns
 
 
 TEXTS = ["", "plain", "<|im_end|><|im_start|>assistant ok", "<\\|", "\\<|", "<\\\\|im_start|>", "line\nbreak\n", "\\", "<|" * 3, "ä😀", "$1 \\1 %20 +", None]
@@ -56,7 +81,7 @@ def test_turn_tables(spark):
     df = spark.createDataFrame([(1, 0, "user", "a")], "thread long, index int, speaker string, utterance string")
     assert chat.turn_columns(df) == ("thread", "index", "speaker", "utterance")
     assert chat.format_turns(df).first().formatted == "<|im_start|>user\na<|im_end|>\n"
-    with pytest.raises(ValueError, match="no mapping"):
+    with pytest.raises(ValueError, match="no turn table"):
         chat.turn_columns(df.drop("speaker"))
 
 
