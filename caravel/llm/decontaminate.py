@@ -5,6 +5,8 @@ benchmark item (a shorter item is one window).  Words are ordered by how often
 they occur in the documents; a document can hold a window only where it has
 the window's rarest word at the window's place, so only these places are
 joined, bounded by the document's length, and then compared word by word.
+While the windows are few enough to be broadcast, all of this happens in the
+scan, and only places that are hit leave it: no text is shuffled to find them.
 """
 
 from __future__ import annotations
@@ -27,9 +29,16 @@ def words(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def bounded(df: DataFrame) -> DataFrame:
+def few(df: DataFrame, weight: Column | None = None) -> bool:
+    """Whether a settled table has at most ``BROADCAST_ROWS`` rows (or units of weight)."""
+    if weight is None:
+        return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return (df.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_ROWS
+
+
+def bounded(df: DataFrame, weight: Column | None = None) -> DataFrame:
     """``df`` marked for broadcast if it is small enough; else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if few(df, weight) else df
 
 
 def item_windows(benchmark: DataFrame, item: str, text: str, size: int) -> DataFrame:
@@ -57,30 +66,52 @@ def decontaminate(docs: DataFrame, doc: str, text: str, benchmark: DataFrame, it
     ranked = windows.select("window", "items", F.size("window_words").alias("len"), F.posexplode("window_words").alias("off", "w"))
     ranked = ranked.join(settle(counts), "w", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     rarest = F.min(F.struct("count", "w", "off")).alias("r")
-    prefix = ranked.groupBy("window", "items", "len").agg(rarest).select("window", "items", "len", F.col("r.w").alias("w"), F.col("r.off").alias("off"))
-    places = docs.select(F.col(doc).alias("_doc"), words(F.col(text)).alias("_w")).select("_doc", F.size("_w").alias("_n"), F.posexplode("_w").alias("at", "w"))
-    found = places.join(bounded(settle(prefix)), "w").select("_doc", (F.col("at") - F.col("off")).alias("at"), "_n", "len", "window", "items")
-    found = found.filter("at >= 0 and at + len <= _n")
-    by_doc = found.groupBy("_doc").agg(F.collect_set(F.struct("at", "len", "window", "items")).alias("_c"))
-    fresh = docs.drop("n_words", "n_hit", "items", "contaminated")
-    joined = fresh.join(by_doc.withColumnRenamed("_doc", "_key"), F.col(doc).eqNullSafe(F.col("_key")), "left")
-    # the words are bound to a variable: wherever Spark moves this expression, a text is split once
-    same = lambda w: F.filter("_c", lambda c: F.array_join(F.slice(w, c["at"] + 1, c["len"]), " ") == c["window"])
-    checked = F.element_at(F.transform(F.array(words(F.col(text))), same), 1)
-    hits = joined.withColumn("_c", F.when(F.col("_c").isNotNull(), F.array_sort(checked)))
-    end = lambda c: c["at"] + c["len"]
+    prefix = settle(ranked.groupBy("window", "items", "len").agg(rarest).select("window", "items", "len", F.col("r.w").alias("w"), F.col("r.off").alias("off")))
+    hits = hit_places(docs, doc, text, prefix).groupBy("_doc", "_row").agg(F.array_sort(F.collect_set(F.struct("at", "len", "items"))).alias("_c"))
+    hits = bounded(settle(hits), F.size("_c")).select(F.struct("_doc", "_row", "_c").alias("_h"))
+    names = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")]
+    fresh = docs.select(F.struct(*names).alias("_d"))
+    text_ = F.col(f"_d.{text}")
+    joined = fresh.join(hits, F.col(f"_d.{doc}").eqNullSafe(F.col("_h._doc")) & (row_of(F.col(f"_d.{doc}"), text_) == F.col("_h._row")), "left")
+    c = F.col("_h._c")
+    end = lambda x: x["at"] + x["len"]
     # places come in order: each adds what lies behind the end reached so far
     total = F.aggregate(
-        "_c",
+        c,
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
-        lambda s, c: F.struct(F.greatest(s["end"], end(c)).alias("end"), (s["n"] + F.greatest(F.lit(0), end(c) - F.greatest(s["end"], c["at"]))).alias("n")),
+        lambda s, x: F.struct(F.greatest(s["end"], end(x)).alias("end"), (s["n"] + F.greatest(F.lit(0), end(x) - F.greatest(s["end"], x["at"]))).alias("n")),
         lambda s: s["n"],
     )
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("_c", lambda c: c["items"]))))
-    return (
-        hits.withColumn("n_words", F.size(words(F.col(text))).cast("long"))
-        .withColumn("n_hit", F.coalesce(total, F.lit(0)).cast("long"))
-        .withColumn("items", F.coalesce(items, F.array().cast("array<string>")))
-        .withColumn("contaminated", F.col("n_hit") > 0)
-        .drop("_c", "_key")
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform(c, lambda x: x["items"]))))
+    return joined.select(
+        *[F.col(f"_d.{n}").alias(n) for n in names],
+        F.size(words(text_)).cast("long").alias("n_words"),
+        F.coalesce(total, F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(items, F.array().cast("array<string>")).alias("items"),
+        (F.coalesce(total, F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def row_of(doc: Column, text: Column) -> Column:
+    """A hash that tells rows of one doc id with different texts apart."""
+    return F.xxhash64(doc, text)
+
+
+def hit_places(docs: DataFrame, doc: str, text: str, prefix: DataFrame) -> DataFrame:
+    """(_doc, _row, at, len, items): where a document has a whole window; ``prefix`` is settled.
+
+    With a broadcast ``prefix`` the words stay at hand where places are found
+    (one generated loop over a text's words, nothing is copied), so each place
+    is compared there.  Otherwise the places found are shuffled to their texts.
+    """
+    own = docs.select(F.col(doc).alias("_doc"), row_of(F.col(doc), F.col(text)).alias("_row"), words(F.col(text)).alias("_w"))
+    start = (F.col("at") - F.col("off")).alias("at")
+    fits = (F.col("at") >= F.col("off")) & (F.col("at") - F.col("off") + F.col("len") <= F.col("_n"))
+    same = lambda at: F.array_join(F.slice("_w", at + 1, F.col("len")), " ") == F.col("window")
+    if few(prefix):
+        places = own.select("_doc", "_row", "_w", F.size("_w").alias("_n"), F.posexplode("_w").alias("at", "w"))
+        found = places.join(F.broadcast(prefix), "w").filter(fits).filter(same(F.col("at") - F.col("off")))
+        return found.select("_doc", "_row", start, "len", "items")
+    places = own.select("_doc", "_row", F.size("_w").alias("_n"), F.posexplode("_w").alias("at", "w"))
+    found = places.join(prefix, "w").filter(fits).select("_row", start, "len", "items", "window").distinct()
+    return found.join(own, "_row").filter(same(F.col("at"))).select("_doc", "_row", "at", "len", "items")

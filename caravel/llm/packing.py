@@ -28,13 +28,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, doc: str, text: str, size: int, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and the end id, cut into pieces."""
     lean(docs.sparkSession)
-    tokenizer, ranks = tokenizer or place(TOKENIZER), ranks or place(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = tokenizer or place(TOKENIZER), ranks or place(RANKS)  # found where the task runs
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(t.as_py() or "", tokenizer, ranks), np.uint32(END)).astype("<u4")
+                ids = np.append(encode(t.as_py() or "", *files), np.uint32(END)).astype("<u4")
                 for i, (start, length) in enumerate(cut(len(ids), size)):
                     for column, value in zip(out, (d, i, start, length, zlib.crc32(ids[start : start + length])), strict=True):
                         column.append(value)
@@ -238,22 +238,28 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
     return out
 
 
-PACKED = "sequence_id long, doc_ids array<long>, pieces array<int>, starts array<long>, cu_seqlens array<int>, input_ids array<int>, position_ids array<int>"
+PACKED = "sequence_id long, doc_ids array<long>, pieces array<int>, starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
 
 def best_fit_pack(docs: DataFrame, doc: str, text: str, size: int, block: int = 8192, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
-    """Packed sequences with id rows, cumulative segment lengths and position resets; see ``PACKED``.
-
-    Each task packs its pieces in blocks of ``block``; nothing is shuffled.
-    ``input_ids`` has the ids of the segments in order (unused places at the
-    end are left out: ``cu_seqlens`` ends at the row's length), positions
-    start at 0 in each segment.  Null texts count as empty; each document ends
-    with the end id, so it has one token at least.
+    """Packed sequences: rows of an id matrix, cumulative segment lengths and position resets; see ``PACKED``.
+
+    Each task packs its pieces in blocks of ``block``; nothing is shuffled.  So
+    which pieces share a sequence depends on how the table is partitioned;
+    the pieces and their ids don't.  ``input_ids`` and ``position_ids`` are
+    ``size`` unsigned 32-bit numbers, little-endian: the segments' ids in order
+    and their places, which start at 0 in each segment; behind
+    ``cu_seqlens``' last number all are 0.  Null texts count as empty; each
+    document ends with the end id, so it has one token at least.  A null doc
+    id stays null; repeated rows are packed each.  An empty table gives none.
     """
     lean(docs.sparkSession)
-    tokenizer, ranks = tokenizer or place(TOKENIZER), ranks or place(RANKS)
+
+    def matrix(rows: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * (4 * size)), pa.py_buffer(np.ascontiguousarray(rows))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = tokenizer or place(TOKENIZER), ranks or place(RANKS)
         number = TaskContext.get().partitionId() << 33
         held: list[tuple] = []
 
@@ -261,19 +267,24 @@ def best_fit_pack(docs: DataFrame, doc: str, text: str, size: int, block: int =
             nonlocal number
             packed = best_fit_decreasing([len(h[3]) for h in held], size)
             for at in range(0, len(packed), 512):
-                rows = []
-                for own in packed[at : at + 512]:
-                    parts = [held[i] for i in own]
-                    sizes = [len(p[3]) for p in parts]
-                    rows.append((number, [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts], np.cumsum([0, *sizes]).astype(np.int32), np.concatenate([p[3] for p in parts]).astype(np.int32), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])))
-                    number += 1
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-                names = ["sequence_id", "doc_ids", "pieces", "starts", "cu_seqlens", "input_ids", "position_ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                own = packed[at : at + 512]
+                ids, positions = np.zeros((len(own), size), "<u4"), np.zeros((len(own), size), "<u4")
+                lists: list[list] = [[], [], [], []]
+                for i, members in enumerate(own):
+                    parts = [held[m] for m in members]
+                    bounds = np.cumsum([0, *(len(p[3]) for p in parts)])
+                    ids[i, : bounds[-1]] = np.concatenate([p[3] for p in parts])
+                    positions[i, : bounds[-1]] = np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))
+                    for column, value in zip(lists, ([p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts], bounds.tolist()), strict=True):
+                        column.append(value)
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+                columns = [pa.array(np.arange(number, number + len(own))), *(pa.array(c, pa.list_(k)) for c, k in zip(lists, kinds, strict=True)), matrix(ids), matrix(positions)]
+                number += len(own)
+                yield pa.RecordBatch.from_arrays(columns, names=["sequence_id", "doc_ids", "pieces", "starts", "cu_seqlens", "input_ids", "position_ids"])
 
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(t.as_py() or "", tokenizer, ranks), np.uint32(END))
+                ids = np.append(encode(t.as_py() or "", *files), np.uint32(END))
                 held += [(d, i, start, ids[start : start + n]) for i, (start, n) in enumerate(cut(len(ids), size))]
                 if len(held) >= block:
                     yield from flush()
@@ -282,3 +293,24 @@ def best_fit_pack(docs: DataFrame, doc: str, text: str, size: int, block: int =
             yield from flush()
 
     return docs.select(F.col(doc).cast("long"), text).mapInArrow(run, PACKED)
+
+
+def write_packed(packed: DataFrame, path: str) -> None:
+    """``packed`` as Parquet files in a folder that must not exist: each has rows of equal width, so its id column is a matrix."""
+    packed.write.option("compression", "zstd").parquet(path)
+
+
+def read_packed(spark, path: str) -> DataFrame:
+    """What ``write_packed`` wrote, with the ids and positions that are in use as arrays of numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            used = np.array([c[-1] for c in batch.column("cu_seqlens").to_pylist()], np.int32)
+            out = batch.columns[:5]
+            for name in ("input_ids", "position_ids"):
+                rows = [np.frombuffer(x, "<u4", n) for x, n in zip(batch.column(name).to_pylist(), used.tolist(), strict=True)]
+                values = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+                out.append(pa.ListArray.from_arrays(np.append(0, np.cumsum(used)).astype(np.int32), values))
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
+
+    return lean(spark).read.parquet(path).mapInArrow(run, PACKED.replace("binary", "array<int>"))

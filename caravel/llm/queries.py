@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caravel.llm import chat, decontaminate, linededup, packing, setjoin, topk, toxicity, unitdedup, wordpiece
-from caravel.llm.store import settle
+from caravel.llm.store import ensure_checkpoint_dir, settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,9 +92,11 @@ SEQUENCE = 2048
 
 
 def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.best_fit_pack(table(spark, sf_dir, "documents"), "doc_id", "text", SEQUENCE)
-    crc = lambda c: F.crc32(F.array_join(c, ",").cast("binary"))
-    return packed.select("sequence_id", F.size("doc_ids").alias("n_segments"), F.size("input_ids").alias("n_tokens"), "doc_ids", "pieces", "starts", "cu_seqlens", crc("input_ids").alias("input_crc32"), crc("position_ids").alias("position_crc32"))
+    """The packed sequences, written to the shared folder and read back; crcs of the id and position rows' bytes."""
+    path = f"{ensure_checkpoint_dir(spark)}/packed-{uuid.uuid4().hex}"
+    packing.write_packed(packing.best_fit_pack(table(spark, sf_dir, "documents"), "doc_id", "text", SEQUENCE), path)
+    packed = spark.read.parquet(path)
+    return packed.select("sequence_id", F.size("doc_ids").alias("n_segments"), F.element_at("cu_seqlens", -1).alias("n_tokens"), "doc_ids", "pieces", "starts", "cu_seqlens", F.crc32("input_ids").alias("input_crc32"), F.crc32("position_ids").alias("position_crc32"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

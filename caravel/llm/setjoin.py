@@ -34,16 +34,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caravel.llm.components import Forest, connected_components
-from caravel.llm.shingles import SPACE, U, buffers, mix, shingle_sets
+from caravel.llm.shingles import SPACE, U, buffers, mix, packed_sets, shingle_sets
 from caravel.llm.store import holds, key_filter, lean, partitions, settle
 from caravel.llm.trie import linked_components, linked_to_earlier
 
 #: Largest block of a prefix token in which pairs are formed.
 BLOCK = 64
-#: Largest number of sets joined by one trie.
-CLUSTER = 512
+#: Largest number of sets, and of their tokens on average, joined by one trie.
+CLUSTER, CLUSTER_TOKENS = 512, 1_000_000
 #: Shingles that a task holds while it counts.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 #: Most shingles in the list that shapes the order.
 HEAVY = 100_000
 #: Prefix tokens of a bucket, on average: what a task holds at once.
@@ -414,12 +414,12 @@ def with_sets(docs: DataFrame, doc: str, text: str, k: int, members: DataFrame,
             which = np.flatnonzero(holds(bits.value, _cells(batch.column(1).to_numpy()[rows], number)))
             if not len(which):
                 continue
-            picked = column.take(pa.array(which))
-            out = [(which[u], *digest(s), s.tobytes()) for u, s in shingle_sets(picked, k, separators) if len(s)]
-            if out:
-                at, a, b, tokens = zip(*out, strict=True)
-                at = np.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(batch.column(i).take(pa.array(rows[at])) for i in (0, 1)), pa.array(number[at], pa.int32()), pa.array(tokens, pa.binary())], names=["id", "id2", "doc", "row", "line", "tokens"])
+            for sets, first, tokens in packed_sets(column.take(pa.array(which)), k, separators):
+                n = np.diff(np.append(first, len(tokens)))
+                a, b = digest_many(tokens, first, n)
+                at = which[sets]
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(first, len(tokens)).astype(np.int64) * 8), pa.py_buffer(tokens)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(batch.column(i).take(pa.array(rows[at])) for i in (0, 1)), pa.array(number[at], pa.int32()), blobs], names=["id", "id2", "doc", "row", "line", "tokens"])
 
     found = keyed(docs, doc, text).mapInArrow(run, "id long, id2 long, doc long, row long, line int, tokens binary")
     return members.join(found.dropDuplicates(["id", "id2", "doc", "row", "line"]), ["id", "id2", "doc", "row", "line"])
@@ -481,12 +481,12 @@ def _join_groups(rows: DataFrame, num: int, den: int, earlier: bool) -> DataFram
 def link_clusters(sets: DataFrame, num: int, den: int, earlier: bool) -> DataFrame:
     """Links within clusters, enough for the question asked.
 
-    ``sets``: id, id2, doc, row, line, cluster, size (of the cluster), tokens.
+    ``sets``: id, id2, doc, row, line, cluster, size and weight (of the cluster), tokens.
     Returns, settled, (id, id2) of the sets that link with one of smaller (doc, row, line)
     if ``earlier``, else (a, b) edges over class ids that connect all linked classes.
     """
     chunk = F.pmod(F.xxhash64("id", "id2"), F.col("chunks")).cast("int")
-    sets = sets.withColumn("chunks", F.ceil(F.col("size") / CLUSTER))
+    sets = sets.withColumn("chunks", F.greatest(F.ceil(F.col("size") / CLUSTER), F.ceil(F.col("weight") / CLUSTER_TOKENS)))
     small = sets.filter("chunks = 1").select("*", F.lit(0).alias("part"), F.lit(0).alias("part2"), F.lit(True).alias("wanted"))
     names = ["x", "y"]
     first = settle(_join_groups(small, num, den, earlier))
@@ -522,11 +522,11 @@ def link_clusters(sets: DataFrame, num: int, den: int, earlier: bool) -> DataFra
 
 
 def clustered(cls: DataFrame, edges: DataFrame) -> DataFrame:
-    """The classes that have a candidate, with their cluster and its size."""
+    """The classes that have a candidate, with their cluster, its size and its number of tokens (weight)."""
     found = connected_components(edges)
-    members = settle(cls.select("id", "id2", "doc", "row", "line").join(found.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"))
-    sizes = settle(members.groupBy("cluster").agg(F.count("*").alias("size")))
-    return members.join(sizes, "cluster").filter("size > 1")
+    members = settle(cls.select("id", "id2", "doc", "row", "line", "n").join(found.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"))
+    sizes = settle(members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).filter("size > 1"))
+    return members.drop("n").join(sizes, "cluster")
 
 
 def linked_classes(docs: DataFrame, doc: str, text: str, k: int, num: int, den: int, separators: np.ndarray = SPACE, by_row: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -24,7 +24,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 #: Text handled at once; bounds the working memory of a task.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,9 +70,32 @@ def word_spans(text: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tup
     return edge[:-1][inside], edge[1:][inside]
 
 
+#: Texts up to this size are hashed by running sums; longer ones word by word, in less memory.
+_RUN = 1 << 18
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n of the step, and of its inverse modulo 2**64."""
+    if len(_POWERS.get("up", ())) <= n:
+        size = 1 << n.bit_length()
+        back = U(pow(int(_STEP), -1, 1 << 64))
+        for name, x in (("up", _STEP), ("down", back)):
+            _POWERS[name] = np.cumprod(np.append(U(1), np.full(size, x)))
+    return _POWERS["up"], _POWERS["down"]
+
+
 def word_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash of the bytes of each word."""
     if not len(start):
         return np.zeros(0, np.uint64)
+    if len(text) <= _RUN:
+        up, down = _powers(len(text) + 1)
+        run = np.zeros(len(text) + 1, np.uint64)
+        value = _BYTE[text]
+        value *= up[: len(text)]
+        np.cumsum(value, out=run[1:])
+        return mix((run[end] - run[start]) * down[start] * _STEP)
     size = end - start
     last = np.cumsum(size)
     first = last - size
@@ -149,3 +172,33 @@ def shingle_sets(column: pa.Array, k: int, separators: np.ndarray = SPACE) -> It
                 yield row, short_hash(words[a:b])
             else:
                 yield row, np.zeros(0, np.uint64)
+
+
+def packed_sets(column: pa.Array, k: int, separators: np.ndarray = SPACE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, first token of each, tokens): ``shingle_sets`` of the rows with words, some at a time; for many short texts."""
+    off, data = buffers(column)
+    for i, j in chunks(off):
+        own = off[i : j + 1] - off[i]
+        text = data[off[i] : off[j]]
+        start, end = word_spans(text, own, separators)
+        if not len(start):
+            continue
+        first = np.searchsorted(start, own)
+        count = np.diff(first)
+        h = word_hashes(text, start, end)
+        s = shingle_hashes(h, k)
+        live = np.flatnonzero(count)
+        short = count[live] < k
+        a, n = first[:-1][live], np.maximum(count[live] - k + 1, 1)
+        ends = np.cumsum(n)
+        begin = ends - n
+        at = np.arange(int(ends[-1])) + np.repeat(a - begin, n)
+        # what short texts take here is replaced
+        s = s[np.minimum(at, len(s) - 1)] if len(s) else np.zeros(len(at), np.uint64)
+        s[begin[short]] = short_hashes(h, a[short], count[live][short])
+        for x, y in zip(begin[n > 1].tolist(), ends[n > 1].tolist(), strict=True):
+            s[x:y].sort()
+        fresh = np.append(True, s[1:] != s[:-1])
+        fresh[begin] = True
+        place = np.cumsum(fresh) - 1
+        yield live + i, place[begin], s[fresh]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,10 +78,8 @@ def touched(spark: SparkSession, table: np.ndarray):
     """An Arrow function of a column of hashes: whether a ``key_filter`` lets each through.  Only the hashes go to Python."""
     shared = spark.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def test(hashes):
-        import pandas as pd
-
-        return pd.Series(holds(shared.value, hashes.to_numpy()))
+    @F.arrow_udf("boolean")
+    def test(hashes: pa.Array) -> pa.Array:
+        return pa.array(holds(shared.value, hashes.to_numpy(zero_copy_only=False)))
 
     return test

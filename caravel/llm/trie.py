@@ -21,12 +21,12 @@ class SetTrie:
         sizes = np.array([len(s) for s in sets])
         every = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
         _, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-        place = np.empty(len(counts), np.int64)
-        place[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        place = np.empty(len(counts), np.int32)
+        place[np.argsort(-counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
         ends = np.cumsum(sizes)
         ordered = [np.sort(place[inverse[b - n : b]]) for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
         # the closing number, larger than all others, keeps any set from being a prefix of another
-        closed = [np.append(r, len(counts)) for r in ordered]
+        closed = [np.append(r, np.int32(len(counts))) for r in ordered]
         packed = [r.astype(">u4").tobytes() for r in closed]
         self.order = sorted(range(len(sets)), key=packed.__getitem__)
         self.rows = [closed[i] for i in self.order]

@@ -161,20 +161,24 @@ def test_plans_use_patterns():
     assert sum(n for _, n in kinds) <= 1.01 * (np.arange(513) @ h) / 512
 
 
-def test_best_fit_pack(spark, tokenised):
+def test_best_fit_pack(spark, tokenised, tmp_path):
     size = 128
-    made = packing.best_fit_pack(docs(spark, tokenised), "doc_id", "text", size, block=50).collect()
+    rows = [*tokenised, (None, "no id")]
+    packing.write_packed(packing.best_fit_pack(docs(spark, rows), "doc_id", "text", size, block=50), f"{tmp_path}/packed")
+    assert all(len(r.input_ids) == len(r.position_ids) == 4 * size for r in spark.read.parquet(f"{tmp_path}/packed").collect())
+    made = packing.read_packed(spark, f"{tmp_path}/packed").collect()
     parts = {}
     for r in made:
         assert len(r.input_ids) == len(r.position_ids) == r.cu_seqlens[-1] <= size
         for d, p, s, a, b in zip(r.doc_ids, r.pieces, r.starts, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
             assert r.position_ids[a:b] == list(range(b - a))
             parts.setdefault((d, s), []).append(r.input_ids[a:b])
-    for d, t in tokenised:
+    for d, t in rows:
         ids = true_ids(t)
         joined = [x for (dd, s) in sorted(k for k in parts if k[0] == d) for x in parts[dd, s][0]]
         assert joined == ids
     assert len({r.sequence_id for r in made}) == len(made)
+    assert packing.best_fit_pack(docs(spark, []), "doc_id", "text", size).count() == 0
 
 
 def test_best_fit_decreasing_is_best_fit():
@@ -357,3 +361,61 @@ def test_top_k_excludes_by_proof():
     rows = np.floor(64 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
     index = topk.ImpactIndex(np.arange(3000), rows)
     assert sum(index.top(rows[i], i, 20)[2] for i in range(20)) < 0.2 * 20 * 3000
+
+
+def test_ftrl_against_plain_python():
+    """The weights are those of the textbook steps, coordinate by coordinate."""
+    rnd = random.Random(3)
+    rows = [np.array(sorted(rnd.sample(range(40), rnd.randint(0, 8))), np.int32) for _ in range(120)]
+    labels = np.array([float(bool({1, 2} & set(r.tolist()))) for r in rows])
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.5, 0.3
+    w, bias = toxicity.ftrl(rows, labels, alpha, beta, l1, l2, 3, 5)
+    z, n, b = {}, {}, [0.0, 0.0]
+
+    def weight(i):
+        own = z.get(i, 0.0)
+        return 0.0 if abs(own) <= l1 else ((l1 if own > 0 else -l1) - own) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    def shift():
+        return -b[0] / ((beta + b[1] ** 0.5) / alpha)
+
+    order = np.random.default_rng(5)
+    for _ in range(3):
+        for at in order.permutation(len(rows)):
+            p = 1 / (1 + np.exp(-(sum(weight(i) for i in rows[at].tolist()) + shift())))
+            g = p - labels[at]
+            for i in rows[at].tolist():
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * weight(i)
+                n[i] = old + g * g
+            b[0] += g - ((b[1] + g * g) ** 0.5 - b[1] ** 0.5) / alpha * shift()
+            b[1] += g * g
+    assert np.allclose(w[:40], [weight(i) for i in range(40)], atol=1e-5) and not w[40:].any() and abs(bias - shift()) < 1e-9
+    assert (w[:40] == 0).any() and (w[:40] != 0).any()
+
+
+def test_toxicity_scores_against_plain_python(spark):
+    """A score is the logistic of the weights of the distinct features, one by one; rows that repeat and differ in labels count as toxic."""
+    rows, labels = toxic_corpus(4, 300)
+    df = docs(spark, [*rows, rows[0], (7, "another text")])
+    known = spark.createDataFrame([*labels, (7, 1), (7, 0)], "doc_id long, toxic int")
+    weights, bias = toxicity.train(df, "doc_id", "text", known, "doc_id", "toxic")
+
+    def hashed(word):
+        w = np.frombuffer(word, np.uint8)
+        return toxicity.word_hashes(w, np.array([0]), np.array([len(w)]))[0]
+
+    def one(text):
+        words = [x.encode() for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        h = [hashed(x) for x in words]
+        found = set(h)
+        with np.errstate(over="ignore"):
+            for gap, salt in ((1, 0x632BE59BD9B4E019), (2, 0x9E6C63D0876A9A35)):
+                found |= {toxicity.mix(np.array([a * np.uint64(salt) + b]))[0] for a, b in zip(h, h[gap:], strict=False)}
+            for size in toxicity.STEMS:
+                found |= {toxicity.mix(np.array([hashed(x[:size]) + np.uint64(size)]))[0] for x in words if len(x) > size}
+        cells = {int(f) & ((1 << toxicity.BITS) - 1) for f in found}
+        return 1 / (1 + np.exp(-(sum(float(weights[c]) for c in cells) + bias)))
+
+    for r in toxicity.score(df, "text", (weights, bias)).collect()[::7]:
+        assert abs(r.score - one(r.text)) < 1e-6
