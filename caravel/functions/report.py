@@ -70,3 +70,74 @@ def json_objects(text: str) -> list[str]:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def objects_in(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [] if t is None else json_objects(t))
+
+
+#: Clues looked for in case texts, and conclusions by clue, first match first. Fixed values.
+CLUES = ("高血压", "LDL-C", "ST-T", "冠脉", "钙化斑块", "胸痛", "胸闷", "气短")
+CONCLUSIONS = (
+    (("冠脉", "冠心病", "ST-T", "胸痛", "LDL-C"), "疑似冠心病或冠状动脉粥样硬化相关风险，需进一步临床评估。"),
+    (("呼吸困难", "水肿", "BNP", "EF"), "疑似心功能异常相关风险，需进一步临床评估。"),
+)
+OPEN_CASE = "心血管相关症状或危险因素待评估。"
+NO_FINDINGS = "模型未返回标准关键发现，需结合原始病例材料复核。"
+FIELDS = {"diagnosis": ("综合诊断结果", "综合诊断", "诊断结果"), "findings": ("关键发现",), "analysis": ("AI分析", "AI 分析"), "advice": ("临床建议",)}
+
+
+def _holds(clue: str):
+    return lambda x: x.contains(clue)
+
+
+def summary_by_rule(profile: dict[str, Column], symptoms: Column, exams: Column, more: Column, most: int = 8) -> tuple[Column, Column]:
+    """(diagnosis, findings) from the inputs alone: profile, symptoms, lines of exams, clues not said yet; ``most`` findings."""
+    said = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    own = F.concat_ws("；", *[F.when(said(c) != "", F.concat(F.lit(f"{n} " if n else ""), said(c))) for n, c in profile.items()])
+    every = F.concat_ws("\n", *[said(c) for c in profile.values()], said(symptoms), said(exams), said(more))
+    found = F.concat(
+        F.when(own != "", F.array(F.concat(F.lit("患者信息："), own))).otherwise(F.array().cast("array<string>")),
+        F.transform(items(said(symptoms)), lambda x: F.concat(F.lit("症状："), x)),
+        F.transform(F.filter(F.transform(F.split(said(exams), "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.concat(F.lit("检查："), x)),
+    )
+    for clue in CLUES:
+        new = every.contains(clue) & ~F.exists(found, _holds(clue))
+        found = F.concat(found, F.when(new, F.array(F.lit(f"相关线索：{clue}"))).otherwise(F.array().cast("array<string>")))
+    diagnosis = F.lit(OPEN_CASE)
+    for clues, text in reversed(CONCLUSIONS):
+        any_ = F.lit(False)
+        for clue in clues:
+            any_ = any_ | every.contains(clue)
+        diagnosis = F.when(any_, text).otherwise(diagnosis)
+    return diagnosis, F.when(F.size(found) > 0, F.array_join(F.slice(found, 1, most), "\n")).otherwise(NO_FINDINGS)
+
+
+def report_of(text: Column, fallback: dict[str, Column]) -> Column:
+    """The four fields of an answer: of the first JSON object in it that has any, else its headed sections, else the fallback's."""
+    heads = [h for names in FIELDS.values() for h in names]
+    empty = lambda c: F.coalesce(F.trim(c), F.lit(""))
+
+    def some(report: Column) -> Column:
+        out = F.lit(False)
+        for n in FIELDS:
+            out = out | (report[n] != "")
+        return out
+
+    parsed = F.transform(objects_in(text), lambda j: unwrapped(F.try_parse_json(j)))
+    reports = F.transform(parsed, lambda v: F.struct(*[empty(field(v, n)).alias(n) for n in FIELDS]))
+    from_json = F.get(F.filter(reports, some), F.lit(0))
+    headed = F.struct(*[F.coalesce(*[F.nullif(section(text, h, heads), F.lit("")) for h in names], F.lit("")).alias(n) for n, names in FIELDS.items()])
+    rest = F.struct(*[empty(fallback.get(n, F.lit(""))).alias(n) for n in FIELDS])
+    return F.coalesce(from_json, F.when(some(headed), headed), rest)
+
+
+def events_of(stream: Column) -> Column:
+    """The distinct payloads of a server's event stream: its data lines but the closing mark, and JSON objects in other text."""
+    lines = F.transform(F.split(stream, "\r?\n"), lambda x: F.trim(x))
+    data = F.filter(F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: F.trim(F.substring(x, 6, 2**31 - 1))), lambda x: ~x.isin("", "[DONE]"))
+    other = F.array_join(F.filter(lines, lambda x: ~x.startswith("data:")), "\n")
+    return F.array_distinct(F.concat(data, objects_in(other)))
+
+
+def folded(payloads: Column) -> Column:
+    """One report of many payloads (JSON texts): of each field the last text that isn't blank."""
+    values = F.transform(payloads, lambda p: unwrapped(F.try_parse_json(p)))
+    last = lambda n: F.coalesce(F.element_at(F.concat(F.array(F.lit("")), F.filter(F.transform(values, lambda v: F.coalesce(field(v, n), F.lit(""))), lambda t: F.trim(t) != "")), -1), F.lit(""))
+    return F.struct(*[last(n).alias(n) for n in FIELDS])

@@ -81,8 +81,22 @@ def after_thinking(text: Column) -> Column:
 
 
 def masked_key(key: Column) -> Column:
-    """A secret shown by its ends only."""
-    return F.when(F.coalesce(key, F.lit("")) == "", "").when(F.char_length(key) <= 8, "***").otherwise(F.concat(F.substring(key, 1, 4), F.lit("..."), F.substr(key, F.char_length(key) - 3, F.lit(4))))
+    """A secret shown by its ends only; words for one that is missing or too short for that."""
+    return F.when(F.coalesce(key, F.lit("")) == "", "<empty>").when(F.char_length(key) <= 8, "<set>").otherwise(F.concat(F.substring(key, 1, 4), F.lit("..."), F.substr(key, F.char_length(key) - 3, F.lit(4))))
+
+
+def shifted_tail(key: Column, by: int) -> Column:
+    """An id of three parts or more with ``by`` added to the number that ends it; others stay."""
+    tail = F.regexp_extract(key, r"^(?s)(.*:[^:]*):\s*([+-]?[0-9]+)\s*$", 2).try_cast("long")
+    return F.when(tail.isNotNull(), F.concat(F.regexp_extract(key, r"^(?s)(.*:[^:]*):\s*([+-]?[0-9]+)\s*$", 1), F.lit(":"), (tail + by).cast("string"))).otherwise(key)
+
+
+def key_forms(key: Column, prefix: str = "") -> dict[str, Column]:
+    """The ways in which an index may write an id, in the order in which they are tried."""
+    led = lambda c: F.concat(F.lit(prefix), c)
+    bare = F.regexp_replace(key, "^mira:", "")
+    forms = {"as_is": key, "prefix": led(key), "bare": bare, "prefix_bare": led(bare), "next": shifted_tail(key, 1), "previous": shifted_tail(key, -1), "bare_next": shifted_tail(bare, 1)}
+    return forms
 
 
 def fingerprint(*columns: Column) -> Column:

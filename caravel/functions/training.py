@@ -92,3 +92,31 @@ def closed_instruction(text: Column) -> Column:
 def limit_reached(ids: Column, limit: Column, ends: list[int]) -> Column:
     """Whether generation stopped for its length alone."""
     return (F.size(ids) >= limit) & ~F.coalesce(F.get(F.reverse(ids), F.lit(0)).isin(*ends), F.lit(False))
+
+
+def supervised_row(prompt: Column, answer: Column, length: int, longer: str = "error") -> Column:
+    """(ids, labels, answer_tokens, truncated) of prompt and answer ids; ids of the prompt are ignored.
+
+    Rows over ``length`` ids raise, are ``cut`` at the end, or with ``skip``
+    are null; a row in which no id of the answer is left is null.
+    """
+    if longer not in ("error", "cut", "skip"):
+        raise ValueError(longer)
+    whole = F.concat(prompt, answer)
+    over = F.size(whole) > length
+    ids = F.slice(whole, 1, length)
+    left = F.greatest(F.size(ids) - F.size(prompt), F.lit(0))
+    row = F.struct(ids.alias("ids"), labels(ids, F.size(prompt)).alias("labels"), left.alias("answer_tokens"), over.alias("truncated"))
+    fine = F.when(left > 0, row)
+    if longer == "cut":
+        return fine
+    lost = F.raise_error(F.concat(F.lit("a row has more than "), F.lit(str(length)), F.lit(" tokens"))).cast("int") if longer == "error" else F.lit(None).cast("int")
+    return F.when(over & (F.coalesce(lost, F.lit(0)) == 0), F.lit(None)).otherwise(fine)
+
+
+def by_hint(hint: Column, layouts: dict[str, Column]) -> Column:
+    """Messages by the layout that a hint names; the first that gives any for ``auto`` or no hint; null for an unknown one."""
+    out = F.when(F.coalesce(hint, F.lit("auto")) == "auto", first_known(*layouts.values()))
+    for name, messages in layouts.items():
+        out = out.when(hint == name, messages)
+    return out

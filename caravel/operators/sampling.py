@@ -70,3 +70,101 @@ def without_shared(pool: DataFrame, key: str, shared: str, chosen: DataFrame) ->
 def limit_each(df: DataFrame, group: str, order: list[Column], limit: int) -> DataFrame:
     """The first ``limit`` rows of each group."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_rank") <= limit).drop("_rank")
+
+
+def require_unique(ids: DataFrame, key: str) -> DataFrame:
+    """``ids``, unless there is none or one is null, blank or repeated: then ValueError."""
+    if ids.isEmpty():
+        raise ValueError(f"no {key}")
+    wrong = ids.groupBy(F.trim(F.col(key).cast("string")).alias("k")).count().filter("count > 1 or coalesce(k, \'\') = \'\'").limit(5).collect()
+    if wrong:
+        raise ValueError(f"{key} repeated or empty: " + ", ".join(sorted(str(r["k"]) for r in wrong)))
+    return ids
+
+
+def tagged(samples: DataFrame, key: str, indexed: DataFrame, index_key: str, matches: Column) -> DataFrame:
+    """Samples with embedded, keyword and tier: 0 for both, 1 for embedded, 2 for keyword, 3 for neither."""
+    known = indexed.select(F.col(index_key).alias("_k")).distinct().withColumn("_in", F.lit(True))
+    out = samples.join(known, samples[key] == F.col("_k"), "left").withColumn("embedded", F.col("_in").isNotNull()).drop("_k", "_in")
+    out = out.withColumn("keyword", F.coalesce(matches, F.lit(False)))
+    return out.withColumn("tier", F.when(F.col("embedded") & F.col("keyword"), 0).when(F.col("embedded"), 1).when(F.col("keyword"), 2).otherwise(3))
+
+
+def tag_counts(tagged_samples: DataFrame, group: str, category: str, kinds: tuple[str, ...] = TYPES) -> DataFrame:
+    """(group, total, embedded, missing, keyword, both, one column for each category): the audit of a population, or of chosen roles."""
+    n = lambda c: F.count_if(c)
+    e, k = F.col("embedded"), F.col("keyword")
+    return tagged_samples.groupBy(group).agg(F.count("*").alias("total"), n(e).alias("embedded"), n(~e).alias("missing"), n(k).alias("keyword"), n(e & k).alias("both"), *[n(F.col(category) == x).alias(x) for x in kinds])
+
+
+def sample_roles(samples: DataFrame, key: str, category: str, test: dict[str, int], train: dict[str, int], seed: int, shared: str | None = None) -> DataFrame:
+    """(key, category, tier, embedded, keyword, role): a test sample, then a train sample of what shares nothing with it.
+
+    ``samples`` is ``tagged``; quotas are by category.  ``shared`` names an
+    array (such as image keys): rows that share an element with a test row are
+    in no train sample.  Too few rows of any category raise, and name it.
+    """
+    have = {r[category]: r["count"] for r in samples.groupBy(category).count().collect()}
+    short = [f"{c}: {test.get(c, 0)} + {train.get(c, 0)} asked, {have.get(c, 0)} there" for c in {**test, **train} if have.get(c, 0) < test.get(c, 0) + train.get(c, 0)]
+    if short:
+        raise ValueError("too few samples: " + "; ".join(short))
+    tests = quota_sample(samples, key, category, F.col("tier"), test, seed, "test")
+    rest = samples.join(tests.select(key), key, "left_anti")
+    if shared:
+        values = tests.select(F.explode(shared).alias("_v")).distinct()
+        hit = rest.select(key, F.explode(shared).alias("_v")).join(values, "_v", "left_semi").select(key).distinct()
+        rest = rest.join(hit, key, "left_anti")
+    trains = quota_sample(rest, key, category, F.col("tier"), train, seed, "train")
+    left = {r[category]: r["count"] for r in trains.groupBy(category).count().collect()}
+    short = [f"{c}: {n} asked, {left.get(c, 0)} left" for c, n in train.items() if left.get(c, 0) < n]
+    if short:
+        raise ValueError("too few samples outside the test: " + "; ".join(short))
+    fields = [key, category, "tier", "embedded", "keyword"]
+    return tests.select(*fields, F.lit("test").alias("role")).unionByName(trains.select(*fields, F.lit("train").alias("role")))
+
+
+def evaluation_split(samples: DataFrame, key: str, reserved: DataFrame, count: int | None = None, knowledge: int | None = None, seed: int = 42, shared: str | None = None, kinds: list[str] | None = None, category: str = "category") -> tuple[DataFrame, DataFrame]:
+    """(test, knowledge) for an evaluation.
+
+    ``reserved``: (ord, key) of the fixed test set; every id must be there
+    once.  The test has those of ``kinds``, then the first ``count``; the
+    knowledge leaves out all reserved ids however few are tested, and rows that
+    share an element of ``shared`` with a tested one, and is a seeded sample of
+    ``knowledge`` rows.
+    """
+    require_unique(reserved, key)
+    lost = reserved.join(samples.select(key), key, "left_anti").limit(5).collect()
+    if lost:
+        raise ValueError("not in the data: " + ", ".join(sorted(str(r[key]) for r in lost)))
+    test = samples.join(reserved.select(key, "ord"), key)
+    if kinds:
+        test = test.filter(F.col(category).isin(*kinds))
+    test = test.orderBy("ord", key).limit(count) if count else test
+    rest = samples.join(reserved.select(key), key, "left_anti")
+    if shared:
+        values = test.select(F.explode(shared).alias("_v")).distinct()
+        hit = rest.select(key, F.explode(shared).alias("_v")).join(values, "_v", "left_semi").select(key).distinct()
+        rest = rest.join(hit, key, "left_anti")
+    if knowledge:
+        rest = rest.orderBy(lot(seed, "knowledge", F.col(key)), key).limit(knowledge)
+    return test, rest
+
+
+def seeded_rows(df: DataFrame, key: str, count: int, seed: int) -> DataFrame:
+    """``count`` distinct rows by the order of their lots: a sample for a look at the data."""
+    return df.orderBy(lot(seed, "look", F.col(key)), key).limit(count)
+
+
+def one_example(df: DataFrame, key: str, text: str, most: int, seed: int | None = None, index: int | None = None) -> DataFrame:
+    """One row: the given place in the order of keys, else the first (or with ``seed`` a random one) of those whose text is short enough, or of all if none is."""
+    if index is not None:
+        return df.orderBy(key).offset(index).limit(1)
+    short = F.char_length(text) <= most
+    return df.orderBy(F.when(short, 0).otherwise(1), *([] if seed is None else [lot(seed, "one", F.col(key))]), key).limit(1)
+
+
+def accepted_counts(df: DataFrame, group: str, index: Column, accepted: Column, limit: int) -> DataFrame:
+    """(group, seen, accepted, skipped) when each group is read in the order of ``index`` until ``limit`` rows are accepted."""
+    order = Window.partitionBy(group).orderBy(index)
+    own = df.withColumn("_ok", accepted.cast("int")).withColumn("_n", F.coalesce(F.sum("_ok").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return own.filter(F.col("_n") < limit).groupBy(group).agg(F.count("*").alias("seen"), F.sum("_ok").alias("accepted"), F.count_if(F.col("_ok") == 0).alias("skipped"))

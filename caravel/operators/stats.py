@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Quantile of the normal distribution for 95 % intervals. Fixed value.
 Z = 1.959963984540054
+#: Rows whose weights are drawn at once.
+BLOCK = 256
 
 
 def wilson(p: Column, n: Column) -> tuple[Column, Column]:
@@ -44,19 +48,30 @@ def metric_summary(df: DataFrame, group: str, metrics: dict[str, Column]) -> Dat
 def bootstrap(df: DataFrame, group: str, value: str, order: str, samples: int = 1000, seed: int = 42) -> DataFrame:
     """(group, n, mean, ci_low, ci_high): 2.5 and 97.5 percentiles of resampled means.
 
-    A row's weight in a resample is a Poisson draw, made from the row's own
-    hash, so groups of any size are resampled where they lie; only weighted
-    sums are shuffled.
+    A row's weight in a resample is a Poisson draw from a hash of the row's
+    own hash and the resample's number, so groups of any size are resampled
+    where they lie; only weighted sums are shuffled.  ``BLOCK`` rows are
+    weighed at once.
     """
     kind = df.schema[group].dataType.simpleString()
+    # chances of at most 0, 1, 2, ... of a Poisson draw with mean 1
+    chances = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(13)])
+    marks = np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
 
     def sums(batches):
         for pdf in batches:
             pdf = pdf[pdf["value"].notna()]
             for key, own in pdf.groupby("key", dropna=False):
-                weights = np.stack([np.random.default_rng([seed, int(h) & 0xFFFFFFFF, int(h) >> 32 & 0xFFFFFFFF]).poisson(1.0, samples) for h in own["hash"]])
-                v = own["value"].to_numpy()
-                yield pd.DataFrame({"key": [key], "n": [len(v)], "total": [v.sum()], "count": [weights.sum(axis=0).astype(float).tolist()], "sum": [(weights * v[:, None]).sum(axis=0).tolist()]})
+                count, total = np.zeros(samples), np.zeros(samples)
+                v, h = own["value"].to_numpy(), own["hash"].to_numpy().view(np.uint64)
+                for i in range(0, len(v), BLOCK):
+                    x = h[i : i + BLOCK, None] ^ marks
+                    for shift in (33, 29):
+                        x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xC4CEB9FE1A85EC53)
+                    weights = np.searchsorted(chances, (x >> np.uint64(11)) * 2.0**-53, "right")
+                    count += weights.sum(axis=0)
+                    total += v[i : i + BLOCK] @ weights
+                yield pd.DataFrame({"key": [key], "n": [len(v)], "total": [v.sum()], "count": [count.tolist()], "sum": [total.tolist()]})
 
     rows = df.select(F.col(group).alias("key"), F.col(value).cast("double").alias("value"), F.xxhash64(order).alias("hash"))
     parts = rows.mapInPandas(sums, f"key {kind}, n long, total double, count array<double>, sum array<double>")

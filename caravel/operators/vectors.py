@@ -36,43 +36,62 @@ def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:
     return df.select(group, F.posexplode(vector).alias("position", "x")).groupBy(group, "position").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
-def top_k_cosine(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int, exclude: Column | None = None, decimals: int = 6) -> DataFrame:
-    """(query_id, rank, id, similarity): columns of the query side are named ``q_*``.
+#: Vectors of a candidate block, on average.
+BLOCK = 8192
 
-    ``queries`` is a stated set whose size the caller bounds; it is broadcast.
-    Equal similarities (to ``decimals``) go to the smaller id.
-    """
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).withColumn("_qn", norm(F.col(f"q_{vector}")))
-    pairs = index.withColumn("_n", norm(F.col(vector))).filter("_n > 0").join(F.broadcast(q), ~F.coalesce(exclude if exclude is not None else F.lit(False), F.lit(False)))
-    scored = pairs.select(F.col(f"q_{key}").alias("query_id"), F.col(key).alias("id"), F.round(dot(F.col(vector), F.col(f"q_{vector}")) / (F.col("_n") * F.col("_qn")), decimals).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 
+def top_k_cosine(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int, group: str | None = None, decimals: int = 6) -> DataFrame:
+    """(query_id, rank, id, similarity) by products of blocks.
 
-def top_k_blocks(queries: list[tuple[int, int, list[float]]], index: DataFrame, key: str, group: str, vector: str, k: int, decimals: int = 6) -> DataFrame:
-    """``top_k_cosine`` by block products: each batch gives its best k for each query; ids and groups of the query are left out."""
-    q_ids, q_groups = (np.array([q[i] for q in queries]) for i in (0, 1))
-    q = np.array([x[2] for x in queries], float).reshape(len(queries), -1)
-    q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    A candidate with the query's own key, or its ``group``, is left out; zero,
+    null and odd-sized vectors take no part.  Equal similarities (to
+    ``decimals``) go to the smaller id.  Each vector goes to one block; queries
+    go to every block, are multiplied in batches, and bring ``k`` rows from each.
+    """
+    spark = index.sparkSession
+    parts = max(1, -(-index.count() // BLOCK))
+    own = lambda df: df.select(F.col(key).cast("long").alias("id"), (F.col(group) if group else F.lit(None)).cast("string").alias("grp"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    stored = own(index).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("asks", F.lit(False))
+    asked = own(queries).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("asks", F.lit(True))
+    rows = stored.unionByName(asked).filter(F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))).withColumn("dims", F.size("v"))
+    keys = ["dims", "block"]
+    dealt = rows.filter("dims > 0").select(*keys, "asks", "id", "grp", "v").repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys).sortWithinPartitions(*keys, "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, block = None, [], None
         for batch in batches:
-            ids, groups = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows = np.array(batch.column(2).to_pylist(), float).reshape(len(ids), -1)
-            length = np.linalg.norm(rows, axis=1)
-            rows, ids, groups = rows[length > 0] / length[length > 0, None], ids[length > 0], groups[length > 0]
-            score = np.round(q @ rows.T, decimals)
-            out: list[list[np.ndarray]] = [[], [], []]
-            for i in range(len(q_ids)):
-                able = np.flatnonzero((ids != q_ids[i]) & (groups != q_groups[i]))
-                best = able[np.lexsort((ids[able], -score[i, able]))[:k]]
-                for column, x in zip(out, (np.full(len(best), q_ids[i]), ids[best], score[i, best]), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "id", "similarity"])
-
-    parts = index.select(key, group, vector).mapInArrow(run, "query_id long, id long, similarity double")
+            places = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2)], axis=1)
+            cut = [0, *(np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1).tolist(), len(places)]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                dims, number, asks = places[i].tolist()
+                if (dims, number) != at:
+                    at, held, block = (dims, number), [], None
+                ids = batch.column(3).slice(i, j - i).to_numpy()
+                groups = np.array(batch.column(4).slice(i, j - i).to_pylist(), object)
+                v = batch.column(5).slice(i, j - i).flatten().to_numpy().reshape(j - i, dims)
+                length = np.linalg.norm(v, axis=1)
+                some = length > 0
+                part = ids[some], groups[some], v[some] / length[some, None]
+                if not asks:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                block = block or tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                score = np.round(part[2] @ block[2].T, decimals)
+                out: list[list[np.ndarray]] = [[], [], []]
+                for q, g, own in zip(part[0].tolist(), part[1], score, strict=True):
+                    able = np.flatnonzero((block[0] != q) & ((block[1] != g) if g is not None else True))
+                    if len(able) > k:
+                        able = able[own[able] >= np.partition(own[able], len(able) - k)[len(able) - k]]
+                    best = able[np.lexsort((block[0][able], -own[able]))[:k]]
+                    for column, x in zip(out, (np.full(len(best), q), block[0][best], own[best]), strict=True):
+                        column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "id", "similarity"])
+
+    found = dealt.mapInArrow(run, "query_id long, id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 
 
 def best_key_form(keys: DataFrame, key: str, forms: dict[str, Column], index: DataFrame, index_key: str) -> DataFrame:

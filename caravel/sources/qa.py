@@ -14,9 +14,12 @@ QA = "map<string,array<variant>>"
 def read_image_rows(spark: SparkSession, path: str, split: str) -> DataFrame:
     """(split, row_index, image_path, caption, vqa_json) of a split's CSV; quoted fields may span lines.
 
-    Such a file is one partition, so the running number is the row's number.
-    Write the result as Parquet once; all later work reads that.
+    Such a file is one partition, so the running number is the row's number; a
+    path of several files is refused, as their numbers would mix.  Write the
+    result as Parquet once; all later work reads that.
     """
+    if len(found := spark.read.text(path, wholetext=True).inputFiles()) != 1:
+        raise ValueError(f"{path}: one file is needed, {len(found)} found")
     rows = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST").option("encoding", "UTF-8").csv(path)
     names = {c.lstrip("﻿"): c for c in rows.columns}
     lost = {"image_path", "vqa_json"} - set(names)
@@ -35,10 +38,19 @@ def image_list(value: Column) -> Column:
 
 
 def _clean_path(path: Column) -> Column:
-    flat = F.regexp_replace(F.regexp_replace(path, r"/+", "/"), r"(?:^|(?<=/))\./", "")
-    for _ in range(4):
-        flat = F.regexp_replace(flat, r"(?:^|(?<=/))(?!\.\./)[^/]+/\.\./", "")
-    return flat
+    """The path without ``.``, doubled slashes, and ``..`` behind a folder, to any depth."""
+    flat = F.replace(path, F.lit("\\"), F.lit("/"))
+    parts = F.filter(F.split(flat, "/"), lambda x: ~x.isin("", "."))
+    root = flat.startswith("/")
+    last = lambda s: F.try_element_at(s, F.lit(-1))
+    step = lambda s, x: F.when((x == "..") & (F.size(s) > 0) & (last(s) != ".."), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).when((x == "..") & root, s).otherwise(F.concat(s, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.when(root, "/").otherwise(""), F.array_join(kept, "/"))
+
+
+def placed(path: Column, root: str) -> Column:
+    """A path inside ``root`` unless it is absolute; one with a scheme is an error."""
+    return F.when(path.contains("://"), F.raise_error(F.concat(F.lit("no local path: "), path)).cast("string")).when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
 
 
 def image_keys(paths: Column) -> Column:
@@ -52,7 +64,8 @@ def flatten(rows: DataFrame) -> DataFrame:
     known = rows.withColumn("_qa", qa)
     wrong = F.exists(F.map_keys("_qa"), lambda k: ~k.isin(*TYPES))
     where = F.concat(F.col("split"), F.lit(" row "), (F.col("row_index") + 1).cast("string"))
-    checked = known.withColumn("_qa", F.when(F.col("_qa").isNull(), F.raise_error(F.concat(where, F.lit(": vqa_json is no object of lists")))).when(wrong, F.raise_error(F.concat(where, F.lit(": unknown question type")))).otherwise(F.col("_qa")))
+    none = F.coalesce(F.aggregate(F.map_values("_qa"), F.lit(0), lambda n, v: n + F.coalesce(F.size(v), F.lit(0))), F.lit(0)) == 0
+    checked = known.withColumn("_qa", F.when(F.col("_qa").isNull(), F.raise_error(F.concat(where, F.lit(": vqa_json is no object of lists")))).when(wrong, F.raise_error(F.concat(where, F.lit(": unknown question type")))).when(none, F.raise_error(F.concat(where, F.lit(": no question")))).otherwise(F.col("_qa")))
     each = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(t).alias("category"), F.coalesce(F.col("_qa")[t], F.array().cast("array<variant>")).alias("qas")) for i, t in enumerate(TYPES)])
     out = checked.select("split", "row_index", "image_path", "caption", F.explode(each).alias("c")).select("split", "row_index", "image_path", "caption", "c.ord", "c.category", F.posexplode("c.qas").alias("qa_index", "qa"))
     get = lambda name: F.try_variant_get("qa", f"$.{name}", "string")
@@ -75,33 +88,125 @@ def flatten(rows: DataFrame) -> DataFrame:
     )
 
 
+def _answered() -> Column:
+    return (F.size("missing_fields") == 0) & (F.trim("answer") != "")
+
+
+def after(samples: DataFrame, row: int, category: str, index: int) -> DataFrame:
+    """The samples behind a place, in the order of rows, ``TYPES`` and numbers: where an ingest goes on."""
+    at = F.struct("row_index", "ord", "qa_index")
+    return samples.filter(at > F.struct(F.lit(row).cast("long"), F.lit(TYPES.index(category)), F.lit(index)))
+
+
 def complete(samples: DataFrame) -> DataFrame:
-    """Samples with question and answer; options are put behind the question."""
-    fine = samples.filter((F.size("missing_fields") == 0) & (F.trim("answer") != ""))
+    """Samples with question and answer; options are put behind the question.  ``incomplete`` has the others."""
     asked = F.when(F.col("options_json").isNotNull(), F.concat("question", F.lit("\nOptions: "), "options_json")).otherwise(F.col("question"))
-    return fine.withColumn("question", asked).withColumnRenamed("answer", "reference")
+    return samples.filter(_answered()).withColumn("question", asked).withColumnRenamed("answer", "reference")
+
+
+def incomplete(samples: DataFrame) -> DataFrame:
+    """(split, id, missing_fields) of the samples that ``complete`` leaves out; count it to tell what is lost."""
+    lost = F.when(F.size("missing_fields") > 0, F.col("missing_fields")).otherwise(F.array(F.lit("answer")))
+    return samples.filter(~_answered()).select("split", "id", lost.alias("missing_fields"))
 
 
-def read_json_lines(spark: SparkSession, path: str, required: list[str], strict: bool = True) -> DataFrame:
-    """(file, value) of JSON lines as variants; bad lines raise if ``strict``, else they are left out."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value").filter("trim(value) <> ''")
-    rows = lines.withColumn("v", F.try_parse_json("value"))
-    good = F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines that aren't blank with their numbers from 1; a task reads each file."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("n", "value"))
+    return whole.select("file", (F.col("n") + 1).alias("line"), "value").filter(F.trim("value") != "")
+
+
+def read_json_lines(spark: SparkSession, path: str, required: list[str] | dict[str, str], strict: bool = True, key: str | None = None) -> DataFrame:
+    """(file, line, value) of JSON lines as variants.
+
+    ``required`` names fields that must not be null, or gives the kind of each
+    as ``schema_of_variant`` writes it (STRING, BIGINT, BOOLEAN, ...).  A line
+    is one object and nothing else.  If ``strict``, a bad line, a repeated or
+    empty value of ``key``, and an input without lines raise; else bad lines
+    are left out.
+    """
+    rows = numbered_lines(spark, path) if strict else spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value").filter("trim(value) <> ''").withColumn("line", F.lit(None).cast("int"))
+    flat = F.trim("value")
+    # the parser stops behind the first value; within brackets of both kinds more text is an error
+    one = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), flat, F.lit("]"))), "$", "array<variant>")
+    other = F.try_parse_json(F.concat(F.lit('{"x":'), flat, F.lit("}")))
+    v = F.when((F.size(one) == 1) & other.isNotNull() & F.schema_of_variant(F.get(one, F.lit(0))).startswith("OBJECT"), F.get(one, F.lit(0)))
+    rows = rows.withColumn("v", v)
+    good = F.col("v").isNotNull()
     for name in required:
-        good = good & F.try_variant_get("v", f"$.{name}", "string").isNotNull()
+        kind = F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
+        good = good & (F.coalesce(kind == required[name], F.lit(False)) if isinstance(required, dict) else F.coalesce(kind != "VOID", F.lit(False)))
     if not strict:
-        return rows.filter(good).select("file", F.col("v").alias("value"))
-    return rows.select("file", F.when(good, F.col("v")).otherwise(F.raise_error(F.concat(F.lit("bad line in "), F.col("file"))).cast("variant")).alias("value"))
+        return rows.filter(good).select("file", "line", F.col("v").alias("value"))
+    if rows.isEmpty():
+        raise ValueError(f"{path}: no lines")
+    where = F.concat(F.lit("bad line "), F.col("line").cast("string"), F.lit(" of "), F.col("file"))
+    out = rows.select("file", "line", F.when(good, F.col("v")).otherwise(F.raise_error(where).cast("variant")).alias("value"))
+    if key:
+        keys = out.groupBy(F.try_variant_get("value", f"$.{key}", "string").alias("key")).count()
+        wrong = keys.filter("count > 1 or coalesce(trim(key), '') = ''").limit(5).collect()
+        if wrong:
+            raise ValueError(f"{path}: {key} repeated or empty: " + ", ".join(sorted(str(r["key"]) for r in wrong)))
+    return out
+
+
+def read_eval_samples(spark: SparkSession, path: str) -> DataFrame:
+    """(id, question, reference, images) of evaluation samples; all other fields are dropped."""
+    rows = read_json_lines(spark, path, {"id": "STRING", "question": "STRING", "reference": "STRING"}, key="id")
+    get = lambda n, t="string": F.try_variant_get("value", f"$.{n}", t)
+    return rows.select(*[get(n).alias(n) for n in ("id", "question", "reference")], F.coalesce(get("images", "array<string>"), F.array_compact(F.array(get("images")))).alias("images"))
+
 
+GENERATIONS = "generations.jsonl"
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(role, ord, id) of a manifest with train_ids and test_ids; repeated ids and overlaps raise."""
-    doc = spark.read.option("multiLine", True).schema("train_ids array<string>, test_ids array<string>").json(path)
-    parts = [doc.select(F.lit(r).alias("role"), F.posexplode_outer(f"{r}_ids").alias("ord", "id")).filter("id is not null") for r in ("train", "test")]
-    rows = parts[0].unionByName(parts[1])
-    twice = rows.groupBy("id").count().filter("count > 1").limit(5).collect()
+
+def find_generations(spark: SparkSession, path: str) -> DataFrame:
+    """(run, file) of the generation files below a folder, or of the one that ``path`` is; other names are refused."""
+    if path.endswith(".jsonl") and not path.endswith("/" + GENERATIONS):
+        raise ValueError(f"{path}: the file must be named {GENERATIONS}")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", GENERATIONS).format("binaryFile").load(path).select(F.col("path").alias("file"))
+    return files.select(F.regexp_replace("file", r"/[^/]*$", "").alias("run"), "file").orderBy("file")
+
+
+def with_run_info(spark: SparkSession, generations: DataFrame, path: str) -> DataFrame:
+    """``find_generations`` with the ``evaluation`` object of the summary.json beside each, as a variant; null where there is none."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "summary.json").text(path, wholetext=True)
+    info = found.select(F.regexp_replace("_metadata.file_path", r"/[^/]*$", "").alias("run"), F.try_variant_get(F.try_parse_json("value"), "$.evaluation", "variant").alias("evaluation"))
+    local = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    return generations.withColumn("run", local("run")).join(info.withColumn("run", local("run")), "run", "left")
+
+
+def indexed_ids(collections: DataFrame, segments: DataFrame, metadata: DataFrame, database: str, name: str) -> DataFrame:
+    """(id) stored under one collection of an index: exactly one collection of that name and one metadata segment; ids distinct and not empty."""
+    own = collections.filter((F.col("database") == database) & (F.col("name") == name))
+    parts = segments.filter("scope = 'METADATA'").join(own.select(F.col("id").alias("collection")), "collection").select(F.col("id").alias("segment"))
+    for what, df in (("collection", own), ("metadata segment", parts)):
+        if (n := df.limit(2).count()) != 1:
+            raise ValueError(f"{database}/{name}: {'no' if not n else 'more than one'} {what}")
+    ids = metadata.join(parts, "segment").select(F.col("embedding_id").alias("id"))
+    wrong = ids.groupBy("id").count().filter("count > 1 or coalesce(id, '') = ''").limit(1).collect()
+    if wrong:
+        raise ValueError(f"{database}/{name}: id repeated or empty: {wrong[0]['id']}")
+    return ids
+
+
+def read_manifest(spark: SparkSession, path: str, role: str = "test", required: tuple[str, ...] = ()) -> DataFrame:
+    """(role, ord, id) of a manifest: an object with train_ids and test_ids, or a bare list, which is of ``role``.
+
+    Repeated ids, overlaps, ids of no known form and empty ``required`` roles raise.
+    """
+    doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    get = lambda p: F.try_variant_get("v", p, "array<string>")
+    lists = F.array(*[F.struct(F.lit(r).alias("role"), ids.alias("ids")) for r, ids in (("train", get("$.train_ids")), ("test", get("$.test_ids")), (role, get("$")))])
+    kind = F.schema_of_variant("v")
+    fine = kind.startswith("ARRAY<") | (kind.startswith("OBJECT<") & (get("$.train_ids").isNotNull() | get("$.test_ids").isNotNull()))
+    rows = doc.select(F.explode(F.when(F.coalesce(fine, F.lit(False)), lists).otherwise(F.raise_error(F.lit(f"{path}: no manifest")).cast("array<struct<role:string,ids:array<string>>>"))).alias("x")).select("x.role", F.posexplode("x.ids").alias("ord", "id"))
+    for r in required:
+        if rows.filter(F.col("role") == r).isEmpty():
+            raise ValueError(f"{path}: no {r} ids")
+    twice = rows.groupBy("id").count().filter("count > 1 or coalesce(trim(id), '') = ''").limit(5).collect()
     if twice:
-        raise ValueError("ids given twice: " + ", ".join(sorted(r["id"] for r in twice)))
+        raise ValueError("ids given twice or empty: " + ", ".join(sorted(str(r["id"]) for r in twice)))
     wrong = rows.filter(F.col("id").startswith("mira:") & ~F.col("id").rlike(ID_FORM)).limit(5).collect()
     if wrong:
         raise ValueError("ids of no known form: " + ", ".join(sorted(r["id"] for r in wrong)))
@@ -125,3 +230,18 @@ def resolve(wanted: DataFrame, samples: DataFrame) -> DataFrame:
 
 def missing_ids(wanted: DataFrame, samples: DataFrame) -> DataFrame:
     return wanted.join(samples.select("id"), "id", "left_anti")
+
+
+def chosen_samples(wanted: DataFrame, samples: DataFrame, incomplete_ones: str = "error") -> tuple[DataFrame, DataFrame]:
+    """(samples, audit) of the wanted ids; those without question or answer raise, or with ``skip`` are left out and listed.
+
+    Ids that are in no sample raise in either case.
+    """
+    lost = missing_ids(wanted, samples).limit(5).collect()
+    if lost:
+        raise ValueError("no such samples: " + ", ".join(sorted(r["id"] for r in lost)))
+    own = samples.join(wanted.select("id"), "id", "left_semi")
+    audit = incomplete(own)
+    if incomplete_ones == "error" and (bad := audit.limit(5).collect()):
+        raise ValueError("incomplete samples: " + ", ".join(sorted(r["id"] for r in bad)))
+    return complete(own), audit

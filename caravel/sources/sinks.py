@@ -31,10 +31,35 @@ def sheet(df: DataFrame, limit: int = 30_000) -> DataFrame:
     return df.select(*cells)
 
 
-def manifest(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
-    """One row with the sorted ids of both roles, for a JSON file."""
-    ids = lambda df, name: df.agg(F.array_sort(F.collect_set(key)).alias(name))
-    return ids(train, "train_ids").crossJoin(ids(test, "test_ids"))
+def write_manifest(train: DataFrame, test: DataFrame, key: str, path: str) -> None:
+    """JSON lines (role, id) of both roles, sorted within partitions: no list of all ids is held anywhere.
+
+    An id in both roles raises.
+    """
+    both = train.select(key).join(test.select(key), key, "left_semi").limit(1).collect()
+    if both:
+        raise ValueError(f"in both roles: {both[0][0]}")
+    roles = [df.select(F.lit(r).alias("role"), F.col(key).cast("string").alias("id")).distinct() for r, df in (("train", train), ("test", test))]
+    write_json_lines(roles[0].unionByName(roles[1]).repartitionByRange("role", "id").sortWithinPartitions("role", "id"), path)
+
+
+def write_summary(counts: DataFrame, path: str, **facts) -> None:
+    """A JSON file with a row of counts and given facts; ``counts`` has one row."""
+    write_json_lines(counts.select("*", *[F.lit(v).alias(k) for k, v in facts.items()]).coalesce(1), path)
+
+
+def write_text(df: DataFrame, path: str, *fields: str) -> None:
+    """The fields of each row as lines, a blank line behind each row; empty ones are left out."""
+    lines = [F.nullif(F.col(f).cast("string"), F.lit("")) for f in fields]
+    df.select(F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+
+
+def restored(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, text): ``chunk_rows`` put together again; a part that is missing or repeated raises."""
+    rows = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("x"), F.max("total").alias("total"))
+    whole = F.transform("x", lambda p: p["part"]) == F.sequence(F.lit(0), F.col("total") - 1)
+    text = F.array_join(F.transform("x", lambda p: p["content"]), "")
+    return rows.select(key, F.when(whole, text).otherwise(F.raise_error(F.concat(F.lit("parts are missing or repeated: "), F.col(key).cast("string"))).cast("string")).alias("text"))
 
 
 def chunk_rows(df: DataFrame, key: str, text: str, size: int = 15_000) -> DataFrame:

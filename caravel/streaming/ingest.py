@@ -9,27 +9,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
+from caravel.operators.plugins import signature
 
-def ingest(stream: DataFrame, key: str, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, order: str | None = None) -> StreamingQuery:
-    """Append each key's first row that ``target`` (Parquet) has not; runs until the input is used up.
 
-    A batch takes one row for each key, leaves out keys that are stored, does
-    the costly ``transform`` for the rest only, and appends.  The checkpoint
-    moves on after the append, so a replay finds its rows stored.
+def ingest(stream: DataFrame, key: str, target: str, checkpoint: str, order: str, transform: Callable[[DataFrame], DataFrame] | None = None, config: dict | None = None) -> StreamingQuery:
+    """Append each key's first row (by ``order``) that ``target`` (Parquet) has not; runs until the input is used up.
+
+    A batch takes one row for each key (a null is a key too), leaves out keys
+    that are stored, does the costly ``transform`` for the rest only, and
+    appends.  The checkpoint moves on after the append, so a replay finds its
+    rows stored.  ``config`` is written beside the first rows; a later run
+    under another one is refused, and so is a target with fewer rows than were
+    stored.
     """
+    spark = stream.sparkSession
+    opened(spark, target, config or {})
 
     def store(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rank = F.row_number().over(Window.partitionBy(key).orderBy(order or key))
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order), F.xxhash64(*batch.columns)))
         fresh = batch.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
         stored = _stored(spark, target)
         if stored is not None:
-            fresh = fresh.join(stored.select(key), key, "left_anti")
+            keys = stored.select(F.col(key).alias("_stored"))
+            fresh = fresh.join(keys, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
         (transform(fresh) if transform else fresh).write.mode("append").parquet(target)
+        rows = spark.read.parquet(target).select(F.count("*").alias("rows"), F.lit(signature(**(config or {}))).alias("signature"))
+        rows.coalesce(1).write.mode("append").parquet(f"{target}-runs")
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def opened(spark: SparkSession, target: str, config: dict) -> DataFrame | None:
+    """The stored rows, or None; raises where they were stored under another configuration or some are gone."""
+    runs = _stored(spark, f"{target}-runs")
+    if runs is None:
+        return None
+    last = runs.agg(F.max("rows").alias("rows"), F.count_if(F.col("signature") != signature(**config)).alias("other")).first()
+    if last["other"]:
+        raise ValueError(f"{target} was made under another configuration")
+    stored = _stored(spark, target)
+    if (0 if stored is None else stored.count()) < (last["rows"] or 0):
+        raise ValueError(f"{target} has fewer rows than were stored")
+    return stored
+
+
 def _stored(spark: SparkSession, target: str) -> DataFrame | None:
     try:
         return spark.read.parquet(target)

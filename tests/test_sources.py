@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from caravel.functions import text
 from caravel.operators import corpus, plugins, sampling, stats
-from caravel.sources import qa
-from caravel.streaming.ingest import hourly_counts, ingest
+from caravel.sources import qa, sinks
+from caravel.streaming.ingest import hourly_counts, ingest, opened
 
 
 def write_csv(path, rows):
@@ -19,59 +19,157 @@ def write_csv(path, rows):
 
 
 def test_csv_to_samples(spark, tmp_path):
-    one = {"closed_ended": [{"question": "q1", "answer": False}], "open_ended": [{"question": "q0", "answer": "a\nb"}, {"question": "q2"}]}
-    two = {"single_choice": [{"question": "q3", "answer": "A", "options": ["A. x", "B. y"], "image_path": "images/../images/own.png"}]}
-    path = write_csv(tmp_path / "train.csv", [["images/common.png", "line\nbreak", json.dumps(one)], ["['a.png', 'b.png']", "", json.dumps(two)]])
-    rows = qa.flatten(qa.read_image_rows(spark, path, "train")).orderBy("row_index", "ord", "qa_index").collect()
+    one = {"closed_ended": [{"question": "Is it dry?", "answer": False}], "open_ended": [{"question": "Which bird?", "answer": "a\nwren"}, {"question": "Where?"}]}
+    two = {"single_choice": [{"question": "Which nest?", "answer": "A", "options": ["A. reed", "B. stone"], "image_path": "birds/../birds/nest.png"}]}
+    path = write_csv(tmp_path / "train.csv", [["birds/wren.png", "first\nsecond", json.dumps(one)], ["['owl.png', 'tit.png']", "", json.dumps(two)]])
+    samples = qa.flatten(qa.read_image_rows(spark, path, "train"))
+    rows = samples.orderBy("row_index", "ord", "qa_index").collect()
     assert [r.id for r in rows] == ["mira:train:0:open_ended:0", "mira:train:0:open_ended:1", "mira:train:0:closed_ended:0", "mira:train:1:single_choice:0"]
     assert [r.missing_fields for r in rows] == [[], ["answer"], [], []]
-    assert rows[2].answer == "false" and rows[3].images == ["images/../images/own.png"]
-    done = {r.id: r for r in qa.complete(qa.flatten(qa.read_image_rows(spark, path, "train"))).collect()}
-    assert len(done) == 3 and done["mira:train:1:single_choice:0"].question == 'q3\nOptions: ["A. x","B. y"]'
+    assert rows[2].answer == "false" and rows[3].images == ["birds/../birds/nest.png"]
+    done = {r.id: r for r in qa.complete(samples).collect()}
+    assert len(done) == 3 and done["mira:train:1:single_choice:0"].question == 'Which nest?\nOptions: ["A. reed","B. stone"]'
+    assert [tuple(r) for r in qa.incomplete(samples).collect()] == [("train", "mira:train:0:open_ended:1", ["answer"])]
+    assert [r.id for r in qa.after(samples, 0, "open_ended", 1).orderBy("row_index", "ord").collect()] == [r.id for r in rows[2:]]
+    wanted = spark.createDataFrame([(0, rows[0].id), (1, rows[1].id)], "ord int, id string")
+    kept, audit = qa.chosen_samples(wanted, samples, "skip")
+    assert [r.id for r in kept.collect()] == [rows[0].id] and [r.id for r in audit.collect()] == [rows[1].id]
+    with pytest.raises(ValueError, match="incomplete"):
+        qa.chosen_samples(wanted, samples)
+    with pytest.raises(ValueError, match="no such"):
+        qa.chosen_samples(spark.createDataFrame([(0, "x")], "ord int, id string"), samples)
+
+
+@pytest.mark.parametrize(("cell", "match"), [({"odd": []}, "unknown"), ({}, "no question"), ({"open_ended": []}, "no question"), ([1], "no object")])
+def test_bad_rows_raise(spark, tmp_path, cell, match):
+    path = write_csv(tmp_path / "train.csv", [["a.png", "", json.dumps(cell)]])
+    with pytest.raises(Exception, match=f"row 1.*{match}"):
+        qa.flatten(qa.read_image_rows(spark, path, "train")).collect()
 
 
-def test_bad_rows_raise(spark, tmp_path):
-    path = write_csv(tmp_path / "train.csv", [["a.png", "", json.dumps({"odd": []})]])
-    with pytest.raises(Exception, match="row 1"):
-        qa.flatten(qa.read_image_rows(spark, path, "train")).collect()
+def test_several_files_are_refused(spark, tmp_path):
+    for name in "ab":
+        write_csv(tmp_path / f"{name}.csv", [])
+    with pytest.raises(ValueError, match="2 found"):
+        qa.read_image_rows(spark, str(tmp_path), "train")
 
 
 def test_image_names(spark):
-    values = [("images\\common.png",), ('["a.png", " b.png "]',), ("('x.png',)",), ("a//b/../c.png",)]
+    values = [("birds\\wren.png",), ('["a.png", " b.png "]',), ("('x.png',)",), ("a//b/../c.png",), ("a/b/c/d/e/../../../../../i.png",), ("../x/./y",), ("/../r.png",)]
     df = spark.createDataFrame(values, "p string").select(qa.image_list(F.col("p")).alias("l"))
-    assert [r.l for r in df.collect()] == [["images/common.png"], ["a.png", "b.png"], ["x.png"], ["a//b/../c.png"]]
-    keys = df.select(qa.image_keys(F.col("l")).alias("k")).collect()
-    assert keys[3].k == ["a/c.png"]
-
-
-def test_manifest_and_keywords(spark, tmp_path):
-    good = tmp_path / "m.json"
-    good.write_text(json.dumps({"train_ids": ["a", "b"], "test_ids": ["c"]}))
-    assert {(r.role, r.ord, r.id) for r in qa.read_manifest(spark, str(good)).collect()} == {("train", 0, "a"), ("train", 1, "b"), ("test", 0, "c")}
-    bad = tmp_path / "b.json"
-    bad.write_text(json.dumps({"train_ids": ["a"], "test_ids": ["a"]}))
-    with pytest.raises(ValueError, match="twice"):
-        qa.read_manifest(spark, str(bad))
+    assert [r.l for r in df.collect()][:4] == [["birds/wren.png"], ["a.png", "b.png"], ["x.png"], ["a//b/../c.png"]]
+    keys = [r.k for r in df.select(qa.image_keys(F.col("l")).alias("k")).collect()]
+    assert keys[3:] == [["a/c.png"], ["i.png"], ["../x/y"], ["/r.png"]]
+    got = spark.range(1).select(qa.placed(F.lit("a.png"), "/root/"), qa.placed(F.lit("/b.png"), "/root")).first()
+    assert tuple(got) == ("/root/a.png", "/b.png")
+    with pytest.raises(Exception, match="no local path"):
+        spark.createDataFrame([("s3://b/c.png",)], "p string").select(qa.placed(F.col("p"), "/x")).collect()
+
+
+def test_manifests(spark, tmp_path):
+    def read(value, **more):
+        path = tmp_path / "m.json"
+        path.write_text(value if isinstance(value, str) else json.dumps(value))
+        return {(r.role, r.ord, r.id) for r in qa.read_manifest(spark, str(path), **more).collect()}
+
+    assert read({"train_ids": ["oak", "elm"], "test_ids": ["fir"]}) == {("train", 0, "oak"), ("train", 1, "elm"), ("test", 0, "fir")}
+    assert read(["yew", "ash"]) == {("test", 0, "yew"), ("test", 1, "ash")}
+    assert read({"train_ids": [], "test_ids": ["fir"]}) == {("test", 0, "fir")}
+    for bad, match in (({"train_ids": ["oak"], "test_ids": ["oak"]}, "twice"), (["yew", "yew"], "twice"), ([" "], "empty"), (["mira:train:x"], "form")):
+        with pytest.raises(ValueError, match=match):
+            read(bad)
+    with pytest.raises(ValueError, match="no train ids"):
+        read({"train_ids": [], "test_ids": ["fir"]}, required=("train",))
+    for bad in ({"ids": []}, "no json", '"text"'):
+        with pytest.raises(Exception, match="no manifest"):
+            read(bad)
+
+
+def test_written_manifests(spark, tmp_path):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    sinks.write_manifest(ids("oak", "elm", "oak"), ids("fir"), "id", f"{tmp_path}/m")
+    assert sorted((r.role, r.id) for r in spark.read.json(f"{tmp_path}/m").collect()) == [("test", "fir"), ("train", "elm"), ("train", "oak")]
+    with pytest.raises(ValueError, match="both roles"):
+        sinks.write_manifest(ids("oak"), ids("oak"), "id", f"{tmp_path}/n")
+
+
+def test_other_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a" * 25, None), (2, "", "x")], "id int, text string, note string")
+    parts = sinks.chunk_rows(df, "id", "text", 10)
+    assert {r.id: r.text for r in sinks.restored(parts, "id").collect()} == {1: "a" * 25, 2: ""}
+    with pytest.raises(Exception, match="missing or repeated"):
+        sinks.restored(parts.filter("part <> 1"), "id").collect()
+    sinks.write_text(df, f"{tmp_path}/t", "note", "text")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/t", wholetext=True).collect())[-1:] == ["x\n\n"] or "x\n" in open(next(tmp_path.glob("t/part*"))).read()
+    sinks.write_summary(df.agg(F.count("*").alias("rows")), f"{tmp_path}/s", seed=3)
+    assert spark.read.json(f"{tmp_path}/s").first().asDict() == {"rows": 2, "seed": 3}
+
+
+def test_keyword_files(spark, tmp_path):
     words = tmp_path / "k.txt"
-    words.write_text("﻿Hypertension\n\n# note\nhypertension\nHeart\t failure\n", encoding="utf-8")
-    assert qa.read_keywords(spark, str(words)) == ["Hypertension", "Heart failure"]
+    words.write_text("﻿Snow owl\n\n# birds\nsnow  owl\nGrey\t heron\n", encoding="utf-8")
+    assert qa.read_keywords(spark, str(words)) == ["Snow owl", "Grey heron"]
+    words.write_text("# none\n")
+    with pytest.raises(ValueError, match="no keywords"):
+        qa.read_keywords(spark, str(words))
 
 
 def test_json_lines(spark, tmp_path):
     path = tmp_path / "x.jsonl"
-    path.write_text('{"id": "1", "question": "q"}\n\nnope\n[1]\n')
-    assert qa.read_json_lines(spark, str(path), ["id", "question"], strict=False).count() == 1
-    with pytest.raises(Exception, match="bad line"):
-        qa.read_json_lines(spark, str(path), ["id"]).collect()
+
+    def read(text, *args, **more):
+        path.write_text(text)
+        return qa.read_json_lines(spark, str(path), *args, **more).collect()
+
+    assert len(read('{"id": "1", "q": "x"}\n\nnope\n[1]\n{"id": null, "q": "y"}\n', ["id", "q"], strict=False)) == 1
+    assert [r.line for r in read('{"id": "1"}\n\n {"id": "2"} \n', {"id": "STRING"}, key="id")] == [1, 3]
+    for bad in ('{"id": "1"} trailing junk', '{"id": "1"} {"id": "2"}', '{"id": "1"}, {"id": "2"}', '{"id": "1"}] junk', '{"id": "1"}} junk', "[1]", '{"id": 3}', '{"id": null}', '{"a": "1"}'):
+        with pytest.raises(Exception, match="bad line 2"):
+            read('{"id": "0"}\n' + bad + "\n", {"id": "STRING"})
+    with pytest.raises(ValueError, match="repeated or empty"):
+        read('{"id": "1"}\n{"id": "1"}\n', ["id"], key="id")
+    with pytest.raises(ValueError, match="repeated or empty"):
+        read('{"id": " "}\n', ["id"], key="id")
+    with pytest.raises(ValueError, match="no lines"):
+        read("\n", ["id"])
+    path.write_text('{"id": "1", "question": "q", "reference": "r", "images": "i.png", "extra": 3}\n{"id": "2", "question": "q", "reference": "r"}\n')
+    assert [tuple(r) for r in qa.read_eval_samples(spark, str(path)).collect()] == [("1", "q", "r", ["i.png"]), ("2", "q", "r", [])]
+
+
+def test_generations(spark, tmp_path):
+    for run, info in (("one", {"evaluation": {"judge": "x"}}), ("two", {"other": 1}), ("three", None)):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "generations.jsonl").write_text("{}\n")
+        if info:
+            (tmp_path / run / "summary.json").write_text(json.dumps(info))
+    found = qa.find_generations(spark, str(tmp_path))
+    got = {r.run.rsplit("/", 1)[1]: r.e for r in qa.with_run_info(spark, found, str(tmp_path)).select("run", F.to_json("evaluation").alias("e")).collect()}
+    assert got == {"one": '{"judge":"x"}', "two": None, "three": None}
+    assert qa.find_generations(spark, str(tmp_path / "one" / "generations.jsonl")).count() == 1
+    with pytest.raises(ValueError, match="must be named"):
+        qa.find_generations(spark, str(tmp_path / "one" / "other.jsonl"))
+
+
+def test_indexed_ids(spark):
+    make = spark.createDataFrame
+    collections = make([("c1", "main", "birds"), ("c2", "main", "trees"), ("c3", "main", "trees"), ("c4", "main", "empty")], "id string, database string, name string")
+    segments = make([("s1", "c1", "METADATA"), ("s2", "c1", "VECTOR")], "id string, collection string, scope string")
+    metadata = make([("s1", "a"), ("s1", "b"), ("s2", "x")], "segment string, embedding_id string")
+    assert sorted(r.id for r in qa.indexed_ids(collections, segments, metadata, "main", "birds").collect()) == ["a", "b"]
+    for name, match in (("fish", "no collection"), ("trees", "more than one collection"), ("empty", "no metadata segment")):
+        with pytest.raises(ValueError, match=match):
+            qa.indexed_ids(collections, segments, metadata, "main", name)
+    with pytest.raises(ValueError, match="repeated or empty"):
+        qa.indexed_ids(collections, segments, metadata.unionByName(metadata), "main", "birds")
 
 
 def test_keywords(spark):
-    words = ["myocardial infarction (MI)", "hypertension"]
-    yes = ["MI", "Prior mi.", "MYOCARDIAL\n  INFARCTION", "Hypertension."]
-    no = ["similar", "BMI", "prehypertension", "hypertensions", "infarctions"]
+    words = ["grey heron (GH)", "owl"]
+    yes = ["gh", "An old Gh.", "GREY\n  HERON", "Owl!"]
+    no = ["ghost", "AGH", "owlet", "prowl", "herons", "grey herons"]
     got = spark.createDataFrame([(t,) for t in yes + no], "t string").select(corpus.mentions(F.array("t"), words).alias("m")).collect()
     assert [r.m for r in got] == [True] * len(yes) + [False] * len(no)
-    assert not spark.range(1).select(corpus.mentions(F.array(F.lit("myocardial"), F.lit("infarction")), words).alias("m")).first().m
+    assert not spark.range(1).select(corpus.mentions(F.array(F.lit("grey"), F.lit("heron")), words).alias("m")).first().m
 
 
 def test_quotas():
@@ -111,11 +209,19 @@ def test_failed_batch_is_null(spark):
 
 def test_ingest_is_idempotent(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.range(100).selectExpr("id % 50 AS k", "id AS v").repartition(4).write.parquet(source)
+    spark.range(100).selectExpr("nullif(id % 50, 7) AS k", "id AS v").repartition(4).write.parquet(source)
     schema = spark.read.parquet(source).schema
-    for run in range(2):
-        ingest(spark.readStream.schema(schema).parquet(source), "k", target, str(tmp_path / f"c{run}"), order="v").awaitTermination()
-    assert spark.read.parquet(target).count() == 50
+    run = lambda i, **more: ingest(spark.readStream.schema(schema).parquet(source), "k", target, str(tmp_path / f"c{i}"), order="v", **more).awaitTermination()
+    for i in range(2):
+        run(i, config={"dims": 3})
+    stored = spark.read.parquet(target)
+    assert stored.count() == 50 and stored.filter("k is null").count() == 1 and stored.filter("v >= 50").count() == 0
+    with pytest.raises(ValueError, match="another configuration"):
+        run(2, config={"dims": 4})
+    stored.limit(10).write.parquet(f"{target}-small")
+    spark.read.parquet(f"{target}-runs").write.parquet(f"{target}-small-runs")
+    with pytest.raises(ValueError, match="fewer rows"):
+        opened(spark, f"{target}-small", {"dims": 3})
 
 
 def test_hourly_stream(spark, tmp_path):
