@@ -116,14 +116,14 @@ def scored_run(samples: DataFrame, generations: DataFrame, key: str, reserved: D
     asked raises.  ``reserved``: ids that must not be in the generations' evidence
     (column ``evidence``, ids); one that is raises.
     """
-    known = samples.select(F.col(key).alias("_key"))
-    own = generations.join(known, generations[key] == F.col("_key"), "left")
-    checked = own.withColumn("prediction", F.when(F.col("_key").isNull(), F.raise_error(F.lit("a generation of no sample")).cast("string")).otherwise(F.col("prediction"))).drop("_key")
+    unknown = generations.join(samples.select(key), key, "left_anti").limit(1).collect()
+    if unknown:
+        raise ValueError(f"a generation of no sample: {unknown[0][key]}")
     if reserved is not None:
         leaks = generations.select(F.explode("evidence").alias("_id")).join(reserved.select(F.col(key).alias("_id")), "_id", "left_semi").limit(1).collect()
         if leaks:
             raise ValueError(f"a reserved sample is in the evidence: {leaks[0][0]}")
-    joined = samples.join(checked.select(F.col(key), "prediction"), key, "left")
+    joined = samples.join(generations.select(key, "prediction"), key, "left")
     return joined.withColumn("s", answers.objective_score("kind", "options", "reference", "prediction")).select(*joined.columns, "s.status", "s.accuracy", "s.f1")
 
 

@@ -75,7 +75,7 @@ def bootstrap(df: DataFrame, group: str, value: str, order: str, samples: int =
 
     rows = df.select(F.col(group).alias("key"), F.col(value).cast("double").alias("value"), F.xxhash64(order).alias("hash"))
     parts = rows.mapInPandas(sums, f"key {kind}, n long, total double, count array<double>, sum array<double>")
-    spread = parts.select("key", F.posexplode(F.arrays_zip("count", "sum")).alias("i", "x")).groupBy("key", "i").agg((F.sum("x.sum") / F.sum("x.count")).alias("m"))
+    spread = parts.select("key", F.posexplode(F.arrays_zip("count", "sum")).alias("i", "x")).groupBy("key", "i").agg(F.try_divide(F.sum("x.sum"), F.sum("x.count")).alias("m"))
     ends = spread.groupBy("key").agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
     means = parts.groupBy("key").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
     return means.join(ends, means["key"].eqNullSafe(ends["key"])).select(means["key"].alias(group), "n", "mean", F.when(F.col("n") > 1, F.col("ci_low")).alias("ci_low"), F.when(F.col("n") > 1, F.col("ci_high")).alias("ci_high"))

@@ -77,7 +77,6 @@ def test_sinks(spark, tmp_path):
     sinks.write_scored(df, str(tmp_path / "s"), "t", F.col("z").isNotNull())
     assert spark.read.json(str(tmp_path / "s/review_needed")).count() == 1
     assert [r.t for r in sinks.sheet(df).orderBy("k").collect()] == ["x", "'=1"]
-    assert sinks.manifest(df, df.limit(0), "k").first().train_ids == ["a", "b"]
     assert sinks.chunk_rows(spark.createDataFrame([("k", "abcde")], "k string, t string"), "k", "t", 2).count() == 3
     rows = spark.createDataFrame([("q", 2, "two"), ("q", 1, "one")], "q string, rank int, text string")
     assert sinks.context_blocks(rows, "q", "rank", "text", 6).first().context == "one\n\ntwo"
