@@ -116,3 +116,21 @@ def parsed_id(text: Column) -> Column:
     """(split, row, category, index) of a sample's id; null if it hasn't the form."""
     part = lambda i: F.regexp_extract(text, ID_FORM, i)
     return F.when(text.rlike(ID_FORM), F.struct(part(1).alias("split"), part(2).cast("long").alias("row"), part(3).alias("category"), part(4).cast("int").alias("index")))
+
+
+#: A token budget's settings and what they are if nothing is said. Fixed values.
+BUDGET = {"enabled": False, "multiplier": 1.5, "extra": 64, "least": 128, "most": 4096}
+
+
+def budget_policy(**given) -> dict:
+    """``BUDGET`` with the given settings; unknown names, wrong kinds and a least above the most are refused."""
+    unknown = set(given) - set(BUDGET)
+    if unknown:
+        raise ValueError("no such setting: " + ", ".join(sorted(unknown)))
+    out = BUDGET | given
+    numbers = {k: v for k, v in out.items() if k != "enabled"}
+    if type(out["enabled"]) is not bool or any(isinstance(v, bool) or not isinstance(v, (int, float)) or not v >= 0 or v == float("inf") for v in numbers.values()):
+        raise ValueError("enabled is true or false, all else finite and not negative")
+    if out["multiplier"] <= 0 or not 0 < out["least"] <= out["most"] or any(type(out[k]) is not int for k in ("extra", "least", "most")):
+        raise ValueError("the multiplier is positive, the others whole, and least is at most most")
+    return out

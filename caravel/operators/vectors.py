@@ -36,6 +36,24 @@ def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:
     return df.select(group, F.posexplode(vector).alias("position", "x")).groupBy(group, "position").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
+def masked_mean(tokens: Column, mask: Column) -> Column:
+    """The mean of the vectors whose mask is 1, component by component; null if none is."""
+    kept = F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: F.transform(x["t"], lambda y: y.cast("double")))
+    total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.get(kept, F.lit(0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))
+
+
+def with_documents(found: DataFrame, index: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Hits (query_id, rank, id, similarity) with columns of the indexed rows; similarity is kept within -1 and 1."""
+    rows = index.select(F.col(key).alias("id"), *columns)
+    return found.withColumn("similarity", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("similarity")))).join(rows, "id")
+
+
+def short_queries(found: DataFrame, k: int, able: int) -> DataFrame:
+    """(query_id, n): queries with other than the smaller of ``k`` and ``able`` hits."""
+    return found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") != min(k, able))
+
+
 #: Vectors of a candidate block, on average.
 BLOCK = 8192
 

@@ -245,3 +245,99 @@ def stream_folded(spark, d):
     stream = F.concat(F.lit('data: {"diagnosis": "x", "findings": "f"}\n\ndata: {"delta": {"diagnosis": "'), "event_type", F.lit('"}}\r\ndata: [DONE]\n: note {"findings": "'), F.when(F.col("event_id") % 2 == 0, "late").otherwise(" "), F.lit('"}\ndata: {"diagnosis": "x", "findings": "f"}'))
     rows = table(spark, d, "events").select("event_id", report.events_of(stream).alias("p"))
     return rows.select("event_id", F.size("p").alias("n"), report.folded(F.col("p")).alias("r")).select("event_id", "n", "r.diagnosis", "r.findings")
+
+
+# vectors with what they stand for
+
+
+@query("""
+SELECT vec_id, CAST(p - 1 AS INTEGER) AS position, round((CAST(embedding[p] AS DOUBLE) + embedding[p + 16] + CASE WHEN label % 2 = 0 THEN CAST(embedding[p + 48] AS DOUBLE) ELSE 0 END) / CASE WHEN label % 2 = 0 THEN 3 ELSE 2 END, 6) AS value
+FROM (SELECT *, unnest(range(1, 17)) AS p FROM embeddings)
+""")
+def masked_means(spark, d):
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
+    mask = F.array(F.lit(1), F.lit(1), F.lit(0), F.when(F.col("label") % 2 == 0, 1).otherwise(0))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.masked_mean(tokens, mask)).alias("position", "value"))
+    return rows.withColumn("value", F.round("value", 6))
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT *, sqrt(list_inner_product(e, e)) AS l FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, round(list_inner_product(q.e, c.e) / (q.l * c.l), 6) AS similarity FROM n q JOIN n c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, label, greatest(-1, least(1, similarity)) AS similarity FROM r WHERE rank <= 3
+""")
+def retrieved_documents(spark, d):
+    """Hits with the label of what was found; every query has as many as asked for."""
+    e = table(spark, d, "embeddings")
+    found = vectors.top_k_cosine(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 3)
+    return vectors.with_documents(found, e, "vec_id", "label").select("query_id", "rank", "id", "label", "similarity")
+
+
+@query("SELECT sum(n)::BIGINT AS questions FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) WHERE lang IN ('en', 'de')")
+def question_total(spark, d):
+    """The sum of a manifest's counts for chosen splits."""
+    manifest = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return manifest.filter(F.col("lang").isin("en", "de")).agg(F.sum("n").alias("questions"))
+
+
+@query("""
+SELECT o_orderkey, 'p: ' || o_orderpriority || chr(10) || o_orderstatus AS flat, o_orderpriority || chr(10) || o_orderstatus AS leaves FROM orders
+""")
+def nested_texts(spark, d):
+    from caravel.functions import answers
+
+    doc = F.to_json(F.struct(F.concat(F.lit(" p: "), "o_orderpriority").alias("a"), F.array(F.lit(" "), F.col("o_orderstatus")).alias("b")))
+    other = F.to_json(F.struct(F.col("o_orderpriority").alias("a"), F.array(F.struct(F.col("o_orderstatus").alias("x"), F.lit(3).alias("y"))).alias("b")))
+    return table(spark, d, "orders").select("o_orderkey", answers.json_flat(doc).alias("flat"), F.array_join(answers.json_leaves(other), "\n").alias("leaves"))
+
+
+@query("""
+SELECT event_id, '{"a":"' || event_type || '","b":' || user_id || '}' AS canonical, sha256('{"a":"' || event_type || '","b":' || user_id || '}') AS digest FROM events
+""")
+def canonical_rows(spark, d):
+    from caravel.functions import answers
+
+    own = answers.canonical_json(F.to_json(F.struct(F.col("user_id").alias("b"), F.col("event_type").alias("a"))))
+    return table(spark, d, "events").select("event_id", own.alias("canonical")).withColumn("digest", F.sha2("canonical", 256))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS strict, CASE event_id % 3 WHEN 0 THEN 'a' ELSE event_type END AS final, event_type AS after FROM events
+""")
+def thoughts_left_out(spark, d):
+    """The three rules for think blocks on complete, open and closing tags."""
+    kind = F.col("event_id") % 3
+    own = F.when(kind == 0, F.concat(F.lit("a <think>"), "event_type")).otherwise(F.concat(F.lit("<THINK x>b\n</think >"), "event_type"))
+    closing = F.concat(F.lit("b</think>\n"), F.col("event_type"))
+    return table(spark, d, "events").select("event_id", text.without_thinking(own).alias("strict"), text.final_text(own).alias("final"), text.after_thinking(closing).alias("after"))
+
+
+@query("""
+SELECT event_id, user_id AS n, CASE WHEN user_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS accuracy, '1,2,9,9' AS spread, '1,7,2' AS cut, user_id % 2 = 0 AS limited FROM events
+""")
+def training_columns(spark, d):
+    """Labels, accuracy over what counts, positions at even distances, cuts that keep special ids, and generations cut by their limit."""
+    ids = lambda *x: F.array(*[F.lit(i) for i in x])
+    even = F.col("user_id") % 2 == 0
+    said = F.when(even, ids(9, 4, 5)).otherwise(ids(9, 4, 6))
+    join = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return table(spark, d, "events").select(
+        "event_id",
+        F.col("user_id").alias("n"),
+        training.token_accuracy(said, training.labels(ids(1, 4, 5), F.lit(1))).alias("accuracy"),
+        join(training.spread(ids(1, 2, 9), 4)).alias("spread"),
+        join(training.cut_but_special(ids(1, 7, 2, 3), [7], 3)).alias("cut"),
+        training.limit_reached(ids(1, 2, 3), F.when(even, 3).otherwise(4), [5]).alias("limited"),
+    )
+
+
+@query("""
+SELECT p_partkey, 'type：' || p_type || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'brand：' || p_brand ELSE '' END AS labelled, p_type AS first, CAST(2 AS INTEGER) AS n, p_name || '!' AS noted, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS merged FROM part
+""")
+def report_fields(spark, d):
+    even = F.col("p_partkey") % 2 == 0
+    brand = F.when(even, F.col("p_brand")).otherwise(" ")
+    listed = report.items(F.concat(F.lit("- "), "p_type", F.lit("；2) "), "p_name", F.lit("\n ")))
+    return table(spark, d, "part").select("p_partkey", report.labelled({"type": F.col("p_type"), "brand": brand}).alias("labelled"), F.get(listed, F.lit(0)).alias("first"), F.size(listed).alias("n"), report.with_notice(F.col("p_name"), "!", "x").alias("noted"), report.merged(F.col("p_type"), brand).alias("merged"))

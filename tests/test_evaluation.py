@@ -178,3 +178,18 @@ def test_bootstrap(spark):
     a, width = got["a"], 1.96 * 8.25**0.5 / 2000**0.5
     assert a.n == 2000 and a.mean == 4.5 and abs(a.ci_low - (4.5 - width)) < 0.03 and abs(a.ci_high - (4.5 + width)) < 0.03
     assert got["b"].ci_low is None and "c" not in got
+
+
+def test_budget_policy():
+    assert text.budget_policy(extra=3) == text.BUDGET | {"extra": 3}
+    for bad in ({"other": 1}, {"enabled": 1}, {"extra": True}, {"multiplier": 0}, {"least": 9, "most": 8}, {"extra": 1.5}, {"multiplier": float("nan")}):
+        with pytest.raises(ValueError):
+            text.budget_policy(**bad)
+    assert answers.flat_text({"a": [" x ", {"b": 1}]}) == "x\n1" and answers.flat_text([{"b": 1}], False) == "{'b': 1}"
+
+
+def test_short_queries(spark):
+    found = spark.createDataFrame([(1, 1, 2, 0.5), (1, 2, 3, 0.4), (2, 1, 3, 1.0000001)], "query_id int, rank int, id int, similarity double")
+    assert [r.query_id for r in vectors.short_queries(found, 2, 9).collect()] == [2]
+    index = spark.createDataFrame([(2, "two"), (3, "three")], "k int, name string")
+    assert sorted((r.query_id, r.name, r.similarity) for r in vectors.with_documents(found, index, "k", "name").collect()) == [(1, "three", 0.4), (1, "two", 0.5), (2, "three", 1.0)]
