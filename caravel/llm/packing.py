@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caravel.llm.store import lean, settle
+from caravel.llm.store import lean, settle, tidy
 from caravel.llm.tokens import RANKS, TOKENIZER, cut, encode, place
 
 END = 0
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, doc: str, text: str, size: int, tokenizer: str | Non
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), text).mapInArrow(run, PIECES)
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), text).mapInArrow(tidy(run), PIECES)
 
 
 def patterns(size: int, step: int) -> np.ndarray:
@@ -186,7 +186,7 @@ def pattern_pack(rows: DataFrame, size: int, step: int = 8) -> DataFrame:
             columns = batch.columns[:at_rank] + [pa.array(t["base"][i] + rank - t["rank"][i]), pa.array(t["offset"][i])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return ranked.mapInArrow(place_rows, ranked.schema)
+    return ranked.mapInArrow(tidy(place_rows), ranked.schema)
 
 
 class Capacities:
@@ -292,7 +292,7 @@ def best_fit_pack(docs: DataFrame, doc: str, text: str, size: int, block: int =
         if held:
             yield from flush()
 
-    return docs.select(F.col(doc).cast("long"), text).mapInArrow(run, PACKED)
+    return docs.select(F.col(doc).cast("long"), text).mapInArrow(tidy(run), PACKED)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
@@ -313,4 +313,4 @@ def read_packed(spark, path: str) -> DataFrame:
                 out.append(pa.ListArray.from_arrays(np.append(0, np.cumsum(used)).astype(np.int32), values))
             yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
 
-    return lean(spark).read.parquet(path).mapInArrow(run, PACKED.replace("binary", "array<int>"))
+    return lean(spark).read.parquet(path).mapInArrow(tidy(run), PACKED.replace("binary", "array<int>"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-#: Rows of an Arrow batch: rows may hold whole documents, and a task holds several copies of a batch.
-BATCH_ROWS = 1000
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows that this program wrote."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Rows and bytes of an Arrow batch: rows may hold whole documents, and a task holds several copies of a batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def lean(spark: SparkSession) -> SparkSession:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows, unless they are lower; call it before Arrow functions over texts."""
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES``, unless they are lower; call it before Arrow functions over texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     return spark
 
 
@@ -42,6 +51,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives the memory of its task back to the system: workers live on for other tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return tidied
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 
 import numpy as np
 
@@ -31,9 +32,16 @@ def _fast(ranks: str):
 def _full(file: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(file)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return tokenizer, special
+    return Tokenizer.from_file(file)
+
+
+@functools.lru_cache(maxsize=4)
+def _special(file: str) -> tuple[str, ...]:
+    """The texts of the file's added tokens; the tokenizer itself, which takes much memory, isn't loaded for them."""
+    with open(file, encoding="utf-8") as f:
+        text = f.read()
+    at = text.index('"added_tokens"') + len('"added_tokens"')
+    return tuple(t["content"] for t in json.JSONDecoder().raw_decode(text[at:].lstrip(" :\r\n\t"))[0])
 
 
 def encode(text: str, tokenizer: str, ranks: str) -> np.ndarray:
@@ -42,9 +50,8 @@ def encode(text: str, tokenizer: str, ranks: str) -> np.ndarray:
     Plain texts take the faster encoder over the same vocabulary, whose ids
     are equal; a text that spells a special token goes to the tokenizer itself.
     """
-    full, special = _full(tokenizer)
-    if any(s in text for s in special):
-        return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
+    if any(s in text for s in _special(tokenizer)):
+        return np.array(_full(tokenizer).encode(text, add_special_tokens=False).ids, np.uint32)
     return _fast(ranks).encode_to_numpy(text, disallowed_special=())
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caravel.llm.store import partitions, settle
+from caravel.llm.store import partitions, settle, tidy
 
 #: Vectors of a block, on average.
 CANDIDATES = 16384
@@ -182,6 +182,6 @@ def top_k(vectors: DataFrame, vec: str, vector: str, every: int, k: int, scale:
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
 
-    found = rows.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = rows.mapInArrow(tidy(run), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravel.llm.shingles import U, buffers, chunks, mix, word_hashes, word_spans
-from caravel.llm.store import lean
+from caravel.llm.store import lean, tidy
 
 BITS = 20
 #: Most labelled documents that training reads; the sample is those of least hash of doc_id.
 SAMPLE = 12_000
+#: Most features of a document that training reads, those of least hash: with ``SAMPLE`` the bound of the training task, 0.8 GB.
+FEATURES = 16_384
 THRESHOLD = 0.7
 STEMS = (5, 6, 7)
 
@@ -92,16 +94,20 @@ def held_out(doc: str):
 def train(docs: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: str, label: str, sample: int = SAMPLE, epochs: int = 6) -> tuple[np.ndarray, float]:
     """Fit on at most ``sample`` labelled documents that aren't held out; without both classes the bias says all.
 
-    A document whose labels differ counts as toxic.  What goes to the one
-    training task is bounded by ``sample``.
+    A document whose labels differ counts as toxic; of rows that repeat an id
+    each text is learnt from.  What goes to the one training task is bounded by
+    ``sample`` and ``FEATURES``; scores are of whole texts.
     """
     lean(docs.sparkSession)
     known = labels.filter(F.col(label_doc).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label_doc).cast("long").alias("_doc")).agg(F.max(label).cast("int").alias("_label"))
     known = known.filter(~held_out("_doc")).orderBy(F.xxhash64("_doc"), "_doc").limit(sample)
 
+    def some(x: np.ndarray) -> np.ndarray:
+        return x if len(x) <= FEATURES else np.sort(x[np.argsort(mix(x.astype(np.uint64)))[:FEATURES]])
+
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [x.astype(np.int32).tobytes() for x in feature_arrays(batch.column(2))]
+            packed = [some(x).astype(np.int32).tobytes() for x in feature_arrays(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc", "label", "x"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +118,7 @@ def train(docs: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: st
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at].astype(float), bias))], names=["at", "w"])
 
     own = docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(known), "_doc").select("_doc", "_label", "_text")
-    rows = own.mapInArrow(featurise, "doc long, label int, x binary").repartition(1).mapInArrow(fit, "at long, w double").collect()
+    rows = own.mapInArrow(tidy(featurise), "doc long, label int, x binary").repartition(1).mapInArrow(tidy(fit), "at long, w double").collect()
     weights, bias = np.zeros(1 << BITS, np.float32), 0.0
     for at, w in rows:
         if at < 0:
@@ -139,4 +145,4 @@ def score(docs: DataFrame, text: str, model: tuple[np.ndarray, float], into: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))), pa.float64())], names=[*keep, into])
 
     rows = docs.select(*keep)
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{into}` double")
+    return rows.mapInArrow(tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{into}` double")

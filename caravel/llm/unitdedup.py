@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from caravel.llm.setjoin import keyed, row_key
 from caravel.llm.shingles import SPACE, U, buffers, chunks, mix, word_hashes, word_spans
-from caravel.llm.store import holds, key_filter, lean, settle, touched
+from caravel.llm.store import holds, key_filter, lean, settle, tidy, touched
 
 KINDS = ("paragraph", "line", "sentence")
 _BASE = (U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F))
@@ -94,7 +94,7 @@ def repeated_units(docs: DataFrame, doc: str, text: str, kind: str | dict[str, i
             for *_, d, _ in unit_rows(batch.column(0), kinds):
                 yield pa.RecordBatch.from_arrays([pa.array(d)], names=["digest"])
 
-    twice = settle(own.select("text").mapInArrow(digests, "digest long").groupBy("digest").count().filter("count > 1").select("digest"))
+    twice = settle(own.select("text").mapInArrow(tidy(digests), "digest long").groupBy("digest").count().filter("count > 1").select("digest"))
     shared = docs.sparkSession.sparkContext.broadcast(key_filter(twice))
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,7 @@ def repeated_units(docs: DataFrame, doc: str, text: str, kind: str | dict[str, i
                     [*(batch.column(c).take(pa.array(at[hit])) for c in (0, 1)), *(pa.array(x[hit].astype(np.int64)) for x in (start, end, n, d, d2))], names=["doc", "row", "start", "end", "words", "digest", "digest2"]
                 )
 
-    units = settle(own.mapInArrow(through, "doc long, row long, start long, end long, words long, digest long, digest2 long"))
+    units = settle(own.mapInArrow(tidy(through), "doc long, row long, start long, end long, words long, digest long, digest2 long"))
     place = ["doc", "row", "start"]
     first = units.groupBy("digest", "digest2").agg(F.min(F.struct(*place)).alias("x"), F.count("*").alias("n")).filter("n > 1")
     first = settle(first.select("digest", "digest2", *[F.col(f"x.{c}").alias(f"kept_{c}") for c in place]))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravel.llm.shingles import SPACE, buffers, chunks, word_hashes, word_spans
-from caravel.llm.store import lean
+from caravel.llm.store import lean, tidy
 from caravel.llm.tokens import TOKENIZER, place
 
 NONE = -1
@@ -162,4 +162,4 @@ def piece_counts(docs: DataFrame, text: str, pieces: tuple[list[bytes], list[byt
 
     rows = docs.select(*keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, n_words long, n_tokens long, n_unknown long")
+    return rows.mapInArrow(tidy(run), f"{fields}, n_words long, n_tokens long, n_unknown long")

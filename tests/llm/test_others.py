@@ -148,6 +148,19 @@ def test_pattern_packing(spark, tokenised):
     assert packing.pattern_pack(packing.pieces(docs(spark, []), "doc_id", "text", size), size).count() == 0
 
 
+def test_packing_of_null_ids(spark):
+    """Rows without an id are packed like others, also in several pieces."""
+    rows = [(None, "a b c " * 200), (None, "x"), (None, "x"), (1, "y")]
+    made = packing.pattern_pack(packing.pieces(docs(spark, rows), "doc_id", "text", 128), 128).collect()
+    assert sum(r.length for r in made) == sum(len(true_ids(t)) for _, t in rows)
+    places = {}
+    for r in made:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in places.values():
+        ends = [a + n for a, n in sorted(parts)]
+        assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 128
+
+
 def test_plans_use_patterns():
     rnd = np.random.default_rng(8)
     h = np.bincount(np.clip(rnd.lognormal(5, 1, 40_000).astype(int), 1, 512), minlength=513)
