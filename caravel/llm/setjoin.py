@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from caravel.llm.components import Forest, connected_components
 from caravel.llm.shingles import SPACE, U, buffers, mix, packed_sets, shingle_sets
-from caravel.llm.store import holds, key_filter, lean, partitions, settle
+from caravel.llm.store import holds, key_filter, lean, partitions, settle, tidy
 from caravel.llm.trie import linked_components, linked_to_earlier
 
 #: Largest block of a prefix token in which pairs are formed.
@@ -138,7 +138,7 @@ def heavy_shingles(docs: DataFrame, text: str, k: int, separators: np.ndarray =
         yield from flush()
 
     lean(docs.sparkSession)
-    return top_shingles(docs.select(text).mapInArrow(count, "token long, n long"), limit)
+    return top_shingles(docs.select(text).mapInArrow(tidy(count), "token long, n long"), limit)
 
 
 def top_shingles(counts: DataFrame, limit: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +201,7 @@ def describe(docs: DataFrame, doc: str, text: str, k: int, num: int, den: int, h
                 names=["doc", "row", "line", "n", "id", "id2", "prefix", "sketch"],
             )
 
-    return keyed(docs, doc, text).mapInArrow(run, DESCRIBED)
+    return keyed(docs, doc, text).mapInArrow(tidy(run), DESCRIBED)
 
 
 def row_key(doc: str, text: str) -> Column:
@@ -266,8 +266,8 @@ def _pairs(rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray
     return np.unique(np.concatenate(found), axis=0), led
 
 
-def edges_of(prefixes: DataFrame, cls: DataFrame, num: int, den: int) -> DataFrame:
-    """``candidate_edges`` of the (id, n, prefix) rows, which may repeat; ``cls`` has id, n and sketch.
+def edges_of(source: DataFrame, cls: DataFrame, num: int, den: int, make=lambda batches: batches) -> DataFrame:
+    """``candidate_edges`` of the (id, n, prefix) batches that ``make`` gives of the source's; rows may repeat.  ``cls`` has id, n and sketch.
 
     Sets so small that only equal ones link with them bring no rows.  There are
     as many buckets as keep one to ``BUCKET`` tokens on average, several to a
@@ -275,20 +275,23 @@ def edges_of(prefixes: DataFrame, cls: DataFrame, num: int, den: int) -> DataFra
     """
     spark = cls.sparkSession
     alone = F.lit(den) * F.col("n") < F.lit(num) * (F.col("n") + 1)
-    prefixes, marks = prefixes.filter(~alone), cls.filter(~alone).select("id", "n", "sketch")
+    marks = cls.filter(~alone).select("id", "n", "sketch")
     tokens = marks.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     buckets = max(partitions(spark), -(-tokens // BUCKET))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            size = batch.column(1).to_numpy()
-            raw = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            count = np.array([len(x) for x in raw])
-            if not count.sum():
+        for batch in make(batches):
+            ids, size = (batch.column(i).to_numpy() for i in (0, 1))
+            able = den * size.astype(np.int64) >= num * (size.astype(np.int64) + 1)
+            if not able.any():
                 continue
-            token = np.concatenate(raw)
-            owner = np.repeat(np.arange(len(raw)), count)
+            if not able.all():
+                batch, ids, size = batch.filter(pa.array(able)), ids[able], size[able]
+            blobs = batch.column(2)
+            bounds = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4)
+            token = np.frombuffer(blobs.buffers()[2], np.uint64, (bounds[-1] - bounds[0]) // 8, bounds[0])
+            count = np.diff(bounds) // 8
+            owner = np.repeat(np.arange(len(ids)), count)
             pos = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
             rows = np.empty(len(token), _ROW)
             rows["token"] = (token >> U(32)).astype(np.uint32)
@@ -307,8 +310,8 @@ def edges_of(prefixes: DataFrame, cls: DataFrame, num: int, den: int) -> DataFra
                     own = both[i : i + 50_000]
                     yield pa.RecordBatch.from_arrays([*_edges(own[:, 0], own[:, 1]).columns, pa.array(np.full(len(own), is_led))], names=["a", "b", "led"])
 
-    dealt = prefixes.mapInArrow(deal, "bucket long, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    met = settle(dealt.mapInArrow(meet, "a long, b long, led boolean"))
+    dealt = source.mapInArrow(tidy(deal), "bucket long, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    met = settle(dealt.mapInArrow(tidy(meet), "a long, b long, led boolean"))
     pairs = met.distinct().join(marks.toDF("a", "na", "sa"), "a").join(marks.toDF("b", "nb", "sb"), "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +328,7 @@ def edges_of(prefixes: DataFrame, cls: DataFrame, num: int, den: int) -> DataFra
                 keep[i] = sketch_distance(x[i], y[i]) <= allowed[i]
             yield pa.RecordBatch.from_arrays([a, b, led, pa.array(keep)], names=["a", "b", "led", "near"])
 
-    tested = settle(pairs.select("a", "b", "led", "na", "sa", "nb", "sb").mapInArrow(near, "a long, b long, led boolean, near boolean").filter("led or near"))
+    tested = settle(pairs.select("a", "b", "led", "na", "sa", "nb", "sb").mapInArrow(tidy(near), "a long, b long, led boolean, near boolean").filter("led or near"))
     return tested.filter("near").select("a", "b").unionByName(leader_edges(tested.filter("led").select("a", "b", "near"), marks, num, den))
 
 
@@ -387,7 +390,7 @@ def leader_edges(led: DataFrame, marks: DataFrame, num: int, den: int) -> DataFr
                             b.append(y)
             yield _edges(np.array(a, np.int64), np.array(b, np.int64))
 
-    return settle(rows.mapInArrow(compare, "a long, b long"))
+    return settle(rows.mapInArrow(tidy(compare), "a long, b long"))
 
 
 def _cells(row: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -401,7 +404,7 @@ def place_filter(places: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_cells(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["at"])
 
-    return key_filter(places.select("row", "line").mapInArrow(run, "at long"))
+    return key_filter(places.select("row", "line").mapInArrow(tidy(run), "at long"))
 
 
 def with_sets(docs: DataFrame, doc: str, text: str, k: int, members: DataFrame, separators: np.ndarray = SPACE, by_line: bool = False) -> DataFrame:
@@ -421,7 +424,7 @@ def with_sets(docs: DataFrame, doc: str, text: str, k: int, members: DataFrame,
                 blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(first, len(tokens)).astype(np.int64) * 8), pa.py_buffer(tokens)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(batch.column(i).take(pa.array(rows[at])) for i in (0, 1)), pa.array(number[at], pa.int32()), blobs], names=["id", "id2", "doc", "row", "line", "tokens"])
 
-    found = keyed(docs, doc, text).mapInArrow(run, "id long, id2 long, doc long, row long, line int, tokens binary")
+    found = keyed(docs, doc, text).mapInArrow(tidy(run), "id long, id2 long, doc long, row long, line int, tokens binary")
     return members.join(found.dropDuplicates(["id", "id2", "doc", "row", "line"]), ["id", "id2", "doc", "row", "line"])
 
 
@@ -475,7 +478,7 @@ def _join_groups(rows: DataFrame, num: int, den: int, earlier: bool) -> DataFram
 
     keys = ["cluster", "part", "part2"]
     dealt = rows.select(*keys, "doc", "row", "line", "id", "id2", "wanted", "tokens").repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "x long, y long, z long").drop("z")
+    return dealt.mapInArrow(tidy(run), "x long, y long, z long").drop("z")
 
 
 def link_clusters(sets: DataFrame, num: int, den: int, earlier: bool) -> DataFrame:
