@@ -83,10 +83,6 @@ NO_FINDINGS = "模型未返回标准关键发现，需结合原始病例材料
 FIELDS = {"diagnosis": ("综合诊断结果", "综合诊断", "诊断结果"), "findings": ("关键发现",), "analysis": ("AI分析", "AI 分析"), "advice": ("临床建议",)}
 
 
-def _holds(clue: str):
-    return lambda x: x.contains(clue)
-
-
 def summary_by_rule(profile: dict[str, Column], symptoms: Column, exams: Column, more: Column, most: int = 8) -> tuple[Column, Column]:
     """(diagnosis, findings) from the inputs alone: profile, symptoms, lines of exams, clues not said yet; ``most`` findings."""
     said = lambda c: F.trim(F.coalesce(c, F.lit("")))
@@ -97,15 +93,11 @@ def summary_by_rule(profile: dict[str, Column], symptoms: Column, exams: Column,
         F.transform(items(said(symptoms)), lambda x: F.concat(F.lit("症状："), x)),
         F.transform(F.filter(F.transform(F.split(said(exams), "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.concat(F.lit("检查："), x)),
     )
-    for clue in CLUES:
-        new = every.contains(clue) & ~F.exists(found, _holds(clue))
-        found = F.concat(found, F.when(new, F.array(F.lit(f"相关线索：{clue}"))).otherwise(F.array().cast("array<string>")))
+    clue_of = lambda f, c: F.when(every.contains(c) & ~F.exists(f, lambda x: x.contains(c)), F.concat(f, F.array(F.concat(F.lit("相关线索："), c)))).otherwise(f)
+    found = F.aggregate(F.array(*[F.lit(c) for c in CLUES]), found, clue_of)
     diagnosis = F.lit(OPEN_CASE)
     for clues, text in reversed(CONCLUSIONS):
-        any_ = F.lit(False)
-        for clue in clues:
-            any_ = any_ | every.contains(clue)
-        diagnosis = F.when(any_, text).otherwise(diagnosis)
+        diagnosis = F.when(F.exists(F.array(*[F.lit(c) for c in clues]), lambda c: every.contains(c)), text).otherwise(diagnosis)
     return diagnosis, F.when(F.size(found) > 0, F.array_join(F.slice(found, 1, most), "\n")).otherwise(NO_FINDINGS)
 
 
