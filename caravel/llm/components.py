@@ -84,10 +84,10 @@ def connected_components(edges: DataFrame, flush: int = FLUSH) -> DataFrame:
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     e = edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).filter(x.isNotNull() & y.isNotNull() & (x != y))
     contract = lambda batches: _contract(batches, flush)
-    e = e.mapInArrow(tidy(contract), kind)
     many = -(-partitions(edges.sparkSession) // 4)  # edges are few beside texts
+    e = e.coalesce(many).mapInArrow(tidy(contract), kind)
     while True:
-        e = settle(e.select("a", "b").repartition(many, "a").sortWithinPartitions("a").mapInArrow(tidy(contract), kind))
+        e = settle(e.select("a", "b").repartition("a").coalesce(many).sortWithinPartitions("a").mapInArrow(tidy(contract), kind))
         if e.filter("met").isEmpty():
             break
     e = e.select("a", "b")

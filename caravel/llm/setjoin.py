@@ -48,6 +48,8 @@ FLUSH = 1_000_000
 HEAVY = 100_000
 #: Prefix tokens of a bucket, on average: what a task holds at once.
 BUCKET = 400_000
+#: Buckets that a task takes one by one; more data bring more tasks.
+TASK_BUCKETS = 12
 #: Members and undecided classes of a leader that one group compares by sketches.
 MEMBERS, UNDECIDED = 4096, 512
 PIVOTS = 8
@@ -278,6 +280,7 @@ def edges_of(source: DataFrame, cls: DataFrame, num: int, den: int, make=lambda
     marks = cls.filter(~alone).select("id", "n", "sketch")
     tokens = marks.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     buckets = max(partitions(spark), -(-tokens // BUCKET))
+    tasks = max(partitions(spark), -(-buckets // TASK_BUCKETS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in make(batches):
@@ -310,7 +313,7 @@ def edges_of(source: DataFrame, cls: DataFrame, num: int, den: int, make=lambda
                     own = both[i : i + 50_000]
                     yield pa.RecordBatch.from_arrays([*_edges(own[:, 0], own[:, 1]).columns, pa.array(np.full(len(own), is_led))], names=["a", "b", "led"])
 
-    dealt = source.mapInArrow(tidy(deal), "bucket long, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    dealt = source.mapInArrow(tidy(deal), "bucket long, blob binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     met = settle(dealt.mapInArrow(tidy(meet), "a long, b long, led boolean"))
     pairs = met.distinct().join(marks.toDF("a", "na", "sa"), "a").join(marks.toDF("b", "nb", "sb"), "b")
 
@@ -347,18 +350,19 @@ def leader_edges(led: DataFrame, marks: DataFrame, num: int, den: int) -> DataFr
     ``UNDECIDED`` of them and ``MEMBERS`` members, and gives no more edges
     than join its components.
     """
-    spark = led.sparkSession
     counts = led.groupBy("b").agg(F.count("*").alias("m"), F.count_if(~F.col("near")).alias("r")).filter("r > 0")
     counts = settle(counts.select("b", F.ceil(F.col("m") / MEMBERS).cast("int").alias("parts"), F.ceil(F.col("r") / UNDECIDED).cast("int").alias("parts2")))
     if counts.isEmpty():
         return led.select("a", "b").limit(0)
     known = led.join(counts, "b").join(marks.withColumnRenamed("id", "a"), "a")
     salt = lambda parts: F.pmod(F.xxhash64("a"), F.col(parts)).cast("int")
-    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    members = known.withColumn("part", salt("parts")).withColumn("part2", each("parts2")).withColumn("asks", F.lit(False))
-    asking = known.filter("not near").withColumn("part2", salt("parts2")).withColumn("part", each("parts")).withColumn("asks", F.lit(True))
+    place = lambda part, part2, asks: F.struct(part.alias("part"), part2.alias("part2"), F.lit(asks).alias("asks"))
+    member = F.transform(F.sequence(F.lit(0), F.col("parts2") - 1), lambda i: place(salt("parts"), i, False))
+    asking = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: place(i, salt("parts2"), True))
+    places = F.when(F.col("near"), member).otherwise(F.concat(member, asking))
     keys = ["b", "part", "part2"]
-    rows = members.unionByName(asking).select(*keys, "a", "n", "sketch", "near", "asks").repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+    rows = known.select("b", "a", "n", "sketch", "near", F.explode(places).alias("x")).select("b", "x.part", "x.part2", "a", "n", "sketch", "near", "x.asks")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (leader, _, _), group in _grouped(batches, 3):
@@ -546,8 +550,9 @@ def linked_classes(docs: DataFrame, doc: str, text: str, k: int, num: int, den:
     edges = link_clusters(sets, num, den, earlier=False).toDF("a", "b")
     rows = described.select("doc", "row", "n", "id", "id2")
     if not by_row:
-        several = rows.filter("n > 0 and doc is not null").groupBy("doc").agg(F.min(F.struct("id", "id2")).alias("x"), F.max(F.struct("id", "id2")).alias("y")).filter("x <> y")
-        edges = edges.unionByName(rows.filter("n > 0").join(several, "doc").select(F.col("id").alias("a"), F.col("x.id").alias("b")))
+        several = settle(rows.filter("n > 0 and doc is not null").groupBy("doc").agg(F.min(F.struct("id", "id2")).alias("x"), F.max(F.struct("id", "id2")).alias("y")).filter("x <> y").select("doc", "x"))
+        if not several.isEmpty():
+            edges = edges.unionByName(rows.filter("n > 0").join(several, "doc").select(F.col("id").alias("a"), F.col("x.id").alias("b")))
     found = settle(connected_components(edges).withColumnRenamed("node", "id"))
     firsts = cls.select("id", "id2", F.struct("doc", "row").alias("first")).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     firsts = settle(firsts)

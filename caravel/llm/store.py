@@ -51,20 +51,33 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Resident memory, in pages, from which a worker gives back what it doesn't use.
+TIDY_PAGES = 60_000
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow that gives the memory of its task back to the system: workers live on for other tasks."""
+    """A function for mapInArrow that gives the memory of a large task back to the system: workers live on for other tasks."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-                trim(0)
+            if _pages() > TIDY_PAGES:
+                pa.default_memory_pool().release_unused()
+                if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                    trim(0)
 
     return tidied
 
 
+def _pages() -> int:
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1])
+    except OSError:
+        return 0
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -82,7 +95,7 @@ def key_filter(hashes: DataFrame) -> np.ndarray:
     least, most = FILTER_BITS
     bits = min(most, max(least, 1 << (16 * hashes.count()).bit_length()))
     cells = hashes.select((F.pmod(name, F.lit(bits)) + 1).alias("at"))
-    found = cells.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator()
+    found = cells.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     table = np.zeros(bits // 8, np.uint8)
     for k, piece in found:  # bucket k starts at position 32768 * (k - 1) + 1
         own = np.frombuffer(bytes(piece), np.uint8)
