@@ -67,28 +67,29 @@ def decontaminate(docs: DataFrame, doc: str, text: str, benchmark: DataFrame, it
     ranked = ranked.join(settle(counts), "w", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     rarest = F.min(F.struct("count", "w", "off")).alias("r")
     prefix = settle(ranked.groupBy("window", "items", "len").agg(rarest).select("window", "items", "len", F.col("r.w").alias("w"), F.col("r.off").alias("off")))
-    hits = hit_places(docs, doc, text, prefix).groupBy("_doc", "_row").agg(F.array_sort(F.collect_set(F.struct("at", "len", "items"))).alias("_c"))
-    hits = bounded(settle(hits), F.size("_c")).select(F.struct("_doc", "_row", "_c").alias("_h"))
-    names = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")]
-    fresh = docs.select(F.struct(*names).alias("_d"))
-    text_ = F.col(f"_d.{text}")
-    joined = fresh.join(hits, F.col(f"_d.{doc}").eqNullSafe(F.col("_h._doc")) & (row_of(F.col(f"_d.{doc}"), text_) == F.col("_h._row")), "left")
-    c = F.col("_h._c")
+    hits = hit_places(docs, doc, text, prefix).groupBy("_doc", "_row").agg(F.array_sort(F.collect_set(F.struct("at", "len", "items"))).alias("c"))
     end = lambda x: x["at"] + x["len"]
     # places come in order: each adds what lies behind the end reached so far
     total = F.aggregate(
-        c,
+        "c",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda s, x: F.struct(F.greatest(s["end"], end(x)).alias("end"), (s["n"] + F.greatest(F.lit(0), end(x) - F.greatest(s["end"], x["at"]))).alias("n")),
         lambda s: s["n"],
     )
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform(c, lambda x: x["items"]))))
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform("c", lambda x: x["items"]))))
+    hits = settle(hits.select("_doc", "_row", total.alias("n"), found.alias("items")))
+    hits = bounded(hits, F.size("items") + 1).select(F.struct("*").alias("_h"))
+    names = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")]
+    fresh = docs.select(F.struct(*names).alias("_d"))
+    text_ = F.col(f"_d.{text}")
+    joined = fresh.join(hits, F.col(f"_d.{doc}").eqNullSafe(F.col("_h._doc")) & (row_of(F.col(f"_d.{doc}"), text_) == F.col("_h._row")), "left")
+    n = F.coalesce(F.col("_h.n"), F.lit(0)).cast("long")
     return joined.select(
-        *[F.col(f"_d.{n}").alias(n) for n in names],
+        *[F.col(f"_d.{c}").alias(c) for c in names],
         F.size(words(text_)).cast("long").alias("n_words"),
-        F.coalesce(total, F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(items, F.array().cast("array<string>")).alias("items"),
-        (F.coalesce(total, F.lit(0)) > 0).alias("contaminated"),
+        n.alias("n_hit"),
+        F.coalesce(F.col("_h.items"), F.array().cast("array<string>")).alias("items"),
+        (n > 0).alias("contaminated"),
     )
 
 
