@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravel.llm import chat, decontaminate, linededup, packing, setjoin, topk, toxicity, unitdedup, wordpiece
+from caravel.llm import align, chat, decontaminate, linededup, packing, quality, resample, setjoin, topk, toxicity, unitdedup, wordpiece
 from caravel.llm.store import ensure_checkpoint_dir, settle
 
 
@@ -207,6 +207,43 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+
+
+def op11_decision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn_rules(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "doc_id", "quality")
+    return quality.judge(docs, "text", rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")
+
+
+OP12_SQL = rf"""
+WITH crc AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) x(i)),
+doc AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+said AS (SELECT doc_id, unnest(w) AS word, false AS target FROM doc UNION ALL SELECT NULL, unnest({_WORDS}), true FROM benchmark),
+bytes AS (SELECT word, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)) AS b FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM said)),
+bucket AS (SELECT word, xor(list_reduce([4294967295] || b, lambda c, x: xor(t[CAST((xor(c, x) & 255) + 1 AS BIGINT)], c >> 8)), 4294967295) % 10000 AS bucket FROM bytes, crc),
+n AS (SELECT bucket, count(*) FILTER (WHERE NOT target) AS s, count(*) FILTER (WHERE target) AS t FROM said JOIN bucket USING (word) GROUP BY bucket),
+total AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM n),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((n.t + 1) * (total.s + 10000) AS DOUBLE) / CAST((n.s + 1) * (total.t + 10000) AS DOUBLE))) AS BIGINT) AS g FROM n, total),
+summed AS (SELECT doc_id, sum(g) AS g FROM said JOIN bucket USING (word) JOIN gain USING (bucket) WHERE NOT target GROUP BY doc_id),
+weighed AS (
+  SELECT doc_id, len(w) AS n, CASE WHEN len(w) = 0 THEN 0 ELSE CAST(floor(CAST(g AS DOUBLE) / len(w)) AS BIGINT) END AS weight,
+    CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM doc LEFT JOIN summed USING (doc_id)),
+scored AS (SELECT doc_id, n, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weighed),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM scored WHERE n >= 20 AND doc_id IS NOT NULL)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CAST(CASE WHEN rank <= 10 * able // 100 THEN rank END AS BIGINT) AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_toxicity": op2_toxicity,
@@ -218,6 +255,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_unit_dedup": op9_unit_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_decision_rules": op11_decision_rules,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -227,4 +267,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_benchmark_decontamination": OP8_SQL,
     "op9_unit_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }

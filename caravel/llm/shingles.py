@@ -16,6 +16,8 @@ import pyarrow as pa
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Values of bytes as they are; in ``_BYTE`` A-Z have those of a-z.
+EXACT = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -85,14 +87,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash of the bytes of each word."""
+def word_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """Polynomial hash of the bytes of each word; with ``EXACT`` as ``values`` case counts."""
     if not len(start):
         return np.zeros(0, np.uint64)
     if len(text) <= _RUN:
         up, down = _powers(len(text) + 1)
         run = np.zeros(len(text) + 1, np.uint64)
-        value = _BYTE[text]
+        value = values[text]
         value *= up[: len(text)]
         np.cumsum(value, out=run[1:])
         return mix((run[end] - run[start]) * down[start] * _STEP)
@@ -102,7 +104,7 @@ def word_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     at = np.arange(int(last[-1]))
     inner = at - np.repeat(first, size)
     power = np.cumprod(np.full(int(size.max()), _STEP))
-    value = _BYTE[text[inner + np.repeat(start, size)]]
+    value = values[text[inner + np.repeat(start, size)]]
     value *= power[inner]
     return mix(np.add.reduceat(value, first))
 

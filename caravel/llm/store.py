@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,20 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def shared_file(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system that holds a file of the shared folder, and the file's path there; for tasks."""
+    return pyarrow.fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+def mapped(uri: str) -> np.ndarray:
+    """The 64-bit whole numbers of a shared file: memory-mapped where the folder is mounted, else read."""
+    system, path = shared_file(uri)
+    if isinstance(system, pyarrow.fs.LocalFileSystem):
+        return np.memmap(path, "<i8", "r") if system.get_file_info(path).size else np.zeros(0, "<i8")
+    with system.open_input_file(path) as f:
+        return np.frombuffer(f.read(), "<i8")
+
+
 #: Rows and bytes of an Arrow batch: rows may hold whole documents, and a task holds several copies of a batch.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
