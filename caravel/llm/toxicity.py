@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravel.llm.shingles import U, buffers, chunks, mix, word_hashes, word_spans
-from caravel.llm.store import lean, tidy
+from caravel.llm.store import lean, settle, tidy
 
 BITS = 20
 #: Most labelled documents that training reads; the sample is those of least hash of doc_id.
 SAMPLE = 12_000
-#: Most features of a document that training reads, those of least hash: with ``SAMPLE`` the bound of the training task, 0.8 GB.
-FEATURES = 16_384
+#: Most bytes of features that training reads: documents are taken in the order of the sample, each with all its
+#: features, while they fit; the first is always taken.
+SAMPLE_BYTES = 256 << 20
 THRESHOLD = 0.7
 STEMS = (5, 6, 7)
 
@@ -96,18 +97,15 @@ def train(docs: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: st
 
     A document whose labels differ counts as toxic; of rows that repeat an id
     each text is learnt from.  What goes to the one training task is bounded by
-    ``sample`` and ``FEATURES``; scores are of whole texts.
+    ``sample`` and ``SAMPLE_BYTES``; what is learnt from is whole texts.
     """
     lean(docs.sparkSession)
     known = labels.filter(F.col(label_doc).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label_doc).cast("long").alias("_doc")).agg(F.max(label).cast("int").alias("_label"))
     known = known.filter(~held_out("_doc")).orderBy(F.xxhash64("_doc"), "_doc").limit(sample)
 
-    def some(x: np.ndarray) -> np.ndarray:
-        return x if len(x) <= FEATURES else np.sort(x[np.argsort(mix(x.astype(np.uint64)))[:FEATURES]])
-
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [some(x).astype(np.int32).tobytes() for x in feature_arrays(batch.column(2))]
+            packed = [x.astype(np.int32).tobytes() for x in feature_arrays(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc", "label", "x"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +116,13 @@ def train(docs: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: st
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at].astype(float), bias))], names=["at", "w"])
 
     own = docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(known), "_doc").select("_doc", "_label", "_text")
-    rows = own.mapInArrow(tidy(featurise), "doc long, label int, x binary").repartition(1).mapInArrow(tidy(fit), "at long, w double").collect()
+    made = settle(own.mapInArrow(tidy(featurise), "doc long, label int, x binary"))
+    sizes = made.select("doc", F.octet_length("x").alias("size")).groupBy("doc").agg(F.sum("size").alias("size")).orderBy(F.xxhash64("doc"), "doc").collect()
+    total = np.cumsum([r["size"] for r in sizes])
+    if len(total) and total[-1] > SAMPLE_BYTES:  # the documents of a sample are at most ``sample``
+        taken = [r["doc"] for r in sizes[: max(1, int(np.searchsorted(total, SAMPLE_BYTES, "right")))]]
+        made = made.join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in taken], "doc long")), "doc", "left_semi")
+    rows = made.repartition(1).mapInArrow(tidy(fit), "at long, w double").collect()
     weights, bias = np.zeros(1 << BITS, np.float32), 0.0
     for at, w in rows:
         if at < 0:
