@@ -173,11 +173,14 @@ def conversations(df: DataFrame) -> DataFrame:
     """(conversation, turns) of a table with a row for each turn.
 
     Turns come in the order of their number (nulls first), role and text;
-    repeated rows stay repeated; a null role or text is empty.
+    repeated rows stay repeated; a null role or text is empty.  A row without a
+    conversation's id is a conversation of its own, so that no group of them
+    grows with the table.
     """
     conv, turn, role, text = turn_columns(df)
-    rows = df.select(F.col(conv).alias("conversation"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("t"))
-    made = rows.groupBy("conversation").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    own = F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).alias("_own")
+    rows = df.select(F.col(conv).alias("conversation"), own, F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("t"))
+    made = rows.groupBy("conversation", "_own").agg(F.sort_array(F.collect_list("t")).alias("t"))
     return made.select("conversation", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 

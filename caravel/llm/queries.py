@@ -48,15 +48,15 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, NULL, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 read AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
     sum(12 + length(role) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11) AS formatted_chars
-  FROM turns GROUP BY conv_id)
+  FROM turns GROUP BY conv_id, own)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
   sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM read
@@ -129,9 +129,9 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-#: Fewest words of a unit: shorter ones are turns of speech and notices, which line dedup judges.  Sentences are for
-#: passages inside paragraphs and lines that differ elsewhere.
-UNITS = {"paragraph": 12, "line": 12, "sentence": 12}
+#: Fewest words of a unit: every paragraph and line with a word counts.  Sentences are an addition, for passages inside
+#: paragraphs and lines that differ elsewhere; shorter ones are turns of speech.
+UNITS = {"paragraph": 1, "line": 1, "sentence": 12}
 
 
 def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,9 +144,9 @@ def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(left, ["doc", "row"]).select(*[F.col(a).alias(b) for a, b in names.items()], "left_sha256")
 
 
-_CUT = r"""SELECT doc_id, piece, before + length(piece) - length(ltrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS a,
+_CUT = r"""SELECT doc_id, piece, CASE WHEN gap = 0 THEN 12 ELSE 1 END AS least, before + length(piece) - length(ltrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS a,
     before + length(rtrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS b
-  FROM (SELECT doc_id, p[i] AS piece, coalesce(list_sum(list_transform(p[1 : i - 1], lambda x: length(x) + gap)), 0) AS before
+  FROM (SELECT doc_id, gap, p[i] AS piece, coalesce(list_sum(list_transform(p[1 : i - 1], lambda x: length(x) + gap)), 0) AS before
     FROM (SELECT doc_id, p, gap, unnest(range(1, len(p) + 1)) AS i FROM parts))"""
 
 OP9_SQL = rf"""
@@ -155,7 +155,7 @@ WITH parts AS (
   UNION ALL SELECT doc_id, string_split(text, chr(10) || chr(10)), 2 FROM documents
   UNION ALL SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?])([\x09-\x0D\x20])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)), 0 FROM documents),
 piece AS ({_CUT}),
-unit AS (SELECT DISTINCT doc_id, a, b, w FROM (SELECT doc_id, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, {_SPACED.replace("text", "piece")} AS w FROM piece) WHERE len(w) >= 12),
+unit AS (SELECT DISTINCT doc_id, a, b, w FROM (SELECT doc_id, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, least, {_SPACED.replace("text", "piece")} AS w FROM piece) WHERE len(w) >= least),
 ranked AS (SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value(a) OVER o AS kept_start_char FROM unit WINDOW o AS (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, a)),
 later AS (SELECT * FROM ranked WHERE doc_id <> kept_doc_id OR a <> kept_start_char),
 gone AS (SELECT * FROM later x WHERE NOT EXISTS (SELECT 1 FROM later y WHERE y.doc_id = x.doc_id AND y.a <= x.a AND y.b >= x.b AND y.b - y.a > x.b - x.a)),

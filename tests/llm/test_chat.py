@@ -85,6 +85,13 @@ def test_turn_tables(spark):
         chat.turn_columns(df.drop("speaker"))
 
 
+def test_rows_without_a_conversation(spark):
+    """Each is a conversation of its own."""
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", None), (5, 1, "assistant", "c"), (5, 0, "user", "b")]
+    made = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conversation or -1, [(t.role, t.text) for t in r.turns]) for r in made) == [(-1, [("assistant", "")]), (-1, [("user", "a")]), (-1, [("user", "a")]), (5, [("user", "b"), ("assistant", "c")])]
+
+
 def test_long_text(spark):
     long = "<|x " * 50_000
     df = spark.createDataFrame([(1, 0, "assistant", long)], "conv_id long, turn long, role string, text string")

@@ -58,6 +58,20 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(df.limit(0), "text", model).count() == 0
 
 
+def test_toxicity_learns_from_whole_texts_within_its_bytes(spark, monkeypatch):
+    rows, labels = toxic_corpus(n=300)
+    long = " ".join(f"u{i}" for i in range(20_000))
+    known = spark.createDataFrame([*labels, (900, 1)], "doc_id long, toxic int")
+    df = docs(spark, [*rows, (900, long + " vile")])
+    whole = toxicity.train(df, "doc_id", "text", known, "doc_id", "toxic")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 40_000)
+    some = toxicity.train(df, "doc_id", "text", known, "doc_id", "toxic")
+    assert np.array_equal(some[0], toxicity.train(df.repartition(5), "doc_id", "text", known, "doc_id", "toxic")[0])
+    assert not np.array_equal(whole[0], some[0]) and np.count_nonzero(some[0]) < np.count_nonzero(whole[0])
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 0)
+    assert toxicity.train(df, "doc_id", "text", known, "doc_id", "toxic")[0].shape == whole[0].shape
+
+
 # decontamination
 
 
@@ -99,6 +113,17 @@ def test_decontamination(spark):
     assert none.filter("contaminated").count() == 0 and none.count() == len(rows)
 
 
+@pytest.mark.parametrize("most", [0, 5_000, 64 << 20])
+def test_passage_of_very_many_items(spark, monkeypatch, most):
+    """A window's items don't travel with its places, and tables too large to be broadcast are shuffled."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+    passage = " ".join(f"p{i}" for i in range(11))
+    items = [(i, passage) for i in range(400)] + [(900, passage + " tail"), (901, "some other words of one item that is long enough")]
+    rows = [(i, f"before {passage} behind") for i in range(30)] + [(77, "some Other words of one item that is long enough"), (78, "p0 p1 p2"), (None, passage)]
+    got = decontaminate.decontaminate(docs(spark, rows), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 10)
+    assert sorted((r.doc_id or -1, r.n_words, r.n_hit, r["items"]) for r in got.collect()) == brute_hits(rows, items, 10)
+
+
 # packing
 
 

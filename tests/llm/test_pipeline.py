@@ -114,6 +114,13 @@ def test_one_row_of_a_group_stays(spark):
     assert got == [(0, a), (3, a), (5, b), (8, c), (9, ""), (9, ""), (10, "")]
 
 
+def test_clashing_columns_pass_the_join(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 4, 5, 6), (3, "other words stay", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc int, _r int, first int")
+    out = corpus_pipeline.keep_one_of_group(spark, df, "")
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+
+
 def test_empty(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for name, fields in (("documents", schema), ("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
