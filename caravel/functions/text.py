@@ -30,8 +30,8 @@ def token_budget(tokens: Column, multiplier: float, extra: int, least: int, most
 
 
 def neutral_formula(text: Column) -> Column:
-    """Text that a spreadsheet won't run: an apostrophe is put before a leading = + - @ tab or return."""
-    return F.when(text.rlike("^[=+\\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
+    """Text that a spreadsheet won't run: an apostrophe is put before one that, white space aside, begins with = + - or @."""
+    return F.when(text.rlike(r"(?U)^\s*[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
 def chunks(text: Column, size: int) -> Column:
@@ -63,6 +63,14 @@ def first_present(*columns: Column) -> Column:
     return F.coalesce(*columns)
 
 
+def json_value(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else; null for any other."""
+    # the parser stops behind the first value; within brackets of both kinds more text is an error
+    one = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    other = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    return F.when((F.size(one) == 1) & other.isNotNull(), F.get(one, F.lit(0)))
+
+
 def without_thinking(text: Column) -> Column:
     """Text without complete think blocks; null if a tag is left over or nothing else is said."""
     rest = F.trim(F.regexp_replace(text, r"(?is)<think\b[^>]*>.*?</think\s*>", ""))
@@ -94,9 +102,8 @@ def shifted_tail(key: Column, by: int) -> Column:
 def key_forms(key: Column, prefix: str = "") -> dict[str, Column]:
     """The ways in which an index may write an id, in the order in which they are tried."""
     led = lambda c: F.concat(F.lit(prefix), c)
-    bare = F.regexp_replace(key, "^mira:", "")
-    forms = {"as_is": key, "prefix": led(key), "bare": bare, "prefix_bare": led(bare), "next": shifted_tail(key, 1), "previous": shifted_tail(key, -1), "bare_next": shifted_tail(bare, 1)}
-    return forms
+    before, behind = shifted_tail(key, -1), shifted_tail(key, 1)
+    return {"as_is": key, "prefix": led(key), "bare": F.regexp_replace(key, "^mira:", ""), "prefix_previous": led(before), "previous": before, "prefix_next": led(behind), "next": behind}
 
 
 def fingerprint(*columns: Column) -> Column:
@@ -119,18 +126,25 @@ def parsed_id(text: Column) -> Column:
 
 
 #: A token budget's settings and what they are if nothing is said. Fixed values.
-BUDGET = {"enabled": False, "multiplier": 1.5, "extra": 64, "least": 128, "most": 4096}
+BUDGET = {"enabled": False, "multiplier": 4.0, "extra": 256, "least": 512, "most": 4096, "retry": True}
+#: The same for answers that list facts. Fixed values.
+FACT_BUDGET = {"enabled": False, "multiplier": 2.0, "extra": 256, "least": 1024, "most": 8192, "retry": True}
+#: Bounds of the multiplier and of numbers of tokens. Fixed values.
+MOST_MULTIPLIER, MOST_TOKENS = 32, 32_768
 
 
-def budget_policy(**given) -> dict:
-    """``BUDGET`` with the given settings; unknown names, wrong kinds and a least above the most are refused."""
-    unknown = set(given) - set(BUDGET)
+def budget_policy(defaults: dict | None = None, **given) -> dict:
+    """``BUDGET`` (or ``defaults``) with the given settings; unknown names, wrong kinds, what passes the bounds and a least above the most are refused."""
+    unknown = (set(defaults or {}) | set(given)) - set(BUDGET)
     if unknown:
         raise ValueError("no such setting: " + ", ".join(sorted(unknown)))
-    out = BUDGET | given
-    numbers = {k: v for k, v in out.items() if k != "enabled"}
-    if type(out["enabled"]) is not bool or any(isinstance(v, bool) or not isinstance(v, (int, float)) or not v >= 0 or v == float("inf") for v in numbers.values()):
-        raise ValueError("enabled is true or false, all else finite and not negative")
-    if out["multiplier"] <= 0 or not 0 < out["least"] <= out["most"] or any(type(out[k]) is not int for k in ("extra", "least", "most")):
-        raise ValueError("the multiplier is positive, the others whole, and least is at most most")
+    out = BUDGET | (defaults or {}) | given
+    if any(type(out[n]) is not bool for n in ("enabled", "retry")):
+        raise ValueError("enabled and retry are true or false")
+    if type(out["multiplier"]) not in (int, float) or not 0 < out["multiplier"] <= MOST_MULTIPLIER:
+        raise ValueError(f"the multiplier is above 0 and at most {MOST_MULTIPLIER}")
+    if any(type(out[n]) is not int or not low <= out[n] <= MOST_TOKENS for n, low in (("extra", 0), ("least", 1), ("most", 1))):
+        raise ValueError(f"numbers of tokens are whole, at most {MOST_TOKENS}, and but for extra at least 1")
+    if out["least"] > out["most"]:
+        raise ValueError("least is at most most")
     return out

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caravel.functions import answers
+from caravel.functions import answers, judgements, text
 from caravel.functions.render import percent
+from caravel.operators.ordering import ordered_digest
 from caravel.operators.plugins import Judge, signature
 from caravel.operators.sampling import TYPES
+from caravel.session import settled
 
 OBJECTIVE, CHOICE = ("single_choice", "multiple_choice", "closed_ended"), ("single_choice", "multiple_choice")
 
@@ -24,25 +26,42 @@ def applies(metric: str, kind: Column, required: dict[str, Column] | None = None
     return {"answer_accuracy": kind.isin(*OBJECTIVE), "choice_f1": kind.isin(*CHOICE)}.get(metric, F.lit(True))
 
 
-def judged(rows: DataFrame, key: str, prompt: str, judge: Judge, parse: Callable[[str], object], cache: DataFrame | None = None, retries: int = 1, tokens: int = 256, again: str = "Answer in the required form only.\n", **config) -> tuple[DataFrame, DataFrame]:
+def judged(
+    rows: DataFrame,
+    key: str,
+    prompt: str,
+    judge: Judge,
+    parse: Callable[..., object],
+    cache: DataFrame | None = None,
+    stage: str = "judge",
+    context: str | None = None,
+    retries: int = 1,
+    tokens: int = 256,
+    again: str = "Answer in the required form only.\n",
+    **config,
+) -> tuple[DataFrame, DataFrame]:
     """(scored, fresh): rows with raw, parsed (JSON), error, attempts and from_cache; and what to append to the cache.
 
-    Equal prompts under equal settings have one fingerprint and are asked once;
-    the cache (fingerprint, raw, parsed) holds answers that could be read and
-    is trusted only where they still can.  An answer of a wrong form is asked
-    again, ``retries`` times; an error of the judge itself is not.  What fails
-    has no value, never a score of 0.  Tasks ask row by row; no row waits for
-    another.
+    Rows may share a ``key``; equal prompts of a ``stage`` under equal settings
+    have one fingerprint and are asked once, whatever is read of the results later: what was asked is
+    written to the shared folder first (a task that is lost asks its prompts
+    again).  The cache (fingerprint, raw) holds answers that could be read and
+    is trusted only where they still can.  ``parse`` gets the answer, and the
+    row's ``context`` if one is named, which is part of the fingerprint.  An
+    answer of a wrong form is asked again, ``retries`` times; a cut one (a
+    judge may give (text, cut)) has failed, as has an error of the judge
+    itself.  What fails has no value, never a score of 0.
     """
-    mark = F.sha2(F.concat_ws("|", F.lit(signature(tokens=tokens, **config)), F.coalesce(prompt, F.lit(""))), 256)
+    said = F.coalesce(prompt, F.lit(""))
+    own = F.coalesce(F.col(context).cast("string"), F.lit("")) if context else F.lit("")
+    mark = F.sha2(F.concat_ws("\x1f", F.lit(signature(stage=stage, tokens=tokens, **config)), said, own), 256)
     asked = rows.withColumn("fingerprint", mark)
-    own = asked.select("fingerprint", F.col(prompt).alias("prompt")).dropDuplicates(["fingerprint"])
-    kept = None if cache is None else cache.select("fingerprint", "raw").dropDuplicates(["fingerprint"]).join(own.select("fingerprint"), "fingerprint", "left_semi")
+    once = asked.select("fingerprint", said.alias("prompt"), own.alias("context")).groupBy("fingerprint").agg(F.any_value("prompt").alias("prompt"), F.any_value("context").alias("context"))
     shape = "fingerprint string, raw string, parsed string, error string, attempts int"
 
-    def read(raw: str) -> tuple[str | None, str | None]:
+    def read(raw: str, about: str) -> tuple[str | None, str | None]:
         try:
-            return json.dumps(parse(raw), ensure_ascii=False), None
+            return json.dumps(parse(raw, about) if context else parse(raw), ensure_ascii=False), None
         except ValueError as e:
             return None, str(e) or "unreadable"
 
@@ -52,32 +71,39 @@ def judged(rows: DataFrame, key: str, prompt: str, judge: Judge, parse: Callable
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch_of([(f, raw, *read(raw or ""), 0) for f, raw in zip(*(c.to_pylist() for c in b.columns), strict=True)])
+            yield batch_of([(f, raw, *read(raw or "", about), 0) for f, raw, about in zip(*(c.to_pylist() for c in b.columns), strict=True)])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for f, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for f, question, about in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw, parsed, error = None, None, None
                 for attempt in range(1, retries + 2):
                     try:
-                        raw = judge.text((again if attempt > 1 else "") + (text or ""), tokens)
+                        answer = judge.text((again if attempt > 1 else "") + question, tokens)
                     except Exception as e:  # the judge failed: asking again would hide it
                         parsed, error = None, f"{type(e).__name__}: {e}"
                         break
-                    parsed, error = read(raw)
+                    raw, cut = answer if isinstance(answer, tuple) else (answer, False)
+                    if cut:
+                        parsed, error = None, "the answer was cut"
+                        break
+                    parsed, error = read(raw, about)
                     if error is None:
                         break
                 out.append((f, raw, parsed, error, attempt))
             yield batch_of(out)
 
-    done = None if kept is None else kept.mapInArrow(known, shape).filter("error is null")
-    todo = own if done is None else own.join(done.select("fingerprint"), "fingerprint", "left_anti")
-    fresh = todo.mapInArrow(ask, shape)
+    done = None
+    if cache is not None:
+        kept = cache.groupBy("fingerprint").agg(F.any_value("raw").alias("raw")).join(once.select("fingerprint", "context"), "fingerprint")
+        done = settled(kept.select("fingerprint", "raw", "context").mapInArrow(known, shape).filter("error is null"))
+    todo = once if done is None else once.join(done.select("fingerprint"), "fingerprint", "left_anti")
+    fresh = settled(todo.mapInArrow(ask, shape))
     every = fresh.withColumn("from_cache", F.lit(False))
     if done is not None:
         every = every.unionByName(done.withColumn("from_cache", F.lit(True)))
-    return asked.join(every, "fingerprint"), fresh.filter("error is null").select("fingerprint", "raw", "parsed")
+    return asked.join(every, "fingerprint"), fresh.filter("error is null").select(F.lit(stage).alias("stage"), "fingerprint", "raw", "parsed")
 
 
 def claim_batches(facts: DataFrame, key: str, column: str, size: int = 8) -> DataFrame:
@@ -87,15 +113,19 @@ def claim_batches(facts: DataFrame, key: str, column: str, size: int = 8) -> Dat
     return each.groupBy(key, F.floor(F.col("at") / size).cast("int").alias("batch")).agg(F.array_sort(F.collect_list(claim)).alias("claims"))
 
 
-def fact_scores(verdicts: DataFrame, key: str, raw: str, claims: str) -> DataFrame:
-    """(key, facts, supported, factscore) of a judge's answers to ``claim_batches``; null where any batch can't be read."""
+def fact_scores(verdicts: DataFrame, key: str, raw: str, claims: str, batches: DataFrame | None = None) -> DataFrame:
+    """(key, facts, supported, factscore) of a judge's answers to ``claim_batches``; null where any batch can't be read.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    With ``batches`` (key, batch, claims), all that was asked, a batch that has
+    no answer at all counts as one that can't be read.
+    """
+
+    def read(made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in made:
             good, said = [], []
-            for text, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for raw_, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 try:
-                    found = answers.read_verdicts(text or "", [c["id"] for c in own])
+                    found = judgements.read_verdicts(raw_ or "", [c["id"] for c in own])
                     good.append(True)
                     said.append(sum(v["supported"] for v in found))
                 except ValueError:
@@ -104,11 +134,67 @@ def fact_scores(verdicts: DataFrame, key: str, raw: str, claims: str) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(c) for c in b.column(2).to_pylist()], pa.int64()), pa.array(said, pa.int64()), pa.array(good, pa.bool_())], names=["key", "facts", "supported", "good"])
 
     kind = verdicts.schema[key].dataType.simpleString()
+    if batches is not None:
+        answers_ = verdicts.select(F.col(key).alias("_k"), F.col("batch").alias("_b"), F.col(raw).alias("_raw"))
+        verdicts = batches.join(answers_, F.col(key).eqNullSafe(F.col("_k")) & (F.col("batch") == F.col("_b")), "left").select(key, F.col("_raw").alias(raw), F.col("claims").alias(claims))
     rows = verdicts.select(F.col(key).alias("key"), raw, claims).mapInArrow(read, f"key {kind}, facts long, supported long, good boolean")
     whole = F.every("good")
     return rows.groupBy(F.col("key").alias(key)).agg(F.sum("facts").alias("facts"), F.when(whole, F.sum("supported")).alias("supported"), F.when(whole, F.sum("supported") / F.sum("facts")).alias("factscore"))
 
 
+def fact_precision(rows: DataFrame, key: str, question: str, reference: str, prediction: str, judge: Judge, prompts: tuple[str, str], cache: DataFrame | None = None, size: int = 8, tokens: int = 1024, **config) -> tuple[DataFrame, DataFrame]:
+    """(scores, fresh): (key, factscore, facts, supported, fact_status, fact_reason) of answers whose facts a judge lists and then checks.
+
+    Each answer's last words, without thoughts, are cut into facts (stage
+    ``extract``); facts are checked against the reference in batches of
+    ``size`` (stage ``verify``), whose ids the answer must name once each.  An
+    empty answer, and one without facts, scores 0.  A row without question or
+    reference has failed, and so has one of which any stage or batch failed: it
+    has no score.
+    """
+    final = text.final_text(F.coalesce(prediction, F.lit("")))
+    own = rows.select(key, F.trim(question).alias("_q"), F.trim(reference).alias("_r"), final.alias("_p"), F.col(prediction).isNull().alias("_none"))
+    lost = (F.coalesce("_q", F.lit("")) == "") | (F.coalesce("_r", F.lit("")) == "") | F.col("_none")
+    able = own.filter(~lost & (F.col("_p") != ""))
+    extract = able.withColumn("_prompt", F.concat(F.lit(prompts[0] + "\n"), F.to_json(F.struct(F.col("_q").alias("question"), F.col("_p").alias("prediction")))))
+    listed, first = judged(extract, key, "_prompt", judge, judgements.read_facts, cache, "extract", tokens=tokens, **config)
+    listed = settled(listed.select(key, "_q", "_r", F.from_json("parsed", "array<string>").alias("_facts"), "error"))
+    batches = settled(claim_batches(listed.filter("size(_facts) > 0"), key, "_facts", size))
+    names = F.to_json(F.transform("claims", lambda c: c["id"]))
+    verify = batches.join(listed.select(key, "_q", "_r"), key).withColumn("_ids", names)
+    verify = verify.withColumn("_prompt", F.concat(F.lit(prompts[1] + "\n"), F.to_json(F.struct(F.col("_q").alias("question"), F.col("_r").alias("reference"), F.col("claims").alias("claims")))))
+    checked, second = judged(verify, key, "_prompt", judge, lambda raw, ids: judgements.read_verdicts(raw, json.loads(ids)), cache, "verify", "_ids", tokens=tokens, **config)
+    made = fact_scores(checked.filter("error is null"), key, "raw", "claims", batches)
+    out = own.select(key, lost.alias("_lost"), (F.col("_p") == "").alias("_empty")).join(listed.select(key, F.size("_facts").alias("_n"), "error"), key, "left").join(made, key, "left")
+    none = ((F.col("_n") == 0) | F.col("_empty")) & ~F.col("_lost")
+    reason = F.when(F.col("_lost"), "question, reference or answer is missing").when(F.col("_empty"), "empty_answer").when(F.col("error").isNotNull(), F.concat(F.lit("facts weren't listed: "), "error")).when(F.col("_n") == 0, "no_claims").when(F.col("factscore").isNull(), "a batch of facts wasn't checked").otherwise(F.concat_ws("/", F.col("supported").cast("string"), F.col("facts").cast("string")))
+    score = F.when(F.col("_lost"), F.lit(None)).when(none, 0.0).otherwise(F.col("factscore"))
+    scores = out.select(key, score.alias("factscore"), F.when(none, 0).otherwise(F.col("facts")).cast("long").alias("facts"), F.when(none, 0).otherwise(F.col("supported")).cast("long").alias("supported"), F.when(score.isNull(), "judge_failed").otherwise("ok").alias("fact_status"), reason.alias("fact_reason"))
+    return scores, first.unionByName(second)
+
+
+def judge_pending(rows: DataFrame, key: str, judge: Judge, prompts: tuple[str, str, str], cache: DataFrame | None = None, size: int = 8, **config) -> tuple[DataFrame, DataFrame]:
+    """(rows, fresh): the rows with what was pending judged: facts first, then meaning.
+
+    ``rows`` has question, reference, prediction, fact_required,
+    semantic_required, factscore, fact_status, semantic and semantic_status.
+    Only rows that need a stage and have no status for it (null or ``pending``)
+    are asked; the others keep what they have, those that need no stage get
+    ``not_required``.  ``prompts``: to list facts, to check them, to compare
+    meanings.
+    """
+    open_ = lambda stage: F.coalesce(F.col(f"{stage}_required"), F.lit(False)) & (F.coalesce(f"{stage}_status", F.lit("pending")) == "pending")
+    facts, fresh = fact_precision(rows.filter(open_("fact")), key, "question", "reference", "prediction", judge, prompts[:2], cache, size, **config)
+    asked = rows.filter(open_("semantic")).withColumn("_prompt", F.concat(F.lit(prompts[2] + "\n"), F.to_json(F.struct("question", "reference", "prediction"))))
+    meant, more = judged(asked, key, "_prompt", judge, judgements.read_judgement, cache, "semantic", **config)
+    meant = meant.select(F.col(key).alias("_k2"), F.get_json_object("parsed", "$.correctness").cast("double").alias("_s"), F.when(F.col("error").isNull(), "ok").otherwise("judge_failed").alias("_s_status"))
+    facts = facts.select(F.col(key).alias("_k1"), F.col("factscore").alias("_f"), F.col("fact_status").alias("_f_status"))
+    joined = rows.join(facts, F.col(key) == F.col("_k1"), "left").join(meant, F.col(key) == F.col("_k2"), "left")
+    state = lambda stage, new: F.when(~F.coalesce(F.col(f"{stage}_required"), F.lit(False)), "not_required").otherwise(F.coalesce(new, f"{stage}_status", F.lit("pending")))
+    changed = {"factscore": F.when(F.col("_f_status").isNotNull(), F.col("_f")).otherwise(F.col("factscore")), "fact_status": state("fact", "_f_status"), "semantic": F.when(F.col("_s_status").isNotNull(), F.col("_s")).otherwise(F.col("semantic")), "semantic_status": state("semantic", "_s_status")}
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in rows.columns]), fresh.unionByName(more)
+
+
 def scored_run(samples: DataFrame, generations: DataFrame, key: str, reserved: DataFrame | None = None) -> DataFrame:
     """Samples (key, kind, options, reference) with the prediction of each and its objective score.
 
@@ -124,7 +210,7 @@ def scored_run(samples: DataFrame, generations: DataFrame, key: str, reserved: D
         if leaks:
             raise ValueError(f"a reserved sample is in the evidence: {leaks[0][0]}")
     joined = samples.join(generations.select(key, "prediction"), key, "left")
-    return joined.withColumn("s", answers.objective_score("kind", "options", "reference", "prediction")).select(*joined.columns, "s.status", "s.accuracy", "s.f1")
+    return answers.with_score(joined, into="_score").select(*joined.columns, "_score.status", "_score.accuracy", "_score.f1")
 
 
 def run_counters(rows: DataFrame, status: str = "status", judge: str = "judge_status", cached: str = "from_cache", truncated: str = "hit_limit", seconds: str = "seconds") -> DataFrame:
@@ -145,13 +231,11 @@ def run_counters(rows: DataFrame, status: str = "status", judge: str = "judge_st
 
 
 def run_record(rows: DataFrame, group: str, key: str, seconds: str, *values: str) -> DataFrame:
-    """(group, samples, seconds, fingerprint) of runs: the digest of each run's rows in the order of their keys.
-
-    Rows are hashed where they lie; a run's digests, not its rows, are put in order.
-    """
+    """(group, samples, seconds, fingerprint) of runs of any size: the digest of each run's rows in the order of their keys, as a tree."""
     own = rows.select(group, key, seconds, F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (key, *values)]), 256).alias("_h"))
-    made = own.groupBy(group).agg(F.count("*").alias("samples"), F.sum(seconds).alias("seconds"), F.array_sort(F.collect_list(F.struct(key, "_h"))).alias("_x"))
-    return made.select(group, "samples", "seconds", F.sha2(F.array_join(F.transform("_x", lambda x: x["_h"]), ""), 256).alias("fingerprint"))
+    made = own.groupBy(group).agg(F.count("*").alias("samples"), F.sum(seconds).alias("seconds"))
+    tree = ordered_digest(own, group, key, "_h").select(F.col(group).alias("_g"), F.col("digest").alias("fingerprint"))
+    return made.join(tree, F.col(group).eqNullSafe(F.col("_g"))).select(group, "samples", "seconds", "fingerprint")
 
 
 def one_test_set(records: DataFrame, fingerprint: str) -> bool:
@@ -204,9 +288,23 @@ def markdown(report: DataFrame, *columns: str) -> DataFrame:
     return report.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), F.lit(" |")).alias("line"))
 
 
-def detail(rows: DataFrame, label: str, metrics: list[str], reasons: Column) -> DataFrame:
-    """The fields of a detail sheet: who, what was asked, said and expected, metrics in percent, states, and why it needs review."""
-    text = ("id", "kind", "question", "answer", "reference", "prediction", "normalized_prediction", "normalized_reference")
-    rest = ("status", "fact_status", "fact_reason", "semantic_status", "semantic_reason", "explanation_status", "generation_info", "retrieved_count")
-    have = lambda n: F.col(n) if n in rows.columns else F.lit(None).alias(n)
-    return rows.select(F.lit(label).alias("run"), *[have(n) for n in text], *[percent(F.col(m)).alias(m) for m in metrics], *[have(n) for n in rest], (reasons != "").alias("needs_review"), reasons.alias("reasons"))
+#: What a detail sheet has beside names of metrics, in order.
+DETAIL = ("id", "question_type", "question", "answer", "reference", "prediction", "normalized_prediction", "normalized_reference")
+DETAIL_STATES = ("status", "answer_details", "fact_status", "fact_reason", "semantic_status", "semantic_reason", "explanation_status", "generation_info", "retrieved_count")
+
+
+def detail(rows: DataFrame, label: str, metrics: list[str], reasons: Column, types: dict[str, str] | None = None) -> DataFrame:
+    """The fields of a detail sheet: who, what was asked, said and expected, metrics in percent, states, and why it needs review.
+
+    Columns that ``rows`` hasn't are null; without an answer the reference
+    stands for it; question types get the names in ``types``; structs are
+    written as JSON; nothing retrieved counts as 0.
+    """
+    nested = {n for n, k in rows.dtypes if k.startswith(("struct", "array", "map"))}
+    plain = lambda n: F.to_json(n) if n in nested else F.col(n)
+    have = lambda n: plain(n) if n in rows.columns else F.lit(None)
+    names = F.create_map(*[F.lit(x) for kv in (types or {}).items() for x in kv]) if types else None
+    kind = have("question_type" if "question_type" in rows.columns else "kind")
+    made = {"question_type": F.coalesce(names[kind], kind) if types else kind, "answer": F.coalesce(have("answer"), have("reference")), "retrieved_count": F.coalesce(have("retrieved_count"), F.lit(0))}
+    field = lambda n: made.get(n, have(n)).alias(n)
+    return rows.select(F.lit(label).alias("run"), *[field(n) for n in DETAIL], *[percent(F.col(m)).alias(m) for m in metrics], *[field(n) for n in DETAIL_STATES], (reasons != "").alias("needs_review"), reasons.alias("reasons"))

@@ -20,7 +20,9 @@ class Encoder(Protocol):
 
 
 class Judge(Protocol):
-    def text(self, prompt: str, max_new_tokens: int) -> str: ...
+    def text(self, prompt: str, max_new_tokens: int) -> str | tuple[str, bool]:
+        """The answer, or the answer and whether it was cut at the limit."""
+        ...
 
 
 class HashingEncoder:

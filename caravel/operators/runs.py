@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def compatible_pairs(runs: DataFrame, label: str, fine: Column, fields: list[str]) -> DataFrame:
-    """(fine, base): each run that ``fine`` marks with each other run equal, nulls included, in all ``fields``."""
+def compatible_pairs(runs: DataFrame, label: str, fine: Column, fields: list[str], identity: str | None = None, retrieves: str | None = None, index_fields: list[str] | None = None) -> DataFrame:
+    """(fine, base): each run that ``fine`` marks with each other run equal, nulls included, in all ``fields``.
+
+    Where ``retrieves`` holds for the marked run, ``index_fields`` must be equal
+    too.  A marked run whose ``identity`` is null or empty, and which several
+    others fit, is paired with none of them.
+    """
     a, b = runs.filter(fine).alias("a"), runs.filter(~fine).alias("b")
-    same = None
-    for f in fields:
-        one = F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
-        same = one if same is None else same & one
-    return a.join(b, same).select(F.col(f"a.{label}").alias("fine"), F.col(f"b.{label}").alias("base"))
+    equal = lambda names: reduce(lambda x, y: x & y, [F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")) for f in names], F.lit(True))
+    both = equal(fields)
+    if retrieves:
+        both = both & (~F.coalesce(F.col(f"a.{retrieves}"), F.lit(False)) | equal(index_fields or []))
+    named = F.coalesce(F.col(f"a.{identity}").cast("string"), F.lit("")) != "" if identity else F.lit(True)
+    found = a.join(b, both).select(F.col(f"a.{label}").alias("fine"), F.col(f"b.{label}").alias("base"), named.alias("_named"))
+    if not identity:
+        return found.drop("_named")
+    fits = found.groupBy("fine").agg(F.count("*").alias("_fits"))
+    return found.join(fits, "fine").filter("_named or _fits = 1").select("fine", "base")
 
 
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -26,6 +38,53 @@ def cache_misses(rows: DataFrame, cache: DataFrame, key: str, fingerprint: str)
     return rows.join(cache.select(key, fingerprint), [key, fingerprint], "left_anti")
 
 
+#: What must be equal between a cached record and its sample, and between evidence and what is known.
+CACHED = ("question", "reference", "images")
+
+
+def cache_defects(cache: DataFrame, samples: DataFrame, knowledge: DataFrame, key: str, fingerprint: str, k: int, fields: tuple[str, ...] = CACHED) -> DataFrame:
+    """The rows of ``cache`` with ``defects``, the sorted names of what speaks against each.
+
+    ``cache`` has the key, its place (file, line), fingerprint, ``fields``,
+    prediction and evidence, an array of structs of the key, ``fields`` and
+    similarity.  A record must be of a sample, under this fingerprint, with the
+    sample's content and a prediction; its evidence must be as many items as
+    ``k`` and the knowledge allow, each of another known id with that id's
+    content and a finite similarity, and none of a sample that is tested.
+    All evidence is checked by one join.
+    """
+    pool = min(k, knowledge.count()) if k else 0
+    content = lambda of: F.struct(*[of(f).alias(f) for f in fields])
+    own = samples.select(F.col(key).alias("_id"), content(F.col).alias("_content"))
+    told = cache.withColumn("_r", F.struct("file", "line")).join(own, F.col(key) == F.col("_id"), "left")
+    known = knowledge.select(F.col(key).alias("_k"), content(F.col).alias("_known")).join(samples.select(F.col(key).alias("_k"), F.lit(True).alias("_tested")), "_k", "full_outer")
+    each = cache.select(F.struct("file", "line").alias("_r"), F.explode("evidence").alias("e")).join(known, F.col(f"e.{key}") == F.col("_k"), "left")
+    finite = F.coalesce(~F.isnan("e.similarity") & (F.abs("e.similarity") < float("inf")), F.lit(False))
+    wrong = each.groupBy("_r").agg(
+        F.max(F.col("_known").isNull() & F.col("_tested").isNull()).alias("unknown"),
+        F.max(F.coalesce("_tested", F.lit(False))).alias("tested"),
+        (F.count_distinct(f"e.{key}") < F.count(f"e.{key}")).alias("repeated"),
+        F.max(F.col("_known").isNotNull() & ~F.col("_known").eqNullSafe(content(lambda f: F.col(f"e.{f}")))).alias("changed"),
+        F.max(~finite).alias("similarity"),
+    )
+    joined = told.join(wrong.withColumnRenamed("_r", "_w"), F.col("_r") == F.col("_w"), "left")
+    checks = {
+        "no_sample": F.col("_id").isNull(),
+        "fingerprint": ~F.col("fingerprint").eqNullSafe(F.lit(fingerprint)),
+        "content": F.col("_id").isNotNull() & ~F.col("_content").eqNullSafe(content(F.col)),
+        "prediction": F.col("prediction").isNull(),
+        "evidence_count": F.coalesce(F.size("evidence"), F.lit(-1)) != pool,
+        **{f"evidence_{n}": F.coalesce(F.col(n), F.lit(False)) for n in ("unknown", "tested", "repeated", "changed", "similarity")},
+    }
+    return joined.select(*cache.columns, F.array_sort(F.array_compact(F.array(*[F.when(c, n) for n, c in checks.items()]))).alias("defects"))
+
+
+def valid_cache(cache: DataFrame, samples: DataFrame, knowledge: DataFrame, key: str, fingerprint: str, k: int, fields: tuple[str, ...] = CACHED) -> DataFrame:
+    """One row for each sample that the cache can answer: of records without defects the one of the last file and line."""
+    good = cache_defects(cache, samples, knowledge, key, fingerprint, k, fields).filter("size(defects) = 0").drop("defects")
+    return good.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*cache.columns), F.struct("file", "line")).alias("_x")).select("_x.*")
+
+
 def backfilled(rows: DataFrame, source: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Rows with fields that are null filled from the source."""
     other = source.select(F.col(key).alias("_key"), *[F.col(f).alias(f"_{f}") for f in fields])

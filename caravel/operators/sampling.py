@@ -6,9 +6,13 @@ and seed alone, not on partitions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caravel.operators.ordering import running
+
 #: Question types in the order that breaks ties. Fixed values.
 TYPES = ("open_ended", "closed_ended", "single_choice", "multiple_choice")
 
@@ -19,7 +23,7 @@ def lot(seed: int, salt: str, key: Column) -> Column:
 
 def allocate(total: int, ratios: dict[str, float]) -> dict[str, int]:
     """Whole quotas that sum to ``total``: floors, then one more for the largest fractions, ties in the order given."""
-    if not ratios or min(ratios.values()) < 0 or sum(ratios.values()) <= 0:
+    if not ratios or any(isinstance(v, bool) or not math.isfinite(v) or v < 0 for v in ratios.values()) or sum(ratios.values()) <= 0:
         raise ValueError("ratios must be finite, not negative, and positive in sum")
     whole = sum(ratios.values())
     exact = {k: total * v / whole for k, v in ratios.items()}
@@ -30,6 +34,21 @@ def allocate(total: int, ratios: dict[str, float]) -> dict[str, int]:
     return out
 
 
+def type_counts(counts: dict[str, int]) -> dict[str, int]:
+    """Counts in the order of ``TYPES``; each type and no other must be given, with whole numbers that aren't negative and are positive in sum."""
+    if set(counts) != set(TYPES) or any(type(v) is not int or v < 0 for v in counts.values()) or not sum(counts.values()):
+        raise ValueError("counts need the keys " + ", ".join(TYPES) + " and whole numbers, none negative, not all 0")
+    return {t: counts[t] for t in TYPES}
+
+
+def type_ratios(ratios: dict[str, float]) -> dict[str, float]:
+    """Shares of 1 in the order of ``TYPES``; each type and no other must be given, with finite numbers that aren't negative and are positive in sum."""
+    if set(ratios) != set(TYPES) or any(type(v) not in (int, float) or not math.isfinite(v) or v < 0 for v in ratios.values()) or not sum(ratios.values()):
+        raise ValueError("ratios need the keys " + ", ".join(TYPES) + " and finite numbers, none negative, not all 0")
+    whole = sum(ratios.values())
+    return {t: ratios[t] / whole for t in TYPES}
+
+
 def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """(key, quota) over a table of weights, a row for each key; ties by key."""
     everything = weights.agg(F.sum(weight).alias("_sum"))
@@ -151,8 +170,8 @@ def evaluation_split(samples: DataFrame, key: str, reserved: DataFrame, count: i
 
 
 def seeded_rows(df: DataFrame, key: str, count: int, seed: int) -> DataFrame:
-    """``count`` distinct rows by the order of their lots: a sample for a look at the data."""
-    return df.orderBy(lot(seed, "look", F.col(key)), key).limit(count)
+    """``count`` distinct rows by the order of their lots, in the order of keys: a sample for a look at the data."""
+    return df.orderBy(lot(seed, "look", F.col(key)), key).limit(count).orderBy(key)
 
 
 def one_example(df: DataFrame, key: str, text: str, most: int, seed: int | None = None, index: int | None = None) -> DataFrame:
@@ -164,7 +183,7 @@ def one_example(df: DataFrame, key: str, text: str, most: int, seed: int | None
 
 
 def accepted_counts(df: DataFrame, group: str, index: Column, accepted: Column, limit: int) -> DataFrame:
-    """(group, seen, accepted, skipped) when each group is read in the order of ``index`` until ``limit`` rows are accepted."""
-    order = Window.partitionBy(group).orderBy(index)
-    own = df.withColumn("_ok", accepted.cast("int")).withColumn("_n", F.coalesce(F.sum("_ok").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """(group, seen, accepted, skipped) when each group is read in the order of ``index`` until ``limit`` rows are accepted; a group may hold any share of the rows."""
+    own = df.select(group, index.alias("_i"), F.coalesce(accepted, F.lit(False)).cast("int").alias("_ok"))
+    own = running(own, [group], ["_i"], F.col("_ok"), "_n")
     return own.filter(F.col("_n") < limit).groupBy(group).agg(F.count("*").alias("seen"), F.sum("_ok").alias("accepted"), F.count_if(F.col("_ok") == 0).alias("skipped"))

@@ -117,3 +117,15 @@ def best_key_form(keys: DataFrame, key: str, forms: dict[str, Column], index: Da
     rows = keys.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("form"), c.cast("string").alias("k")) for i, (n, c) in enumerate(forms.items())])).alias("x")).select("x.*")
     known = index.select(F.col(index_key).cast("string").alias("k")).distinct().withColumn("hit", F.lit(1))
     return rows.join(known, "k", "left").groupBy("ord", "form").agg(F.count("hit").alias("hits"), F.count("*").alias("asked")).orderBy(F.desc("hits"), "ord").drop("ord")
+
+
+def reconciled(keys: DataFrame, key: str, forms: dict[str, Column], index: DataFrame, index_key: str, probe: int = 200, seed: int = 42) -> tuple[str, DataFrame]:
+    """(form, keys with ``stored``): all keys in the form that most of ``probe`` seeded keys have in the index; of equal forms the one tried first.
+
+    No hit at all raises.
+    """
+    some = keys.select(key).distinct().orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key)), 256)).limit(probe)
+    best = best_key_form(some, key, forms, index, index_key).first()
+    if best is None or not best["hits"]:
+        raise ValueError("no form of the ids is in the index; tried " + ", ".join(forms))
+    return best["form"], keys.withColumn("stored", forms[best["form"]])

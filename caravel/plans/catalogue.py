@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caravel.functions import answers, text
+from caravel.functions import text, textmetrics
 from caravel.operators import corpus, plugins, runs, sampling, stats, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,7 +393,7 @@ def token_budget_clamp(spark, d):
 
 
 @query("""
-WITH a AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS p, list_sort(list(DISTINCT l_linestatus || CASE WHEN l_linestatus = 'F' THEN '' ELSE '' END)) AS q FROM lineitem GROUP BY 1),
+WITH a AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS p, list_sort(list(DISTINCT l_linestatus)) AS q FROM lineitem GROUP BY 1),
 b AS (SELECT l_orderkey, p, list_transform(q, lambda x: CASE WHEN x = 'F' THEN 'A' ELSE 'N' END) AS q FROM a),
 c AS (SELECT l_orderkey, len(p) AS n, len(q) AS m, len(list_intersect(p, q)) AS k FROM b)
 SELECT l_orderkey, CASE WHEN k = n AND k = m THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy, round(2.0::DOUBLE * k / (n + m), 6) AS f1 FROM c
@@ -420,9 +420,9 @@ def keyword_overlap_fact(spark, d):
     return scored.groupBy("doc_id").agg(F.count("*").alias("n"), rounded(F.avg("x")).alias("score"))
 
 
-def _text_pairs(spark, d):
-    b = table(spark, d, "benchmark")
-    return b.select("item_id", F.col("text").alias("a")).join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("b")), "item_id")
+def _token_pairs(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", textmetrics.tokens(F.col("text")).alias("a"))
+    return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
 
 
 @query(r"""
@@ -436,12 +436,24 @@ l AS (SELECT item_id, min(hit) AS least, count(*) AS orders, avg(ln(CASE WHEN hi
 SELECT item_id, round(CASE WHEN least = 0 OR orders < 4 THEN 0.0::DOUBLE ELSE exp(s) * CASE WHEN len(p) > len(r) THEN 1.0 ELSE exp(1 - len(r) / len(p)) END END, 6) AS bleu4, 1.0::DOUBLE AS own FROM p JOIN l USING (item_id)
 """)
 def bleu4(spark, d):
-    return _text_pairs(spark, d).select("item_id", rounded(answers.bleu_score("a", "b")).alias("bleu4"), rounded(answers.bleu_score("a", "a")).alias("own"))
+    rows = _token_pairs(spark, d)
+    return rows.select("item_id", rounded(textmetrics.bleu_score("a", "b")).alias("bleu4"), rounded(textmetrics.bleu_score("a", "a")).alias("own"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE t AS (SELECT item_id, regexp_extract_all(lower(text), '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]|[0-9_\p{L}]+') AS w FROM benchmark),
+p AS (SELECT a.item_id, a.w AS p, b.w AS r FROM t a JOIN t b ON b.item_id = a.item_id + 1),
+d(item_id, i, row_) AS (
+  SELECT item_id, 0, list_transform(range(0, len(r) + 1), lambda x: CAST(0 AS BIGINT)) FROM p
+  UNION ALL
+  SELECT item_id, i + 1, list_reduce([[CAST(0 AS BIGINT)]] || list_transform(range(1, len(r) + 1), lambda j: [j]),
+    lambda acc, x: list_append(acc, CASE WHEN p[i + 1] = r[x[1]] THEN row_[x[1]] + 1 ELSE greatest(row_[x[1] + 1], acc[len(acc)]) END))
+  FROM d JOIN p USING (item_id) WHERE i < len(p))
+SELECT item_id, round(2.0::DOUBLE * row_[len(r) + 1] / (len(p) + len(r)), 6) AS rouge_l, 1.0::DOUBLE AS own FROM d JOIN p USING (item_id) WHERE i = len(p)
+""")
 def rouge_l(spark, d):
-    return _text_pairs(spark, d).select("item_id", rounded(answers.rouge_score("a", "b")).alias("rouge_l"), rounded(answers.rouge_score("a", "a")).alias("own"))
+    rows = _token_pairs(spark, d)
+    return rows.select("item_id", rounded(textmetrics.rouge_score("a", "b")).alias("rouge_l"), rounded(textmetrics.rouge_score("a", "a")).alias("own"))
 
 
 @query("""
@@ -457,9 +469,9 @@ def chunk_restore(spark, d):
     return parts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("part", "c"))).alias("x")).select("page_id", F.sha2(F.array_join(F.transform("x", lambda x: x["c"]), ""), 256).alias("sha"), F.size("x").cast("long").alias("parts"))
 
 
-@query("SELECT doc_id, sha256(CASE WHEN regexp_matches(t, '^[=+\\-@\\t\\r]') THEN '''' || t ELSE t END) AS safe_sha FROM (SELECT doc_id, (CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END) || text AS t FROM documents)")
+@query("SELECT doc_id, sha256(CASE WHEN substr(ltrim(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 1, 1) IN ('=', '+', '-', '@') THEN '''' || t ELSE t END) AS safe_sha FROM (SELECT doc_id, (CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' WHEN 3 THEN chr(9) || ' +' ELSE '' END) || text AS t FROM documents)")
 def formula_neutralise(spark, d):
-    mark = F.when(F.col("doc_id") % 5 == 0, "=").when(F.col("doc_id") % 5 == 1, "-").when(F.col("doc_id") % 5 == 2, "@").otherwise("")
+    mark = F.when(F.col("doc_id") % 5 == 0, "=").when(F.col("doc_id") % 5 == 1, "-").when(F.col("doc_id") % 5 == 2, "@").when(F.col("doc_id") % 5 == 3, "\t +").otherwise("")
     return table(spark, d, "documents").select("doc_id", F.sha2(text.neutral_formula(F.concat(mark, "text")), 256).alias("safe_sha"))
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caravel.functions import render, report, text, training
-from caravel.operators import corpus, sampling, vectors
+from caravel.functions import nested, render, report, text, training
+from caravel.operators import corpus, ordering, sampling, vectors
 from caravel.plans.catalogue import query, scratch, table
 from caravel.sources import qa, sinks
 
@@ -107,11 +107,9 @@ def sample_documents(spark, d):
 
 @query("SELECT doc_id, source || ':' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS key, source || '.csv' AS source_csv, CAST(1 AS INTEGER) AS image_count, '[\"' || lang || '.png\"]' AS image_paths, n_chars > 0 AS has_question, false AS has_answer FROM documents")
 def provenance_rows(spark, d):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     made = render.provenance(F.col("source"), F.col("doc_id"), F.lit("open_ended"), F.lit(0), F.array(F.concat("lang", F.lit(".png"))), F.lit(""), F.array_compact(F.array(F.when(F.col("n_chars") <= 0, "question"), F.lit("answer"))))
-    rows = table(spark, d, "documents").select("doc_id", render.row_key(F.col("source"), place).alias("key"), made.alias("p"))
+    placed = ordering.running(table(spark, d, "documents").drop("text"), ["source"], ["doc_id"], into="place")
+    rows = placed.select("doc_id", render.row_key(F.col("source"), F.col("place") + 1).alias("key"), made.alias("p"))
     return rows.select("doc_id", "key", *[f"p.{c}" for c in ("source_csv", "image_count", "image_paths", "has_question", "has_answer")])
 
 
@@ -124,17 +122,17 @@ def rendered_fields(spark, d):
 
 
 @query("""
-WITH k AS (SELECT 'mira:train:' || c_custkey || ':open_ended:' || (c_custkey % 5) AS id, 'train:' || c_custkey || ':open_ended:' || (c_custkey % 5 + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) AS stored FROM customer),
-f AS (SELECT 'as_is' AS form, id AS k FROM k UNION ALL SELECT 'prefix', 'x-' || id FROM k UNION ALL SELECT 'bare', substr(id, 6) FROM k UNION ALL SELECT 'prefix_bare', 'x-' || substr(id, 6) FROM k
-  UNION ALL SELECT 'next', regexp_extract(id, '^(.*):([0-9]+)$', 1) || ':' || (CAST(regexp_extract(id, '^(.*):([0-9]+)$', 2) AS BIGINT) + 1) FROM k
-  UNION ALL SELECT 'previous', regexp_extract(id, '^(.*):([0-9]+)$', 1) || ':' || (CAST(regexp_extract(id, '^(.*):([0-9]+)$', 2) AS BIGINT) - 1) FROM k
-  UNION ALL SELECT 'bare_next', substr(regexp_extract(id, '^(.*):([0-9]+)$', 1), 6) || ':' || (CAST(regexp_extract(id, '^(.*):([0-9]+)$', 2) AS BIGINT) + 1) FROM k)
+WITH k AS (SELECT 'mira:train:' || c_custkey || ':open_ended:' || (c_custkey % 5) AS id,
+  CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'mira:' ELSE 'x-mira:' END || 'train:' || c_custkey || ':open_ended:' || (c_custkey % 5 + CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE 1 END) AS stored FROM customer),
+f AS (SELECT 'as_is' AS form, id AS k FROM k UNION ALL SELECT 'prefix', 'x-' || id FROM k UNION ALL SELECT 'bare', substr(id, 6) FROM k
+  UNION ALL SELECT form, lead || regexp_extract(id, '^(.*):([0-9]+)$', 1) || ':' || (CAST(regexp_extract(id, '^(.*):([0-9]+)$', 2) AS BIGINT) + step) FROM k, (VALUES ('prefix_previous', 'x-', -1), ('previous', '', -1), ('prefix_next', 'x-', 1), ('next', '', 1)) s(form, lead, step))
 SELECT form, count(s.stored) AS hits, count(*) AS asked FROM f LEFT JOIN (SELECT DISTINCT stored FROM k) s ON s.stored = f.k GROUP BY form
 """)
 def id_forms(spark, d):
     key = lambda n: F.concat_ws(":", F.lit("train"), F.col("c_custkey").cast("string"), F.lit("open_ended"), n.cast("string"))
     last = F.col("c_custkey") % 5
-    rows = table(spark, d, "customer").select(F.concat(F.lit("mira:"), key(last)).alias("id"), key(last + F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(0)).alias("stored"))
+    lead = F.when(F.col("c_custkey") % 7 == 0, "").when(F.col("c_custkey") % 7 == 1, "mira:").otherwise("x-mira:")
+    rows = table(spark, d, "customer").select(F.concat(F.lit("mira:"), key(last)).alias("id"), F.concat(lead, key(last + F.when(F.col("c_custkey") % 3 == 0, -1).otherwise(1))).alias("stored"))
     return vectors.best_key_form(rows, "id", text.key_forms(F.col("id"), "x-"), rows, "stored")
 
 
@@ -146,7 +144,7 @@ def json_lines_strict(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("question"), F.col("p_type").alias("reference"), F.array(F.col("p_brand")).alias("images"), F.col("p_size").alias("extra"))
     path = scratch(spark, "lines")
     sinks.write_json_lines(rows.coalesce(1).sortWithinPartitions(F.col("id").cast("long")), path)
-    read = qa.read_eval_samples(spark, path).withColumn("n_images", F.size("images")).drop("images")
+    read = qa.read_eval_samples(spark, path).select("id", "question", "reference", F.size("images").alias("n_images"))
     lines = qa.read_json_lines(spark, path, ["id"]).select("line", F.variant_get("value", "$.id", "string").alias("id"))
     return read.join(lines, "id")
 
@@ -286,20 +284,16 @@ def question_total(spark, d):
 SELECT o_orderkey, 'p: ' || o_orderpriority || chr(10) || o_orderstatus AS flat, o_orderpriority || chr(10) || o_orderstatus AS leaves FROM orders
 """)
 def nested_texts(spark, d):
-    from caravel.functions import answers
-
     doc = F.to_json(F.struct(F.concat(F.lit(" p: "), "o_orderpriority").alias("a"), F.array(F.lit(" "), F.col("o_orderstatus")).alias("b")))
     other = F.to_json(F.struct(F.col("o_orderpriority").alias("a"), F.array(F.struct(F.col("o_orderstatus").alias("x"), F.lit(3).alias("y"))).alias("b")))
-    return table(spark, d, "orders").select("o_orderkey", answers.json_flat(doc).alias("flat"), F.array_join(answers.json_leaves(other), "\n").alias("leaves"))
+    return table(spark, d, "orders").select("o_orderkey", nested.json_flat(doc).alias("flat"), F.array_join(nested.json_leaves(other), "\n").alias("leaves"))
 
 
 @query("""
 SELECT event_id, '{"a":"' || event_type || '","b":' || user_id || '}' AS canonical, sha256('{"a":"' || event_type || '","b":' || user_id || '}') AS digest FROM events
 """)
 def canonical_rows(spark, d):
-    from caravel.functions import answers
-
-    own = answers.canonical_json(F.to_json(F.struct(F.col("user_id").alias("b"), F.col("event_type").alias("a"))))
+    own = nested.canonical_json(F.to_json(F.struct(F.col("user_id").alias("b"), F.col("event_type").alias("a"))))
     return table(spark, d, "events").select("event_id", own.alias("canonical")).withColumn("digest", F.sha2("canonical", 256))
 
 

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from caravel.functions import answers, render
+from caravel.functions import answers, judgements, render
 from caravel.operators import evaluation, sampling
 from caravel.plans.catalogue import query, rounded, table
 
@@ -36,10 +36,60 @@ def _said(spark, d):
 _CASES = ", ".join(f"({i}, '{k}', '{s}', {'NULL' if a is None else a}::DOUBLE, {'NULL' if f is None else f}::DOUBLE)" for i, (k, _, _, s, a, f) in enumerate(SAID))
 
 
-@query(f"SELECT p_partkey, kind, status, accuracy, round(f1, 6) AS f1 FROM part JOIN (VALUES {_CASES}) c(i, kind, status, accuracy, f1) ON i = p_partkey % {len(SAID)}")
+#: How an answer is put, in order: question type, and the text from the label said (s), its text (t), another label (o) and a name (n).
+WAYS = (
+    ("single_choice", "{s}"),
+    ("single_choice", "Answer: {s}"),
+    ("single_choice", "{s}. {t}"),
+    ("single_choice", "{t}"),
+    ("single_choice", "答案：{s}。"),
+    ("single_choice", "The right one is {s}. {t}"),
+    ("single_choice", "{s} or {o}"),
+    ("single_choice", "Answer: {s}\n\nAnswer: {o}"),
+    ("single_choice", "not {s}"),
+    ("single_choice", '{{"correct_option": "{s}", "explanation": "{n}"}}'),
+    ("single_choice", "<think>{o}</think>{s}"),
+    ("single_choice", "Answer: {s} because of the {n}"),
+    ("multiple_choice", "{s} and {o}"),
+    ("multiple_choice", "Answer: {s}, {o}\nBoth fit."),
+    ("multiple_choice", '{{"correct_options": ["{o}", "{s}"]}}'),
+    ("closed_ended", "No, the {n} is not."),
+)
+
+
+def _filled(way: str, **parts):
+    out = F.lit(way.replace("{{", "\x01").replace("}}", "\x02"))
+    for name, value in parts.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return F.translate(out, "\x01\x02", "{}")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey % 16 AS way, p_partkey // 16 % 4 AS said, p_size % 4 AS wanted, p_brand, p_name FROM part),
+k AS (SELECT *, CASE WHEN way < 12 THEN 'single_choice' WHEN way < 15 THEN 'multiple_choice' ELSE 'closed_ended' END AS kind, way IN (6, 7, 8) AS lost, (said - wanted + 4) % 4 AS off FROM p)
+SELECT p_partkey, kind, CASE WHEN lost THEN 'prediction_unparseable' ELSE 'ok' END AS status,
+  CASE WHEN lost THEN 0.0::DOUBLE WHEN way = 15 THEN CASE WHEN wanted % 2 = 1 THEN 1.0 ELSE 0.0 END WHEN off = 0 THEN 1.0 ELSE 0.0 END AS accuracy,
+  CASE WHEN lost THEN 0.0::DOUBLE WHEN way = 15 THEN NULL WHEN off = 0 THEN 1.0 WHEN way >= 12 AND off IN (1, 3) THEN 0.5 ELSE 0.0 END AS f1,
+  CASE WHEN lost OR way = 15 THEN NULL WHEN way < 12 THEN chr(CAST(65 + said AS INTEGER)) ELSE array_to_string(list_sort([chr(CAST(65 + said AS INTEGER)), chr(CAST(65 + (said + 1) % 4 AS INTEGER))]), ', ') END AS labels,
+  CASE WHEN way IN (9, 15) THEN CASE WHEN way = 9 THEN p_name ELSE 'the ' || p_name || ' is not.' END ELSE '' END AS reason
+FROM k
+""")
 def answer_parse(spark, d):
-    rows = _said(spark, d).withColumn("s", answers.objective_score("kind", "options", "reference", "prediction"))
-    return rows.select("p_partkey", "kind", "s.status", "s.accuracy", rounded(F.col("s.f1")).alias("f1"))
+    """Answers put in many ways over options that differ from row to row."""
+    k = F.col("p_partkey")
+    said, wanted = F.floor(k / 16) % 4, F.col("p_size") % 4
+    letter = lambda n: F.char(F.lit(65) + n)
+    texts = F.array(F.concat("p_name", F.lit(" in stock")), F.concat("p_type", F.lit(" sold")), F.concat("p_brand", F.lit(" asked for")), F.concat(F.lit("none of "), "p_brand"))
+    options = F.to_json(F.transform(texts, lambda t, i: F.concat(letter(i), F.lit(". "), t)))
+    parts = {"s": letter(said), "o": letter((said + 1) % 4), "t": F.element_at(texts, (said + 1).cast("int")), "n": F.col("p_name")}
+    way = (k % len(WAYS)).cast("int")
+    prediction = F.element_at(F.array(*[_filled(w, **parts) for _, w in WAYS]), way + 1)
+    kind = F.element_at(F.array(*[F.lit(t) for t, _ in WAYS]), way + 1)
+    right = F.when(kind == "closed_ended", F.when(wanted % 2 == 1, "No").otherwise("Yes")).when(kind == "multiple_choice", F.concat_ws(", ", letter(wanted), letter((wanted + 1) % 4))).otherwise(letter(wanted))
+    rows = table(spark, d, "part").select("p_partkey", kind.alias("kind"), options.alias("options"), right.alias("reference"), prediction.alias("prediction"))
+    scored = answers.with_score(rows)
+    labels = F.when((F.col("s.status") == "ok") & (F.col("kind") != "closed_ended"), F.col("s.prediction"))
+    return scored.select("p_partkey", "kind", "s.status", "s.accuracy", rounded(F.col("s.f1")).alias("f1"), labels.alias("labels"), F.col("s.explanation_prediction").alias("reason"))
 
 
 @query(f"SELECT p_partkey, status, accuracy FROM part JOIN (VALUES {_CASES}) c(i, kind, status, accuracy, f1) ON i = p_partkey % {len(SAID)}")
@@ -87,8 +137,8 @@ def judged_with_cache(spark, d):
     """Each distinct prompt asked once; a first run over half of them fills the cache."""
     number = F.floor(F.col("o_orderkey") / 4)
     rows = table(spark, d, "orders").select("o_orderkey", number.alias("n"), F.concat(F.lit("Judge #"), number.cast("string")).alias("prompt"))
-    _, cache = evaluation.judged(rows.filter("n % 2 = 0"), "o_orderkey", "prompt", RuleJudge(), answers.read_judgement, model="rule")
-    scored, _ = evaluation.judged(rows, "o_orderkey", "prompt", RuleJudge(), answers.read_judgement, cache, model="rule")
+    _, cache = evaluation.judged(rows.filter("n % 2 = 0"), "o_orderkey", "prompt", RuleJudge(), judgements.read_judgement, model="rule")
+    scored, _ = evaluation.judged(rows, "o_orderkey", "prompt", RuleJudge(), judgements.read_judgement, cache, model="rule")
     return scored.select("o_orderkey", F.get_json_object("parsed", "$.correctness").cast("double").alias("score"), "from_cache", "attempts")
 
 
@@ -108,6 +158,76 @@ def fact_scores(spark, d):
     return scored.select("l_orderkey", "facts", "supported", rounded(F.col("factscore")).alias("factscore"))
 
 
+LIST_FACTS, CHECK_FACTS = "List the facts.", "Check the facts."
+
+
+class FactRule:
+    """Lists the sentences of an answer as facts and holds those true whose number is above 20; answers about a question that ends in 9 in a wrong form."""
+
+    def text(self, prompt: str, max_new_tokens: int) -> str:
+        task, _, about = prompt.partition(LIST_FACTS if LIST_FACTS in prompt else CHECK_FACTS)
+        given = json.loads(about)
+        if "prediction" in given:
+            return json.dumps({"facts": [s.strip() for s in given["prediction"].split(".") if s.strip()]})
+        supported = lambda c: "yes" if given["question"].endswith("9") and c["id"] == 1 else int(c["claim"].split()[-1]) > 20
+        return json.dumps({"verdicts": [{"id": c["id"], "supported": supported(c), "reason": "by its number"} for c in given["claims"]]})
+
+
+@query("""
+WITH f AS (SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS q FROM lineitem),
+s AS (SELECT o_orderkey, count(q) AS facts, count(*) FILTER (WHERE q > 20) AS supported FROM orders LEFT JOIN f ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT o_orderkey, CASE WHEN facts = 0 THEN 'ok' WHEN o_orderkey % 10 = 9 THEN 'judge_failed' ELSE 'ok' END AS fact_status,
+  CASE WHEN facts = 0 THEN 0.0::DOUBLE WHEN o_orderkey % 10 = 9 THEN NULL ELSE round(supported / facts, 6) END AS factscore,
+  CASE WHEN facts = 0 THEN 'empty_answer' WHEN o_orderkey % 10 = 9 THEN 'a batch of facts wasn''t checked' ELSE supported || '/' || facts END AS fact_reason FROM s
+""")
+def fact_precision(spark, d):
+    """Each order's lines as an answer, its facts listed and checked in batches of three."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))).alias("x"))
+    said = F.array_join(F.transform("x", lambda x, i: F.concat(F.lit("line "), i.cast("string"), F.lit(" has "), x["l_quantity"].cast("int").cast("string"), F.lit("."))), " ")
+    rows = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = rows.select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("question"), F.col("o_orderpriority").alias("reference"), F.coalesce(said, F.lit("")).alias("prediction"))
+    scores, _ = evaluation.fact_precision(rows, "o_orderkey", "question", "reference", "prediction", FactRule(), (LIST_FACTS, CHECK_FACTS), size=3)
+    return scores.select("o_orderkey", "fact_status", rounded(F.col("factscore")).alias("factscore"), "fact_reason")
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM part)
+SELECT o_orderkey, CASE o_orderkey % 11 WHEN 0 THEN '' WHEN 1 THEN 'fingerprint' WHEN 2 THEN 'content' WHEN 3 THEN 'prediction' WHEN 4 THEN 'evidence_count' WHEN 5 THEN 'evidence_unknown'
+  WHEN 6 THEN 'evidence_tested' WHEN 7 THEN 'evidence_repeated' WHEN 8 THEN 'evidence_changed' WHEN 9 THEN 'evidence_similarity' ELSE 'no_sample' END AS defects FROM orders
+""")
+def cache_defects(spark, d):
+    """Orders as samples, parts as knowledge, and a cached record of each order with one of ten defects or none."""
+    from caravel.operators import runs
+
+    k, parts = F.col("o_orderkey"), table(spark, d, "part")
+    n = parts.count()
+    knowledge = parts.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("question"), F.col("p_type").alias("reference"), F.array("p_brand").alias("images"))
+    orders = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("o"), k.cast("string")).alias("id"), F.col("o_orderpriority").alias("question"), F.col("o_orderstatus").alias("reference"), F.array(F.col("o_custkey").cast("string")).alias("images"))
+    defect = k % 11
+    ids = [F.concat(F.lit("p"), ((k + i) % n).cast("string")) for i in (0, 1)]
+    asked = orders.select("o_orderkey", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), x.alias("p")) for i, x in enumerate(ids)])).alias("x")).select("o_orderkey", "x.*")
+    found = asked.join(knowledge.withColumnRenamed("id", "p"), "p")
+    last = F.col("i") == 1
+    changed = {"id": F.when(last & (defect == 5), "x").when(last & (defect == 6), F.concat(F.lit("o"), k.cast("string"))).otherwise(F.col("p")), "question": F.when(last & (defect == 8), "other").otherwise(F.col("question")), "similarity": F.when(last & (defect == 9), float("nan")).otherwise(0.5)}
+    item = F.struct(changed["id"].alias("id"), changed["question"].alias("question"), "reference", "images", changed["similarity"].alias("similarity"))
+    evidence = found.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("i", item.alias("e")))).alias("x")).select("o_orderkey", F.transform("x", lambda x: x["e"]).alias("x"))
+    evidence = evidence.select("o_orderkey", F.when(defect == 4, F.slice("x", 1, 1)).when(defect == 7, F.array(F.get("x", F.lit(0)), F.get("x", F.lit(0)))).otherwise(F.col("x")).alias("evidence"))
+    cache = orders.join(evidence, "o_orderkey").select(
+        "o_orderkey",
+        F.when(defect == 10, "none").otherwise(F.col("id")).alias("id"),
+        F.lit("generations").alias("file"),
+        k.alias("line"),
+        F.when(defect == 1, "old").otherwise("now").alias("fingerprint"),
+        F.when(defect == 2, "other").otherwise(F.col("question")).alias("question"),
+        "reference",
+        "images",
+        F.when(defect != 3, "said").alias("prediction"),
+        "evidence",
+    )
+    checked = runs.cache_defects(cache, orders.drop("o_orderkey"), knowledge, "id", "now", 2)
+    return checked.select("o_orderkey", F.array_join("defects", ",").alias("defects"))
+
+
 _ROWS = "SELECT o_orderkey, o_orderpriority, CASE o_orderkey % 5 WHEN 0 THEN 'prediction_unparseable' WHEN 1 THEN 'invalid_reference' ELSE 'ok' END AS status, CASE o_orderkey % 7 WHEN 0 THEN 'judge_failed' ELSE 'ok' END AS judge_status, o_orderkey % 2 = 0 AS from_cache, o_orderkey % 11 = 0 AS hit_limit, o_totalprice AS seconds, CASE o_orderkey % 3 WHEN 0 THEN 256 ELSE 1024 END AS lim FROM orders"
 
 
@@ -150,7 +270,12 @@ def counter_delta(spark, d):
 
 
 @query(f"""
-SELECT o_orderpriority, count(*) AS samples, round(sum(seconds), 2) AS seconds, sha256(string_agg(sha256(CAST(o_orderkey AS VARCHAR) || chr(31) || status), '' ORDER BY o_orderkey)) AS fingerprint FROM ({_ROWS}) GROUP BY 1
+WITH l0 AS (SELECT o_orderpriority AS g, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS pos, sha256(CAST(o_orderkey AS VARCHAR) || chr(31) || status) AS h FROM ({_ROWS})),
+l1 AS (SELECT g, pos // 1024 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM l0 GROUP BY 1, l0.pos // 1024),
+l2 AS (SELECT g, pos // 1024 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM l1 GROUP BY 1, l1.pos // 1024),
+l3 AS (SELECT g, pos // 1024 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM l2 GROUP BY 1, l2.pos // 1024),
+l4 AS (SELECT g, pos // 1024 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM l3 GROUP BY 1, l3.pos // 1024)
+SELECT o_orderpriority, count(*) AS samples, round(sum(seconds), 2) AS seconds, any_value(h) AS fingerprint FROM ({_ROWS}) JOIN l4 ON g = o_orderpriority GROUP BY 1
 """)
 def run_records(spark, d):
     return evaluation.run_record(_rows(spark, d), "o_orderpriority", "o_orderkey", "seconds", "status").withColumn("seconds", rounded("seconds", 2))

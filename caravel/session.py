@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "caravel", **conf: str) -> SparkSession:
@@ -11,3 +13,19 @@ def session(name: str = "caravel", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a session of one machine takes a temporary one, a cluster without one raises."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="caravel-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as rows in the shared folder: computed once, however often it is read or whichever executor is lost."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caravel.functions.text import ID_FORM, sample_id
+from caravel.functions.text import ID_FORM, json_value, sample_id
 from caravel.operators.sampling import TYPES
+from caravel.session import settled
 
 QA = "map<string,array<variant>>"
 
@@ -110,10 +111,27 @@ def incomplete(samples: DataFrame) -> DataFrame:
     return samples.filter(~_answered()).select("split", "id", lost.alias("missing_fields"))
 
 
+#: Blocks (a path and two numbers each) up to which their table is broadcast.
+FEW_BLOCKS = 200_000
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): the lines that aren't blank with their numbers from 1; a task reads each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("n", "value"))
-    return whole.select("file", (F.col("n") + 1).alias("line"), "value").filter(F.trim("value") != "")
+    """(file, line, value): the lines that aren't blank with their numbers from 1, from files of any size.
+
+    Files are read in blocks, as Spark splits them.  A first pass counts the
+    lines of each block; what lies before a block in its file is added to the
+    places that its lines have within it.  Lines end with a line feed; a
+    carriage return before it and a byte order mark don't count.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), "value")
+    blocks = settled(rows.groupBy("path", "block").agg(F.min("i").alias("first"), F.count("*").alias("n")))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("path", "block", (ahead - F.col("first")).alias("shift"))
+    if blocks.count() <= FEW_BLOCKS:  # then no line moves
+        blocks = F.broadcast(blocks)
+    line = (F.col("i") + F.col("shift") + 1).cast("int")
+    value = F.regexp_replace(F.when(line == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")), r"\r$", "")
+    return rows.join(blocks, ["path", "block"]).select("file", line.alias("line"), value.alias("value")).filter(F.trim("value") != "")
 
 
 def read_json_lines(spark: SparkSession, path: str, required: list[str] | dict[str, str], strict: bool = True, key: str | None = None) -> DataFrame:
@@ -125,13 +143,9 @@ def read_json_lines(spark: SparkSession, path: str, required: list[str] | dict[s
     empty value of ``key``, and an input without lines raise; else bad lines
     are left out.
     """
-    rows = numbered_lines(spark, path) if strict else spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value").filter("trim(value) <> ''").withColumn("line", F.lit(None).cast("int"))
-    flat = F.trim("value")
-    # the parser stops behind the first value; within brackets of both kinds more text is an error
-    one = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), flat, F.lit("]"))), "$", "array<variant>")
-    other = F.try_parse_json(F.concat(F.lit('{"x":'), flat, F.lit("}")))
-    v = F.when((F.size(one) == 1) & other.isNotNull() & F.schema_of_variant(F.get(one, F.lit(0))).startswith("OBJECT"), F.get(one, F.lit(0)))
-    rows = rows.withColumn("v", v)
+    rows = numbered_lines(spark, path)
+    v = json_value(F.trim("value"))
+    rows = rows.withColumn("v", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
     good = F.col("v").isNotNull()
     for name in required:
         kind = F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
@@ -150,21 +164,58 @@ def read_json_lines(spark: SparkSession, path: str, required: list[str] | dict[s
     return out
 
 
-def read_eval_samples(spark: SparkSession, path: str) -> DataFrame:
-    """(id, question, reference, images) of evaluation samples; all other fields are dropped."""
-    rows = read_json_lines(spark, path, {"id": "STRING", "question": "STRING", "reference": "STRING"}, key="id")
-    get = lambda n, t="string": F.try_variant_get("value", f"$.{n}", t)
-    return rows.select(*[get(n).alias(n) for n in ("id", "question", "reference")], F.coalesce(get("images", "array<string>"), F.array_compact(F.array(get("images")))).alias("images"))
+def read_eval_samples(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """(id, question, reference, images, question_type, options, answer) of evaluation samples.
+
+    Ids are texts or whole numbers, which count as their text, and no two are
+    equal; question and reference are texts with something in them; images is
+    a list of paths, none blank, which are placed in ``root`` if it is given.
+    The last three may be missing: then they are null, else question_type is
+    the text and the others are JSON.  All other fields are dropped; anything
+    else raises with the line's number.
+    """
+    rows = read_json_lines(spark, path, ["id", "question", "reference", "images"])
+    part = lambda n: F.try_variant_get("value", f"$.{n}", "variant")
+    kind = lambda n: F.coalesce(F.schema_of_variant(part(n)), F.lit("VOID"))
+    text = lambda n: F.try_variant_get("value", f"$.{n}", "string")
+    said = lambda n: (kind(n) == "STRING") & (F.trim(text(n)) != "")
+    each = F.try_variant_get("value", "$.images", "array<variant>")
+    paths = F.transform(each, lambda x: F.try_variant_get(x, "$", "string"))
+    listed = F.coalesce(kind("images").startswith("ARRAY") & F.forall(each, lambda x: (F.schema_of_variant(x) == "STRING") & (F.trim(F.try_variant_get(x, "$", "string")) != "")), F.lit(False))
+    wrong = F.concat_ws(", ", F.when(~(said("id") | (kind("id") == "BIGINT")), "id"), F.when(~said("question"), "question"), F.when(~said("reference"), "reference"), F.when(~listed, "images"))
+    where = F.concat(F.lit("bad line "), F.col("line").cast("string"), F.lit(" of "), F.col("file"), F.lit(": "), wrong)
+    fine = rows.withColumn("value", F.when(wrong == "", F.col("value")).otherwise(F.raise_error(where).cast("variant")))
+    json = lambda n: F.to_json(part(n))
+    images = F.transform(paths, lambda x: placed(x, root)) if root else paths
+    out = fine.select(F.trim(text("id")).alias("id"), text("question").alias("question"), text("reference").alias("reference"), images.alias("images"), text("question_type").alias("question_type"), json("options").alias("options"), json("answer").alias("answer"))
+    twice = out.groupBy("id").count().filter("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"{path}: id repeated: " + ", ".join(sorted(r["id"] for r in twice)))
+    return out
 
 
 GENERATIONS = "generations.jsonl"
 
 
 def find_generations(spark: SparkSession, path: str) -> DataFrame:
-    """(run, file) of the generation files below a folder, or of the one that ``path`` is; other names are refused."""
-    if path.endswith(".jsonl") and not path.endswith("/" + GENERATIONS):
-        raise ValueError(f"{path}: the file must be named {GENERATIONS}")
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", GENERATIONS).format("binaryFile").load(path).select(F.col("path").alias("file"))
+    """(run, file) of the generation files that ``path`` stands for.
+
+    ``path`` is such a file, in any case of letters, or a folder; a folder that
+    holds one itself stands for it alone, else all below it count.  Files of
+    other names, and folders without one, are refused.
+    """
+    if path.lower().endswith(".jsonl"):
+        if path.rsplit("/", 1)[-1].lower() != GENERATIONS:
+            raise ValueError(f"{path}: the file must be named {GENERATIONS}")
+        files = spark.read.format("binaryFile").load(path)
+    else:
+        own = spark.read.option("pathGlobFilter", GENERATIONS).format("binaryFile")
+        files = own.load(path)
+        if files.select("path").isEmpty():
+            files = own.option("recursiveFileLookup", True).load(path)
+    files = files.select(F.col("path").alias("file"))
+    if files.isEmpty():
+        raise ValueError(f"{path}: no {GENERATIONS}")
     return files.select(F.regexp_replace("file", r"/[^/]*$", "").alias("run"), "file").orderBy("file")
 
 

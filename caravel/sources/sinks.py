@@ -21,13 +21,18 @@ def write_scored(df: DataFrame, path: str, kind: str, review: Column) -> None:
     df.filter(review).write.mode("overwrite").json(f"{path}/review_needed")
 
 
+#: What stands at the end of a cell that was cut, and the room that is kept for it. Fixed values.
+CUT_NOTICE, CUT_ROOM = "…（内容过长，完整内容见原始记录页）", 40
+
+
 def sheet(df: DataFrame, limit: int = 30_000) -> DataFrame:
-    """Columns as a spreadsheet takes them: nested values as JSON, no formulas, at most ``limit`` characters."""
+    """Columns as a spreadsheet takes them: nested values as JSON, no formulas; cells of more than ``limit`` characters are cut and say so."""
+    short = lambda c: F.when(F.char_length(c) > limit, F.concat(F.substring(c, 1, limit - CUT_ROOM), F.lit(CUT_NOTICE))).otherwise(c)
     nested = lambda t: t.startswith(("array", "struct", "map"))
     cells = []
     for name, kind in df.dtypes:
         text = F.to_json(name) if nested(kind) else F.col(name)
-        cells.append((F.substring(neutral_formula(text), 1, limit) if nested(kind) or kind == "string" else text).alias(name))
+        cells.append((short(neutral_formula(text)) if nested(kind) or kind == "string" else text).alias(name))
     return df.select(*cells)
 
 

@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from caravel.functions import answers, render, report, text, training
-from caravel.operators import evaluation, sampling, stats, vectors
+from caravel.functions import judgements, nested, render, report, text, training
+from caravel.operators import evaluation, ordering, runs, sampling, stats, vectors
 
 
 class Judge:
@@ -28,35 +28,165 @@ class Judge:
 def test_judged(spark, tmp_path):
     judge = Judge(tmp_path / "asked")
     rows = spark.createDataFrame([(1, "fine"), (2, "fine"), (3, "twice"), (4, "never"), (5, "broken"), (6, None)], "id int, prompt string")
-    scored, fresh = evaluation.judged(rows, "id", "prompt", judge, answers.read_judgement, model="m")
+    scored, fresh = evaluation.judged(rows, "id", "prompt", judge, judgements.read_judgement, model="m")
     got = {r.id: r for r in scored.collect()}
     assert {i: r.attempts for i, r in got.items()} == {1: 1, 2: 1, 3: 2, 4: 2, 5: 1, 6: 1}
     assert {i: r.parsed is None for i, r in got.items()} == {1: False, 2: False, 3: False, 4: True, 5: True, 6: False}
     assert got[5].error == "MemoryError: no room" and got[4].error.startswith("keys") and not any(r.from_cache for r in got.values())
     assert sum(line == "fine" for line in (tmp_path / "asked").read_text().splitlines()) == 1
     cache = spark.createDataFrame([(got[1].fingerprint, got[1].raw), (got[3].fingerprint, "0.5"), ("x", "y")], "fingerprint string, raw string")
-    again = {r.id: r for r in evaluation.judged(rows, "id", "prompt", judge, answers.read_judgement, cache, model="m")[0].collect()}
+    again = {r.id: r for r in evaluation.judged(rows, "id", "prompt", judge, judgements.read_judgement, cache, model="m")[0].collect()}
     assert {i for i, r in again.items() if r.from_cache} == {1, 2}  # what can't be read any more isn't trusted
-    other = evaluation.judged(rows, "id", "prompt", judge, answers.read_judgement, cache, model="other")[0]
+    other = evaluation.judged(rows, "id", "prompt", judge, judgements.read_judgement, cache, model="other")[0]
     assert not any(r.from_cache for r in other.collect())
     assert fresh.count() == 3
-    assert evaluation.judged(rows.limit(0), "id", "prompt", judge, answers.read_judgement)[0].count() == 0
+    assert evaluation.judged(rows.limit(0), "id", "prompt", judge, judgements.read_judgement)[0].count() == 0
+
+
+class CountedJudge:
+    def __init__(self, path):
+        self.path = str(path)
+
+    def text(self, prompt, max_new_tokens):
+        with open(self.path, "a") as f:
+            f.write("asked\n")
+        return ('{"correctness": 1, "reason": "cut here"}', "long" in prompt)
+
+
+def test_prompts_are_asked_once_whatever_is_read(spark, tmp_path):
+    judge, asked = CountedJudge(tmp_path / "n"), lambda: len((tmp_path / "n").read_text().splitlines())
+    rows = spark.createDataFrame([(i, f"prompt {i % 5}") for i in range(20)], "id int, prompt string")
+    scored, fresh = evaluation.judged(rows, "id", "prompt", judge, judgements.read_judgement)
+    assert scored.count() == 20 and asked() == 5
+    kept = fresh.collect()
+    assert len(kept) == 5 and {r.stage for r in kept} == {"judge"} and asked() == 5
+    cache = spark.createDataFrame(kept)
+    again, more = evaluation.judged(rows, "id", "prompt", judge, judgements.read_judgement, cache)
+    assert again.filter("from_cache").count() == 20 and more.count() == 0 and asked() == 5
+    other, _ = evaluation.judged(rows, "id", "prompt", judge, judgements.read_judgement, cache, stage="other")
+    assert other.filter("from_cache").count() == 0 and asked() == 10
+
+
+def test_cut_answers_fail(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "short"), (2, "long")], "id int, prompt string")
+    scored, fresh = evaluation.judged(rows, "id", "prompt", CountedJudge(tmp_path / "n"), judgements.read_judgement)
+    got = {r.id: (r.parsed is None, r.error, r.attempts) for r in scored.collect()}
+    assert got == {1: (False, None, 1), 2: (True, "the answer was cut", 1)} and fresh.count() == 1
+
+
+class FactJudge:
+    """Facts are the words of an answer; those of an even length are supported; ``lost`` can't be listed, ``odd`` not checked."""
+
+    def text(self, prompt, max_new_tokens):
+        task, _, about = prompt.partition("\n") if not prompt.startswith("Answer in") else prompt.split("\n", 1)[1].partition("\n")
+        given = json.loads(about)
+        if task == "mean":
+            return json.dumps({"correctness": 0.5, "reason": given["prediction"]})
+        if task == "list":
+            return "?" if "lost" in given["prediction"] else json.dumps({"facts": given["prediction"].split()})
+        ids = [c["id"] for c in given["claims"]]
+        if any(c["claim"] == "odd" for c in given["claims"]):
+            ids = ids[:-1]
+        return json.dumps({"verdicts": [{"id": i, "supported": len(c["claim"]) % 2 == 0, "reason": "r"} for i, c in zip(ids, given["claims"])]})
+
+
+def test_fact_precision(spark):
+    rows = [("a", "q", "r", "ab abc abcd abcde abcdef"), ("b", "q", "r", "<think>x</think> "), ("c", "", "r", "ab"), ("d", "q", "r", None), ("e", "q", "r", "lost"), ("f", "q", "r", "ab cd ef odd"), ("g", "q", "r", "ab")]
+    df = spark.createDataFrame(rows, "id string, question string, reference string, prediction string")
+    scores, fresh = evaluation.fact_precision(df, "id", "question", "reference", "prediction", FactJudge(), ("list", "check"), size=2)
+    got = {r.id: (r.factscore, r.facts, r.supported, r.fact_status) for r in scores.collect()}
+    assert got == {"a": (0.6, 5, 3, "ok"), "b": (0.0, 0, 0, "ok"), "c": (None, None, None, "judge_failed"), "d": (None, None, None, "judge_failed"), "e": (None, None, None, "judge_failed"), "f": (None, 4, None, "judge_failed"), "g": (1.0, 1, 1, "ok")}
+    assert {r.stage for r in fresh.collect()} == {"extract", "verify"}
+
+
+def test_only_what_is_pending_is_judged(spark):
+    rows = [("a", True, True, None, None, None, "pending"), ("b", False, True, None, None, 1.0, "ok"), ("c", True, False, 0.25, "ok", None, None), ("d", False, False, None, None, None, None)]
+    df = spark.createDataFrame([(i, "q", "r", "ab abc", *x) for i, *x in rows], "id string, question string, reference string, prediction string, fact_required boolean, semantic_required boolean, factscore double, fact_status string, semantic double, semantic_status string")
+    out, fresh = evaluation.judge_pending(df, "id", FactJudge(), ("list", "check", "mean"))
+    assert out.columns == df.columns
+    got = {r.id: (r.factscore, r.fact_status, r.semantic, r.semantic_status) for r in out.collect()}
+    assert got == {"a": (0.5, "ok", 0.5, "ok"), "b": (None, "not_required", 1.0, "ok"), "c": (0.25, "ok", None, "not_required"), "d": (None, "not_required", None, "not_required")}
+    assert sorted(r.stage for r in fresh.collect()) == ["extract", "semantic", "verify"]
+
+
+def test_missing_batches_have_no_score(spark):
+    facts = spark.createDataFrame([(1, ["x", "y", "z"]), (2, ["x"])], "id int, facts array<string>")
+    batches = evaluation.claim_batches(facts, "id", "facts", 2)
+    said = batches.filter("not (id = 1 and batch = 1)").withColumn("raw", F.to_json(F.struct(F.transform("claims", lambda c: F.struct(c["id"].alias("id"), F.lit(True).alias("supported"), F.lit("r").alias("reason"))).alias("verdicts"))))
+    assert {r.id: r.factscore for r in evaluation.fact_scores(said, "id", "raw", "claims", batches).collect()} == {1: None, 2: 1.0}
+    assert {r.id: r.factscore for r in evaluation.fact_scores(said, "id", "raw", "claims").collect()} == {1: 1.0, 2: 1.0}
+
+
+def test_running_sums(spark):
+    rows = [("a" if i % 3 else None, i, i % 4) for i in range(300)] + [("b", i, 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "g string, k int, w int").repartition(5)
+    got = {(r.g, r.k): (r.at, r.before) for r in ordering.running(ordering.running(df, ["g"], ["k"], into="at", tasks=7), ["g"], ["k"], F.col("w"), tasks=6).collect()}
+    want, at, total = {}, {}, {}
+    for g, k, w in sorted(rows, key=lambda r: r[1]):
+        want[g, k] = at.get(g, 0), total.get(g, 0)
+        at[g], total[g] = at.get(g, 0) + 1, total.get(g, 0) + w
+    assert got == want
+
+
+def test_digest_trees(spark):
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [("a", i, sha(f"a{i}")) for i in range(70)] + [("b", i, sha(f"b{i}")) for i in range(3)] + [(None, 1, sha("x"))]
+    got = {r.g: r.digest for r in ordering.ordered_digest(spark.createDataFrame(rows, "g string, k int, d string").repartition(4), "g", "k", "d", 5, 3).collect()}
+    for g in ("a", "b", None):
+        level = [d for x, _, d in sorted(rows, key=lambda r: r[1]) if x == g]
+        for _ in range(3):
+            level = [sha("".join(level[i : i + 5])) for i in range(0, len(level), 5)]
+        assert [got[g]] == level
+    one = evaluation.run_record(spark.createDataFrame([(None, 1, 2.0, "x")], "g string, k int, s double, v string"), "g", "k", "s", "v").collect()
+    assert len(one) == 1 and one[0].samples == 1
+
+
+def test_detail_sheet(spark):
+    rows = spark.createDataFrame([("1", "single_choice", "r", 0.5, ("x",)), ("2", None, "r", None, None)], "id string, kind string, reference string, m double, answer_details struct<a:string>")
+    got = evaluation.detail(rows, "run", ["m"], F.when(F.col("id") == "1", "why").otherwise(""), {"single_choice": "one of many"}).collect()
+    assert got[0].asDict() == {"run": "run", "id": "1", "question_type": "one of many", "question": None, "answer": "r", "reference": "r", "prediction": None, "normalized_prediction": None, "normalized_reference": None, "m": 50.0, "status": None, "answer_details": '{"a":"x"}', "fact_status": None, "fact_reason": None, "semantic_status": None, "semantic_reason": None, "explanation_status": None, "generation_info": None, "retrieved_count": 0, "needs_review": True, "reasons": "why"}
+    assert got[1].question_type is None and not got[1].needs_review
+
+
+def test_pairs_of_runs(spark):
+    rows = [("f1", True, "m", "x", "m1", False, "i"), ("b1", False, "m", "x", "m1", False, "j"), ("b2", False, "m", "x", "m1", False, "j"), ("f2", True, "m", "y", None, True, "i"), ("b3", False, "m", "y", None, False, "i"), ("b4", False, "m", "y", None, False, "i"), ("f3", True, "m", "z", "", True, "i"), ("b5", False, "m", "z", None, True, "i"), ("b6", False, "m", "z", "", True, "i"), ("b7", False, "m", "z", "", True, "k")]
+    df = spark.createDataFrame(rows, "name string, fine boolean, model string, data string, identity string, uses boolean, folder string")
+    pairs = lambda *a, **b: {tuple(r) for r in runs.compatible_pairs(df, "name", F.col("fine"), ["model", "data"], *a, **b).collect()}
+    assert pairs() == {("f1", "b1"), ("f1", "b2"), ("f2", "b3"), ("f2", "b4"), ("f3", "b5"), ("f3", "b6"), ("f3", "b7")}
+    assert pairs("identity") == {("f1", "b1"), ("f1", "b2")}
+    assert pairs(retrieves="uses", index_fields=["folder"]) == {("f1", "b1"), ("f1", "b2"), ("f2", "b3"), ("f2", "b4"), ("f3", "b5"), ("f3", "b6")}
+
+
+def test_cached_records(spark):
+    item = "struct<id:string,question:string,reference:string,images:array<string>,similarity:double>"
+    sample = "id string, question string, reference string, images array<string>"
+    samples = spark.createDataFrame([("t1", "q", "r", ["i"]), ("t2", "q2", None, [])], sample)
+    known = spark.createDataFrame([("k1", "a", "b", ["x"]), ("k2", "c", "d", [])], sample)
+    one, two = ("k1", "a", "b", ["x"], 0.5), ("k2", "c", "d", [], 1.0)
+    rows = [("t1", "gen", 1, "fp", "q", "r", ["i"], "old", [one, two]), ("t1", "pre", 1, "fp", "q", "r", ["i"], "new", [two, one]), ("t2", "gen", 2, "fp", "q2", None, [], "p", [two, one]), ("t2", "pre", 5, "fp", "q2", "r", [], None, None), ("t2", "pre", 6, "no", "q2", None, [], "p", [one, one]), ("t9", "pre", 7, "fp", "q", "r", [], "p", [("t1", "q", "r", ["i"], 0.1), ("zz", "", "", [], float("inf"))])]
+    cache = spark.createDataFrame(rows, f"id string, file string, line int, fingerprint string, question string, reference string, images array<string>, prediction string, evidence array<{item}>")
+    got = {(r.file, r.line): r.defects for r in runs.cache_defects(cache, samples, known, "id", "fp", 5).collect()}
+    assert got == {("gen", 1): [], ("pre", 1): [], ("gen", 2): [], ("pre", 5): ["content", "evidence_count", "prediction"], ("pre", 6): ["evidence_repeated", "fingerprint"], ("pre", 7): ["evidence_similarity", "evidence_tested", "evidence_unknown", "no_sample"]}
+    assert {r.id: r.prediction for r in runs.valid_cache(cache, samples, known, "id", "fp", 5).collect()} == {"t1": "new", "t2": "p"}
+    assert runs.valid_cache(cache, samples, known, "id", "fp", 0).count() == 0
 
 
 def test_strict_answers_of_judges():
-    assert answers.read_facts('{"facts": [" a ", "b"]}') == ["a", "b"]
+    assert judgements.read_facts('{"facts": [" a ", "b"]}') == ["a", "b"]
     for bad in ('{"facts": ["A b", "a  B"]}', '{"facts": [""]}', '{"facts": [1]}', '{"facts": [], "x": 1}', "[]", '{"facts": ["a"'):
         with pytest.raises(ValueError):
-            answers.read_facts(bad)
+            judgements.read_facts(bad)
     verdict = lambda i, s="true": f'{{"id": {i}, "supported": {s}, "reason": "r"}}'
-    read = lambda *v: answers.read_verdicts('{"verdicts": [' + ", ".join(v) + "]}", [1, 2])
+    read = lambda *v: judgements.read_verdicts('{"verdicts": [' + ", ".join(v) + "]}", [1, 2])
     assert [v["id"] for v in read(verdict(2), verdict(1))] == [1, 2]
     for bad in ([verdict(1)], [verdict(1), verdict(1)], [verdict(1), verdict(3)], [verdict(1), verdict(2, "1")], [verdict(1), verdict("true")], [verdict(1), verdict(2, '"true"')]):
         with pytest.raises(ValueError):
             read(*bad)
-    assert answers.read_claims('```json\n["x", " x", "y"]\n```') == ["x", "y"]
+    assert judgements.read_claims('```json\n["x", " x", "y"]\n```') == ["x", "y"]
     with pytest.raises(ValueError):
-        answers.read_claims('["x", 1]')
+        judgements.read_claims('["x", 1]')
 
 
 def test_scored_runs(spark):
@@ -182,10 +312,11 @@ def test_bootstrap(spark):
 
 def test_budget_policy():
     assert text.budget_policy(extra=3) == text.BUDGET | {"extra": 3}
-    for bad in ({"other": 1}, {"enabled": 1}, {"extra": True}, {"multiplier": 0}, {"least": 9, "most": 8}, {"extra": 1.5}, {"multiplier": float("nan")}):
+    assert text.budget_policy(text.FACT_BUDGET, most=9000) == text.FACT_BUDGET | {"most": 9000}
+    for bad in ({"other": 1}, {"enabled": 1}, {"extra": True}, {"multiplier": 0}, {"least": 9, "most": 8}, {"extra": 1.5}, {"multiplier": float("nan")}, {"multiplier": 32.5}, {"most": 32_769}, {"least": 0}, {"extra": -1}, {"retry": None}):
         with pytest.raises(ValueError):
             text.budget_policy(**bad)
-    assert answers.flat_text({"a": [" x ", {"b": 1}]}) == "x\n1" and answers.flat_text([{"b": 1}], False) == "{'b': 1}"
+    assert nested.flat_text({"a": [" x ", {"b": 1}]}) == "x\n1" and nested.flat_text([{"b": 1}], False) == "{'b': 1}"
 
 
 def test_short_queries(spark):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caravel.functions import text
-from caravel.operators import corpus, plugins, sampling, stats
+from caravel.operators import corpus, plugins, sampling, stats, vectors
 from caravel.sources import qa, sinks
 from caravel.streaming.ingest import hourly_counts, ingest, opened
 
@@ -132,8 +132,49 @@ def test_json_lines(spark, tmp_path):
         read('{"id": " "}\n', ["id"], key="id")
     with pytest.raises(ValueError, match="no lines"):
         read("\n", ["id"])
-    path.write_text('{"id": "1", "question": "q", "reference": "r", "images": "i.png", "extra": 3}\n{"id": "2", "question": "q", "reference": "r"}\n')
-    assert [tuple(r) for r in qa.read_eval_samples(spark, str(path)).collect()] == [("1", "q", "r", ["i.png"]), ("2", "q", "r", [])]
+    assert [(r.line, r.file) for r in read('{"id": "1"}\n\nnope\n{"id": "2"}\n', ["id"], strict=False)] == [(1, "x.jsonl"), (4, "x.jsonl")]
+    assert [r.line for r in read('\ufeff{"id": "1"}\r\n\r\n{"id": "2"}\r\n', ["id"])] == [1, 3]
+
+
+def test_lines_of_large_files_are_numbered(spark, tmp_path):
+    """Files are read in many blocks; a line's number is its place in its own file."""
+    for name, n in (("a", 5_000), ("b", 3_000), ("c", 1)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"n": {i}, "pad": "{"é" * (i % 90)}"}}\n' + "\n" * (i % 3) for i in range(n)))
+    want = {}
+    for name in "abc":
+        for i, line in enumerate((tmp_path / f"{name}.jsonl").read_text().split("\n"), 1):
+            if line:
+                want[f"{name}.jsonl", i] = line
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = qa.numbered_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 1
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        assert {(r.file, r.line): r.value for r in rows.collect()} == want
+        numbers = qa.read_json_lines(spark, str(tmp_path), {"n": "BIGINT"}).select("file", "line", F.variant_get("value", "$.n", "int").alias("n")).collect()
+        assert {(r.file, r.line): r.n for r in numbers} == {k: json.loads(v)["n"] for k, v in want.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_evaluation_samples(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+
+    def read(*rows, **more):
+        path.write_text("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows))
+        return qa.read_eval_samples(spark, str(path), **more).collect()
+
+    base = {"id": 1, "question": "q", "reference": "r", "images": []}
+    got = read(base, base | {"id": "2", "images": ["i.png", "/j.png"], "question_type": "open_ended", "options": ["a", "b"], "answer": {"text": "x"}, "extra": 3}, root="/data")
+    assert [tuple(r) for r in got] == [("1", "q", "r", [], None, None, None), ("2", "q", "r", ["/data/i.png", "/j.png"], "open_ended", '["a","b"]', '{"text":"x"}')]
+    for bad, match in (({"id": True}, "id"), ({"id": " "}, "id"), ({"id": 1.5}, "id"), ({"question": " "}, "question"), ({"question": 3}, "question"), ({"reference": ""}, "reference"), ({"images": 5}, "images"), ({"images": "i.png"}, "images"), ({"images": [1]}, "images"), ({"images": [""]}, "images"), ({"images": None}, "")):
+        with pytest.raises(Exception, match=f"bad line 2 of x.jsonl.*{match}"):
+            read(base, base | {"id": 2} | bad)
+    with pytest.raises(ValueError, match="repeated: 1"):
+        read(base, base | {"id": "1"})
+    with pytest.raises(Exception, match="bad line 1"):
+        read({k: v for k, v in base.items() if k != "images"})
 
 
 def test_generations(spark, tmp_path):
@@ -146,6 +187,16 @@ def test_generations(spark, tmp_path):
     got = {r.run.rsplit("/", 1)[1]: r.e for r in qa.with_run_info(spark, found, str(tmp_path)).select("run", F.to_json("evaluation").alias("e")).collect()}
     assert got == {"one": '{"judge":"x"}', "two": None, "three": None}
     assert qa.find_generations(spark, str(tmp_path / "one" / "generations.jsonl")).count() == 1
+    (tmp_path / "one" / "inner").mkdir()
+    (tmp_path / "one" / "inner" / "generations.jsonl").write_text("{}\n")
+    assert [r.file.rsplit("/", 2)[1] for r in qa.find_generations(spark, str(tmp_path / "one")).collect()] == ["one"]
+    assert qa.find_generations(spark, str(tmp_path)).count() == 4
+    (tmp_path / "none").mkdir()
+    (tmp_path / "upper").mkdir()
+    (tmp_path / "upper" / "Generations.JSONL").write_text("{}\n")
+    assert qa.find_generations(spark, str(tmp_path / "upper" / "Generations.JSONL")).count() == 1
+    with pytest.raises(ValueError, match="no generations"):
+        qa.find_generations(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError, match="must be named"):
         qa.find_generations(spark, str(tmp_path / "one" / "other.jsonl"))
 
@@ -178,6 +229,38 @@ def test_quotas():
     assert list(sampling.allocate(5, even).values()) == [2, 1, 1, 1]
 
 
+def test_type_quotas():
+    assert sampling.type_counts({"multiple_choice": 1, "open_ended": 2, "single_choice": 0, "closed_ended": 3}) == {"open_ended": 2, "closed_ended": 3, "single_choice": 0, "multiple_choice": 1}
+    assert sampling.type_ratios(dict.fromkeys(sampling.TYPES, 2)) == dict.fromkeys(sampling.TYPES, 0.25)
+    even = dict.fromkeys(sampling.TYPES, 1)
+    for bad in ({"open_ended": 1}, even | {"other": 1}, even | {"open_ended": -1}, even | {"open_ended": True}, even | {"open_ended": 1.0}, dict.fromkeys(sampling.TYPES, 0)):
+        with pytest.raises(ValueError):
+            sampling.type_counts(bad)
+    for bad in (float("nan"), float("inf"), -0.5, True, "1"):
+        with pytest.raises(ValueError):
+            sampling.type_ratios(even | {"open_ended": bad})
+    with pytest.raises(ValueError):
+        sampling.allocate(3, {"a": float("nan"), "b": 1.0})
+
+
+def test_forms_of_ids(spark):
+    forms = lambda k, p: spark.range(1).select(F.struct(*[c.alias(n) for n, c in text.key_forms(F.lit(k), p).items()]).alias("f")).first().f.asDict()
+    assert forms("mira:train:3:open_ended:0", "x-") == {"as_is": "mira:train:3:open_ended:0", "prefix": "x-mira:train:3:open_ended:0", "bare": "train:3:open_ended:0", "prefix_previous": "x-mira:train:3:open_ended:-1", "previous": "mira:train:3:open_ended:-1", "prefix_next": "x-mira:train:3:open_ended:1", "next": "mira:train:3:open_ended:1"}
+    assert list(forms("a:b", "")) == ["as_is", "prefix", "bare", "prefix_previous", "previous", "prefix_next", "next"] and set(forms("a:b", "").values()) == {"a:b"}
+    keys = spark.createDataFrame([(f"t:{i}:{i % 3}",) for i in range(20)], "id string")
+    index = spark.createDataFrame([(f"p-t:{i}:{i % 3 + 1}",) for i in range(15)], "k string")
+    form, found = vectors.reconciled(keys, "id", text.key_forms(F.col("id"), "p-"), index, "k")
+    assert form == "prefix_next" and found.filter("id = 't:4:1'").first().stored == "p-t:4:2" and found.count() == 20
+    with pytest.raises(ValueError, match="no form"):
+        vectors.reconciled(keys, "id", text.key_forms(F.col("id"), "z-"), index, "k")
+
+
+def test_cells_of_sheets(spark):
+    rows = [("=1",), (" \t=1",), ("-x",), ("a=1",), (None,), ("x" * 101,), ("@" + "y" * 100,)]
+    got = [r.t for r in sinks.sheet(spark.createDataFrame(rows, "t string"), 100).collect()]
+    assert got == ["'=1", "' \t=1", "'-x", "a=1", None, "x" * 60 + sinks.CUT_NOTICE, "'@" + "y" * 58 + sinks.CUT_NOTICE]
+
+
 def test_budget(spark):
     values = [(0,), (5,), (8,), (100,)]
     got = spark.createDataFrame(values, "n long").select(text.token_budget(F.col("n"), 1.5, 3, 10, 20).alias("b")).collect()
