@@ -66,14 +66,28 @@ def top_k_cosine(queries: DataFrame, index: DataFrame, key: str, vector: str, k:
     ``decimals``) go to the smaller id.  Each vector goes to one block; queries
     go to every block, are multiplied in batches, and bring ``k`` rows from each.
     """
-    spark = index.sparkSession
     parts = max(1, -(-index.count() // BLOCK))
     own = lambda df: df.select(F.col(key).cast("long").alias("id"), (F.col(group) if group else F.lit(None)).cast("string").alias("grp"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    stored = own(index).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("asks", F.lit(False))
-    asked = own(queries).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("asks", F.lit(True))
-    rows = stored.unionByName(asked).filter(F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))).withColumn("dims", F.size("v"))
+    stored = own(index).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    asked = own(queries).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    found = block_products(stored, asked, k, decimals)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+
+
+def block_products(stored: DataFrame, asked: DataFrame, k: int, decimals: int = 6) -> DataFrame:
+    """(query_id, id, similarity): the ``k`` best rows of each block for each query that asks it.
+
+    Both sides have block, id, grp and v (doubles).  A task holds one block at
+    a time and multiplies it with batches of its queries as they come; blocks
+    of other sizes of vectors are kept apart.
+    """
+    spark = stored.sparkSession
+    fields = ["block", "id", "grp", "v"]
+    rows = stored.select(*fields).withColumn("asks", F.lit(False)).unionByName(asked.select(*fields).withColumn("asks", F.lit(True)))
+    rows = rows.withColumn("block", F.col("block").cast("long")).filter(F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))).withColumn("dims", F.size("v"))
     keys = ["dims", "block"]
-    dealt = rows.filter("dims > 0").select(*keys, "asks", "id", "grp", "v").repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys).sortWithinPartitions(*keys, "asks")
+    dealt = rows.filter("dims > 0").select(*keys, "asks", "id", "grp", "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, block = None, [], None
@@ -107,9 +121,7 @@ def top_k_cosine(queries: DataFrame, index: DataFrame, key: str, vector: str, k:
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "id", "similarity"])
 
-    found = dealt.mapInArrow(run, "query_id long, id long, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+    return dealt.mapInArrow(run, "query_id long, id long, similarity double")
 
 
 def best_key_form(keys: DataFrame, key: str, forms: dict[str, Column], index: DataFrame, index_key: str) -> DataFrame:

@@ -414,10 +414,11 @@ SELECT doc_id, count(*) AS n, round(avg(CASE WHEN x >= 0.8 THEN 1.0::DOUBLE WHEN
 """)
 def keyword_overlap_fact(spark, d):
     n = table(spark, d, "benchmark").count()
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % n).alias("item_id"), F.explode(corpus.claims(F.col("text"))).alias("c"))
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % n).alias("item_id"), corpus.claims(F.col("text")).alias("c")).filter("size(c) > 0")
     items = table(spark, d, "benchmark").select("item_id", corpus.word_set(F.col("text")).alias("s"))
-    scored = docs.join(items, "item_id").select("doc_id", corpus.overlap_score(corpus.word_set(F.col("c")), F.col("s")).alias("x"))
-    return scored.groupBy("doc_id").agg(F.count("*").alias("n"), rounded(F.avg("x")).alias("score"))
+    # an item joins a document once, and its claims are scored where they lie
+    scored = docs.join(items, "item_id").select("doc_id", F.transform("c", lambda c: corpus.overlap_score(corpus.word_set(c), F.col("s"))).alias("x"))
+    return scored.select("doc_id", F.size("x").cast("long").alias("n"), rounded(F.aggregate("x", F.lit(0.0), lambda s, x: s + x) / F.size("x")).alias("score"))
 
 
 def _token_pairs(spark, d):

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caravel.functions import nested, render, report, text, training
-from caravel.operators import corpus, ordering, sampling, vectors
+from caravel.operators import corpus, index, keywords, ordering, sampling, vectors
 from caravel.plans.catalogue import query, scratch, table
-from caravel.sources import qa, sinks
+from caravel.sources import qa, samples, sinks
 
 _LOT = "sha256('42|{salt}|' || CAST(c_custkey AS VARCHAR))"
 _KIND = "CASE c_nationkey % 4 WHEN 0 THEN 'open_ended' WHEN 1 THEN 'closed_ended' WHEN 2 THEN 'single_choice' ELSE 'multiple_choice' END"
@@ -177,8 +177,8 @@ def image_rows_flatten(spark, d):
     path = scratch(spark, "images")
     rows = table(spark, d, "part").select(k, F.concat(F.lit("a/b/../../"), "p_brand", F.lit(".png")).alias("image_path"), F.lit("").alias("caption"), cell.alias("vqa_json"))
     rows.coalesce(1).sortWithinPartitions("p_partkey").drop("p_partkey").write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    samples = qa.flatten(qa.read_image_rows(spark, path, "train"))
-    return samples.select("id", "question", F.array_join("missing_fields", ",").alias("missing"), qa.placed(F.element_at(qa.image_keys(F.col("images")), 1), "/data").alias("image"))
+    made = qa.flatten(qa.read_image_rows(spark, path, "train"))
+    return made.select("id", "question", F.array_join("missing_fields", ",").alias("missing"), qa.placed(F.element_at(qa.image_keys(F.col("images")), 1), "/data").alias("image"))
 
 
 @query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'test' ELSE 'train' END AS role, CAST(o_orderkey AS VARCHAR) AS id FROM orders")
@@ -335,3 +335,81 @@ def report_fields(spark, d):
     brand = F.when(even, F.col("p_brand")).otherwise(" ")
     listed = report.items(F.concat(F.lit("- "), "p_type", F.lit("；2) "), "p_name", F.lit("\n ")))
     return table(spark, d, "part").select("p_partkey", report.labelled({"type": F.col("p_type"), "brand": brand}).alias("labelled"), F.get(listed, F.lit(0)).alias("first"), F.size(listed).alias("n"), report.with_notice(F.col("p_name"), "!", "x").alias("noted"), report.merged(F.col("p_type"), brand).alias("merged"))
+
+
+# indexes, keywords and streams
+
+
+_SIMILAR = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT *, sqrt(list_inner_product(e, e)) AS l FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_inner_product(q.e, c.e) / (q.l * c.l), 6) AS similarity FROM n q JOIN n c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, id, similarity FROM r WHERE rank <= 10
+"""
+
+
+def _searched(spark, d, exact):
+    e = table(spark, d, "embeddings")
+    path = scratch(spark, "index")
+    index.build(e, "vec_id", "embedding", path)
+    return index.search(spark, path, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10, exact=exact)
+
+
+@query()
+def index_search(spark, d):
+    """The ten most similar rows in the nearest lists; a test holds its recall against the exact answer."""
+    return _searched(spark, d, False)
+
+
+@query(_SIMILAR)
+def index_search_exact(spark, d):
+    """The same index, searched until the triangle inequality rules out every other list."""
+    return _searched(spark, d, True)
+
+
+@query(r"""
+WITH k AS (SELECT DISTINCT array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')[1:3], ' ') AS keyword FROM benchmark),
+l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS leaf, t[i] AS text FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, [lang, source] || string_split(text, chr(10)) AS t FROM documents))),
+c AS MATERIALIZED (SELECT doc_id, leaf, keyword, lower(text) AS text FROM l JOIN k ON keyword <> '' AND contains(lower(text), split_part(keyword, ' ', 1)) AND contains(lower(text), split_part(keyword, ' ', 2)) AND contains(lower(text), split_part(keyword, ' ', 3)))
+SELECT doc_id, leaf, keyword FROM c WHERE regexp_matches(text, '(^|[^\p{L}\p{M}\p{N}_])' || replace(keyword, ' ', '\s+') || '([^\p{L}\p{M}\p{N}_]|$)')
+""")
+def keyword_hits(spark, d):
+    """The first three words of each benchmark item, looked for in every field and line of every document."""
+    first = F.slice(F.array_remove(F.split(F.lower("text"), "[^a-z0-9]+"), ""), 1, 3)
+    words = [r["k"] for r in table(spark, d, "benchmark").select(F.array_join(first, " ").alias("k")).distinct().collect()]
+    leaves = F.concat(F.array("lang", "source"), F.split("text", "\n"))
+    return keywords.keyword_hits(table(spark, d, "documents").select("doc_id", leaves.alias("leaves")), "doc_id", "leaves", words)
+
+
+@query("SELECT 'mira:train:' || p_partkey || ':open_ended:' || i AS id, p_partkey AS row_index, CAST(i AS INTEGER) AS qa_index, p_name || ' ' || i AS question FROM part, range(3) t(i)")
+def resumed_samples(spark, d):
+    """Samples read as a stream that stops within a row, is started again, and goes on there."""
+    folder = scratch(spark, "samples")
+    each = table(spark, d, "part").select("p_partkey", "p_name", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    rows = each.select(F.concat_ws(":", F.lit("mira:train"), F.col("p_partkey").cast("string"), F.lit("open_ended"), F.col("i").cast("string")).alias("id"), F.col("p_partkey").alias("row_index"), F.lit("open_ended").alias("category"), F.lit(0).alias("ord"), F.col("i").alias("qa_index"), F.concat_ws(" ", "p_name", F.col("i").cast("string")).alias("question"))
+    samples.store_samples(rows, f"{folder}/stored")
+    samples.register(spark)
+    for _ in range(2):
+        stream = spark.readStream.format("qa_samples").option("path", f"{folder}/stored").option("samplesPerBatch", rows.count() // 2 + 1).option("progress", f"{folder}/place").option("samplesPerTask", 500).load()
+        stream.writeStream.format("parquet").option("path", f"{folder}/read").option("checkpointLocation", f"{folder}/progress").trigger(once=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/read").select("id", "row_index", "qa_index", "question")
+
+
+@query("""
+SELECT CAST(user_id AS VARCHAR) AS request, CAST(count(*) AS INTEGER) AS payloads, last(event_type ORDER BY event_id) AS diagnosis, CAST(max(event_id) AS VARCHAR) AS findings FROM events GROUP BY user_id
+""")
+def streamed_reports(spark, d):
+    """Each user's events as a server's event stream, cut in the middle of its lines, in two files, put together and folded."""
+    from caravel.streaming import reports
+
+    folder = scratch(spark, "reports")
+    line = F.concat(F.lit('data: {"diagnosis": "'), "event_type", F.lit('", "findings": "'), F.col("event_id").cast("string"), F.lit('"}\n\n'))
+    lines = ordering.running(table(spark, d, "events").select("event_id", "user_id", line.alias("line")), ["user_id"], ["event_id"], into="seq")
+    pieces = lines.select(F.col("user_id").cast("string").alias("request"), F.explode(F.array(F.struct((F.col("seq") * 2).alias("seq"), F.substring("line", 1, 20).alias("c")), F.struct((F.col("seq") * 2 + 1).alias("seq"), F.substring("line", 21, 10_000).alias("c")))).alias("x"))
+    pieces = pieces.select("request", "x.seq", F.encode("x.c", "utf-8").alias("chunk"), F.lit(False).alias("last"))
+    for part in (1, 0):  # what is ahead of its time comes first
+        pieces.filter(F.col("seq") % 2 == part).write.mode("append").parquet(f"{folder}/chunks")
+    stream = spark.readStream.schema("request string, seq long, chunk binary, last boolean").option("maxFilesPerTrigger", 4).parquet(f"{folder}/chunks")
+    reports.stream_lines(stream).writeStream.format("parquet").option("path", f"{folder}/lines").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return reports.folded_reports(spark.read.parquet(f"{folder}/lines")).select("request", "payloads", "report.diagnosis", "report.findings")

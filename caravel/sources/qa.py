@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caravel.functions.text import ID_FORM, json_value, sample_id
 from caravel.operators.sampling import TYPES
 from caravel.session import settled
+from caravel.sources.quoted import records
 
 QA = "map<string,array<variant>>"
 
 
 def read_image_rows(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """(split, row_index, image_path, caption, vqa_json) of a split's CSV; quoted fields may span lines.
+    """(split, row_index, image_path, caption, vqa_json) of a split's CSV, read by many tasks; quoted fields may span lines.
 
-    Such a file is one partition, so the running number is the row's number; a
-    path of several files is refused, as their numbers would mix.  Write the
-    result as Parquet once; all later work reads that.
+    A path of several files is refused, as the numbers of their rows would mix.
+    A row with other than the head's number of fields raises.  Write the result
+    as Parquet once; all later work reads that.
     """
     if len(found := spark.read.text(path, wholetext=True).inputFiles()) != 1:
         raise ValueError(f"{path}: one file is needed, {len(found)} found")
-    rows = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST").option("encoding", "UTF-8").csv(path)
-    names = {c.lstrip("﻿"): c for c in rows.columns}
+    rows = records(spark, path)
+    head = rows.filter("record = 0").first()
+    names = next(csv.reader(io.StringIO(head["text"], newline=""))) if head else []
     lost = {"image_path", "vqa_json"} - set(names)
     if lost:
         raise ValueError(f"{path}: no column {', '.join(sorted(lost))}")
-    caption = F.coalesce(F.col(names["caption"]), F.lit("")) if "caption" in names else F.lit("")
-    return rows.select(F.lit(split).alias("split"), F.monotonically_increasing_id().alias("row_index"), F.col(names["image_path"]).alias("image_path"), caption.alias("caption"), F.col(names["vqa_json"]).alias("vqa_json"))
+    kinds = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    row = F.from_csv("text", kinds.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"quote": '"', "escape": '"', "mode": "FAILFAST"})
+    field = lambda n: F.col(f"r.c{names.index(n)}")
+    caption = F.coalesce(field("caption"), F.lit("")) if "caption" in names else F.lit("")
+    read = rows.filter("record > 0").select((F.col("record") - 1).alias("row_index"), row.alias("r"))
+    return read.select(F.lit(split).alias("split"), "row_index", field("image_path").alias("image_path"), caption.alias("caption"), field("vqa_json").alias("vqa_json"))
 
 
 def image_list(value: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
@@ -12,33 +12,55 @@ from pyspark.sql.utils import AnalysisException
 from caravel.operators.plugins import signature
 
 
-def ingest(stream: DataFrame, key: str, target: str, checkpoint: str, order: str, transform: Callable[[DataFrame], DataFrame] | None = None, config: dict | None = None) -> StreamingQuery:
+#: Buckets that keys are dealt to; a batch reads the stored keys of its own buckets only.
+BUCKETS = 256
+
+
+def ingest(stream: DataFrame, key: str, target: str, checkpoint: str, order: str, transform: Callable[[DataFrame], DataFrame] | None = None, config: dict | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Append each key's first row (by ``order``) that ``target`` (Parquet) has not; runs until the input is used up.
 
     A batch takes one row for each key (a null is a key too), leaves out keys
     that are stored, does the costly ``transform`` for the rest only, and
-    appends.  The checkpoint moves on after the append, so a replay finds its
-    rows stored.  ``config`` is written beside the first rows; a later run
-    under another one is refused, and so is a target with fewer rows than were
-    stored.
+    appends.  The target is partitioned by ``_bucket``, a hash of the key: a
+    batch looks for its keys in the buckets that these fall into and reads
+    their key column, nothing else of what is stored.  The checkpoint moves on
+    after the append, so a replay finds its rows stored.  ``config`` (with the
+    number of buckets) is written beside the first rows; a later run under
+    another one is refused, and so is a target with fewer rows than were stored.
     """
     spark = stream.sparkSession
-    opened(spark, target, config or {})
+    config = {**(config or {}), "_buckets": buckets}
+    opened(spark, target, config)
+    bucket = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\x00"))), F.lit(buckets)).cast("int")
 
     def store(batch: DataFrame, _: int) -> None:
-        rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order), F.xxhash64(*batch.columns)))
-        fresh = batch.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
-        stored = _stored(spark, target)
-        if stored is not None:
-            keys = stored.select(F.col(key).alias("_stored"))
-            fresh = fresh.join(keys, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
-        (transform(fresh) if transform else fresh).write.mode("append").parquet(target)
-        rows = spark.read.parquet(target).select(F.count("*").alias("rows"), F.lit(signature(**(config or {}))).alias("signature"))
+        # the least of a key's rows is found where they lie before any is shuffled
+        least = F.min_by(F.struct(*batch.columns), F.struct(F.col(order), F.xxhash64(*batch.columns)))
+        fresh = batch.groupBy(F.col(key).alias("_k")).agg(least.alias("_x")).select("_x.*").withColumn("_bucket", bucket)
+        fresh = fresh.persist()
+        try:
+            stored = stored_keys(spark, target, key, [r["_bucket"] for r in fresh.select("_bucket").distinct().collect()])
+            if stored is not None:
+                fresh_ = fresh.join(stored, fresh[key].eqNullSafe(stored["_stored"]) & (fresh["_bucket"] == stored["_in"]), "left_anti")
+            else:
+                fresh_ = fresh
+            made = fresh_.drop("_bucket")
+            made = (transform(made) if transform else made).withColumn("_bucket", bucket)
+            made.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(target)
+        finally:
+            fresh.unpersist()
+        rows = spark.read.parquet(target).select(F.count("*").alias("rows"), F.lit(signature(**config)).alias("signature"))
         rows.coalesce(1).write.mode("append").parquet(f"{target}-runs")
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored_keys(spark: SparkSession, target: str, key: str, buckets: list[int]) -> DataFrame | None:
+    """(_stored, _in): the keys of some buckets of a target, read from their partitions alone; None without a target."""
+    stored = _stored(spark, target)
+    return None if stored is None else stored.filter(F.col("_bucket").isin(buckets)).select(F.col(key).alias("_stored"), F.col("_bucket").alias("_in"))
+
+
 def opened(spark: SparkSession, target: str, config: dict) -> DataFrame | None:
     """The stored rows, or None; raises where they were stored under another configuration or some are gone."""
     runs = _stored(spark, f"{target}-runs")
