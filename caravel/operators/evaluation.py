@@ -272,6 +272,32 @@ def equal_keys(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, DataFra
     return a, b
 
 
+def paired_runs(rows: DataFrame, pairs: DataFrame, run: str, key: str, metrics: dict[str, Column | None]) -> DataFrame:
+    """(fine, base, metric, n, total, delta) of all pairs of runs at once: mean differences over the rows to which a metric applies.
+
+    ``rows`` has every run's rows; ``metrics`` names their columns, each with
+    the condition under which it applies (None: always).  The runs of a pair
+    must have the same keys, once each; one that hasn't raises.  A difference
+    with a null side isn't counted in ``n``.
+    """
+    sizes = rows.groupBy(F.col(run).alias("_run")).agg(F.count("*").alias("_n"), F.count_distinct(key).alias("_keys"))
+    a, b = rows.alias("a"), rows.alias("b")
+    both = pairs.join(a, F.col("fine") == F.col(f"a.{run}")).join(b, (F.col("base") == F.col(f"b.{run}")) & (F.col(f"a.{key}") == F.col(f"b.{key}")))
+    size = lambda side: sizes.select(F.col("_run").alias(f"_{side}"), F.col("_n").alias(f"_{side}_n"), F.col("_keys").alias(f"_{side}_keys"))
+    shared = both.groupBy("fine", "base").agg(F.count("*").alias("_both")).withColumnsRenamed({"fine": "_f", "base": "_b"})
+    checked = pairs.join(size("x"), F.col("fine") == F.col("_x"), "left").join(size("y"), F.col("base") == F.col("_y"), "left").join(shared, (F.col("fine") == F.col("_f")) & (F.col("base") == F.col("_b")), "left")
+    fine = (F.col("_x_n") == F.col("_x_keys")) & (F.col("_y_n") == F.col("_y_keys")) & (F.col("_x_n") == F.col("_y_n")) & (F.col("_both") == F.col("_x_n"))
+    wrong = checked.filter(~F.coalesce(fine, F.lit(False))).limit(5).collect()
+    if wrong:
+        raise ValueError("runs of other keys: " + ", ".join(sorted(f"{r['fine']} and {r['base']}" for r in wrong)))
+    used = rows.select(run, key, *[F.when(F.lit(True) if c is None else c, F.struct(F.col(m).cast("double").alias("v"))).alias(m) for m, c in metrics.items()])
+    a, b = used.alias("a"), used.alias("b")
+    joined = pairs.join(a, F.col("fine") == F.col(f"a.{run}")).join(b, (F.col("base") == F.col(f"b.{run}")) & (F.col(f"a.{key}") == F.col(f"b.{key}")))
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"a.{m}").isNotNull() & F.col(f"b.{m}").isNotNull()).alias("applies"), (F.col(f"a.{m}.v") - F.col(f"b.{m}.v")).alias("d")) for m in metrics])
+    long = joined.select("fine", "base", F.explode(each).alias("m")).filter("m.applies")
+    return long.groupBy("fine", "base", "m.metric").agg(F.count("m.d").alias("n"), F.count("*").alias("total"), F.avg("m.d").alias("delta"))
+
+
 def type_report(rows: DataFrame, run: str, kind: str, metrics: list[str], base: str) -> DataFrame:
     """(kind, run, metric, n, percent, delta): means by type (all fixed types) in percent, and points above the run ``base``."""
     each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])

@@ -55,3 +55,12 @@ def ordered_digest(df: DataFrame, group: str, order: str, digest: str, fan: int
         nodes = nodes.groupBy(group, F.floor(F.col("_at") / fan).alias("_up")).agg(F.array_sort(F.collect_list(F.struct("_at", "_d"))).alias("_x"))
         nodes = nodes.select(group, F.col("_up").alias("_at"), F.sha2(F.array_join(F.transform("_x", lambda x: x["_d"]), ""), 256).alias("_d"))
     return nodes.select(group, F.col("_d").alias("digest"))
+
+
+def table_digest(df: DataFrame, key: str, *columns: str) -> str:
+    """The digest of a table's rows in the order of their keys; nested columns count as JSON, a null differs from an empty text."""
+    nested = {n for n, k in df.dtypes if k.startswith(("struct", "array", "map"))}
+    text = lambda c: F.coalesce(F.to_json(c) if c in nested else F.col(c).cast("string"), F.lit("\x00"))
+    rows = df.select(F.lit(0).alias("_g"), key, F.sha2(F.concat_ws("\x1f", *[text(c) for c in (key, *columns)]), 256).alias("_h"))
+    found = ordered_digest(rows, "_g", key, "_h").first()
+    return found["digest"] if found else ""

@@ -64,6 +64,20 @@ def signature(**config) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()).hexdigest()
 
 
+def generation_fingerprint(data: str, tests: str, model: dict, settings: dict, prompts: dict, versions: dict, adapter: dict | None = None, top_k: int = 0, encoder: dict | None = None, knowledge: str | None = None, index: dict | None = None) -> str:
+    """Fingerprint of everything that a generation depends on; settings of scoring don't belong to it.
+
+    ``data``, ``tests`` and ``knowledge`` are digests of rows (``ordered_digest``).
+    Encoder, knowledge and index count only if something is retrieved (``top_k``),
+    versions of an adapter's library only with an adapter.
+    """
+    own = {"data": data, "tests": tests, "model": model, "settings": settings, "prompts": prompts, "top_k": top_k, "adapter": adapter}
+    own["versions"] = {k: v for k, v in versions.items() if adapter is not None or k != "adapter"}
+    if top_k:
+        own |= {"encoder": encoder, "knowledge": knowledge, "index": index}
+    return signature(**own)
+
+
 def add_missing(index: DataFrame, samples: DataFrame, key: str, text: str, encoder: Encoder | None = None) -> DataFrame:
     """Rows to append to an index: samples whose key it hasn't, encoded once."""
     fresh = samples.dropDuplicates([key]).join(index.select(key), key, "left_anti")

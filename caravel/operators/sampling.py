@@ -169,6 +169,26 @@ def evaluation_split(samples: DataFrame, key: str, reserved: DataFrame, count: i
     return test, rest
 
 
+def shuffled_split(df: DataFrame, key: str, test: int, train: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of seeded rows, which have nothing in common.
+
+    Without ``train`` the first ``test`` rows in the order of their lots are
+    the test and all others train; there must be others.  With it the first
+    ``train`` rows train and the next ``test`` are the test; if there are too
+    few, the test gets what is left.
+    """
+    if test < 1 or (train is not None and train < 1):
+        raise ValueError("sizes must be at least 1")
+    order = [lot(seed, "split", F.col(key)), F.col(key)]
+    if train is None:
+        if (n := df.count()) <= test:
+            raise ValueError(f"more than {test} rows are needed, there are {n}")
+        first = df.orderBy(*order).limit(test)
+        return df.join(first.select(key), key, "left_anti"), first
+    first = df.orderBy(*order).limit(train)
+    return first, df.join(first.select(key), key, "left_anti").orderBy(*order).limit(test)
+
+
 def seeded_rows(df: DataFrame, key: str, count: int, seed: int) -> DataFrame:
     """``count`` distinct rows by the order of their lots, in the order of keys: a sample for a look at the data."""
     return df.orderBy(lot(seed, "look", F.col(key)), key).limit(count).orderBy(key)

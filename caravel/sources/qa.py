@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ast
 import csv
 import io
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +42,25 @@ def read_image_rows(spark: SparkSession, path: str, split: str) -> DataFrame:
     return read.select(F.lit(split).alias("split"), "row_index", field("image_path").alias("image_path"), caption.alias("caption"), field("vqa_json").alias("vqa_json"))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def literal_list(text: pa.Array) -> pa.Array:
+    """The texts of a list or tuple written as a Python literal; null for anything else."""
+
+    def read(value: str | None) -> list[str] | None:
+        try:
+            found = ast.literal_eval(value) if value is not None else None
+        except (ValueError, SyntaxError):
+            return None
+        return [str(x) for x in found] if isinstance(found, (list, tuple)) else None
+
+    return pa.array([read(x) for x in text.to_pylist()], pa.list_(pa.string()))
+
+
 def image_list(value: Column) -> Column:
     """A path, a JSON list or a list in quotes of either kind -> trimmed paths with forward slashes."""
     flat = F.trim(value)
-    listed = F.coalesce(F.from_json(flat, "array<string>"), F.from_json(F.replace(F.regexp_replace(flat, r"^\((.*?),?\)$", "[$1]"), F.lit("'"), F.lit('"')), "array<string>"))
+    json = F.from_json(flat, "array<string>")
+    listed = F.coalesce(json, literal_list(F.when(flat.rlike(r"^[\[(]") & json.isNull(), flat)))
     many = F.when(flat.rlike(r"^[\[(]"), listed).otherwise(F.array(flat))
     return F.filter(F.transform(many, lambda x: F.replace(F.trim(x), F.lit("\\"), F.lit("/"))), lambda x: x != "")
 
@@ -178,7 +195,7 @@ def read_eval_samples(spark: SparkSession, path: str, root: str | None = None) -
     """(id, question, reference, images, question_type, options, answer) of evaluation samples.
 
     Ids are texts or whole numbers, which count as their text, and no two are
-    equal; question and reference are texts with something in them; images is
+    equal; one that begins like a sample's id must have its form; question and reference are texts with something in them; images is
     a list of paths, none blank, which are placed in ``root`` if it is given.
     The last three may be missing: then they are null, else question_type is
     the text and the others are JSON.  All other fields are dropped; anything
@@ -192,7 +209,8 @@ def read_eval_samples(spark: SparkSession, path: str, root: str | None = None) -
     each = F.try_variant_get("value", "$.images", "array<variant>")
     paths = F.transform(each, lambda x: F.try_variant_get(x, "$", "string"))
     listed = F.coalesce(kind("images").startswith("ARRAY") & F.forall(each, lambda x: (F.schema_of_variant(x) == "STRING") & (F.trim(F.try_variant_get(x, "$", "string")) != "")), F.lit(False))
-    wrong = F.concat_ws(", ", F.when(~(said("id") | (kind("id") == "BIGINT")), "id"), F.when(~said("question"), "question"), F.when(~said("reference"), "reference"), F.when(~listed, "images"))
+    formed = ~F.trim(text("id")).startswith("mira:") | F.trim(text("id")).rlike(ID_FORM)
+    wrong = F.concat_ws(", ", F.when(~((said("id") | (kind("id") == "BIGINT")) & formed), "id"), F.when(~said("question"), "question"), F.when(~said("reference"), "reference"), F.when(~listed, "images"))
     where = F.concat(F.lit("bad line "), F.col("line").cast("string"), F.lit(" of "), F.col("file"), F.lit(": "), wrong)
     fine = rows.withColumn("value", F.when(wrong == "", F.col("value")).otherwise(F.raise_error(where).cast("variant")))
     json = lambda n: F.to_json(part(n))
@@ -251,10 +269,10 @@ def indexed_ids(collections: DataFrame, segments: DataFrame, metadata: DataFrame
     return ids
 
 
-def read_manifest(spark: SparkSession, path: str, role: str = "test", required: tuple[str, ...] = ()) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, role: str = "test", required: tuple[str, ...] = (), formed: tuple[str, ...] = ("train", "test")) -> DataFrame:
     """(role, ord, id) of a manifest: an object with train_ids and test_ids, or a bare list, which is of ``role``.
 
-    Repeated ids, overlaps, ids of no known form and empty ``required`` roles raise.
+    Repeated ids, overlaps, ids of no known form in the ``formed`` roles and empty ``required`` roles raise.
     """
     doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     get = lambda p: F.try_variant_get("v", p, "array<string>")
@@ -268,7 +286,7 @@ def read_manifest(spark: SparkSession, path: str, role: str = "test", required:
     twice = rows.groupBy("id").count().filter("count > 1 or coalesce(trim(id), '') = ''").limit(5).collect()
     if twice:
         raise ValueError("ids given twice or empty: " + ", ".join(sorted(str(r["id"]) for r in twice)))
-    wrong = rows.filter(F.col("id").startswith("mira:") & ~F.col("id").rlike(ID_FORM)).limit(5).collect()
+    wrong = rows.filter(F.col("role").isin(*formed) & F.col("id").startswith("mira:") & ~F.col("id").rlike(ID_FORM)).limit(5).collect()
     if wrong:
         raise ValueError("ids of no known form: " + ", ".join(sorted(r["id"] for r in wrong)))
     return rows

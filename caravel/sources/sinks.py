@@ -81,3 +81,14 @@ def context_blocks(evidence: DataFrame, query: str, rank: str, text: str, limit:
     sized = evidence.withColumn("_n", F.sum(F.char_length(text)).over(order))
     fine = sized.withColumn(text, F.when(F.col("_n") > limit, F.raise_error(F.lit("the context is too long")).cast("string")).otherwise(F.col(text)))
     return fine.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(rank, text))).alias("x")).select(query, F.array_join(F.transform("x", lambda x: x[text]), "\n\n").alias("context"))
+
+
+def write_selection_audit(left_out: DataFrame, path: str, **policy) -> int:
+    """Write which samples were left out and under which policy, before anything is done with the others; how many they are.
+
+    The policy is a JSON file, the samples are JSON lines in the order of their ids.
+    """
+    write_json_lines(left_out.repartitionByRange("id").sortWithinPartitions("id"), f"{path}/left_out")
+    n = left_out.sparkSession.read.text(f"{path}/left_out").count()
+    write_summary(left_out.sparkSession.range(1).select(F.lit(n).alias("left_out")), f"{path}/policy", **policy)
+    return n

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +25,13 @@ def ingest(stream: DataFrame, key: str, target: str, checkpoint: str, order: str
     appends.  The target is partitioned by ``_bucket``, a hash of the key: a
     batch looks for its keys in the buckets that these fall into and reads
     their key column, nothing else of what is stored.  The checkpoint moves on
-    after the append, so a replay finds its rows stored.  ``config`` (with the
-    number of buckets) is written beside the first rows; a later run under
-    another one is refused, and so is a target with fewer rows than were stored.
+    after the append, so a replay finds its rows stored.  ``config`` and the
+    number of buckets are written beside the first rows; a later run under
+    others is refused, and so is a target with fewer rows than were stored.
     """
     spark = stream.sparkSession
-    config = {**(config or {}), "_buckets": buckets}
-    opened(spark, target, config)
+    config = config or {}
+    opened(spark, target, config, buckets)
     bucket = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\x00"))), F.lit(buckets)).cast("int")
 
     def store(batch: DataFrame, _: int) -> None:
@@ -49,7 +50,7 @@ def ingest(stream: DataFrame, key: str, target: str, checkpoint: str, order: str
             made.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(target)
         finally:
             fresh.unpersist()
-        rows = spark.read.parquet(target).select(F.count("*").alias("rows"), F.lit(signature(**config)).alias("signature"))
+        rows = spark.read.parquet(target).select(F.count("*").alias("rows"), F.lit(signature(**config)).alias("signature"), F.lit(json.dumps(config, sort_keys=True)).alias("config"), F.lit(buckets).alias("buckets"))
         rows.coalesce(1).write.mode("append").parquet(f"{target}-runs")
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -61,20 +62,52 @@ def stored_keys(spark: SparkSession, target: str, key: str, buckets: list[int])
     return None if stored is None else stored.filter(F.col("_bucket").isin(buckets)).select(F.col(key).alias("_stored"), F.col("_bucket").alias("_in"))
 
 
-def opened(spark: SparkSession, target: str, config: dict) -> DataFrame | None:
+def opened(spark: SparkSession, target: str, config: dict, buckets: int | None = None) -> DataFrame | None:
     """The stored rows, or None; raises where they were stored under another configuration or some are gone."""
     runs = _stored(spark, f"{target}-runs")
     if runs is None:
         return None
-    last = runs.agg(F.max("rows").alias("rows"), F.count_if(F.col("signature") != signature(**config)).alias("other")).first()
+    own = signature(**config)
+    last = runs.agg(F.max("rows").alias("rows"), F.max(F.when(F.col("signature") != own, F.struct("signature", "config"))).alias("other"), F.max("buckets").alias("buckets")).first()
     if last["other"]:
-        raise ValueError(f"{target} was made under another configuration")
+        raise ValueError(f"{target} was made under another configuration: {', '.join(differing(json.loads(last['other']['config']), config))}")
+    if buckets is not None and last["buckets"] != buckets:
+        raise ValueError(f"{target} was made under another configuration: {last['buckets']} buckets")
     stored = _stored(spark, target)
     if (0 if stored is None else stored.count()) < (last["rows"] or 0):
         raise ValueError(f"{target} has fewer rows than were stored")
     return stored
 
 
+def differing(recorded: dict, expected: dict) -> list[str]:
+    """The names, also of nested settings, whose values are not the same on both sides."""
+    out = []
+    for name in sorted(set(recorded) | set(expected)):
+        a, b = recorded.get(name), expected.get(name)
+        if isinstance(a, dict) and isinstance(b, dict):
+            out += [f"{name}.{x}" for x in differing(a, b)]
+        elif a != b:
+            out.append(name)
+    return out
+
+
+def open_index(spark: SparkSession, target: str, config: dict, dimension: int, vector: str, space: str = "cosine") -> DataFrame:
+    """The rows of an index made by ``ingest`` under ``config``, whose vectors all have ``dimension`` components.
+
+    ``config`` says how vectors are made (model and sizes of its weights,
+    instruction, pooling, version) and which ``space`` they are for; every
+    setting that differs from what was recorded is named.  No index raises.
+    """
+    if config.get("space", space) != space:
+        raise ValueError(f"{target} is for another space than {space}")
+    rows = opened(spark, target, config)
+    if rows is None:
+        raise ValueError(f"{target}: there is no index")
+    if not (wrong := rows.filter(F.coalesce(F.size(vector), F.lit(-1)) != dimension).limit(1)).isEmpty():
+        raise ValueError(f"{target}: a vector of {wrong.select(F.size(vector)).first()[0]} components instead of {dimension}")
+    return rows
+
+
 def _stored(spark: SparkSession, target: str) -> DataFrame | None:
     try:
         return spark.read.parquet(target)

@@ -159,6 +159,17 @@ def test_pairs_of_runs(spark):
     assert pairs(retrieves="uses", index_fields=["folder"]) == {("f1", "b1"), ("f1", "b2"), ("f2", "b3"), ("f2", "b4"), ("f3", "b5"), ("f3", "b6")}
 
 
+def test_pairs_are_compared_at_once(spark):
+    rows = [("f", i, float(i), i % 2 == 0) for i in range(4)] + [("b", i, 1.0 if i else None, True) for i in range(4)] + [("c", i, 0.0, True) for i in range(3)]
+    df = spark.createDataFrame(rows, "run string, id int, m double, ok boolean")
+    pairs = spark.createDataFrame([("f", "b")], "fine string, base string")
+    got = {r.metric: (r.n, r.total, r.delta) for r in evaluation.paired_runs(df.withColumn("all", F.col("m")), pairs, "run", "id", {"m": F.col("ok"), "all": None}).collect()}
+    assert got == {"m": (1, 2, 1.0), "all": (3, 4, 1.0)}
+    for wrong, other in ((df, [("f", "c")]), (df.unionByName(df.filter("run = 'f'")), [("f", "b")]), (df, [("f", "none")])):
+        with pytest.raises(ValueError, match="other keys: f and"):
+            evaluation.paired_runs(wrong, spark.createDataFrame(other, "fine string, base string"), "run", "id", {"m": None})
+
+
 def test_cached_records(spark):
     item = "struct<id:string,question:string,reference:string,images:array<string>,similarity:double>"
     sample = "id string, question string, reference string, images array<string>"

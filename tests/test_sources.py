@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caravel.functions import text
-from caravel.operators import corpus, plugins, sampling, stats, vectors
+from caravel.operators import corpus, ordering, plugins, sampling, stats, vectors
 from caravel.sources import qa, sinks
 from caravel.streaming.ingest import hourly_counts, ingest, opened
 
@@ -168,7 +168,7 @@ def test_evaluation_samples(spark, tmp_path):
     base = {"id": 1, "question": "q", "reference": "r", "images": []}
     got = read(base, base | {"id": "2", "images": ["i.png", "/j.png"], "question_type": "open_ended", "options": ["a", "b"], "answer": {"text": "x"}, "extra": 3}, root="/data")
     assert [tuple(r) for r in got] == [("1", "q", "r", [], None, None, None), ("2", "q", "r", ["/data/i.png", "/j.png"], "open_ended", '["a","b"]', '{"text":"x"}')]
-    for bad, match in (({"id": True}, "id"), ({"id": " "}, "id"), ({"id": 1.5}, "id"), ({"question": " "}, "question"), ({"question": 3}, "question"), ({"reference": ""}, "reference"), ({"images": 5}, "images"), ({"images": "i.png"}, "images"), ({"images": [1]}, "images"), ({"images": [""]}, "images"), ({"images": None}, "")):
+    for bad, match in (({"id": True}, "id"), ({"id": " "}, "id"), ({"id": 1.5}, "id"), ({"id": "mira:x"}, "id"), ({"question": " "}, "question"), ({"question": 3}, "question"), ({"reference": ""}, "reference"), ({"images": 5}, "images"), ({"images": "i.png"}, "images"), ({"images": [1]}, "images"), ({"images": [""]}, "images"), ({"images": None}, "")):
         with pytest.raises(Exception, match=f"bad line 2 of x.jsonl.*{match}"):
             read(base, base | {"id": 2} | bad)
     with pytest.raises(ValueError, match="repeated: 1"):
@@ -261,6 +261,65 @@ def test_cells_of_sheets(spark):
     assert got == ["'=1", "' \t=1", "'-x", "a=1", None, "x" * 60 + sinks.CUT_NOTICE, "'@" + "y" * 58 + sinks.CUT_NOTICE]
 
 
+def test_shuffled_splits(spark):
+    df = spark.range(100).selectExpr("id", "id * 2 AS v")
+    ids = lambda pair: tuple({r.id for r in x.collect()} for x in pair)
+    train, test = ids(sampling.shuffled_split(df, "id", 30))
+    assert len(test) == 30 and train == set(range(100)) - test and ids(sampling.shuffled_split(df.repartition(9), "id", 30)) == (train, test)
+    first, second = ids(sampling.shuffled_split(df, "id", 20, 50))
+    assert len(first) == 50 and len(second) == 20 and not first & second and test <= first
+    assert [len(x) for x in ids(sampling.shuffled_split(df, "id", 20, 95))] == [95, 5]
+    for bad in ((100,), (0,), (5, 0)):
+        with pytest.raises(ValueError):
+            sampling.shuffled_split(df, "id", *bad)
+
+
+def test_python_lists_of_images(spark):
+    cells = [(r"""['it\'s.png', "a 'b'.png"]""", ["it's.png", "a 'b'.png"]), ("('one.png',)", ["one.png"]), ("[broken", None), ("('x')", None), (" plain.png ", ["plain.png"]), ("""["j's.png"]""", ["j's.png"]), (None, [])]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cells)], "i int, t string").select("i", qa.image_list(F.col("t")).alias("l")).collect()
+    assert [r.l for r in sorted(got)] == [w for _, w in cells]
+
+
+def test_audits_and_indexes(spark, tmp_path):
+    left = spark.createDataFrame([("b", ["answer"]), ("a", ["question"])], "id string, missing_fields array<string>")
+    assert sinks.write_selection_audit(left, str(tmp_path / "audit"), policy="skip", manifest=None) == 2
+    assert [r.id for r in spark.read.json(str(tmp_path / "audit" / "left_out")).orderBy("id").collect()] == ["a", "b"]
+    assert json.loads(next((tmp_path / "audit" / "policy").glob("part*")).read_text()) == {"left_out": 2, "policy": "skip", "manifest": None}
+    rows = spark.createDataFrame([(i, [0.0, 1.0]) for i in range(5)], "k long, v array<double>")
+    rows.write.parquet(str(tmp_path / "in"))
+    config = {"model": {"name": "m", "weights": [["a", 3]]}, "pooling": "mean", "space": "cosine"}
+    target = str(tmp_path / "index")
+    ingest(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "k", target, str(tmp_path / "c"), order="k", config=config).awaitTermination()
+    from caravel.streaming.ingest import open_index
+
+    assert open_index(spark, target, config, 2, "v").count() == 5
+    for more, match in (({"pooling": "last"}, "pooling"), ({"model": {"name": "m", "weights": [["a", 4]]}}, "model.weights"), ({"space": "l2"}, "space")):
+        with pytest.raises(ValueError, match=match):
+            open_index(spark, target, config | more, 2, "v")
+    with pytest.raises(ValueError, match="2 components instead of 3"):
+        open_index(spark, target, config, 3, "v")
+    with pytest.raises(ValueError, match="no index"):
+        open_index(spark, str(tmp_path / "none"), config, 3, "v")
+
+
+def test_fingerprints_of_generations(spark):
+    df = spark.createDataFrame([("b", "q", ["i"]), ("a", None, [])], "id string, q string, images array<string>")
+    own = ordering.table_digest(df, "id", "q", "images")
+    assert own == ordering.table_digest(df.repartition(3), "id", "q", "images") != ordering.table_digest(df.fillna(""), "id", "q", "images")
+    assert ordering.table_digest(df.limit(0), "id") == ""
+    base = {"data": own, "tests": own, "model": {"name": "m"}, "settings": {"seed": 1}, "prompts": {}, "versions": {"torch": "2", "adapter": "1"}}
+    mark = lambda **more: plugins.generation_fingerprint(**(base | more))
+    assert mark() == mark(encoder={"x": 1}, index={"y": 2}) == mark(versions={"torch": "2", "adapter": "9"})
+    assert len({mark(), mark(top_k=3), mark(top_k=3, knowledge="k"), mark(adapter={"p": 1}), mark(settings={"seed": 2}), mark(adapter={"p": 1}, versions={"torch": "2", "adapter": "9"})}) == 6
+
+
+def test_roles_whose_ids_need_a_form(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"train_ids": ["mira:train:1:open_ended:0"], "test_ids": ["mira:odd"]}))
+    with pytest.raises(ValueError, match="form"):
+        qa.read_manifest(spark, str(tmp_path / "m.json"))
+    assert qa.read_manifest(spark, str(tmp_path / "m.json"), formed=("train",)).count() == 2
+
+
 def test_budget(spark):
     values = [(0,), (5,), (8,), (100,)]
     got = spark.createDataFrame(values, "n long").select(text.token_budget(F.col("n"), 1.5, 3, 10, 20).alias("b")).collect()
