@@ -592,4 +592,4 @@ def incremental_ingest(spark, d):
     return spark.read.parquet(f"{folder}/stored").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("keys"))
 
 
-from caravel.plans import corpora, evaluation  # noqa: E402, F401  they add their queries
+from caravel.plans import corpora, evaluation, records  # noqa: E402, F401  they add their queries
