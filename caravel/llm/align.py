@@ -73,25 +73,31 @@ def tokens_of(text: str, ranks: str, model: str) -> tuple[np.ndarray, np.ndarray
     whole = " " + text
     table_a, size_a = _bytes_of_ranks(ranks)
     own, table_b, size_b = _pieces(model)
-    a = _fast(ranks).encode_to_numpy(whole, disallowed_special=()).astype(np.int64)
-    b = np.array(own.encode(text), np.int64)
+    a, pieces = _fast(ranks).encode_to_numpy(whole, disallowed_special=()).astype(np.int64), own.encode(text)
     bytes_ = whole.encode()
-    if b"".join(map(table_a.__getitem__, a.tolist())) != bytes_ or b"".join(map(table_b.__getitem__, b.tolist())) != bytes_:
+    if b"".join(map(table_b.__getitem__, pieces)) != bytes_ or b"".join(map(table_a.__getitem__, a.tolist())) != bytes_:
         return None
+    b = np.array(pieces, np.int64)
     return a, b, np.cumsum(size_a[a]), np.cumsum(size_b[b])
 
 
-def links_of(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+def marks(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in the text whether a token of A, and one of B, ends there."""
+    in_a, in_b = np.zeros((2, int(end_a[-1]) + 1), bool)
+    in_a[end_a] = in_b[end_b] = True
+    return in_a, in_b
+
+
+def links_of(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> np.ndarray:
     """Packed keys of all links: each stretch between neighbouring ends lies in one token of either side."""
-    ends = np.concatenate([end_a, end_b])
-    ends.sort(kind="stable")
-    ends = ends[np.append(True, ends[1:] != ends[:-1])]
-    return a[np.searchsorted(end_a, ends)] << SHIFT | b[np.searchsorted(end_b, ends)]
+    ends = np.flatnonzero(in_a | in_b)
+    # the token that ends here or later is the one after those that ended before
+    at_a, at_b = (np.cumsum(x, dtype=np.int32)[ends] - x[ends] for x in (in_a, in_b))
+    return a[at_a] << SHIFT | b[at_b]
 
 
-def groups_of(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> tuple[int, bytes]:
-    """(number of groups, groups as ``a1,a2|b1;a3|b2,b3``)."""
-    closes_a, closes_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+def groups_of(a: np.ndarray, b: np.ndarray, closes_a: np.ndarray, closes_b: np.ndarray) -> tuple[int, bytes]:
+    """(number of groups, groups as ``a1,a2|b1;a3|b2,b3``), from which tokens end where one of the other side does."""
     # the group of each token, and how many of the other side's tokens are written before it
     group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
     last_a, last_b = np.flatnonzero(closes_a) + 1, np.flatnonzero(closes_b) + 1
@@ -126,8 +132,10 @@ def document_links(docs: DataFrame, doc: str, text: str, ranks: str | None = Non
                 if found is None:
                     out.append((d, 0, 0, 0, 0, "", b"", b"", ""))
                     continue
-                keys, times = np.unique(links := links_of(*found), return_counts=True)
-                n, said = groups_of(*found)
+                a, b, end_a, end_b = found
+                in_a, in_b = marks(end_a, end_b)
+                keys, times = np.unique(links := links_of(a, b, in_a, in_b), return_counts=True)
+                n, said = groups_of(a, b, in_b[end_a], in_a[end_b])
                 out.append((d, len(found[0]), len(found[1]), n, len(links), hashlib.sha256(said).hexdigest(), pack(keys), times.astype("<u4").tobytes(), said.decode() if groups else ""))
             kinds = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.binary(), pa.string()]
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
