@@ -8,6 +8,7 @@ character.
 
 from __future__ import annotations
 
+import difflib
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -202,6 +203,19 @@ def rouge_l(prediction: pa.Array, reference: pa.Array) -> np.ndarray:
     return out
 
 
+def bare_text(text: Column) -> Column:
+    """Text without thoughts, white space and signs, lower-cased; empty for a null."""
+    rest = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
+    return F.coalesce(F.lower(F.regexp_replace(rest, r"[^\p{L}\p{M}\p{N}]+", "")), F.lit(""))
+
+
+@F.arrow_udf(T.DoubleType())
+def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Share of the matching blocks of two ``bare_text`` columns; 1 for two empty texts, 0 for one."""
+    ratio = lambda x, y: float(x == y) if not x or not y else difflib.SequenceMatcher(None, x, y).ratio()
+    return pa.array([ratio(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+
 @F.arrow_udf(T.DoubleType())
 def bleu_score(prediction: pa.Array, reference: pa.Array) -> pa.Array:
     """BLEU-4 of columns of tokens."""

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caravel.operators.ordering import running
+from caravel.session import settled
+
 #: Quantile of the normal distribution for 95 % intervals. Fixed value.
 Z = 1.959963984540054
-#: Rows whose weights are drawn at once.
-BLOCK = 256
 
 
 def wilson(p: Column, n: Column) -> tuple[Column, Column]:
@@ -45,40 +46,72 @@ def metric_summary(df: DataFrame, group: str, metrics: dict[str, Column]) -> Dat
     return summed.withColumn(group, F.when(F.col("_all") == 1, "*").otherwise(F.col(group))).drop("_all")
 
 
-def bootstrap(df: DataFrame, group: str, value: str, order: str, samples: int = 1000, seed: int = 42) -> DataFrame:
-    """(group, n, mean, ci_low, ci_high): 2.5 and 97.5 percentiles of resampled means.
+#: A prime below 2**31, and what is added in the rounds of mixing.
+PRIME, ROUNDS = 2**31 - 1, (1013904223, 715225741)
+#: Rows of a block at least, and most blocks of a group.
+BLOCK, BLOCKS = 256, 4096
+
+
+def drawn(level: int, a, b, c, seed: int, n) -> np.ndarray:
+    """Whole numbers below ``n`` from a hash of three numbers: sums modulo a prime, whose fifth powers mix them twice.
+
+    The fifth power is a permutation modulo ``PRIME``; two such numbers side by
+    side leave no visible bias for ``n`` up to 2**50.
+    """
+
+    def mixed(salt: int) -> np.ndarray:
+        x = (np.asarray(a, np.int64) * 48271 + np.asarray(b, np.int64) * 69621 + np.asarray(c, np.int64) * 16807 + level * 1299709 + salt) % PRIME
+        for k in ROUNDS:
+            y = x * x % PRIME
+            x = (y * y % PRIME * x + k) % PRIME
+        return x
+
+    return (mixed(seed) * 2**31 + mixed(seed + 77_777)) % n
 
-    A row's weight in a resample is a Poisson draw from a hash of the row's
-    own hash and the resample's number, so groups of any size are resampled
-    where they lie; only weighted sums are shuffled.  ``BLOCK`` rows are
-    weighed at once.
+
+def bootstrap(df: DataFrame, group: str, value: str, order: str, samples: int = 1000, seed: int = 42) -> DataFrame:
+    """(group, n, mean, ci_low, ci_high): 2.5 and 97.5 percentiles of the means of resamples of n rows out of n.
+
+    Rows have places in their group by ``order`` and lie in blocks of places.
+    A first round deals the n draws of each resample to blocks, a second draws
+    that many rows inside each block: every resample has exactly n draws, no
+    group is in one task, and only sums are shuffled.  Draws come from hashes,
+    so they are the same everywhere.  Null values take no part; a group of one
+    row has no interval.
     """
     kind = df.schema[group].dataType.simpleString()
-    # chances of at most 0, 1, 2, ... of a Poisson draw with mean 1
-    chances = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(13)])
-    marks = np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
-
-    def sums(batches):
-        for pdf in batches:
-            pdf = pdf[pdf["value"].notna()]
-            for key, own in pdf.groupby("key", dropna=False):
-                count, total = np.zeros(samples), np.zeros(samples)
-                v, h = own["value"].to_numpy(), own["hash"].to_numpy().view(np.uint64)
-                for i in range(0, len(v), BLOCK):
-                    x = h[i : i + BLOCK, None] ^ marks
-                    for shift in (33, 29):
-                        x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xC4CEB9FE1A85EC53)
-                    weights = np.searchsorted(chances, (x >> np.uint64(11)) * 2.0**-53, "right")
-                    count += weights.sum(axis=0)
-                    total += v[i : i + BLOCK] @ weights
-                yield pd.DataFrame({"key": [key], "n": [len(v)], "total": [v.sum()], "count": [count.tolist()], "sum": [total.tolist()]})
-
-    rows = df.select(F.col(group).alias("key"), F.col(value).cast("double").alias("value"), F.xxhash64(order).alias("hash"))
-    parts = rows.mapInPandas(sums, f"key {kind}, n long, total double, count array<double>, sum array<double>")
-    spread = parts.select("key", F.posexplode(F.arrays_zip("count", "sum")).alias("i", "x")).groupBy("key", "i").agg(F.try_divide(F.sum("x.sum"), F.sum("x.count")).alias("m"))
-    ends = spread.groupBy("key").agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
-    means = parts.groupBy("key").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
-    return means.join(ends, means["key"].eqNullSafe(ends["key"])).select(means["key"].alias(group), "n", "mean", F.when(F.col("n") > 1, F.col("ci_low")).alias("ci_low"), F.when(F.col("n") > 1, F.col("ci_high")).alias("ci_high"))
+    rows = running(df.filter(F.col(value).isNotNull()).select(F.col(group).alias("key"), F.col(value).cast("double").alias("value"), F.col(order).alias("_order")), ["key"], ["_order"], into="place")
+    about = settled(rows.groupBy("key").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).withColumn("size", F.greatest(F.lit(BLOCK), F.floor(F.col("n") / BLOCKS))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (n, size, sample) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                count = np.zeros(-(-n // size), np.int64)
+                for at in range(0, n, 1 << 20):
+                    count += np.bincount(drawn(1, np.arange(at, min(n, at + (1 << 20))), sample, 0, seed, n) // size, minlength=len(count))
+                block = np.flatnonzero(count)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(block), i))), pa.array(block), pa.array(np.full(len(block), sample)), pa.array(count[block])], names=["key", "block", "sample", "draws"])
+
+    asked = about.select("key", "n", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("sample"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = asked.repartition(tasks, "key", "sample").mapInArrow(deal, f"key {kind}, block long, sample long, draws long")
+    dealt = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("sample", "draws")).alias("asked"))
+    placed = rows.join(about.select(F.col("key").alias("_key"), "size"), F.col("key").eqNullSafe(F.col("_key"))).withColumn("block", F.floor(F.col("place") / F.col("size")))
+    held = placed.groupBy(F.col("key").alias("_key"), F.col("block").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("x")).select("_key", "_block", F.transform("x", lambda x: x["value"]).alias("values"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                block, values = batch.column(1)[i].as_py(), batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+                sample, draws = (np.array(x, np.int64) for x in zip(*((a["sample"], a["draws"]) for a in batch.column(2)[i].as_py()), strict=True))
+                total = np.array([sum(float(values[drawn(2, np.arange(at, min(m, at + (1 << 20))), b, block, seed, len(values))].sum()) for at in range(0, m, 1 << 20)) for b, m in zip(sample.tolist(), draws.tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(sample), i))), pa.array(sample), pa.array(total), pa.array(draws)], names=["key", "sample", "total", "draws"])
+
+    met = dealt.join(held, F.col("key").eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block"))).select("key", "block", "asked", "values")
+    sums = met.mapInArrow(draw, f"key {kind}, sample long, total double, draws long").groupBy("key", "sample").agg((F.sum("total") / F.sum("draws")).alias("m"))
+    ends = sums.groupBy(F.col("key").alias("_key")).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
+    out = about.join(ends, F.col("key").eqNullSafe(F.col("_key")))
+    return out.select(F.col("key").alias(group), "n", "mean", F.when(F.col("n") > 1, F.col("ci_low")).alias("ci_low"), F.when(F.col("n") > 1, F.col("ci_high")).alias("ci_high"))
 
 
 def paired(after: DataFrame, before: DataFrame, key: str, value: str) -> DataFrame:

@@ -243,9 +243,37 @@ def wilson_interval(spark, d):
     return g.select("lang", "n", rounded("p").alias("mean"), rounded(low).alias("ci_low"), rounded(high).alias("ci_high"))
 
 
-@query()
+def _mixed(level: int, *numbers: str, salt: int) -> str:
+    return f"({' + '.join(f'{x} * {m}' for x, m in zip(numbers, (48271, 69621, 16807), strict=True))} + {level * 1299709 + salt}) % {stats.PRIME}"
+
+
+def _fifth(x: str, more: int) -> str:
+    square = f"({x} * {x} % {stats.PRIME})"
+    return f"(({square} * {square}) % {stats.PRIME} * {x} + {more}) % {stats.PRIME}"
+
+
+def _draws(name: str, source: str, keep: str, level: int, *numbers: str) -> str:
+    """Tables of a draw's two numbers, x and z, mixed twice."""
+    steps = [f"{name}0 AS (SELECT {keep}, {_mixed(level, *numbers, salt=42)} AS x, {_mixed(level, *numbers, salt=42 + 77_777)} AS z FROM {source})"]
+    steps += [f"{name}{i} AS (SELECT {keep}, {_fifth('x', k)} AS x, {_fifth('z', k)} AS z FROM {name}{i - 1})" for i, k in enumerate(stats.ROUNDS, 1)]
+    return ",\n".join(steps)
+
+
+@query(f"""
+WITH r AS (SELECT c_mktsegment AS g, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS k FROM customer WHERE c_acctbal IS NOT NULL),
+n AS (SELECT g, count(*) AS n, avg(v) AS mean, greatest({stats.BLOCK}, count(*) // {stats.BLOCKS}) AS s FROM r GROUP BY g),
+d AS (SELECT g, n, s, b, unnest(range(n)) AS j FROM n, range(200) t(b)),
+{_draws("a", "d", "g, n, s, b", 1, "j", "b", "0")},
+m AS (SELECT g, n, s, b, (x * 2147483648 + z) % n // s AS p, count(*) AS m FROM a2 GROUP BY ALL),
+e AS (SELECT g, n, s, b, p, unnest(range(m)) AS i FROM m),
+{_draws("c", "e", "g, n, s, b, p", 2, "i", "b", "p")},
+f AS (SELECT g, b, p * s + (x * 2147483648 + z) % least(s, n - p * s) AS k FROM c2),
+t AS (SELECT g, b, avg(v) AS m, count(*) AS draws FROM f JOIN r USING (g, k) GROUP BY g, b)
+SELECT g AS c_mktsegment, any_value(n.n) AS n, round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM t JOIN n USING (g) WHERE draws = n.n GROUP BY g
+""")
 def bootstrap_ci(spark, d):
-    return stats.bootstrap(table(spark, d, "customer"), "c_mktsegment", "c_acctbal", "c_custkey", 200)
+    out = stats.bootstrap(table(spark, d, "customer"), "c_mktsegment", "c_acctbal", "c_custkey", 200)
+    return out.select("c_mktsegment", "n", *[rounded(c).alias(c) for c in ("mean", "ci_low", "ci_high")])
 
 
 @query("SELECT lang, count(x) AS n, count(*) AS total, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT doc_id, quality - toxic AS x FROM labels) JOIN documents USING (doc_id) GROUP BY lang")

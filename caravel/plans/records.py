@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from caravel.functions import answers, judgements, report, text, training
+from caravel.functions import answers, judgements, report, text, textmetrics, training
 from caravel.operators import evaluation, sampling
 from caravel.plans.catalogue import query, rounded, scratch, table
 from caravel.plans.evaluation import CHECK_FACTS, LIST_FACTS, FactRule
@@ -154,20 +154,24 @@ def repaired_chats(spark, d):
 
 @query("""
 SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN '' END AS aliased, CASE WHEN length(event_type) > 8 THEN substr(event_type, 1, 4) || '...' || substr(event_type, length(event_type) - 3) ELSE '<set>' END AS secret,
-  CAST(user_id AS VARCHAR) || ' x' AS cleaned, event_type || CASE WHEN event_id % 2 = 0 THEN '!' ELSE '.' END AS instruction FROM events
+  CAST(user_id AS VARCHAR) || ' x' AS cleaned, event_type || CASE WHEN event_id % 2 = 0 THEN '!' ELSE '.' END AS instruction,
+  event_type || 'mri2' AS bare, CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS similar FROM events
 """)
 def tidy_fields(spark, d):
-    """Aliases of a field in order, masked secrets, texts cleaned for comparison, and instructions that end with a mark."""
+    """Aliases of a field in order, masked secrets, texts cleaned for comparison, instructions that end with a mark, bare texts and their similarity."""
     kind = F.col("event_id") % 3
     doc = F.when(kind == 0, F.concat(F.lit('{"content": "'), "event_type", F.lit('", "text": "other"}'))).when(kind == 1, F.concat(F.lit('{"value": "", "text": "'), "event_type", F.lit('"}'))).otherwise("{}")
     wide = F.translate(F.col("user_id").cast("string"), "0123456789", "０１２３４５６７８９")
     end = F.when(F.col("event_id") % 2 == 0, "!").otherwise(" ")
+    bare = textmetrics.bare_text(F.concat(F.lit("<think>x</think> "), F.upper("event_type"), F.lit("; MRI_2! \n")))
     return table(spark, d, "events").select(
         "event_id",
         report.field(F.parse_json(doc), "content", "value", "text").alias("aliased"),
         text.masked_key(F.col("event_type")).alias("secret"),
         answers.clean(F.concat(F.lit(" "), wide, F.lit(" \t Ｘ。 "))).alias("cleaned"),
         training.closed_instruction(F.concat("event_type", end)).alias("instruction"),
+        bare.alias("bare"),
+        textmetrics.similarity(bare, F.when(F.col("event_id") % 2 == 0, bare).otherwise("")).alias("similar"),
     )
 
 

@@ -321,6 +321,25 @@ def test_bootstrap(spark):
     assert got["b"].ci_low is None and "c" not in got
 
 
+def test_resamples_have_as_many_draws_as_rows(spark, monkeypatch):
+    """A small table of many blocks against drawing by hand."""
+    import numpy as np
+
+    monkeypatch.setattr(stats, "BLOCK", 7)
+    values = [float(x) for x in np.random.default_rng(1).normal(size=60)]
+    rows = [(None, v, 100 - i) for i, v in enumerate(values)]
+    got = stats.bootstrap(spark.createDataFrame(rows, "g string, v double, k int").repartition(4), "g", "v", "k", samples=50, seed=3).collect()[0]
+    own, means = np.array(values[::-1]), []
+    for b in range(50):
+        block = stats.drawn(1, np.arange(60), b, 0, 3, 60) // 7
+        picked = [own[p * 7 :][:7][stats.drawn(2, np.arange(m), b, p, 3, min(7, 60 - p * 7))] for p, m in enumerate(np.bincount(block, minlength=9).tolist())]
+        assert sum(map(len, picked)) == 60
+        means.append(np.concatenate(picked).mean())
+    assert got.n == 60 and got.ci_low == pytest.approx(np.percentile(means, 2.5)) and got.ci_high == pytest.approx(np.percentile(means, 97.5))
+    spread = np.bincount(stats.drawn(1, np.arange(1_000_000), 5, 0, 42, 100), minlength=100)
+    assert abs(spread - 10_000).max() < 500 and (spread != 10_000).any()
+
+
 def test_budget_policy():
     assert text.budget_policy(extra=3) == text.BUDGET | {"extra": 3}
     assert text.budget_policy(text.FACT_BUDGET, most=9000) == text.FACT_BUDGET | {"most": 9000}

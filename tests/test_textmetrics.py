@@ -64,6 +64,14 @@ def test_columns(spark):
     assert got[0].bleu == pytest.approx(plain_bleu("the cat sat on the mat".split(), "the cat sat on a mat".split())) and got[2].bleu == 0.0 < got[2].smooth
 
 
+def test_similarity(spark):
+    import difflib
+
+    rows = [("<think>a b</think>The Cat, sat.", "the cat sat"), (None, " !"), ("x", None), ("abcd efgh", "abxd fgh!"), ("心脏 病", "心 病")]
+    got = spark.createDataFrame(rows, "a string, b string").select(M.bare_text(F.col("a")).alias("x"), M.bare_text(F.col("b")).alias("y")).select("x", "y", M.similarity("x", "y").alias("s")).collect()
+    assert [r.s for r in got] == [1.0, 1.0, 0.0, difflib.SequenceMatcher(None, "abcdefgh", "abxdfgh").ratio(), 0.8] and got[0].x == "thecatsat"
+
+
 def all_cuts(run, longest):
     for marks in itertools.product([0, 1], repeat=len(run) - 1):
         edge = [0, *[i + 1 for i, m in enumerate(marks) if m], len(run)]
