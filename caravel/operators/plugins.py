@@ -78,6 +78,11 @@ def generation_fingerprint(data: str, tests: str, model: dict, settings: dict, p
     return signature(**own)
 
 
+def selection_key(data: str, reserved: str, seed: int, count: int | None = None, knowledge: int | None = None, kinds: list[str] | None = None, shared: str | None = None) -> str:
+    """Fingerprint of a choice of test and knowledge rows (``evaluation_split``): runs with equal keys can share them.  ``data`` and ``reserved`` are digests of rows."""
+    return signature(data=data, reserved=reserved, seed=seed, count=count, knowledge=knowledge, kinds=sorted(kinds) if kinds else None, shared=shared)
+
+
 def add_missing(index: DataFrame, samples: DataFrame, key: str, text: str, encoder: Encoder | None = None) -> DataFrame:
     """Rows to append to an index: samples whose key it hasn't, encoded once."""
     fresh = samples.dropDuplicates([key]).join(index.select(key), key, "left_anti")

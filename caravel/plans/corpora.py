@@ -298,32 +298,35 @@ def canonical_rows(spark, d):
 
 
 @query("""
-SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS strict, CASE event_id % 3 WHEN 0 THEN 'a' ELSE event_type END AS final, event_type AS after FROM events
+WITH e AS (SELECT event_id, event_id % 4 AS k, event_type AS t, props AS p FROM events)
+SELECT event_id, CASE k WHEN 0 THEN NULL WHEN 1 THEN t WHEN 2 THEN p ELSE t || p END AS strict, CASE k WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN p ELSE t || p END AS final,
+  CASE k WHEN 0 THEN t || ' <think>' || p WHEN 1 THEN '<THINK x>' || p || chr(10) || '</think >' || t ELSE p END AS after FROM e
 """)
 def thoughts_left_out(spark, d):
-    """The three rules for think blocks on complete, open and closing tags."""
-    kind = F.col("event_id") % 3
-    own = F.when(kind == 0, F.concat(F.lit("a <think>"), "event_type")).otherwise(F.concat(F.lit("<THINK x>b\n</think >"), "event_type"))
-    closing = F.concat(F.lit("b</think>\n"), F.col("event_type"))
-    return table(spark, d, "events").select("event_id", text.without_thinking(own).alias("strict"), text.final_text(own).alias("final"), text.after_thinking(closing).alias("after"))
+    """The three rules for think blocks on texts with open, spaced, no and two blocks."""
+    kind, t, p = F.col("event_id") % 4, F.col("event_type"), F.col("props")
+    said = F.when(kind == 0, F.concat(t, F.lit(" <think>"), p)).when(kind == 1, F.concat(F.lit("<THINK x>"), p, F.lit("\n</think >"), t)).when(kind == 2, p).otherwise(F.concat(F.lit("<think>a</think>"), t, F.lit("<think>b\n</think>"), p))
+    return table(spark, d, "events").select("event_id", text.without_thinking(said).alias("strict"), text.final_text(said).alias("final"), text.after_thinking(said).alias("after"))
 
 
 @query("""
-SELECT event_id, user_id AS n, CASE WHEN user_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS accuracy, '1,2,9,9' AS spread, '1,7,2' AS cut, user_id % 2 = 0 AS limited FROM events
+WITH e AS (SELECT event_id, user_id AS u, event_id % 7 + 1 AS n, user_id % 3 AS p FROM events)
+SELECT event_id, CASE WHEN p < n THEN round(len(list_filter(range(p + 1, n + 1), lambda x: (x + u) % 4 <> 0)) / (n - p), 6) END AS accuracy,
+  array_to_string(list_transform(range(4), lambda i: CASE WHEN n <= 4 THEN least(i + 1, n) ELSE CAST(floor(i * (n - 1) / 3.0) AS BIGINT) + 1 END), ',') AS spread,
+  array_to_string(list_filter(range(1, n + 1), lambda x: n <= 3 OR x IN (2, 5) OR x - CAST(x > 2 AS INTEGER) - CAST(x > 5 AS INTEGER) <= 3 - 1 - CAST(n >= 5 AS INTEGER)), ',') AS cut,
+  n >= 5 AND n <> 6 AS limited FROM e
 """)
 def training_columns(spark, d):
-    """Labels, accuracy over what counts, positions at even distances, cuts that keep special ids, and generations cut by their limit."""
-    ids = lambda *x: F.array(*[F.lit(i) for i in x])
-    even = F.col("user_id") % 2 == 0
-    said = F.when(even, ids(9, 4, 5)).otherwise(ids(9, 4, 6))
+    """Accuracy over what counts, positions at even distances, cuts that keep special ids, and generations cut by their limit, of rows of any length."""
+    ids = F.sequence(F.lit(1), (F.col("event_id") % 7 + 1).cast("int"))
+    said = F.transform(ids, lambda x: F.when((x + F.col("user_id")) % 4 == 0, 0).otherwise(x))
     join = lambda c: F.array_join(c.cast("array<string>"), ",")
     return table(spark, d, "events").select(
         "event_id",
-        F.col("user_id").alias("n"),
-        training.token_accuracy(said, training.labels(ids(1, 4, 5), F.lit(1))).alias("accuracy"),
-        join(training.spread(ids(1, 2, 9), 4)).alias("spread"),
-        join(training.cut_but_special(ids(1, 7, 2, 3), [7], 3)).alias("cut"),
-        training.limit_reached(ids(1, 2, 3), F.when(even, 3).otherwise(4), [5]).alias("limited"),
+        F.round(training.token_accuracy(said, training.labels(ids, F.col("user_id") % 3)), 6).alias("accuracy"),
+        join(training.spread(ids, 4)).alias("spread"),
+        join(training.cut_but_special(ids, [2, 5], 3)).alias("cut"),
+        training.limit_reached(ids, F.lit(5), [6]).alias("limited"),
     )
 
 

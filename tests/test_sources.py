@@ -313,6 +313,11 @@ def test_fingerprints_of_generations(spark):
     assert len({mark(), mark(top_k=3), mark(top_k=3, knowledge="k"), mark(adapter={"p": 1}), mark(settings={"seed": 2}), mark(adapter={"p": 1}, versions={"torch": "2", "adapter": "9"})}) == 6
 
 
+def test_keys_of_selections():
+    key = lambda **more: plugins.selection_key(**({"data": "d", "reserved": "r", "seed": 1} | more))
+    assert key(kinds=["b", "a"]) == key(kinds=["a", "b"]) and len({key(), key(seed=2), key(count=3), key(knowledge=3), key(kinds=["a"]), key(shared="images"), key(data="e")}) == 7
+
+
 def test_roles_whose_ids_need_a_form(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"train_ids": ["mira:train:1:open_ended:0"], "test_ids": ["mira:odd"]}))
     with pytest.raises(ValueError, match="form"):
