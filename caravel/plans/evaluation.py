@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from caravel.functions import answers, judgements, render
 from caravel.operators import evaluation, sampling
 from caravel.plans.catalogue import query, rounded, table
+from caravel.plans.judges import CHECK_FACTS, LIST_FACTS, FactRule, RuleJudge
 
 OPTIONS = '["A. Copper kettle","B. Glass jar","C. Wooden spoon","D. Tin cup"]'
 #: What a run answers, by p_partkey % 12: (type, reference, prediction, status, accuracy, f1).
@@ -116,18 +115,6 @@ def type_report(spark, d):
     return evaluation.type_report(rows, "run", "kind", ["answer_accuracy", "choice_f1"], "base")
 
 
-class RuleJudge:
-    """Answers by rule, for tests and queries: wrong form for prompts that end in 3 until asked again, an error for those that end in 7."""
-
-    def text(self, prompt: str, max_new_tokens: int) -> str:
-        number = int(prompt.rsplit("#", 1)[1])
-        if number % 10 == 7:
-            raise RuntimeError("no memory")
-        if number % 10 == 9 or (number % 10 == 3 and not prompt.startswith("Answer in")):
-            return f"I would say {number % 3 / 2}"
-        return json.dumps({"correctness": (number % 3) / 2, "reason": "by rule"})
-
-
 @query("""
 WITH p AS (SELECT o_orderkey, o_orderkey // 4 AS n FROM orders)
 SELECT o_orderkey, CASE WHEN n % 10 IN (7, 9) THEN NULL ELSE (n % 3) / 2.0::DOUBLE END AS score, n % 10 NOT IN (7, 9) AND n % 2 = 0 AS from_cache,
@@ -158,21 +145,6 @@ def fact_scores(spark, d):
     return scored.select("l_orderkey", "facts", "supported", rounded(F.col("factscore")).alias("factscore"))
 
 
-LIST_FACTS, CHECK_FACTS = "List the facts.", "Check the facts."
-
-
-class FactRule:
-    """Lists the sentences of an answer as facts and holds those true whose number is above 20; answers about a question that ends in 9 in a wrong form."""
-
-    def text(self, prompt: str, max_new_tokens: int) -> str:
-        task, _, about = prompt.partition(LIST_FACTS if LIST_FACTS in prompt else CHECK_FACTS)
-        given = json.loads(about)
-        if "prediction" in given:
-            return json.dumps({"facts": [s.strip() for s in given["prediction"].split(".") if s.strip()]})
-        supported = lambda c: "yes" if given["question"].endswith("9") and c["id"] == 1 else int(c["claim"].split()[-1]) > 20
-        return json.dumps({"verdicts": [{"id": c["id"], "supported": supported(c), "reason": "by its number"} for c in given["claims"]]})
-
-
 @query("""
 WITH f AS (SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS q FROM lineitem),
 s AS (SELECT o_orderkey, count(q) AS facts, count(*) FILTER (WHERE q > 20) AS supported FROM orders LEFT JOIN f ON l_orderkey = o_orderkey GROUP BY 1)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
-from caravel.functions import answers, judgements, report, text, textmetrics, training
+from caravel.functions import answers, report, text, textmetrics, training
 from caravel.operators import evaluation, sampling
 from caravel.plans.catalogue import query, rounded, scratch, table
-from caravel.plans.evaluation import CHECK_FACTS, LIST_FACTS, FactRule
+from caravel.plans.judges import CHECK_FACTS, LIST_FACTS, MEANING, Echo, Judges, listed
 from caravel.sources import qa, sinks
 
 
@@ -198,17 +196,6 @@ def explained_answers(spark, d):
     return s.select("p_partkey", F.col("s.semantic_prediction").alias("semantic"), F.col("s.explanation_prediction").alias("reason"), "s.explanation_status", "s.status", F.col("s.prediction").alias("plain"), F.col("s.explanation_reference").alias("wanted"))
 
 
-class Echo:
-    """Says what it is asked."""
-
-    def text(self, prompt: str, max_new_tokens: int) -> str:
-        return prompt
-
-
-def _lists(raw: str, kind: str) -> list[str]:
-    return judgements.read_facts(raw) if kind == "facts" else judgements.read_claims(raw)
-
-
 @query("""
 WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k FROM orders)
 SELECT o_orderkey, CAST(CASE WHEN k IN (0, 1) THEN 2 WHEN k = 4 THEN 1 END AS INTEGER) AS n, k IN (0, 1, 4) AS readable FROM o
@@ -221,22 +208,10 @@ def strict_lists(spark, d):
     raw = F.when(k == 0, facts(named, F.lit("b"))).when(k == 1, F.concat(F.lit("```json\n"), facts(named, F.lit(" b ")), F.lit("\n```"))).when(k == 2, facts(named, F.concat(F.lower(named), F.lit(" ")))).when(k == 3, F.concat(F.lit("Here: "), facts(named)))
     raw = raw.when(k == 4, F.concat(F.lit('["'), named, F.lit('", " '), named, F.lit('"]'))).otherwise(F.concat(F.lit('["'), named, F.lit('", 3]')))
     rows = table(spark, d, "orders").select("o_orderkey", raw.alias("prompt"), F.when(k < 4, "facts").otherwise("claims").alias("form"))
-    scored, _ = evaluation.judged(rows, "o_orderkey", "prompt", Echo(), _lists, context="form", retries=0)
+    scored, _ = evaluation.judged(rows, "o_orderkey", "prompt", Echo(), listed, context="form", retries=0)
     return scored.select("o_orderkey", F.size(F.from_json("parsed", "array<string>")).alias("n"), F.col("error").isNull().alias("readable")).withColumn("n", F.when(F.col("readable"), F.col("n")))
 
 
-MEANING = "Compare the meanings."
-
-
-class Judges(FactRule):
-    """``FactRule``, and meanings by whether the reference's first character is even."""
-
-    def text(self, prompt: str, max_new_tokens: int) -> str:
-        if MEANING in prompt:
-            return json.dumps({"correctness": 1 if int(json.loads(prompt.partition(MEANING)[2])["reference"][0]) % 2 == 0 else 0.5, "reason": "by its number"})
-        return super().text(prompt, max_new_tokens)
-
-
 @query("""
 WITH o AS (SELECT o_orderkey, o_orderkey % 3 = 0 AS f, o_orderkey % 2 = 0 AS s, o_orderkey % 4 = 0 AS done, o_orderpriority FROM orders)
 SELECT o_orderkey, CASE WHEN f THEN CASE WHEN o_orderkey % 9 > 4 THEN 0.5 ELSE 0.0 END END::DOUBLE AS factscore, CASE WHEN f THEN 'ok' ELSE 'not_required' END AS fact_status,
