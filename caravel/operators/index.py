@@ -25,6 +25,8 @@ from caravel.session import settled
 
 #: Most rows that centroids are fitted on (those of least hash), most lists, and rows of a list that are multiplied at once.
 SAMPLE, LISTS, PART_ROWS = 20_000, 4_096, 8_192
+#: Most bytes of vectors that centroids are fitted on, whatever their size.
+SAMPLE_BYTES = 64 << 20
 #: Rows whose neighbours are found exactly, and how many of each, to learn how many lists a search needs.
 TRIALS, NEIGHBOURS = 200, 10
 
@@ -99,7 +101,7 @@ def build(df: DataFrame, key: str, vector: str, path: str, lists: int | None = N
     if sizes is None:
         raise ValueError("no vector can be indexed")
     rows = rows.filter(F.size("v") == sizes["dims"])
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(sample, SAMPLE_BYTES // (8 * sizes["dims"])))).select("v").toArrow()
     fitted = fit(_matrix(some["v"].combine_chunks()), lists or max(1, min(LISTS, round(sizes["count"] ** 0.5))), seed=seed)
     shared = spark.sparkContext.broadcast(fitted)
 
