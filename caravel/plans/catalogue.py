@@ -616,7 +616,7 @@ def incremental_ingest(spark, d):
     folder = scratch(spark, "ingest")
     for run in range(2):
         stream = spark.readStream.schema(_event_fields(spark, d)).parquet(f"{d}/events.parquet*")
-        ingest(stream, "event_id", f"{folder}/stored", f"{folder}/progress-{run}", order="ts", config={"fields": "all"}).awaitTermination()
+        ingest(stream, "event_id", f"{folder}/stored", f"{folder}/progress-{run}", order="ts", config={"fields": "all"}, buckets=32).awaitTermination()
     return spark.read.parquet(f"{folder}/stored").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("keys"))
 
 
