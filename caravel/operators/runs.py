@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caravel.operators.ordering import running, same
+
+#: Labels that one chunk of equal runs holds; a pair of chunks makes at most the square of it.
+CHUNK = 1024
+
+
+def _chunks(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """(keys, chunk, labels, rows): the labels of equal rows in chunks of ``CHUNK`` at most, and how many equal rows there are in all."""
+    placed = running(rows.select(*keys, F.col(label).alias("_label")), keys, ["_label"], into="_at")
+    made = placed.groupBy(*keys, F.floor(F.col("_at") / CHUNK).alias("chunk")).agg(F.collect_list(F.struct("_label")).alias("labels"))
+    total = made.groupBy(*keys).agg(F.sum(F.size("labels")).alias("rows"))
+    other = total.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], "rows")
+    return made.join(other, same([F.col(k) for k in keys], [F.col(f"_t{i}") for i in range(len(keys))]))
+
 
 def compatible_pairs(runs: DataFrame, label: str, fine: Column, fields: list[str], identity: str | None = None, retrieves: str | None = None, index_fields: list[str] | None = None) -> DataFrame:
     """(fine, base): each run that ``fine`` marks with each other run equal, nulls included, in all ``fields``.
@@ -14,18 +26,30 @@ def compatible_pairs(runs: DataFrame, label: str, fine: Column, fields: list[str
     Where ``retrieves`` holds for the marked run, ``index_fields`` must be equal
     too.  A marked run whose ``identity`` is null or empty, and which several
     others fit, is paired with none of them.
+
+    There are as many pairs as equal runs multiplied, so runs meet as chunks of
+    equal ones, and pairs of chunks are dealt out before they are spelt out: a
+    group of any size is shared by all tasks.
     """
-    a, b = runs.filter(fine).alias("a"), runs.filter(~fine).alias("b")
-    equal = lambda names: reduce(lambda x, y: x & y, [F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")) for f in names], F.lit(True))
-    both = equal(fields)
-    if retrieves:
-        both = both & (~F.coalesce(F.col(f"a.{retrieves}"), F.lit(False)) | equal(index_fields or []))
-    named = F.coalesce(F.col(f"a.{identity}").cast("string"), F.lit("")) != "" if identity else F.lit(True)
-    found = a.join(b, both).select(F.col(f"a.{label}").alias("fine"), F.col(f"b.{label}").alias("base"), named.alias("_named"))
-    if not identity:
-        return found.drop("_named")
-    fits = found.groupBy("fine").agg(F.count("*").alias("_fits"))
-    return found.join(fits, "fine").filter("_named or _fits = 1").select("fine", "base")
+    spark = runs.sparkSession
+    named = F.coalesce(F.col(identity).cast("string"), F.lit("")) != "" if identity else F.lit(True)
+    strict = F.coalesce(F.col(retrieves), F.lit(False)) if retrieves else F.lit(False)
+    marked = runs.withColumns({"_fine": fine, "_named": named, "_strict": strict})
+
+    def pairs(of: DataFrame, equal: list[str]) -> DataFrame:
+        names = [f"_f{i}" for i in range(len(equal))]
+        keyed = lambda df, *more: df.select(*[F.col(f).alias(n) for f, n in zip(equal, names, strict=True)], *more, F.col(label).alias("_own"))
+        a = _chunks(keyed(of, "_named"), [*names, "_named"], "_own").select(*names, "_named", F.col("chunk").alias("_a"), F.col("labels").alias("_fines"))
+        b = _chunks(keyed(marked.filter(~F.col("_fine"))), names, "_own").select(*[F.col(n).alias(f"_b{n}") for n in names], F.col("chunk").alias("_b"), F.col("labels").alias("_bases"), "rows")
+        met = a.join(b, same([F.col(n) for n in names], [F.col(f"_b{n}") for n in names])).filter("_named or rows = 1")
+        dealt = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *names, "_named", "_a", "_b")
+        each = dealt.select(F.explode("_fines").alias("_x"), "_bases").select(F.col("_x._label").alias("fine"), F.explode("_bases").alias("_y"))
+        return each.select("fine", F.col("_y._label").alias("base"))
+
+    every = marked.filter("_fine")
+    if not retrieves:
+        return pairs(every, fields)
+    return pairs(every.filter("not _strict"), fields).unionByName(pairs(every.filter("_strict"), [*fields, *(index_fields or [])]))
 
 
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

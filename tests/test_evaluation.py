@@ -159,6 +159,15 @@ def test_pairs_of_runs(spark):
     assert pairs(retrieves="uses", index_fields=["folder"]) == {("f1", "b1"), ("f1", "b2"), ("f2", "b3"), ("f2", "b4"), ("f3", "b5"), ("f3", "b6")}
 
 
+def test_pairs_of_one_group_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(runs, "CHUNK", 16)
+    df = spark.range(0, 400, 1, 1).select("id", F.when(F.col("id") < 0, "m").alias("model"))
+    pairs = runs.compatible_pairs(df, "id", F.col("id") % 4 == 0, ["model"])
+    each = [r["n"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(each) == 100 * 300 and max(each) < 0.75 * sum(each)
+    assert {tuple(r) for r in pairs.collect()} == {(a, b) for a in range(0, 400, 4) for b in range(400) if b % 4}
+
+
 def test_pairs_are_compared_at_once(spark):
     rows = [("f", i, float(i), i % 2 == 0) for i in range(4)] + [("b", i, 1.0 if i else None, True) for i in range(4)] + [("c", i, 0.0, True) for i in range(3)]
     df = spark.createDataFrame(rows, "run string, id int, m double, ok boolean")
