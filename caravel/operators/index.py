@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caravel.operators.vectors import block_products, top_k_cosine
+from caravel.operators.vectors import SCORES, block_products, top_k_cosine
 from caravel.session import settled
 
 #: Most rows that centroids are fitted on (those of least hash), most lists, and rows of a list that are multiplied at once.
@@ -71,6 +71,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _slices(batch: pa.RecordBatch, each: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces whose rows, at ``each`` numbers a row, come to ``SCORES`` numbers at most."""
+    step = max(1, SCORES // max(1, each))
+    for i in range(0, len(batch), step):
+        yield batch.slice(i, step)
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * a @ b.T))
 
@@ -107,7 +114,7 @@ def build(df: DataFrame, key: str, vector: str, path: str, lists: int | None = N
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
+            for batch in _slices(batch, len(shared.value)):
                 far = _distance(_matrix(batch.column(1)), shared.value)
                 own = far.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(far[np.arange(len(own)), own])], names=["id", "v", "list", "far"])
@@ -135,6 +142,8 @@ def search(spark: SparkSession, path: str, queries: DataFrame, key: str, vector:
     shared = spark.sparkContext.broadcast((np.array([r["list"] for r in about], np.int32), np.array([r["centroid"] for r in about]), np.array([r["radius"] for r in about]), np.array([r["parts"] for r in about])))
     dims, probe = len(about[0]["centroid"]), probe or about[0]["probe"]
     asked = settled(asked.filter(F.size("v") == dims))
+    # a query that asks every list comes to so many numbers
+    spread = dims * int(sum(r["parts"] for r in about))
     shape = "list int, part int, id long, v array<double>"
 
     def chosen(batch: pa.RecordBatch, pick) -> pa.RecordBatch:
@@ -154,16 +163,16 @@ def search(spark: SparkSession, path: str, queries: DataFrame, key: str, vector:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                yield chosen(batch, lambda far, radius: nearest(far))
+            for some in _slices(batch, spread):
+                yield chosen(some, lambda far, radius: nearest(far))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                worst = batch.column(2).to_numpy(zero_copy_only=False)
+            for some in _slices(batch, spread):
+                worst = some.column(2).to_numpy(zero_copy_only=False)
                 # similarities are rounded: what is equal once rounded may be a little farther
                 reach = np.sqrt(np.maximum(0.0, 2 - 2 * (worst - 2 * 10.0**-decimals)))
-                yield chosen(batch, lambda far, radius, reach=reach: (far - radius <= reach[:, None] + 1e-9) & ~nearest(far))
+                yield chosen(some, lambda far, radius, reach=reach: (far - radius <= reach[:, None] + 1e-9) & ~nearest(far))
 
     def found(pairs: DataFrame) -> DataFrame:
         pairs = settled(pairs)

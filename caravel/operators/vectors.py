@@ -54,8 +54,8 @@ def short_queries(found: DataFrame, k: int, able: int) -> DataFrame:
     return found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") != min(k, able))
 
 
-#: Vectors of a candidate block, on average.
-BLOCK = 8192
+#: Vectors of a candidate block, on average; scores that a task holds at once.
+BLOCK, SCORES = 8192, 1 << 20
 
 
 def top_k_cosine(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int, group: str | None = None, decimals: int = 6) -> DataFrame:
@@ -79,8 +79,8 @@ def block_products(stored: DataFrame, asked: DataFrame, k: int, decimals: int =
     """(query_id, id, similarity): the ``k`` best rows of each block for each query that asks it.
 
     Both sides have block, id, grp and v (doubles).  A task holds one block at
-    a time and multiplies it with batches of its queries as they come; blocks
-    of other sizes of vectors are kept apart.
+    a time and multiplies it with as many of its queries as make ``SCORES``
+    scores; blocks of other sizes of vectors are kept apart.
     """
     spark = stored.sparkSession
     fields = ["block", "id", "grp", "v"]
@@ -109,17 +109,24 @@ def block_products(stored: DataFrame, asked: DataFrame, k: int, decimals: int =
                     continue
                 if not held:
                     continue
-                block = block or tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                score = np.round(part[2] @ block[2].T, decimals)
-                out: list[list[np.ndarray]] = [[], [], []]
-                for q, g, own in zip(part[0].tolist(), part[1], score, strict=True):
-                    able = np.flatnonzero((block[0] != q) & ((block[1] != g) if g is not None else True))
-                    if len(able) > k:
-                        able = able[own[able] >= np.partition(own[able], len(able) - k)[len(able) - k]]
-                    best = able[np.lexsort((block[0][able], -own[able]))[:k]]
-                    for column, x in zip(out, (np.full(len(best), q), block[0][best], own[best]), strict=True):
-                        column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "id", "similarity"])
+                if block is None:
+                    block, held = tuple(np.concatenate(x) for x in zip(*held, strict=True)), [None]
+                step = max(1, SCORES // max(1, len(block[0])))
+                for at_ in range(0, len(part[0]), step):
+                    yield best(*(x[at_ : at_ + step] for x in part), *block)
+
+    def best(ids: np.ndarray, groups: np.ndarray, vectors: np.ndarray, names: np.ndarray, kinds: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+        score = vectors @ block.T
+        np.round(score, decimals, out=score)
+        out: list[list[np.ndarray]] = [[], [], []]
+        for q, g, own in zip(ids.tolist(), groups, score, strict=True):
+            able = np.flatnonzero((names != q) & ((kinds != g) if g is not None else True))
+            if len(able) > k:
+                able = able[own[able] >= np.partition(own[able], len(able) - k)[len(able) - k]]
+            first = able[np.lexsort((names[able], -own[able]))[:k]]
+            for column, x in zip(out, (np.full(len(first), q), names[first], own[first]), strict=True):
+                column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "id", "similarity"])
 
     return dealt.mapInArrow(run, "query_id long, id long, similarity double")
 

@@ -5,6 +5,7 @@ import io
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,21 @@ def test_index_recall_on_tables(spark):
 
     sf = "/root/testdata/sf0.01"
     assert index.recall(catalogue.QUERIES["index_search"](spark, sf), catalogue.QUERIES["topk_block_matmul"](spark, sf)) >= 0.9
+
+
+def test_scores_held_at_once_are_bounded(spark, monkeypatch):
+    from caravel.operators import vectors
+
+    rows = [(i, [float(i % 7) - 3, float(i % 5) - 2, 1.0]) for i in range(300)] + [(1000, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    want = vectors.top_k_cosine(df, df, "id", "v", 4).collect()
+    monkeypatch.setattr(vectors, "SCORES", 1500)
+    made = {}
+    work = lambda self, f, shape: made.setdefault("f", f) and real(self, f, shape)
+    real = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", work)
+    assert vectors.top_k_cosine(df, df, "id", "v", 4).collect() == want
+    batch = pa.RecordBatch.from_pylist([{"dims": 3, "block": 0, "asks": asks, "id": i, "grp": None, "v": v} for asks in (False, True) for i, v in rows], schema=pa.schema([("dims", pa.int32()), ("block", pa.int64()), ("asks", pa.bool_()), ("id", pa.int64()), ("grp", pa.string()), ("v", pa.list_(pa.float64()))]))
+    assert [b.num_rows for b in made["f"](iter([batch]))] == [20] * 60
+    narrow = vectors.top_k_cosine(df.filter("id = 1000"), df.filter("id = 1000"), "id", "v", 4)
+    assert narrow.collect() == []
