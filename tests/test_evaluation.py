@@ -159,6 +159,13 @@ def test_pairs_of_runs(spark):
     assert pairs(retrieves="uses", index_fields=["folder"]) == {("f1", "b1"), ("f1", "b2"), ("f2", "b3"), ("f2", "b4"), ("f3", "b5"), ("f3", "b6")}
 
 
+def test_claims_are_cut_where_they_lie(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c", "d", "e"]), (2, []), (3, None), (4, ["x"])], "id long, facts array<string>")
+    made = evaluation.claim_batches(df, "id", "facts", 2)
+    assert {(r.id, r.batch): [tuple(c) for c in r.claims] for r in made.collect()} == {(1, 0): [(1, "a"), (2, "b")], (1, 1): [(3, "c"), (4, "d")], (1, 2): [(5, "e")], (4, 0): [(1, "x")]}
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pairs_of_one_group_are_made_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(runs, "CHUNK", 16)
     df = spark.range(0, 400, 1, 1).select("id", F.when(F.col("id") < 0, "m").alias("model"))
