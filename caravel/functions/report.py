@@ -130,6 +130,8 @@ def events_of(stream: Column) -> Column:
 
 def folded(payloads: Column) -> Column:
     """One report of many payloads (JSON texts): of each field the last text that isn't blank."""
-    values = F.transform(payloads, lambda p: unwrapped(F.try_parse_json(p)))
-    last = lambda n: F.coalesce(F.element_at(F.concat(F.array(F.lit("")), F.filter(F.transform(values, lambda v: F.coalesce(field(v, n), F.lit(""))), lambda t: F.trim(t) != "")), -1), F.lit(""))
-    return F.struct(*[last(n).alias(n) for n in FIELDS])
+    texts = lambda v: F.struct(*[F.coalesce(field(v, n), F.lit("")).alias(n) for n in FIELDS])
+    last = lambda said, n: F.coalesce(F.try_element_at(F.filter(F.transform(said, lambda t: t[n]), lambda t: F.trim(t) != ""), F.lit(-1)), F.lit(""))
+    # each step is the element of an array, so that it is worked out once, not once for every place that names it
+    said = F.transform(F.transform(F.transform(payloads, lambda p: F.try_parse_json(p)), lambda v: unwrapped(v)), texts)
+    return F.get(F.transform(F.array(said), lambda x: F.struct(*[last(x, n).alias(n) for n in FIELDS])), F.lit(0))

@@ -411,8 +411,9 @@ def streamed_reports(spark, d):
     lines = ordering.running(table(spark, d, "events").select("event_id", "user_id", line.alias("line")), ["user_id"], ["event_id"], into="seq")
     pieces = lines.select(F.col("user_id").cast("string").alias("request"), F.explode(F.array(F.struct((F.col("seq") * 2).alias("seq"), F.substring("line", 1, 20).alias("c")), F.struct((F.col("seq") * 2 + 1).alias("seq"), F.substring("line", 21, 10_000).alias("c")))).alias("x"))
     pieces = pieces.select("request", "x.seq", F.encode("x.c", "utf-8").alias("chunk"), F.lit(False).alias("last"))
+    tasks = 2 * spark.sparkContext.defaultParallelism  # batches follow the files: their number must not grow with the table
     for part in (1, 0):  # what is ahead of its time comes first
-        pieces.filter(F.col("seq") % 2 == part).write.mode("append").parquet(f"{folder}/chunks")
+        pieces.filter(F.col("seq") % 2 == part).coalesce(tasks).write.mode("append").parquet(f"{folder}/chunks")
     stream = spark.readStream.schema("request string, seq long, chunk binary, last boolean").option("maxFilesPerTrigger", 4).parquet(f"{folder}/chunks")
     reports.stream_lines(stream).writeStream.format("parquet").option("path", f"{folder}/lines").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return reports.folded_reports(spark.read.parquet(f"{folder}/lines")).select("request", "payloads", "report.diagnosis", "report.findings")

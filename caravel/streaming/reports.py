@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from caravel.functions import report
 
-LINES = "request string, line long, text string, after_gap boolean"
+LINES = "request string, first long, lines array<string>, after_gap boolean"
 STATE = "next long, line long, tail binary, held binary"
 
 
@@ -26,6 +26,9 @@ def stream_lines(chunks: DataFrame, patience: str | None = None) -> DataFrame:
     that is silent so long is given up: what is held is put in order behind the
     gap, and the lines from there on are marked ``after_gap``.  State is kept
     by request: the unfinished line, and what is held.
+
+    A request costs a task milliseconds for each column and frame, so a chunk
+    comes as one value, and its request's new lines leave as one row.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -33,43 +36,35 @@ def stream_lines(chunks: DataFrame, patience: str | None = None) -> DataFrame:
         if state.exists:
             place, line, tail, packed = state.get
             tail, held = bytes(tail), pickle.loads(bytes(packed))
-        out: list[tuple] = []
-
-        def take(data: bytes, gap: bool) -> None:
-            nonlocal line, tail
-            *full, tail = (tail + data).split(b"\n")
-            for x in full:
-                out.append((key[0], line, x.decode("utf-8", "replace"), gap))
-                line += 1
-
-        over = False
-        if state.hasTimedOut:
-            for seq in sorted(held):
-                take(held[seq][0], True)
-            over, held = True, {}
+        gap = over = state.hasTimedOut
+        ready = [tail]
+        if over:
+            ready += [held[seq][0] for seq in sorted(held)]
         else:
             for frame in frames:
-                for seq, chunk, last in zip(frame["seq"], frame["chunk"], frame["last"], strict=True):
-                    if seq >= place:
-                        held.setdefault(int(seq), (bytes(chunk), bool(last)))
+                for packed in frame["packed"]:
+                    seq, last, chunk = packed.split(b" ", 2)
+                    if int(seq) >= place:
+                        held.setdefault(int(seq), (chunk, last == b"1"))
             while place in held and not over:
                 data, over = held.pop(place)
-                take(data, False)
+                ready.append(data)
                 place += 1
+        *full, tail = b"".join(ready).split(b"\n")
         if over:
-            if tail:
-                out.append((key[0], line, tail.decode("utf-8", "replace"), state.hasTimedOut))
-                line, tail = line + 1, b""
-            held = {}
-            place = 2**62  # whatever comes after the end is ignored
-        state.update((place, line, tail, pickle.dumps(held)))
+            full += [tail] if tail else []
+            place, tail, held = 2**62, b"", {}  # whatever comes after the end is ignored
+        state.update((place, line + len(full), tail, pickle.dumps(held)))
         if patience and not over:
             state.setTimeoutDuration(_milliseconds(patience))
-        yield pd.DataFrame(out, columns=["request", "line", "text", "after_gap"])
+        if full:
+            yield pd.DataFrame({"request": [key[0]], "first": [line], "lines": [[x.decode("utf-8", "replace") for x in full]], "after_gap": [gap]})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if patience else GroupStateTimeout.NoTimeout
-    own = chunks.select("request", "seq", F.coalesce("chunk", F.lit(b"")).alias("chunk"), F.coalesce("last", F.lit(False)).alias("last"))
-    return own.groupBy("request").applyInPandasWithState(run, LINES, STATE, "append", timeout)
+    head = F.concat(F.col("seq").cast("string"), F.when(F.col("last"), " 1 ").otherwise(" 0 "))
+    own = chunks.filter("seq IS NOT NULL").select("request", F.concat(F.encode(head, "utf-8"), F.coalesce("chunk", F.lit(b""))).alias("packed"))
+    found = own.groupBy("request").applyInPandasWithState(run, LINES, STATE, "append", timeout)
+    return found.select("request", "first", "after_gap", F.posexplode("lines").alias("at", "text")).select("request", (F.col("first") + F.col("at")).alias("line"), "text", "after_gap")
 
 
 def _milliseconds(text: str) -> int:
@@ -79,7 +74,7 @@ def _milliseconds(text: str) -> int:
 
 def folded_reports(lines: DataFrame) -> DataFrame:
     """(request, payloads, report, after_gap) of ``stream_lines``: what folding each request's whole text at once gives."""
-    rows = lines.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("x"), F.max("after_gap").alias("after_gap"))
+    rows = lines.groupBy("request").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("x"), F.max("after_gap").alias("after_gap"))
     text = F.array_join(F.transform("x", lambda x: x["text"]), "\n")
     rows = rows.select("request", report.events_of(text).alias("p"), "after_gap")
     return rows.select("request", F.size("p").alias("payloads"), report.folded(F.col("p")).alias("report"), "after_gap")

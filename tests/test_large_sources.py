@@ -1,8 +1,12 @@
 """Quoted CSV in many blocks, streams of samples and chunks, keyed ingest, keywords and indexes."""
 
 import csv
+import glob
 import io
+import os
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 
 from caravel.functions import report
 from caravel.operators import index, keywords, vectors
+from caravel.plans import corpora
 from caravel.sources import qa, quoted, samples
 from caravel.streaming import reports
 from caravel.streaming.ingest import ingest, stored_keys
@@ -116,6 +121,46 @@ def test_chunks_cut_anywhere_give_the_whole_report(spark, tmp_path):
     assert {r.request: r.report for r in reports.folded_reports(found).collect()} == {r.request: r.report for r in once.collect()}
 
 
+def test_a_silent_request_is_given_up(spark, tmp_path):
+    folder, schema = str(tmp_path / "in"), "request string, seq long, chunk binary, last boolean"
+    rows = [("a", 0, b"x\ny", False), ("a", 3, b"w\nv", False), ("a", 2, b"z", False), ("a", None, b"no", False), ("b", 0, None, None), ("b", 1, b"only", True)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    lines = reports.stream_lines(spark.readStream.schema(schema).parquet(folder), "1 second")
+    writer = lines.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+    running = writer.trigger(processingTime="500 milliseconds").start()
+    want = {("a", 0, "x", False), ("a", 1, "yzw", True), ("a", 2, "v", True), ("b", 0, "only", False)}
+    for _ in range(60):
+        if (found := {tuple(r) for r in spark.read.schema("request string, line long, text string, after_gap boolean").parquet(str(tmp_path / "out")).collect()} if (tmp_path / "out").exists() else set()) == want:
+            break
+        time.sleep(1)
+    running.stop()
+    assert found == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_report_batches_do_not_grow_with_partitions(spark):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{root}/reports-*"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        corpora.streamed_reports(spark, "/root/testdata/sf0.001")
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    (made,) = set(glob.glob(f"{root}/reports-*")) - before
+    assert 0 < len(glob.glob(f"{made}/chunks/*.parquet")) <= 2 * 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_fold_parses_a_payload_once(spark):
+    df = spark.createDataFrame([(["{", '{"data": {"diagnosis": "d", "findings": " "}}', '{"findings": "f"}', '{"diagnosis": ""}'],), ([],), (None,)], "p array<string>")
+    out = df.select(report.folded(F.col("p")).alias("r")).select("r.diagnosis", "r.findings")
+    assert [tuple(r) for r in out.collect()] == [("d", "f"), ("", ""), ("", "")]
+    plan = out._jdf.queryExecution().executedPlan().toString().lower()
+    assert len(re.findall(r"parse_?json", plan)) == 1
+
+
 def test_ingest_reads_only_its_buckets(spark, tmp_path):
     target = str(tmp_path / "out")
     schema = "k long, v long"
