@@ -8,7 +8,9 @@ row, the question type and the number of the last sample before it.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 import pyarrow.dataset
@@ -30,22 +32,44 @@ def _open(path: str) -> pyarrow.dataset.Dataset:
     return pyarrow.dataset.dataset(place, filesystem=system, format="parquet", exclude_invalid_files=False)
 
 
+#: Bytes of a stored row group, the least that a task reads.
+GROUP_BYTES = 1 << 20
+
+
 def store_samples(samples: DataFrame, path: str) -> None:
     """Write samples (row_index, ord, qa_index and others) as Parquet in their order, with ``place`` from 0."""
     order = ["row_index", "ord", "qa_index"]
     placed = running(samples, [], order, into="place")
-    placed.repartitionByRange("place").sortWithinPartitions("place").write.mode("overwrite").parquet(path)
+    placed.repartitionByRange("place").sortWithinPartitions("place").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(path)
 
 
 class Stretch(InputPartition):
-    """The samples of places ``begin`` to ``end`` - 1."""
+    """The samples of places ``begin`` to ``end`` - 1, and the row groups of files that can hold them."""
+
+    def __init__(self, begin: int, end: int, parts: list[tuple[str, list[int]]]) -> None:
+        self.begin, self.end, self.parts = begin, end, parts
+
 
-    def __init__(self, begin: int, end: int) -> None:
-        self.begin, self.end = begin, end
+class _Groups:
+    """The row groups of stored samples by their places, read once from the ends of the files."""
 
+    def __init__(self, path: str) -> None:
+        found = []
+        for file in _open(path).get_fragments():
+            for group in file.row_groups:
+                held = (group.statistics or {}).get("place")  # without it the group can hold any place
+                found.append((held["min"], held["max"], file.path, group.id) if held else (-1, 2**63, file.path, group.id))
+        self.found = sorted(found)
+        self.least = [f[0] for f in self.found]
+        self.most = list(accumulate((f[1] for f in self.found), max))
 
-def _stretches(begin: int, end: int, size: int) -> list[Stretch]:
-    return [Stretch(i, min(i + size, end)) for i in range(begin, end, size)] or [Stretch(begin, begin)]
+    def stretch(self, begin: int, end: int) -> Stretch:
+        near = self.found[bisect_left(self.most, begin) : bisect_left(self.least, end)]
+        held = [(file, group) for _, most, file, group in near if most >= begin]
+        return Stretch(begin, end, [(file, [g for _, g in groups]) for file, groups in groupby(held, lambda f: f[0])])
+
+    def stretches(self, begin: int, end: int, size: int) -> list[Stretch]:
+        return [self.stretch(i, min(i + size, end)) for i in range(begin, end, size)] or [Stretch(begin, begin, [])]
 
 
 class _Samples:
@@ -59,24 +83,34 @@ class _Samples:
     def total(self) -> int:
         return _open(self.path).count_rows(use_threads=False)
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+    def table(self, stretch: Stretch, columns: list[str] | None) -> pa.Table | None:
+        """What a stretch holds; only its own files are opened."""
+        system, _ = _place(self.path)
         place = pyarrow.dataset.field("place")
-        rows = _open(self.path).to_table(columns=self.columns, filter=(place >= partition.begin) & (place < partition.end), use_threads=False)
-        yield from rows.sort_by("place").to_batches(max_chunksize=4_096) if "place" in rows.column_names else rows.to_batches(max_chunksize=4_096)
+        within = (place >= stretch.begin) & (place < stretch.end)
+        files = [pyarrow.dataset.ParquetFileFormat().make_fragment(file, filesystem=system, row_groups=groups) for file, groups in stretch.parts]
+        tables = [f.to_table(columns=columns, filter=within, use_threads=False) for f in files]
+        return pa.concat_tables(tables) if tables else None
+
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        rows = self.table(partition, self.columns)
+        if rows is not None:
+            yield from rows.sort_by("place").to_batches(max_chunksize=4_096) if "place" in rows.column_names else rows.to_batches(max_chunksize=4_096)
 
     def offset(self, place: int) -> dict:
         """The place with the row, question type and number of the last sample before it."""
         out = {"place": place, "row": -1, "category": "", "index": -1}
         if place:
-            last = _open(self.path).to_table(columns=["row_index", "category", "qa_index"], filter=pyarrow.dataset.field("place") == place - 1, use_threads=False).to_pylist()
-            if last:
-                out |= {"row": last[0]["row_index"], "category": last[0]["category"], "index": last[0]["qa_index"]}
+            found = self.table(_Groups(self.path).stretch(place - 1, place), ["row_index", "category", "qa_index"])
+            if found:
+                last = found.slice(0, 1).to_pylist()[0]
+                out |= {"row": last["row_index"], "category": last["category"], "index": last["qa_index"]}
         return out
 
 
 class SampleReader(_Samples, DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
-        return _stretches(0, self.total(), self.size)
+        return _Groups(self.path).stretches(0, self.total(), self.size)
 
 
 class SampleStreamReader(_Samples, DataSourceStreamReader):
@@ -114,7 +148,7 @@ class SampleStreamReader(_Samples, DataSourceStreamReader):
             with system.open_output_stream(f"{place}.new") as f:
                 f.write(done)
             system.move(f"{place}.new", place)
-        return _stretches(start["place"], end["place"], self.size)
+        return _Groups(self.path).stretches(start["place"], end["place"], self.size)
 
 
 class SampleSource(DataSource):

@@ -10,6 +10,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,29 @@ def test_sample_stream_stops_within_a_row(spark, tmp_path):
         samples.SampleStreamReader({"path": path, "samplesPerBatch": "5"})
 
 
+def test_a_stretch_opens_only_its_own_row_groups(spark, tmp_path):
+    path = str(tmp_path / "in")
+    df = spark.range(200_000).selectExpr("concat('a sample of the number ', id) AS id", "id DIV 4 AS row_index", "'open_ended' AS category", "0 AS ord", "id % 4 AS qa_index")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        samples.store_samples(df, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = glob.glob(f"{path}/*.parquet")
+    assert len(files) > 1 and all(pq.ParquetFile(f).metadata.num_row_groups > 1 for f in files)
+    reader = samples.SampleReader({"path": path, "samplesPerTask": "1000"})
+    stretches = reader.partitions()
+    got = [p for s in stretches for b in reader.read(s) for p in b.column("place").to_pylist()]
+    assert got == list(range(200_000))
+    assert reader.offset(123_456) == {"place": 123_456, "row": 123_455 // 4, "category": "open_ended", "index": 123_455 % 4}
+    mine = min(files, key=lambda f: pq.read_table(f, columns=["place"])["place"][0].as_py())
+    for f in files:
+        if f != mine:
+            with open(f, "wb") as out:
+                out.write(b"not to be opened")
+    assert sum(b.num_rows for b in reader.read(stretches[3])) == 1000
+
+
 STREAM = 'data: {"diagnosis": "é日", "findings": "f"}\n\n: note {"advice": "a"}\ndata: {"delta": {"diagnosis": "last"}}\r\ndata: [DONE]\ndata: {"findings": " "}'
 
 
