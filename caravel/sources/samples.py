@@ -32,8 +32,8 @@ def _open(path: str) -> pyarrow.dataset.Dataset:
     return pyarrow.dataset.dataset(place, filesystem=system, format="parquet", exclude_invalid_files=False)
 
 
-#: Bytes of a stored row group, the least that a task reads.
-GROUP_BYTES = 1 << 20
+#: Bytes of a stored row group, the least that a task reads; tasks of a read or batch at most.
+GROUP_BYTES, TASKS = 1 << 20, 1_000
 
 
 def store_samples(samples: DataFrame, path: str) -> None:
@@ -69,6 +69,7 @@ class _Groups:
         return Stretch(begin, end, [(file, [g for _, g in groups]) for file, groups in groupby(held, lambda f: f[0])])
 
     def stretches(self, begin: int, end: int, size: int) -> list[Stretch]:
+        size = max(size, -(-(end - begin) // TASKS))
         return [self.stretch(i, min(i + size, end)) for i in range(begin, end, size)] or [Stretch(begin, begin, [])]
 
 
@@ -83,27 +84,26 @@ class _Samples:
     def total(self) -> int:
         return _open(self.path).count_rows(use_threads=False)
 
-    def table(self, stretch: Stretch, columns: list[str] | None) -> pa.Table | None:
-        """What a stretch holds; only its own files are opened."""
+    def tables(self, stretch: Stretch, columns: list[str] | None) -> Iterator[pa.Table]:
+        """What a stretch holds, a row group at a time; only its own files are opened."""
         system, _ = _place(self.path)
         place = pyarrow.dataset.field("place")
         within = (place >= stretch.begin) & (place < stretch.end)
-        files = [pyarrow.dataset.ParquetFileFormat().make_fragment(file, filesystem=system, row_groups=groups) for file, groups in stretch.parts]
-        tables = [f.to_table(columns=columns, filter=within, use_threads=False) for f in files]
-        return pa.concat_tables(tables) if tables else None
+        for file, groups in stretch.parts:
+            for group in pyarrow.dataset.ParquetFileFormat().make_fragment(file, filesystem=system, row_groups=groups).split_by_row_group():
+                yield group.to_table(columns=columns, filter=within, use_threads=False)
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        rows = self.table(partition, self.columns)
-        if rows is not None:
+        for rows in self.tables(partition, self.columns):
             yield from rows.sort_by("place").to_batches(max_chunksize=4_096) if "place" in rows.column_names else rows.to_batches(max_chunksize=4_096)
 
     def offset(self, place: int) -> dict:
         """The place with the row, question type and number of the last sample before it."""
         out = {"place": place, "row": -1, "category": "", "index": -1}
         if place:
-            found = self.table(_Groups(self.path).stretch(place - 1, place), ["row_index", "category", "qa_index"])
-            if found:
-                last = found.slice(0, 1).to_pylist()[0]
+            found = self.tables(_Groups(self.path).stretch(place - 1, place), ["row_index", "category", "qa_index"])
+            last = next((r for rows in found for r in rows.to_pylist()), None)
+            if last:
                 out |= {"row": last["row_index"], "category": last["category"], "index": last["qa_index"]}
         return out
 
@@ -152,7 +152,12 @@ class SampleStreamReader(_Samples, DataSourceStreamReader):
 
 
 class SampleSource(DataSource):
-    """Options: ``path``; ``columns`` (JSON list), samplesPerTask; for streams samplesPerBatch with progress."""
+    """Options: ``path``; ``columns`` (JSON list), samplesPerTask; for streams samplesPerBatch with progress.
+
+    A task reads samplesPerTask samples, or more where a read or batch would
+    else have more than ``TASKS`` tasks: each costs a tenth of a second and a
+    stream's sink a file, however little it reads.
+    """
 
     @classmethod
     def name(cls) -> str:

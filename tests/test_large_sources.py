@@ -103,6 +103,7 @@ def test_a_stretch_opens_only_its_own_row_groups(spark, tmp_path):
     got = [p for s in stretches for b in reader.read(s) for p in b.column("place").to_pylist()]
     assert got == list(range(200_000))
     assert reader.offset(123_456) == {"place": 123_456, "row": 123_455 // 4, "category": "open_ended", "index": 123_455 % 4}
+    assert len(samples.SampleReader({"path": path, "samplesPerTask": "10"}).partitions()) == 1000
     mine = min(files, key=lambda f: pq.read_table(f, columns=["place"])["place"][0].as_py())
     for f in files:
         if f != mine:
